@@ -7,16 +7,9 @@ from pyspark.sql import functions as F
 
 from wellspring.config import DEFAULTS, Settings
 from wellspring.functions import calendar as cal
-from wellspring.operators.ordering import (
-    add_previous,
-    asof_backward,
-    by_day,
-    rolling_sum,
-    running,
-    trailing,
-)
+from wellspring.operators.ordering import add_previous, asof_backward, by_day
 from wellspring.operators.series import densify
-from wellspring.operators.weather import weather_features
+from wellspring.operators.weather import SCRATCH, rain_memory, rolling_sums, weather_features
 
 WEATHER_COLUMNS = ["precip_mm", "et0_mm", "soil_moist_0_7", "soil_moist_7_28", "temp_max", "rh_mean"]
 
@@ -75,20 +68,15 @@ def daily_features(
     dense = densify(
         joined, "entity_id", "date", ["level", "is_observed", "confidence", *WEATHER_COLUMNS]
     )
-    w, upto = by_day("entity_id", "date"), running("entity_id", "date")
-    level, rain, day = F.col("level"), F.col("precip_mm"), F.col("date")
-    wet_day = F.when(rain >= settings.rain_day_mm, cal.day_number(day))
-    season_total = (
-        Window.partitionBy("entity_id", cal.water_year(day, settings.monsoon_start_month))
-        .orderBy(cal.day_number(day))
-        .rowsBetween(Window.unboundedPreceding, 0)
+    w = by_day("entity_id", "date")
+    level, day = F.col("level"), F.col("date")
+    least = {n: max(1, n // 2) for n in settings.rolling_days}
+    rolled, totals = rolling_sums(
+        dense, "entity_id", "date",
+        [("precip_mm", n, least[n], f"rain_{n}d") for n in settings.rolling_days] + [("et0_mm", 30, 15, "et0_30d")],
     )
-    cols = {f"level_lag_{n}": F.lag(level, n).over(w) for n in settings.lags}
-    for n in settings.rolling_days:
-        cols[f"rain_{n}d"] = rolling_sum(rain, trailing("entity_id", "date", n), max(1, n // 2))
-    cols["et0_30d"] = rolling_sum(F.col("et0_mm"), trailing("entity_id", "date", 30), 15)
-    cols["days_since_last_rain"] = cal.day_number(day) - F.last(wet_day, ignorenulls=True).over(upto)
-    cols["cum_monsoon_rainfall"] = F.sum(F.coalesce(rain, F.lit(0.0))).over(season_total)
+    dense = rain_memory(totals, "entity_id", "date", settings)
+    cols = {**rolled, **{f"level_lag_{n}": F.lag(level, n).over(w) for n in settings.lags}}
     cols["level_change_7d"] = level - F.lag(level, 7).over(w)
     cols["level_change_30d"] = level - F.lag(level, 30).over(w)
     cols["target_level_t30"] = F.lead(level, settings.horizon_days).over(w)
@@ -98,7 +86,7 @@ def daily_features(
     cols["is_last_5y"] = cal.is_recent(day, settings)
     cols["entity_type"] = F.lit("well" if track == "rural" else "reservoir")
     cols["split"] = cal.split_of(day, settings) if track == "rural" else F.lit("test")
-    out = dense.withColumns(cols).where(F.col("split").isNotNull() & F.col("target_level_t30").isNotNull())
+    out = dense.withColumns(cols).drop(*SCRATCH).where(F.col("split").isNotNull() & F.col("target_level_t30").isNotNull())
     if keep_warmup:
         return out
     return out.where(F.col("level_lag_30").isNotNull() & F.col("rain_30d").isNotNull())
@@ -290,8 +278,8 @@ def split_ranges(df: DataFrame, date: str, groups: list[str] | None = None) -> D
 
 def skew_check(a: DataFrame, b: DataFrame, keys: list[str], features: tuple[str, ...], tolerance: float = 1e-6) -> DataFrame:
     """Per feature: rows compared and rows that differ (NULL equals NULL)."""
-    left = a.select(*keys, F.struct(*[F.col(f).cast("double") for f in features]).alias("_a"))
-    right = b.select(*keys, F.struct(*[F.col(f).cast("double") for f in features]).alias("_b"))
+    left = a.select(*keys, F.struct(*[F.col(f).cast("double").alias(f) for f in features]).alias("_a"))
+    right = b.select(*keys, F.struct(*[F.col(f).cast("double").alias(f) for f in features]).alias("_b"))
     both = left.join(right, keys, "full_outer").where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
 
     def differs(name: str) -> Column:

@@ -29,19 +29,10 @@ def by_day(key: str, date: str):
     return Window.partitionBy(key).orderBy(day_number(F.col(date)))
 
 
-def trailing(key: str, date: str, days: int):
-    return by_day(key, date).rangeBetween(-(days - 1), 0)
-
-
 def running(key: str, date: str):
     return by_day(key, date).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def rolling_sum(value: Column, frame, min_count: int) -> Column:
-    """Sum over a frame, NULL with fewer than ``min_count`` values."""
-    return F.when(F.count(value).over(frame) >= min_count, F.sum(value).over(frame))
-
-
 def add_previous(df: DataFrame, key: str, date: str, value: str, k: int = 1) -> DataFrame:
     """The k previous values and dates, as ``lag_i`` / ``lag_date_i``."""
     w = by_day(key, date)

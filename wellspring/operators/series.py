@@ -15,22 +15,31 @@ from wellspring.operators.prepare import storage_mcm
 MID_MONTH_DOY = (15, 46, 74, 105, 135, 166, 196, 227, 258, 288, 319, 349)
 
 
-def expand_days(readings: DataFrame, key: str, date: str, carry: dict[str, Column]) -> DataFrame:
+def expand_days(
+    readings: DataFrame, key: str, date: str, carry: dict[str, Column], keep: list[str] | None = None
+) -> DataFrame:
     """One row per calendar day from the first to the last reading of each key.
 
     Each reading owns the days until the next one, so the calendar comes from
     ``lead`` and ``explode(sequence)``: one shuffle, no calendar table, no join
     and no unbounded-following frame. ``offset`` is the day inside the
-    interval and ``gap`` its length (NULL after the last reading).
+    interval and ``gap`` its length (NULL after the last reading). ``carry``
+    columns come with their next value, ``keep`` columns alone.
+
+    Rows grow many times here, so the shuffle before it names its partition
+    count: left to itself adaptive execution sizes partitions by the few bytes
+    that go in and not by what comes out.
     """
     w = by_day(key, date)
+    partitions = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     following = F.lead(date).over(w)
-    owned = readings.select(
+    owned = readings.repartition(partitions, key).select(
         key,
         F.col(date).alias("_from"),
         F.date_diff(following, F.col(date)).alias("gap"),
         *[c.alias(n) for n, c in carry.items()],
         *[F.lead(c).over(w).alias(f"next_{n}") for n, c in carry.items()],
+        *(keep or []),
     )
     last_offset = F.coalesce(F.col("gap") - 1, F.lit(0))
     rows = owned.withColumn("offset", F.explode(F.sequence(F.lit(0), last_offset)))
@@ -101,22 +110,33 @@ def month_knots(readings: DataFrame) -> DataFrame:
     )
 
 
-def curve_at(knots: Column, date: Column) -> Column:
-    """Seasonal level of a date on the twelve-knot ring."""
-    doy = F.dayofyear(date)
-    slot = None
-    for i, start in enumerate(MID_MONTH_DOY[1:], start=1):
-        slot = F.when(doy < start, i) if slot is None else slot.when(doy < start, i)
-    before_first = doy < MID_MONTH_DOY[0]
-    index = F.when(before_first, 12).otherwise(slot.otherwise(12))
-    start = F.when(before_first, MID_MONTH_DOY[11] - 366).otherwise(
-        F.element_at(F.array(*[F.lit(d) for d in MID_MONTH_DOY]), index)
+def with_seasonal(df: DataFrame, date: str, out: str = "seasonal") -> DataFrame:
+    """Add the seasonal level of a date, read off the twelve-knot ring.
+
+    Built in small steps: one expression for all of it would be repeated in
+    every place its parts are used and outgrow generated code.
+    """
+    start_of = F.array(*[F.lit(d) for d in MID_MONTH_DOY])
+    ends = [*MID_MONTH_DOY[1:], MID_MONTH_DOY[0] + 366]
+    span_of = F.array(*[F.lit(float(b - a)) for a, b in zip(MID_MONTH_DOY, ends)])
+    # A date before the first knot continues the segment that starts at the last.
+    steps = df.withColumns({"_doy": F.dayofyear(date), "_slot": F.month(date)})
+    steps = steps.withColumn("_slot", F.when(F.col("_doy") >= F.element_at(start_of, F.col("_slot")), F.col("_slot")).otherwise(F.col("_slot") - 1))
+    steps = steps.withColumns(
+        {
+            "_doy": F.when(F.col("_slot") == 0, F.col("_doy") + 366).otherwise(F.col("_doy")),
+            "_slot": F.when(F.col("_slot") == 0, 12).otherwise(F.col("_slot")),
+        }
     )
-    spans = [b - a for a, b in zip(MID_MONTH_DOY, MID_MONTH_DOY[1:])] + [MID_MONTH_DOY[0] + 366 - MID_MONTH_DOY[11]]
-    span = F.element_at(F.array(*[F.lit(s) for s in spans]), index)
-    here = F.element_at(knots, index)
-    following = F.element_at(knots, F.when(index == 12, 1).otherwise(index + 1))
-    return here + (following - here) / span * (doy - start)
+    steps = steps.withColumns(
+        {
+            "_into": (F.col("_doy") - F.element_at(start_of, F.col("_slot"))) / F.element_at(span_of, F.col("_slot")),
+            "_here": F.element_at("knots", F.col("_slot")),
+            "_then": F.element_at("knots", F.col("_slot") % 12 + 1),
+        }
+    )
+    level = F.col("_here") + (F.col("_then") - F.col("_here")) * F.col("_into")
+    return steps.withColumn(out, level).drop("_doy", "_slot", "_into", "_here", "_then")
 
 
 def clip_level(level: Column, well_depth: Column, settings: Settings = DEFAULTS) -> Column:
@@ -126,7 +146,7 @@ def clip_level(level: Column, well_depth: Column, settings: Settings = DEFAULTS)
 
 def _with_anomaly(readings: DataFrame, knots: DataFrame, depths: DataFrame) -> DataFrame:
     base = readings.join(knots, "well_id").join(depths.select("well_id", "well_depth"), "well_id", "left")
-    return base.withColumn("anomaly", F.col("level_mbgl") - curve_at(F.col("knots"), F.col("obs_date")))
+    return with_seasonal(base, "obs_date").withColumn("anomaly", F.col("level_mbgl") - F.col("seasonal"))
 
 
 def reconstruct_daily(
@@ -146,23 +166,27 @@ def reconstruct_daily(
         based.withColumnRenamed("obs_date", "date"),
         "well_id",
         "date",
-        {c: F.col(c) for c in ("level_mbgl", "anomaly", "knots", "well_depth")},
+        {c: F.col(c) for c in ("level_mbgl", "anomaly")},
+        keep=["knots", "well_depth"],
+    ).where(F.col("date") >= F.lit(settings.daily_start).cast("date"))
+    if mode == "linear":
+        days = days.withColumn("_model", between("level_mbgl"))
+    else:
+        carried = between("anomaly") if mode == "full" else F.lit(0.0)
+        days = with_seasonal(days, "date").withColumn("_model", F.col("seasonal") + carried)
+    days = days.withColumns(
+        {
+            "is_observed": F.col("offset") == 0,
+            "_model": half_even(clip_level(F.col("_model"), F.col("well_depth"), settings), 4),
+            "_distance": days_to_reading(),
+        }
     )
-    seasonal = curve_at(F.col("knots"), F.col("date"))
-    level = {
-        "full": seasonal + between("anomaly"),
-        "climatology": seasonal,
-        "linear": between("level_mbgl"),
-    }[mode]
-    observed = F.col("offset") == 0
-    modelled = half_even(clip_level(level, F.col("well_depth"), settings), 4)
-    confidence = F.exp(-days_to_reading() / F.lit(settings.confidence_tau_days))
-    return days.where(F.col("date") >= F.lit(settings.daily_start).cast("date")).select(
+    return days.select(
         "well_id",
         "date",
-        F.when(observed, F.col("level_mbgl")).otherwise(modelled).alias("level_mbgl"),
-        observed.alias("is_observed"),
-        half_even(confidence, 4).alias("confidence"),
+        F.when(F.col("is_observed"), F.col("level_mbgl")).otherwise(F.col("_model")).alias("level_mbgl"),
+        "is_observed",
+        half_even(F.exp(-F.col("_distance") / F.lit(settings.confidence_tau_days)), 4).alias("confidence"),
     )
 
 
@@ -194,13 +218,13 @@ def holdout_errors(readings: DataFrame, wells: DataFrame, settings: Settings = D
             "_after": F.lead(F.struct("obs_date", "anomaly")).over(w),
         }
     )
-    held = rows.where(F.col("held_out") & F.col("_after").isNotNull())
+    held = rows.drop("anomaly").where(F.col("held_out") & F.col("_after").isNotNull())
     gap = F.date_diff("_after.obs_date", "_before.obs_date")
     carried = F.col("_before.anomaly") + (F.col("_after.anomaly") - F.col("_before.anomaly")) / gap * F.date_diff(
         "obs_date", "_before.obs_date"
     )
     rebuilt = half_even(
-        clip_level(curve_at(F.col("knots"), F.col("obs_date")) + carried, F.col("well_depth"), settings), 4
+        clip_level(F.col("seasonal") + carried, F.col("well_depth"), settings), 4
     )
     return held.select(
         "well_id", "obs_date", F.col("level_mbgl").alias("y_true"), rebuilt.alias("y_pred")

@@ -119,14 +119,18 @@ class Fixtures:
 
     @cached_property
     def cells(self) -> DataFrame:
-        n = self.table("supplier", "s_suppkey").agg(F.count(F.lit(1))).scalar()
-        return self.base_wells.select("well_id", (F.col("well_no") % n).cast("string").alias("cell_id"))
+        return self.base_wells.select("well_id", self._cell_of(F.col("well_no")).alias("cell_id"))
+
+    def _cell_of(self, number):
+        """Ten suppliers share a cell, at least ten cells."""
+        count = self.table("supplier", "s_suppkey").agg(F.count(F.lit(1))).scalar()
+        return (number % F.greatest(F.lit(10), F.floor(count / 10))).cast("string")
 
     @cached_property
     def weather(self) -> DataFrame:
         l = self.table("lineitem", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_shipdate")
         daily = l.groupBy(
-            F.col("l_suppkey").cast("string").alias("cell_id"), F.col("l_shipdate").cast("date").alias("date")
+            self._cell_of(F.col("l_suppkey")).alias("cell_id"), F.col("l_shipdate").cast("date").alias("date")
         ).agg(
             F.sum("l_quantity").alias("precip_mm"),
             (F.sum(F.rint(F.col("l_discount") * 100)) / F.count(F.lit(1))).alias("et0_mm"),

@@ -85,9 +85,9 @@ VIEWS = {
               FROM (SELECT well_id, year(obs_date) y, quarter(obs_date) q, avg(level_mbgl) level_mbgl
                     FROM fx_obs JOIN fx_wells USING (well_id) GROUP BY 1,2,3))""",
     "fx_cells": """
-        SELECT well_id, CAST(well_no % (SELECT count(*) FROM supplier) AS VARCHAR) AS cell_id FROM fx_wells""",
+        SELECT well_id, CAST(well_no % (SELECT greatest(10, count(*) // 10) FROM supplier) AS VARCHAR) AS cell_id FROM fx_wells""",
     "fx_weather_raw": """
-        SELECT CAST(l_suppkey AS VARCHAR) AS cell_id, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS precip_mm,
+        SELECT CAST(l_suppkey % (SELECT greatest(10, count(*) // 10) FROM supplier) AS VARCHAR) AS cell_id, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS precip_mm,
                sum(round_even(l_discount*100,0))/count(*) AS et0_mm, 20e0+sum(round_even(l_tax*100,0))/count(*) AS temp_max
         FROM lineitem GROUP BY 1,2""",
     "fx_weather": """
@@ -290,4 +290,7 @@ def compose(sql: str) -> str:
     if not ordered:
         return sql.strip()
     head = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in ordered)
-    return f"WITH {head}\n{sql.strip()}"
+    body = sql.strip()
+    if body.upper().startswith("WITH "):
+        return f"WITH {head},\n{body[5:]}"
+    return f"WITH {head}\n{body}"
