@@ -12,6 +12,7 @@ from wellspring.config import DEFAULTS, Settings
 from wellspring.functions import calendar as cal
 from wellspring.functions import stress
 from wellspring.functions.numeric import half_even
+from wellspring.operators.lineage import cut_lineage
 from wellspring.operators.ordering import add_previous, asof_backward, exact_quantiles
 from wellspring.operators.series import ring_climatology
 
@@ -343,8 +344,9 @@ def train_residual_model(
     """
     y, base = residual_target(target)
     flags = {f"{c}_missing": F.col(c).isNull().cast("double") for c in names}
-    ready = matrix.withColumns(
-        {**flags, "_y": y, "_base": base, "_is_val": F.col("split") == "val"}
+    # Training reads its rows many times; the features behind them are computed once.
+    ready = cut_lineage(
+        matrix.withColumns({**flags, "_y": y, "_base": base, "_is_val": F.col("split") == "val"})
     )
     filled = [f"{c}_filled" for c in names]
     stages = [

@@ -126,6 +126,12 @@ def urban_cards(latest: DataFrame, registry: DataFrame, lang: Column | None = No
 
 
 # --------------------------------------------------------------------- rural
+def settled(level: Column) -> Column:
+    """A mean level without the last bits that depend on the order of summing,
+    so that a retried task cannot turn a rounded score over."""
+    return half_even(level, 9)
+
+
 def _seasonal_mean(target_season: Column) -> Column:
     return F.avg(F.when(F.col("season") == target_season, F.col("level_mbgl")))
 
@@ -166,7 +172,7 @@ def well_scores(history: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     scored = per_well.withColumns(
         {
             "used_model": F.col("_model").isNotNull(),
-            "forecast": F.coalesce("_model", "_season_mean", "_mean"),
+            "forecast": settled(F.coalesce("_model", "_season_mean", "_mean")),
             "last_obs_date": last["obs_date"],
             "last_obs_level": last["level_mbgl"],
             "trend": (last["level_mbgl"] - prev["level_mbgl"]) / F.greatest(gap, F.lit(1)),
@@ -335,7 +341,7 @@ def _score_states(states: DataFrame, origin: str, settings: Settings) -> DataFra
     code = cal.season_code(cal.season_of(target, settings))
     seasonal = F.element_at("_by_season", code + 1)
     return _score_terms(
-        states.withColumns({"forecast": F.coalesce(seasonal, "_mean"), "last_obs_level": F.col("level_mbgl")})
+        states.withColumns({"forecast": settled(F.coalesce(seasonal, "_mean")), "last_obs_level": F.col("level_mbgl")})
     )
 
 

@@ -61,7 +61,7 @@ _CARDS = """SELECT u.*, name, city, coalesce(name, entity_id) AS entity_label, C
      LEFT JOIN fx_systems s ON s.reservoir_id = u.entity_id"""
 
 
-@query("WN-17 JN-14 SC-17", f"SELECT * EXCLUDE (k, reservoir_id, capacity_ml, draw_mld) FROM ({_CARDS})")
+@query("WN-17 JN-14 SC-17", f"SELECT * EXCLUDE (k) FROM ({_CARDS})")
 def latest_urban_cards(fx):
     scores = sc.urban_score(fx.reservoir_daily, fx.draws, fx.settings)
     return sc.urban_cards(sc.latest_urban(scores), fx.systems, F.lit("hi"))
@@ -113,7 +113,7 @@ _TIMELINE = f"""SELECT well_id, date, score, {band('score')} AS band, {r('foreca
               + CASE WHEN well_depth > 0 THEN least(15e0, greatest(0e0, (forecast/well_depth-0.6e0)/0.4e0*15e0)) ELSE 0e0 END, 0) AS INTEGER) AS score
          FROM (SELECT a.well_id, a.obs_date AS date, any_value(w.well_depth) AS well_depth, count(*) AS n, min(h.level_mbgl) AS shallow,
                       list_sort(list(h.level_mbgl))[least(count(*)-1, CAST(floor(0.9e0*count(*)) AS BIGINT)) + 1] AS crisis,
-                      coalesce(avg(h.level_mbgl) FILTER (h.season = {season('month(a.obs_date + 30)')}), avg(h.level_mbgl)) AS forecast,
+                      {r('coalesce(avg(h.level_mbgl) FILTER (h.season = ' + season('month(a.obs_date + 30)') + '), avg(h.level_mbgl))', 9)} AS forecast,
                       any_value(a.level_mbgl) AS last_level, any_value(a.slope) AS trend
                FROM (SELECT *, (level_mbgl - lag(level_mbgl) OVER w)/greatest(obs_date - lag(obs_date) OVER w, 1) AS slope FROM fx_obs WINDOW w AS (PARTITION BY well_id ORDER BY obs_date)) a
                JOIN fx_obs h ON h.well_id = a.well_id AND h.obs_date <= a.obs_date JOIN fx_wells w ON w.well_id = a.well_id
@@ -129,7 +129,7 @@ _AREA_TIMELINE = f"""WITH q AS (SELECT DISTINCT taluka, obs_date AS date FROM fx
     pairs AS (SELECT q.taluka, q.date, w.well_id, w.well_depth FROM q JOIN fx_wells w ON w.taluka = q.taluka),
     hist AS (SELECT p.taluka, p.date, p.well_id, any_value(p.well_depth) AS well_depth, count(*) AS n, min(h.level_mbgl) AS shallow,
          list_sort(list(h.level_mbgl))[least(count(*)-1, CAST(floor(0.9e0*count(*)) AS BIGINT)) + 1] AS crisis,
-         coalesce(avg(h.level_mbgl) FILTER (h.season = {season('month(p.date + 30)')}), avg(h.level_mbgl)) AS forecast,
+         {r('coalesce(avg(h.level_mbgl) FILTER (h.season = ' + season('month(p.date + 30)') + '), avg(h.level_mbgl))', 9)} AS forecast,
          max_by(h.level_mbgl, h.obs_date) AS last_level, max_by(h.slope, h.obs_date) AS trend
          FROM pairs p JOIN (SELECT *, (level_mbgl - lag(level_mbgl) OVER w)/greatest(obs_date - lag(obs_date) OVER w, 1) AS slope FROM fx_obs WINDOW w AS (PARTITION BY well_id ORDER BY obs_date)) h
          ON h.well_id = p.well_id AND h.obs_date <= p.date GROUP BY 1,2,3 HAVING count(*) >= 4),
@@ -297,14 +297,14 @@ def resolved_places(fx):
     "TK-4",
     """WITH g AS (SELECT 'taluka' AS entity_type, taluka AS entity_id, trim(regexp_replace(lower(taluka),'[^a-z0-9]+',' ','g')) AS key, taluka||'|'||district AS lo FROM (SELECT DISTINCT taluka, district FROM fx_wells)),
             v AS (SELECT 'well' AS entity_type, well_id AS entity_id, trim(regexp_replace(lower(village),'[^a-z0-9]+',' ','g')) AS key, well_id AS lo FROM fx_wells),
-            q AS (SELECT lower(substr(n_name, 3, 6)) AS query, trim(regexp_replace(lower(substr(n_name,3,6)),'[^a-z0-9]+',' ','g')) AS qk FROM nation UNION ALL SELECT 'custo', 'custo' UNION ALL SELECT 'pu', 'pu'),
+            q AS (SELECT DISTINCT lower(substr(n_name, 3, 7)) AS query, trim(regexp_replace(lower(substr(n_name,3,7)),'[^a-z0-9]+',' ','g')) AS qk FROM nation UNION ALL SELECT 'custo', 'custo' UNION ALL SELECT 'pu', 'pu'),
             m AS (SELECT query, entity_type, entity_id, CASE WHEN starts_with(key, qk) THEN 0 ELSE 1 END AS rk, lo FROM q JOIN g ON contains(key, qk)
                   UNION ALL SELECT query, entity_type, entity_id, 2, lo FROM q JOIN v ON starts_with(key, qk)
                   UNION ALL SELECT query, 'reservoir', 'PUN_KHW', 3, 'pune' FROM q WHERE qk = 'pu')
        SELECT query, CAST(p AS INTEGER) AS position, entity_type, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rk, lo, entity_id) AS p FROM m) WHERE p <= 10""",
 )
 def typeahead(fx):
-    n = fx.table("nation", "n_name").select(F.lower(F.substring("n_name", 3, 6)).alias("query"))
+    n = fx.table("nation", "n_name").select(F.lower(F.substring("n_name", 3, 7)).alias("query")).distinct()
     fixed = fx.spark.createDataFrame([("custo",), ("pu",)], "query string")
     hits = pl.typeahead(n.unionByName(fixed), pl.gazetteer(fx.base_wells), pl.city_table(fx.spark))
     return hits.select("query", "position", "entity_type", "entity_id")

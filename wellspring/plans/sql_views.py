@@ -248,7 +248,7 @@ VIEWS = {
                      CASE WHEN trend > 0 THEN least(25e0, trend/0.05e0*25e0) ELSE 0e0 END AS st,
                      CASE WHEN well_depth > 0 THEN least(15e0, greatest(0e0, (forecast/well_depth-0.6e0)/0.4e0*15e0)) ELSE 0e0 END AS sh
               FROM (SELECT well_id, any_value(taluka) AS taluka, any_value(well_depth) AS well_depth, any_value(origin) AS origin, any_value(target) AS target,
-                           coalesce(avg(level_mbgl) FILTER (season = tseason), avg(level_mbgl)) AS forecast, min(level_mbgl) AS shallow,
+                           {r('coalesce(avg(level_mbgl) FILTER (season = tseason), avg(level_mbgl))', 9)} AS forecast, min(level_mbgl) AS shallow,
                            max(level_mbgl) FILTER (rk = least(n-1, CAST(floor(0.9e0*n) AS BIGINT)) + 1) AS crisis,
                            max_by(level_mbgl, obs_date) AS last_level, max(obs_date) AS last_date,
                            (max_by(level_mbgl, obs_date) - max_by(pl, obs_date))/greatest(max(obs_date) - max_by(pd, obs_date), 1) AS trend
