@@ -78,9 +78,10 @@ def weather_from_arrays(payloads: DataFrame, payload: str = "payload") -> DataFr
     parsed = payloads.select("cell_id", F.from_json(payload, doc).alias("j"))
 
     def rows(block: str, names: dict) -> DataFrame:
+        absent = F.array().cast("array<double>")
         zipped = F.arrays_zip(
             F.col(f"j.{block}.time").alias("time"),
-            *[F.col(f"j.{block}.{k}").alias(v) for k, v in names.items()],
+            *[F.coalesce(F.col(f"j.{block}.{k}"), absent).alias(v) for k, v in names.items()],
         )
         flat = parsed.select("cell_id", F.explode(zipped).alias("r"))
         return flat.select(
