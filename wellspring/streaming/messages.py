@@ -101,7 +101,9 @@ def _converse(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) ->
         step, well, intent = next_step(step, well, m)
         out.append({"message_id": m.message_id, "phone": key[0], **intent})
     state.update((step, well))
-    yield pd.DataFrame(out, columns=["message_id", "phone", "action", "well_id", "level_mbgl", "workshop"])
+    # Plain object columns: frames of several phones are joined before they leave
+    # the worker, and arrow-backed strings would then arrive in chunks.
+    yield pd.DataFrame(out, columns=["message_id", "phone", "action", "well_id", "level_mbgl", "workshop"], dtype=object)
 
 
 def message_intents(messages: DataFrame, users: DataFrame, tokens: DataFrame) -> DataFrame:
