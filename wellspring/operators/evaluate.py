@@ -13,7 +13,7 @@ from wellspring.functions import calendar as cal
 from wellspring.functions import stress
 from wellspring.functions.numeric import half_even
 from wellspring.operators.lineage import cut_lineage
-from wellspring.operators.ordering import add_previous, asof_backward, exact_quantiles
+from wellspring.operators.ordering import add_previous, asof_backward, exact_quantiles, value_counts
 from wellspring.operators.series import ring_climatology
 
 
@@ -38,9 +38,13 @@ def error_metrics(pred: DataFrame, groups: list[str], horizon: str = "horizon_d"
 def absolute_error_quantiles(pred: DataFrame, groups: list[str]) -> DataFrame:
     """Exact p50 / p80 / p95 of |error| with MAE and n, for groups of any size."""
     e = F.abs(F.col("y_pred") - F.col("y_true"))
-    errors = pred.select(*groups, e.alias("abs_error")).where(F.col("abs_error").isNotNull())
-    q = exact_quantiles(errors, groups, "abs_error", {"p50": 0.50, "p80": 0.80, "p95": 0.95})
-    base = errors.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), half_even(F.avg("abs_error"), 3).alias("mae"))
+    counts = value_counts(pred.select(*groups, e.alias("abs_error")), groups, "abs_error", "_rows")
+    q = exact_quantiles(
+        counts, groups, "abs_error", {"p50": 0.50, "p80": 0.80, "p95": 0.95}, weight="_rows"
+    )
+    total = F.sum("_rows")
+    mean = F.sum(F.col("abs_error") * F.col("_rows")) / total
+    base = counts.groupBy(*groups).agg(total.alias("n"), half_even(mean, 3).alias("mae"))
     return base.join(q, groups).select(
         *groups, "n", "mae", *[half_even(F.col(p), 3).alias(p) for p in ("p50", "p80", "p95")]
     )

@@ -110,8 +110,20 @@ def largest_gap(df: DataFrame, key: str, date: str) -> DataFrame:
     return df.select(key, step.alias("_step")).groupBy(key).agg(F.max("_step").alias("max_gap_days"))
 
 
+def value_counts(df: DataFrame, groups: list[str], value: str, name: str) -> DataFrame:
+    """Checkpointed counts of distinct values: several steps read them, and what
+    is behind them should run once."""
+    present = df.where(F.col(value).isNotNull())
+    return cut_lineage(present.groupBy(*groups, value).agg(F.count(F.lit(1)).alias(name)))
+
+
 def exact_quantiles(
-    df: DataFrame, groups: list[str], value: str, shares: dict[str, float], buckets: int = 256
+    df: DataFrame,
+    groups: list[str],
+    value: str,
+    shares: dict[str, float],
+    buckets: int = 256,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles of groups too large for one task.
 
@@ -119,13 +131,13 @@ def exact_quantiles(
     values are first counted (map-side combined), cut into about ``buckets``
     ranges by a mergeable sketch, and only the one or two ranges that hold a
     wanted rank are sorted. The sketch decides how work is spread, never the
-    result.
+    result. With ``weight`` the frame already holds one row per distinct value
+    (``value_counts``).
     """
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*groups, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    if weight is None:
+        counted = value_counts(df, groups, value, "_n")
+    else:
+        counted = df.select(*groups, value, F.col(weight).alias("_n"))
     cuts = [i / buckets for i in range(1, buckets)]
     fences = counted.groupBy(*groups).agg(
         F.percentile_approx(value, cuts, F.lit(buckets * 20)).alias("_cuts"),

@@ -7,6 +7,7 @@ import bisect
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wellspring.config import DEFAULTS, Settings
 from wellspring.functions import calendar as cal
@@ -283,17 +284,21 @@ def rural_score(
     )
 
 
-def _running_crisis(share: float):
-    def per_well(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("obs_date")
-        ordered, crisis = [], []
-        for level in pdf["level_mbgl"]:
-            bisect.insort(ordered, level)
-            n = len(ordered)
-            crisis.append(ordered[min(n - 1, int(share * n))])
-        return pd.DataFrame({"well_id": pdf["well_id"], "obs_date": pdf["obs_date"], "crisis": crisis})
+def _running_nearest_rank(share: float):
+    """Per array of levels in date order: the nearest-rank percentile so far."""
 
-    return per_well
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def ranks(series: pd.Series) -> pd.Series:
+        out = []
+        for levels in series:
+            ordered, so_far = [], []
+            for n, level in enumerate(levels, start=1):
+                bisect.insort(ordered, level)
+                so_far.append(ordered[min(n - 1, int(share * n))])
+            out.append(so_far)
+        return pd.Series(out)
+
+    return ranks
 
 
 def well_states(readings: DataFrame, wells: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -302,8 +307,8 @@ def well_states(readings: DataFrame, wells: DataFrame, settings: Settings = DEFA
     Each reading is one state, valid until the next reading. Running seasonal
     means are kept for all seasons because later origins may target any of
     them. The running nearest-rank percentile has no Spark window form that is
-    not quadratic; a sorted list per well gives it (a well has at most one
-    reading per day).
+    not quadratic; a sorted list per well gives it, in Arrow batches of wells (a
+    well has at most one reading per day, which bounds its array).
     """
     upto, w = running("well_id", "obs_date"), by_day("well_id", "obs_date")
     prev = F.lag(F.struct("obs_date", "level_mbgl")).over(w)
@@ -322,10 +327,13 @@ def well_states(readings: DataFrame, wells: DataFrame, settings: Settings = DEFA
             "valid_to": F.date_sub(F.lead("obs_date").over(w), 1),
         }
     )
-    crisis = (
-        readings.select("well_id", "obs_date", "level_mbgl")
-        .groupBy("well_id")
-        .applyInPandas(_running_crisis(settings.crisis_share), "well_id string, obs_date date, crisis double")
+    in_order = readings.groupBy("well_id").agg(
+        F.sort_array(F.collect_list(F.struct("obs_date", "level_mbgl"))).alias("_r")
+    )
+    ranked = in_order.withColumn("_c", _running_nearest_rank(settings.crisis_share)(F.col("_r.level_mbgl")))
+    crisis = ranked.select(
+        "well_id",
+        F.inline(F.arrays_zip(F.col("_r.obs_date").alias("obs_date"), F.col("_c").alias("crisis"))),
     )
     gap = F.date_diff("obs_date", "_prev.obs_date")
     return (
