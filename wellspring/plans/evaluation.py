@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from wellspring.functions.numeric import half_even
@@ -243,14 +241,6 @@ def zero_count_checks(fx):
 
 
 # -------------------------------------------------------------------- streams
-def _fresh_dir(fx, name: str) -> str:
-    """A new folder beside the cluster's checkpoints, or a local one in tests."""
-    import uuid
-
-    root = fx.spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="stream-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 @query("ST-1", _CR1)
 def streamed_reports(fx):
     """Reports read as a stream; verdicts are those of the batch query."""
@@ -260,7 +250,7 @@ def streamed_reports(fx):
         F.concat(F.lit("W"), F.col("user_id")).alias("well_id"), (F.col("value") / F.lit(10.0)).alias("level_mbgl"),
         F.col("ts").cast("date").alias("reported_for"),
     )
-    out = _fresh_dir(fx, "reports")
+    out = fx.fresh_dir("reports")
     valid = sr.validated_reports(reports, rp.prior_table(fx.readings, fx.settings), fx.base_wells, settings=fx.settings)
     sr.write_reports(valid, f"{out}/table", f"{out}/checkpoint").awaitTermination()
     return fx.spark.read.parquet(f"{out}/table").select("report_id", *rp.VERDICT_COLUMNS).withColumns(
@@ -287,7 +277,7 @@ def streamed_intents(fx):
     from wellspring.operators.places import gazetteer
 
     tokens = ms.place_tokens(fx.wells, gazetteer(fx.base_wells))
-    out = _fresh_dir(fx, "intents")
+    out = fx.fresh_dir("intents")
     stream = ms.message_intents(messages, users, tokens)
     stream.writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/checkpoint").trigger(
         availableNow=True

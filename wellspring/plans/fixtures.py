@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +53,11 @@ class Fixtures:
         path = f"{self.dir}/{name}.parquet"
         return read_columns(self.spark, path, list(columns)) if columns else self.spark.read.parquet(path)
 
+    def fresh_dir(self, name: str) -> str:
+        """A new folder beside the cluster's checkpoints, or a local one in tests."""
+        root = self.spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tables-")
+        return f"{root}/{name}-{uuid.uuid4().hex}"
+
     @cached_property
     def base_wells(self) -> DataFrame:
         c = self.table("customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
