@@ -25,7 +25,16 @@ def one_per_day(df: DataFrame, key: str, date: str, order: Column) -> DataFrame:
 
 
 def by_day(key: str, date: str):
-    """Entity window ordered by day number, shared so Spark sorts once."""
+    """Entity window in date order.
+
+    The order is the plain date column: an expression would get a new name in
+    every window and be sorted again for each.
+    """
+    return Window.partitionBy(key).orderBy(date)
+
+
+def by_day_number(key: str, date: str):
+    """The same order as an integer, for frames that reach back some days."""
     return Window.partitionBy(key).orderBy(day_number(F.col(date)))
 
 

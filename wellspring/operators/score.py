@@ -13,7 +13,7 @@ from wellspring.config import DEFAULTS, Settings
 from wellspring.functions import calendar as cal
 from wellspring.functions import stress
 from wellspring.functions.numeric import half_even
-from wellspring.operators.ordering import by_day, running
+from wellspring.operators.ordering import by_day, by_day_number, running
 
 URBAN_METHOD = "urban-stress-1.0"
 RURAL_METHOD = "rural-stress-1.0/climatology"
@@ -29,7 +29,7 @@ def lookback(reservoir_daily: DataFrame, settings: Settings = DEFAULTS) -> DataF
     The last row at or before 30 days earlier; with none, the immediately
     previous row. A window under a week gives no trend.
     """
-    w = by_day("reservoir_id", "date")
+    w = by_day_number("reservoir_id", "date")
     early = w.rangeBetween(Window.unboundedPreceding, -settings.trend_lookback_days)
     row = F.struct(F.col("date"), F.col("live_storage_pct"), F.col("source"))
     reference = F.coalesce(F.last(row).over(early), F.lag(row).over(w))

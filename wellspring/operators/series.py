@@ -27,11 +27,12 @@ def expand_days(
     columns come with their next value, ``keep`` columns alone.
 
     Rows grow many times here, so the shuffle before it names its partition
-    count: left to itself adaptive execution sizes partitions by the few bytes
-    that go in and not by what comes out.
+    count (twice the session's, which also keeps it from being merged with an
+    earlier shuffle): left to itself adaptive execution sizes partitions by the
+    few bytes that go in and not by what comes out.
     """
     w = by_day(key, date)
-    partitions = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = 2 * int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     following = F.lead(date).over(w)
     owned = readings.repartition(partitions, key).select(
         key,
