@@ -309,13 +309,16 @@ def skill(model_metrics: DataFrame, verdict: DataFrame, flat_below: float = 0.05
 
 
 def served_vs_published(served: DataFrame, published: DataFrame, tolerance_m: float = 0.02) -> DataFrame:
-    """MAE by horizon of served predictions against the published figure."""
+    """MAE by horizon of served predictions against the published figure.
+
+    A horizon without a published figure cannot diverge.
+    """
     mae = served.groupBy("horizon_d").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y_pred") - F.col("y_true"))).alias("served_mae")
     )
     out = mae.join(published.select("horizon_d", "published_mae"), "horizon_d", "left")
     delta = F.col("served_mae") - F.col("published_mae")
-    return out.withColumns({"delta": delta, "diverged": F.abs(delta) > tolerance_m})
+    return out.withColumns({"delta": delta, "diverged": F.coalesce(F.abs(delta) > tolerance_m, F.lit(False))})
 
 
 # ------------------------------------------------------------------- models

@@ -165,7 +165,7 @@ def seasonal_skill(fx):
 
 @query(
     "ML-5",
-    f"""SELECT horizon_d, n, {r('served',6)} AS served_mae, published AS published_mae, {r('served - published',6)} AS delta, abs(served - published) > 0.02e0 AS diverged FROM
+    f"""SELECT horizon_d, n, {r('served',6)} AS served_mae, published AS published_mae, {r('served - published',6)} AS delta, coalesce(abs(served - published) > 0.02e0, false) AS diverged FROM
         (SELECT horizon_d, count(*) AS n, avg(abs(y_pred - y_true)) AS served FROM fx_scored WHERE forecaster = 'climatology' AND split = 'test' AND y_pred IS NOT NULL GROUP BY 1)
         LEFT JOIN (VALUES (7, 12.0e0), (15, 12.5e0)) p(h, published) ON h = horizon_d""",
 )
