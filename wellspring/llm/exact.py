@@ -125,11 +125,18 @@ def _settle(members: DataFrame, text: DataFrame) -> DataFrame:
     )
 
 
+def stored_groups(known: DataFrame) -> DataFrame:
+    """Size and candidate of each fingerprint, stored, so that a join can split a large group's rows."""
+    return tables.stored(
+        known.groupBy(*_SAME).agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
+    )
+
+
 def exact_duplicates(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int = HUGE) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and the fingerprint, one row per document."""
     known = tables.stored(fingerprints(docs, primes, huge))
     text = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    groups = known.groupBy(*_SAME).agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
+    groups = stored_groups(known)
     settled = known.join(groups, _SAME).withColumn("round", F.lit(0))
     open_ = settled.where((F.col("group_size") > 1) & (F.col("doc_id") != F.col("keep_id")))
     differ = tables.stored(_settle(open_.select("doc_id", *_SAME, "keep_id"), text))
