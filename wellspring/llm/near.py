@@ -12,8 +12,10 @@ Documents with the same words are first taken together; only one per such group
 takes part in what follows. Inside a bucket no list of all pairs is made: all members
 are compared with one centre, the member with the most company over all its buckets
 (the original of a family of copies, as a rule), then the members left over with a
-second centre. Only buckets that still hold unlinked documents compare the members of
-different classes with each other, so that no link between candidates is lost.
+second centre. Buckets that still hold several classes are compared block against
+block inside tasks: word counts in hash bins rule out nearly all pairs for certain,
+and only the others are aligned, so that no link between candidates is lost and no
+list of the pairs of a large bucket is written.
 
 Edges: null and empty texts are the same text without words; under five words only
 equal word sequences match; rows with one doc_id are one document; a null doc_id is
@@ -35,8 +37,10 @@ from wellspring.llm.words import MASK, ROLL, inverse, lowered, mix, powers, roll
 
 KMER = 5
 SAMPLED = 3
-TABLES = 16
-SIMILARITY = 0.8
+TABLES = 24
+SIMILARITY = 0.9
+BINS = 512
+BLOCK = 256
 
 _KEY = ["key1", "key2", "n_words"]
 
@@ -121,12 +125,50 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, w in _word_runs(batch["text"]):
             part = (w.hashes >> np.uint64(32)).astype("<u4")
-            blobs = [part[w.first[i] : w.first[i + 1]].tobytes() for i in range(b - a)]
+            parts = [part[w.first[i] : w.first[i + 1]] for i in range(b - a)]
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch["doc_id"].slice(a, b - a), "tokens": pa.array(blobs, pa.binary())}
+                {
+                    "doc_id": batch["doc_id"].slice(a, b - a),
+                    "tokens": pa.array([x.tobytes() for x in parts], pa.binary()),
+                    "bins": pa.array([histogram(x).tobytes() for x in parts], pa.binary()),
+                }
             )
 
 
+def histogram(tokens: np.ndarray) -> np.ndarray:
+    """Numbers of words in each of ``BINS`` hash bins."""
+    return np.minimum(np.bincount(tokens % BINS, minlength=BINS), 32767).astype("<i2")
+
+
+def _possible(least: float):
+    """Pairs of two blocks of a bucket that their bins and classes do not rule out.
+
+    Each word that one text has more often in a bin than the other costs an edit, so
+    the pairs left out are certainly below the similarity.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
+        ids, n, label, block = (t[c].to_numpy() for c in ("doc_id", "n_words", "label", "block"))
+        bins = np.frombuffer(b"".join(t["bins"].to_pylist()), "<i2").reshape(len(t), BINS)
+        a, b = [], []
+        right = np.flatnonzero(block == hi)
+        for i in np.flatnonzero(block == lo):
+            some = right[(label[right] != label[i]) & ((lo != hi) | (ids[right] > ids[i]))]
+            longer = np.maximum(n[some], n[i])
+            most = ((1 - least) * longer + 1e-9).astype(np.int64)
+            some, most = some[longer - np.minimum(n[some], n[i]) <= most], most[longer - np.minimum(n[some], n[i]) <= most]
+            gap = bins[some].astype(np.int32) - bins[i]
+            cost = np.maximum(np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1))
+            found = ids[some[cost <= most]]
+            a.append(np.minimum(found, ids[i]))
+            b.append(np.maximum(found, ids[i]))
+        none = np.empty(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+
+    return run
+
+
 def _increasing(values: np.ndarray) -> np.ndarray:
     """Places of a longest increasing subsequence."""
     if np.all(values[1:] > values[:-1]):
@@ -268,7 +310,7 @@ def _buckets(reps: DataFrame) -> DataFrame:
 def _member_tokens(source: DataFrame, members: DataFrame) -> DataFrame:
     wanted = members.select("doc_id").distinct()
     texts = source.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stored(texts.mapInArrow(_tokens, "doc_id long, tokens binary"))
+    return stored(texts.mapInArrow(_tokens, "doc_id long, tokens binary, bins binary"))
 
 
 def _fits(least: float):
@@ -296,6 +338,20 @@ def _star(members: DataFrame, centres: DataFrame, least: float) -> DataFrame:
     return _ordered(members.join(centre, "bucket").where((F.col("label") != F.col("other_label")) & _fits(least)))
 
 
+def _blockwise(left: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
+    """Possible pairs of different classes in each bucket, block against block of about ``BLOCK`` members."""
+    sizes = left.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = (
+        left.select("bucket", "doc_id", "n_words", "label")
+        .join(sizes, "bucket")
+        .withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+        .join(tokens.select("doc_id", "bins"), "doc_id")
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    )
+    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(_possible(least), "a long, b long").distinct()
+
+
 def _links(members: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
     """All verified links between candidates that a class could gain from."""
     alone = members.withColumn("label", F.col("doc_id"))
@@ -309,14 +365,7 @@ def _links(members: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
         if left.isEmpty():
             break
         if last:
-            other = left.select(
-                "bucket", F.col("doc_id").alias("other"), F.col("n_words").alias("other_words"),
-                F.col("label").alias("other_label"),
-            )
-            pairs = left.join(other, "bucket").where(
-                (F.col("doc_id") < F.col("other")) & (F.col("label") != F.col("other_label")) & _fits(least)
-            )
-            pairs = _ordered(pairs)
+            pairs = _blockwise(left, tokens, least)
         else:
             rank = F.max(F.struct("support", (-F.col("doc_id")).alias("back"), "label")).alias("c")
             first = left.groupBy("bucket").agg(rank).select("bucket", F.col("c.label").alias("first_label"))
