@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellspring.llm import chat, exact, near, packing, substring, warc
+from wellspring.llm import chat, exact, langid, near, packing, quality, substring, warc
 from wellspring.llm.tables import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -94,3 +94,18 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op9_order_minhash")
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_register("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~langid.held_out()).select("doc_id", "quality")
+    scored = quality.score(docs, quality.train(docs, labels))
+    return scored.select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
+
+
+@_register("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs.where(~langid.held_out())))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")

@@ -117,14 +117,18 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray | None = None) -> Words:
-    """Words between bytes flagged in ``apart`` (white space); none crosses two texts."""
+    """Words between bytes flagged in ``apart`` (white space); none crosses two texts.
+
+    Instead of flags ``apart`` may hold a kind for each byte, 0 for none; then a word is
+    a run of bytes of one kind.
+    """
     apart = spaces() if apart is None else apart
-    inside = ~apart[data]
+    kind = (~apart).view(np.uint8)[data] if apart.dtype == bool else apart[data]
+    inside = kind > 0
     n = len(data)
     before = np.zeros(n, bool)
     after = np.zeros(n, bool)
-    before[1:] = inside[:-1]
-    after[:-1] = inside[1:]
+    before[1:] = after[:-1] = kind[1:] == kind[:-1]
     full = np.flatnonzero(np.diff(offsets) > 0)
     before[offsets[full]] = False
     after[offsets[full + 1] - 1] = False
