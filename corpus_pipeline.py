@@ -3,23 +3,61 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wellspring.llm import exact
+from wellspring.llm import decontam, exact, langid, near, packing
+from wellspring.llm.queries import tokenizer_path
 from wellspring.llm.tables import stored, table
 
+LEAST_SCORE = 0.5
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    ids = kept.select(F.col("doc_id").alias("kept_id"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which one language covers at least half of the letters."""
+    labelled = table(spark, sf_dir, "documents").where(~langid.held_out())
+    found = langid.identify(docs, langid.train(labelled), whole=True)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("document.*")
+
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id."""
-    kept = exact.exact_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return _only(docs, exact.exact_duplicates(docs).where("kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the smallest doc_id."""
+    return _only(docs, near.near_duplicates(docs).where("kept"))
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    leaks = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id")
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens with their places in sequences."""
+    return packing.pack_documents(docs, tokenizer_path(), with_ids=False).drop("ids")
 
 
-STAGES = [("exact dedup", drop_copies)]
+STAGES = [
+    ("language", known_language),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("decontamination", drop_benchmark_leaks),
+    ("packing", pack),
+]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each but the last is written to the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

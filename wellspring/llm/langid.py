@@ -203,60 +203,63 @@ def best_path(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) ->
     return path.reshape(-1)[cell]
 
 
+def _one_text(model: Model, w: Words, path: np.ndarray, i: int) -> tuple[str, float, list[dict]]:
+    """Language, score and spans of text ``i`` with at least one word."""
+    a, b = w.first[i], w.first[i + 1]
+    mine = path[a:b]
+    share = np.bincount(mine, w.ends[a:b] - w.starts[a:b], len(model.langs))
+    top = int(share.argmax())
+    turn = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+    spans = [
+        {"lang": model.langs[mine[s]], "first_word": int(s), "n_words": int(e - s)}
+        for s, e in zip(turn, np.append(turn[1:], len(mine)), strict=True)
+    ]
+    return model.langs[top], float(share[top] / share.sum()), spans
+
+
 def _label(shared):
+    spans = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        k = len(model.langs)
         for batch in batches:
-            data, offsets = text_bytes(batch["text"])
+            whole = "document" in batch.schema.names
+            texts = batch["document"].field("text") if whole else batch["text"]
+            data, offsets = text_bytes(texts)
             for a, b in slices(offsets):
                 part = data[offsets[a] : offsets[b]]
                 w, scores = word_scores(model, part, offsets[a : b + 1] - offsets[a])
-                n = b - a
-                doc = w.doc()
-                path = best_path(scores, w.first) if k and len(scores) else np.zeros(len(doc), np.int64)
-                size = (w.ends - w.starts).astype(float)
-                share = np.bincount(doc * max(k, 1) + path, size, n * max(k, 1)).reshape(n, -1)
-                total = share.sum(1)
-                plain = np.add.reduceat(np.append(~_letters()[part] & (part < 0x80), False), np.minimum(offsets[a:b] - offsets[a], len(part))) if n else []
-                langs, score, spans = [], [], []
-                turn = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])])) if len(doc) else np.empty(0, np.int64)
-                length = np.diff(np.append(turn, len(doc)))
-                of_doc = np.searchsorted(doc[turn], np.arange(n + 1)) if len(doc) else np.zeros(n + 1, np.int64)
-                for i in range(n):
-                    has = k and total[i] > 0
-                    if has and not (offsets[a + i + 1] > offsets[a + i] and plain[i]):
-                        has = any(c.isalpha() for c in batch["text"][a + i].as_py() or "")
-                    if not has:
-                        langs.append(UNKNOWN)
-                        score.append(0.0)
-                        spans.append([])
-                        continue
-                    top = int(share[i].argmax())
-                    langs.append(model.langs[top])
-                    score.append(float(share[i, top] / total[i]))
-                    spans.append(
-                        [
-                            {"lang": model.langs[path[turn[s]]], "first_word": int(turn[s] - w.first[i]), "n_words": int(length[s])}
-                            for s in range(of_doc[i], of_doc[i + 1])
-                        ]
-                    )
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": batch["doc_id"].slice(a, n),
-                        "lang_pred": pa.array(langs, pa.string()),
-                        "score": pa.array(score, pa.float64()),
-                        "spans": pa.array(spans, pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))),
-                    }
-                )
+                known = len(model.langs) and len(scores)
+                path = best_path(scores, w.first) if known else np.zeros(len(w.starts), np.int64)
+                plain = np.concatenate([[0], np.cumsum(~_letters()[part] & (part < 0x80))])[offsets[a : b + 1] - offsets[a]]
+                rows = []
+                for i in range(b - a):
+                    has = known and w.first[i + 1] > w.first[i]
+                    if has and plain[i + 1] == plain[i]:
+                        has = any(c.isalpha() for c in texts[a + i].as_py())
+                    rows.append(_one_text(model, w, path, i) if has else (UNKNOWN, 0.0, []))
+                found = {
+                    "doc_id": batch["doc_id"].slice(a, b - a),
+                    "lang_pred": pa.array([r[0] for r in rows], pa.string()),
+                    "score": pa.array([r[1] for r in rows], pa.float64()),
+                    "spans": pa.array([r[2] for r in rows], spans),
+                }
+                yield pa.RecordBatch.from_pydict(found | ({"document": batch["document"].slice(a, b - a)} if whole else {}))
 
     return run
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score and the spans of words by language, one row per document."""
+def identify(docs: DataFrame, model: Model, whole: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score and the spans of words by language, one row per document.
+
+    With ``whole`` the struct ``document`` keeps all columns of the input.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_label(shared), LABELS)
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    if not whole:
+        return docs.select(doc_id, "text").mapInArrow(_label(shared), LABELS)
+    kept = docs.select(doc_id, F.struct("*").alias("document"))
+    return kept.mapInArrow(_label(shared), f"{LABELS}, document {kept.schema['document'].dataType.simpleString()}")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellspring.llm import chat, exact, langid, near, packing, quality, substring, warc
+from wellspring.llm import chat, decontam, exact, langid, near, packing, pii, quality, substring, warc
 from wellspring.llm.tables import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -109,3 +109,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.train(docs.where(~langid.held_out())))
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_register("op6_decontamination")
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_register("op3_pii")
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents")).drop("found")
