@@ -232,11 +232,11 @@ def _windows(index: Index, w: Words, bucket: np.ndarray, least: float) -> Iterat
         cosine = (sums[place[b]] - sums[place[a]]) @ index.vectors
         cosine /= np.sqrt(np.maximum(total[b] - total[a], 1e-12))[:, None].astype(np.float32)
         k, passage = np.nonzero(cosine >= least)
-        found.append((cosine[k, passage], head[a[k]], (b - a)[k] * BLOCK, passage))
-    value, word, size, passage = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.append((cosine[k, passage], head[a[k]], (b - a)[k] * BLOCK, passage, doc[a[k]]))
+    value, word, size, passage, of = (np.concatenate(x) for x in zip(*found, strict=True))
     best = np.argsort(-value, kind="stable")
-    near = (word - index.start[passage]) // 16
-    _, one = np.unique((near * len(index.ids) + index.item[passage])[best], return_index=True)
+    near = (word - w.first[of] - index.start[passage]) // 16 + (1 << 10)
+    _, one = np.unique((of << 42 | near << 12 | index.item[passage])[best], return_index=True)
     for i in best[np.sort(one)]:
         yield int(word[i]), int(size[i]), int(passage[i]), float(value[i])
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.llm.components import components
+from wellspring.llm.components import components, joined
 from wellspring.llm.tables import stored
 from wellspring.llm.words import MASK, ROLL, inverse, lowered, mix, powers, rolling, separators, slices, text_bytes, within, words_of
 
@@ -283,8 +283,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         known.join(same, _KEY).where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n_words", "sketches")
     )
     members = _buckets(reps)
-    links = _links(members, _member_tokens(source, members), least)
-    labels = components(links)
+    links, labels = _links(members, _member_tokens(source, members), least)
     count = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     count = count.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
     classes = same.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(count, "rep", "left")
@@ -309,7 +308,7 @@ def _buckets(reps: DataFrame) -> DataFrame:
 
 def _member_tokens(source: DataFrame, members: DataFrame) -> DataFrame:
     wanted = members.select("doc_id").distinct()
-    texts = source.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = source.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return stored(texts.mapInArrow(_tokens, "doc_id long, tokens binary, bins binary"))
 
 
@@ -319,8 +318,8 @@ def _fits(least: float):
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
-    with_a = pairs.join(tokens.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
-    with_b = with_a.join(tokens.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
+    with_a = pairs.hint("merge").join(tokens.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
+    with_b = with_a.hint("merge").join(tokens.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
     return stored(with_b.mapInArrow(_align(least), "a long, b long"))
 
 
@@ -352,14 +351,14 @@ def _blockwise(left: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
     return dealt.groupBy("bucket", "lo", "hi").applyInArrow(_possible(least), "a long, b long").distinct()
 
 
-def _links(members: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
-    """All verified links between candidates that a class could gain from."""
+def _links(members: DataFrame, tokens: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """All verified links between candidates that a class could gain from, and the classes they make."""
     alone = members.withColumn("label", F.col("doc_id"))
     tested = stored(_star(alone, alone, least))
     links = _verified(tested, tokens, least)
+    labels = stored(components(links))
     for last in (False, True):
-        labels = components(links).withColumnRenamed("node", "doc_id")
-        now = members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        now = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         open_ = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
         left = stored(now.join(open_.select("bucket"), "bucket"))
         if left.isEmpty():
@@ -373,5 +372,7 @@ def _links(members: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
             pairs = _star(left, rest, least)
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
         tested = stored(tested.unionByName(pairs))
-        links = stored(links.unionByName(_verified(pairs, tokens, least)))
-    return links
+        new = _verified(pairs, tokens, least)
+        labels = joined(labels, new)
+        links = links.unionByName(new)
+    return links, labels
