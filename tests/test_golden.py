@@ -103,13 +103,24 @@ def test_longest_run(spark):
 def test_upsert_twice_is_the_same_table(spark):
     target = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     batch = spark.createDataFrame([("b", 3, "extra"), ("c", 4, "x")], "k string, v int, junk string")
-    once = writers.upsert(target, batch, ["k"])
-    twice = writers.upsert(once, batch, ["k"])
+    once = writers.upsert(target, batch, ["k"], F.col("v"))
+    twice = writers.upsert(once, batch, ["k"], F.col("v"))
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == [("a", 1), ("b", 3), ("c", 4)]
-    kept = writers.insert_ignore(target, batch.select("k", "v"), ["k"])
+    kept = writers.insert_ignore(target, batch.select("k", "v"), ["k"], F.col("v"))
     assert sorted(map(tuple, kept.collect())) == [("a", 1), ("b", 2), ("c", 4)]
 
 
+def test_keyed_writes_hold_one_row_per_key_and_keep_absent_columns(spark):
+    target = spark.createDataFrame([("a", 1, 10), ("b", 2, 20)], "k string, v int, w int")
+    batch = spark.createDataFrame([("b", 3), ("b", 4), ("c", 6), ("c", 5)], "k string, v int")
+    after = writers.upsert(target, batch, ["k"], F.col("v"))
+    assert sorted(map(tuple, after.collect())) == [("a", 1, 10), ("b", 4, 20), ("c", 6, None)]
+    added = writers.insert_ignore(target, batch, ["k"], F.col("v"))
+    assert sorted(map(tuple, added.collect())) == [("a", 1, 10), ("b", 2, 20), ("c", 5, None)]
+    with pytest.warns(UserWarning, match="junk"):
+        writers.upsert(target, batch.withColumn("junk", F.lit(1)), ["k"], F.col("v"))
+
+
 @pytest.mark.parametrize(
     "raw,expected",
     [("9123456780", "+919123456780"), ("+91 91234 56780", "+919123456780"), ("09123456780", "+919123456780"), ("0919123456780", "+919123456780"), ("12345", None), ("5123456780", None)],

@@ -27,7 +27,7 @@ CITY_KEYWORDS = {
 }
 DEPTH_UNITS = ("m", "mtr", "mtrs", "meter", "meters", "metre", "metres", "मीटर", "मी")
 
-_DEPTH = r"(?i)^\s*(?:depth\s*[:=]?\s*)?(\d+(?:[.,]\d+)?)\s*(?:" + "|".join(DEPTH_UNITS) + r")?\s*$"
+_DEPTH = r"(?iU)^\s*(?:depth\s*[:=]?\s*)?(\d+(?:[.,]\d+)?)\s*(?:" + "|".join(DEPTH_UNITS) + r")?\s*$"
 _FILLER = r"\b(?:" + "|".join(sorted(FILLER_WORDS, key=len, reverse=True)) + r")\b"
 
 
@@ -42,6 +42,11 @@ def station_id(lat: Column, lon: Column, name: Column, prefix: str) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.md5(key), 1, 10))
 
 
+def ascii_digits(col: Column) -> Column:
+    """Devanagari digits as ASCII ones, which number casts understand."""
+    return F.translate(col, "०१२३४५६७८९", "0123456789")
+
+
 def plain(col: Column) -> Column:
     return F.lower(F.trim(col))
 
@@ -52,7 +57,7 @@ def clean_name(col: Column) -> Column:
     Title case restarts after every uncased character (``o'neil`` to
     ``O'Neil``), which ``initcap`` does not do.
     """
-    squeezed = F.regexp_replace(F.trim(col), r"\s+", " ")
+    squeezed = F.regexp_replace(F.trim(col), r"(?U)\s+", " ")
     runs = F.regexp_extract_all(F.lower(squeezed), F.lit(r"([\p{Lu}\p{Ll}]+|[^\p{Lu}\p{Ll}]+)"), 1)
     titled = F.array_join(
         F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), r.substr(F.lit(2), F.length(r)))),
@@ -92,7 +97,7 @@ def pretty_phone(phone: Column) -> Column:
 
 def parse_depth(text: Column) -> Column:
     """A message that is only a number, maybe with prefix and unit; else NULL."""
-    number = F.regexp_extract(text, _DEPTH, 1)
+    number = ascii_digits(F.regexp_extract(text, _DEPTH, 1))
     return F.nullif(F.regexp_replace(number, ",", "."), F.lit("")).try_cast("double")
 
 

@@ -127,11 +127,15 @@ def plan_alerts(
         F.col("template"),
         {"place": F.col("entity_label"), "score": F.col("score"), "days": F.col("days_to_crisis"), "level": F.col("headline")},
     )
-    sends = scored & wanted
+    worded = F.col("template").isNotNull()
+    sends = scored & wanted & worded
     return df.select(
         "user_id", "entity_id", "role", "lang", "score", "band",
-        F.when(~scored, "skipped").when(~wanted, "skipped").otherwise("planned").alias("action"),
-        F.when(~scored, F.coalesce("_reason", F.lit("no score"))).when(~wanted, "band not in bucket").alias("reason"),
+        F.when(sends, "planned").otherwise("skipped").alias("action"),
+        F.when(~scored, F.coalesce("_reason", F.lit("no score")))
+        .when(~wanted, "band not in bucket")
+        .when(~worded, "no wording in this language")
+        .alias("reason"),
         F.when(sends, F.when(F.col("band") == "ACT NOW", "caution").otherwise("notice")).alias("alert_type"),
         F.when(sends, body).alias("body"),
     )

@@ -350,7 +350,8 @@ def train_residual_model(
     trees have no missing branch. Returns (fitted pipeline, prepared frame).
     """
     y, base = residual_target(target)
-    flags = {f"{c}_missing": F.col(c).isNull().cast("double") for c in names}
+    missing = {c: F.col(c).isNull() | F.isnan(c) for c in names}
+    flags = {f"{c}_missing": m.cast("double") for c, m in missing.items()}
     # Training reads its rows many times; the features behind them are computed once.
     ready = cut_lineage(
         matrix.withColumns({**flags, "_y": y, "_base": base, "_is_val": F.col("split") == "val"})
@@ -358,7 +359,7 @@ def train_residual_model(
     filled = [f"{c}_filled" for c in names]
     stages = [
         Imputer(inputCols=names, outputCols=filled, strategy="mean"),
-        VectorAssembler(inputCols=[*filled, *flags], outputCol="inputs", handleInvalid="skip"),
+        VectorAssembler(inputCols=[*filled, *flags], outputCol="inputs", handleInvalid="error"),
         GBTRegressor(
             featuresCol="inputs", labelCol="_y", lossType="absolute", maxIter=rounds, maxDepth=depth,
             stepSize=step, subsamplingRate=0.8, seed=seed, validationIndicatorCol="_is_val",

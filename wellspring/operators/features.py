@@ -280,7 +280,7 @@ def skew_check(a: DataFrame, b: DataFrame, keys: list[str], features: tuple[str,
     """Per feature: rows compared and rows that differ (NULL equals NULL)."""
     left = a.select(*keys, F.struct(*[F.col(f).cast("double").alias(f) for f in features]).alias("_a"))
     right = b.select(*keys, F.struct(*[F.col(f).cast("double").alias(f) for f in features]).alias("_b"))
-    both = left.join(right, keys, "full_outer").where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
+    both = left.join(right, keys)
 
     def differs(name: str) -> Column:
         x, y = F.col(f"_a.{name}"), F.col(f"_b.{name}")

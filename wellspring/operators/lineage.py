@@ -1,16 +1,32 @@
-"""Reliable checkpoints in the folder the cluster names."""
+"""Reliable checkpoints and intermediate tables in the folder the cluster names."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` or the context's checkpoint folder.
+
+    A temporary folder stands in only in local mode: on a cluster each executor
+    would write to a disk of its own, so there it is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    local = tempfile.mkdtemp(prefix="checkpoint-")
+    spark.sparkContext.setCheckpointDir(local)
+    return local
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to ``spark.checkpoint.dir``; a local folder only where it is unset."""
+    """Checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -13,7 +13,7 @@ from wellspring.functions import calendar as cal
 from wellspring.functions import geo
 from wellspring.functions.numeric import half_even, to_double
 from wellspring.functions.text import clean_name, plain, station_id
-from wellspring.operators.ordering import longest_run
+from wellspring.operators.ordering import exact_quantiles, longest_run
 
 # Fixed value: the shape of a period column name.
 PERIOD_COLUMN = re.compile(r"^(Jan|May|Aug|Nov)-(\d{2})$")
@@ -235,9 +235,10 @@ def prepare_wells(
 
 
 def yield_provenance(registry: DataFrame) -> DataFrame:
-    return registry.groupBy("sy_source").agg(
-        F.count(F.lit(1)).alias("wells"), F.max("sy_donor_km").alias("max_donor_km")
-    )
+    """Wells and median distance to the donor per source of the specific yield."""
+    counts = registry.groupBy("sy_source").agg(F.count(F.lit(1)).alias("wells"))
+    near = registry.where(F.col("sy_donor_km").isNotNull())
+    return counts.join(exact_quantiles(near, ["sy_source"], "sy_donor_km", {"median_donor_km": 0.5}), "sy_source", "left")
 
 
 def file_summary(wide: DataFrame, readings: DataFrame, label: str, focus: str) -> DataFrame:

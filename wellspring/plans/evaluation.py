@@ -205,7 +205,7 @@ def autoregressions(fx):
 def residual_model_metrics(fx):
     """Boosted trees on the residual to climatology, scored on val and test."""
     matrix, names = ft.model_matrix(fx.causal)
-    model, ready = ev.train_residual_model(matrix, names, rounds=8, depth=4)
+    model, ready = ev.train_residual_model(matrix, names)
     pred = ev.predict_residual(model, ready).where(F.col("split").isin("val", "test"))
     return ev.error_metrics(pred, ["split"])
 
@@ -251,8 +251,9 @@ def streamed_reports(fx):
         F.col("ts").cast("date").alias("reported_for"),
     )
     out = fx.fresh_dir("reports")
-    valid = sr.validated_reports(reports, rp.prior_table(fx.readings, fx.settings), fx.base_wells, settings=fx.settings)
-    sr.write_reports(valid, f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    sr.write_reports(
+        reports, fx.readings, fx.base_wells, f"{out}/table", f"{out}/checkpoint", fx.settings
+    ).awaitTermination()
     return fx.spark.read.parquet(f"{out}/table").select("report_id", *rp.VERDICT_COLUMNS).withColumns(
         {c: half_even(F.col(c), 5) for c in ("prior_mean", "prior_sd", "z_score", "post_mean", "post_sd")}
     )
@@ -263,15 +264,18 @@ def streamed_intents(fx):
     """Conversation turns as messages; each conversation is one phone."""
     source = fx.spark.readStream.schema(fx.table("conversations").schema).parquet(f"{fx.dir}/conversations*.parquet")
     k = F.col("conv_id") + F.col("turn")
-    body = (
+    command = (
         F.when(k % 7 == 0, "BOOK").when(k % 7 == 1, ((k % 3) + 1).cast("string")).when(k % 7 == 2, F.lit("depth: 17,4 m"))
-        .when(k % 7 == 3, F.lit("HELP")).otherwise(F.col("text"))
+        .when(k % 7 == 3, F.lit("HELP"))
     )
-    messages = source.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.concat(F.lit("+91"), F.col("conv_id")).alias("phone"),
-        body.alias("body"), F.timestamp_seconds(F.col("turn")).alias("sent_at"),
+    # Every text is a message; after some of them a command follows as one of its own.
+    both = F.filter(F.array(F.struct(F.lit(0).alias("i"), F.col("text").alias("body")), F.struct(F.lit(1).alias("i"), command.alias("body"))), lambda m: (m["i"] == 0) | m["body"].isNotNull())
+    messages = source.select("conv_id", "turn", F.explode(both).alias("m")).select(
+        (F.col("conv_id") * 1_000_000 + F.col("turn") * 2 + F.col("m.i")).alias("message_id"),
+        F.concat(F.lit("+91"), F.col("conv_id")).alias("phone"),
+        F.col("m.body").alias("body"), F.timestamp_seconds(F.col("turn") * 2 + F.col("m.i")).alias("sent_at"),
     )
-    users = fx.users.where(F.col("user_no") % 3 == 0).select(
+    users = fx.users.select(
         F.concat(F.lit("+91"), F.col("user_no")).alias("phone"), "well_id", "entity_id"
     )
     from wellspring.operators.places import gazetteer

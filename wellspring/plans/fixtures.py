@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import cached_property
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from wellspring.config import Settings
 from wellspring.functions import calendar as cal
 from wellspring.functions.text import phone_e164
+from wellspring.operators.lineage import shared_folder
 from wellspring.operators.ordering import one_per_day
 from wellspring.operators.prepare import registry_stats, storage_mcm
 from wellspring.operators.series import densify, interpolate_anchors, reconstruct_daily
@@ -55,8 +55,7 @@ class Fixtures:
 
     def fresh_dir(self, name: str) -> str:
         """A new folder beside the cluster's checkpoints, or a local one in tests."""
-        root = self.spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tables-")
-        return f"{root}/{name}-{uuid.uuid4().hex}"
+        return f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
 
     @cached_property
     def base_wells(self) -> DataFrame:
@@ -111,9 +110,10 @@ class Fixtures:
 
     @cached_property
     def wide(self) -> DataFrame:
-        """Quarter means as one column per survey round, years counted from 2000."""
+        """Quarter means as one column per survey round of the years in the data, counted from 1995."""
         rounds = list(cal.ROUND_MONTHS)
-        names = [f"{m}-{y:02d}" for y in range(0, 7) for m in rounds]
+        years = self.readings.agg(F.min(F.year("obs_date")).alias("lo"), F.max(F.year("obs_date")).alias("hi")).first()
+        names = [f"{m}-{y - 1995:02d}" for y in range(years["lo"], years["hi"] + 1) for m in rounds]
         quarter = F.element_at(F.array(*[F.lit(m) for m in rounds]), F.quarter("obs_date"))
         period = F.concat_ws("-", quarter, F.lpad((F.year("obs_date") - 1995).cast("string"), 2, "0"))
         pivoted = (
@@ -170,9 +170,10 @@ class Fixtures:
         o = self.table("orders", "o_totalprice", "o_orderdate", "o_orderpriority")
         day = F.col("o_orderdate").cast("date")
         cents = F.sum(F.rint(F.col("o_totalprice") * 100).cast("long"))
+        # All orders of five days make one anchor, dated to the first of them.
+        start = F.date_sub(day, (F.unix_date(day) % 5).cast("int"))
         per_day = (
-            o.where(F.unix_date(day) % 5 == 0)
-            .groupBy(F.col("o_orderpriority").alias("reservoir_id"), day.alias("date"))
+            o.groupBy(F.col("o_orderpriority").alias("reservoir_id"), start.alias("date"))
             .agg(((cents % 10000) / F.lit(100.0)).alias("live_storage_pct"))
         )
         return per_day.join(self.systems.select("reservoir_id", "capacity_ml"), "reservoir_id").select(

@@ -89,7 +89,7 @@ def percents_in_pages(fx):
 
 
 def _target_and_batch(fx):
-    base = fx.readings.select("well_id", "obs_date", "level_mbgl")
+    base = fx.readings.select("well_id", "obs_date", "level_mbgl", "season")
     target = base.where(F.col("obs_date") < F.lit("1999-01-01").cast("date"))
     batch = base.where(F.col("obs_date") >= F.lit("1998-01-01").cast("date")).withColumn("level_mbgl", F.col("level_mbgl") + 1)
     return target, batch
@@ -97,10 +97,12 @@ def _target_and_batch(fx):
 
 @query(
     "SNK-1",
-    """SELECT well_id, obs_date, CASE WHEN obs_date >= DATE '1998-01-01' THEN level_mbgl + 1 ELSE level_mbgl END AS level_mbgl FROM fx_obs""",
+    """SELECT well_id, obs_date, CASE WHEN obs_date >= DATE '1998-01-01' THEN level_mbgl + 1 ELSE level_mbgl END AS level_mbgl, CASE WHEN obs_date < DATE '1999-01-01' THEN season END AS season FROM fx_obs""",
 )
 def keyed_upsert(fx):
+    """A batch with every key twice and without the season, which the stored rows keep."""
     target, batch = _target_and_batch(fx)
+    batch = batch.drop("season")
     doubled = batch.withColumn("_seq", F.lit(2)).unionByName(
         batch.withColumn("level_mbgl", F.lit(-1.0)).withColumn("_seq", F.lit(1))
     )
@@ -109,10 +111,30 @@ def keyed_upsert(fx):
 
 @query(
     "SNK-2",
-    """SELECT well_id, obs_date, CASE WHEN obs_date >= DATE '1999-01-01' THEN level_mbgl + 1 ELSE level_mbgl END AS level_mbgl FROM fx_obs""",
+    """SELECT well_id, obs_date, CASE WHEN obs_date >= DATE '1999-01-01' THEN level_mbgl + 1 ELSE level_mbgl END AS level_mbgl, CASE WHEN obs_date < DATE '1999-01-01' THEN season END AS season FROM fx_obs""",
 )
 def keyed_insert_ignore(fx):
-    return writers.insert_ignore(*_target_and_batch(fx), ["well_id", "obs_date"])
+    """A batch with every key twice, of which the first counts, and without the season."""
+    target, batch = _target_and_batch(fx)
+    doubled = batch.withColumn("_seq", F.lit(1)).unionByName(
+        batch.withColumn("level_mbgl", F.lit(-1.0)).withColumn("_seq", F.lit(2))
+    )
+    return writers.insert_ignore(target, doubled.drop("season"), ["well_id", "obs_date"], F.col("_seq"))
+
+
+@query(
+    "SNK-1 SNK-3",
+    """SELECT well_id, obs_date, CASE WHEN season = 'monsoon' AND obs_date >= DATE '1998-01-01' THEN level_mbgl + 1 ELSE level_mbgl END AS level_mbgl, season FROM fx_obs""",
+)
+def upserted_partitions(fx):
+    """A stored table of which the batch touches one season's partition."""
+    path = fx.fresh_dir("seasons")
+    rows = fx.readings.select("well_id", "obs_date", "level_mbgl", "season")
+    writers.replace_table(rows, path, ["season"])
+    batch = rows.where((F.col("season") == "monsoon") & (F.col("obs_date") >= F.lit("1998-01-01").cast("date")))
+    batch = batch.withColumn("level_mbgl", F.col("level_mbgl") + 1)
+    writers.upsert_partitions(path, batch, ["well_id", "obs_date", "season"], F.col("level_mbgl"), ["season"])
+    return fx.spark.read.parquet(path).select(*rows.columns)
 
 
 @query(

@@ -158,7 +158,7 @@ _OVERVIEW = f"""SELECT *, CASE WHEN days_stale IS NULL THEN '' WHEN days_stale <
 
 
 def _overview(fx):
-    areas = fx.base_wells.select(F.col("taluka").alias("entity_id"), "district").distinct()
+    areas = fx.base_wells.groupBy(F.col("taluka").alias("entity_id")).agg(F.min("district").alias("district"))
     rural = sc.rural_score(fx.readings, fx.base_wells, settings=fx.settings)
     urban = sc.urban_cards(sc.latest_urban(sc.urban_score(fx.reservoir_daily, fx.draws, fx.settings)), fx.systems)
     return vw.overview_rows(rural, urban, areas, F.lit(AS_OF).cast("date"))
@@ -313,10 +313,10 @@ def typeahead(fx):
 # ------------------------------------------------------------------- audience
 @query(
     "AU-1",
-    """SELECT s.user_id AS sender_id, u.user_id FROM fx_users s JOIN fx_users u ON u.entity_id = s.entity_id AND u.user_id <> s.user_id WHERE s.role = 'society-manager' AND s.user_no % 50 = 1""",
+    """SELECT s.user_id AS sender_id, u.user_id FROM fx_users s JOIN fx_users u ON u.entity_id = s.entity_id AND u.user_id <> s.user_id WHERE s.role = 'society-manager'""",
 )
 def manager_audiences(fx):
-    senders = fx.users.where((F.col("role") == "society-manager") & (F.col("user_no") % 50 == 1))
+    senders = fx.users.where(F.col("role") == "society-manager")
     return au.audience(fx.users, senders).select("sender_id", "user_id")
 
 

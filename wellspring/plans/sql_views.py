@@ -138,9 +138,9 @@ VIEWS = {
                ('5-LOW','Low system','East',227047,NULL)) t(reservoir_id, name, city, capacity_ml, draw_mld)""",
     "fx_anchors": f"""
         SELECT reservoir_id, date, pct AS live_storage_pct, {r('pct/100e0*capacity_ml/1000e0', 3)} AS storage_mcm, 'manual' AS source
-        FROM (SELECT o_orderpriority AS reservoir_id, CAST(o_orderdate AS DATE) AS date,
+        FROM (SELECT o_orderpriority AS reservoir_id, CAST(o_orderdate AS DATE) - CAST((CAST(o_orderdate AS DATE) - DATE '1970-01-01') % 5 AS INTEGER) AS date,
                      CAST(sum(CAST(round_even(o_totalprice*100,0) AS BIGINT)) % 10000 AS BIGINT)/100e0 AS pct
-              FROM orders WHERE (CAST(o_orderdate AS DATE) - DATE '1970-01-01') % 5 = 0 GROUP BY 1,2)
+              FROM orders GROUP BY 1,2)
         JOIN fx_systems USING (reservoir_id)""",
     "fx_reservoir": f"""
         SELECT * FROM fx_anchors UNION ALL

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from wellspring.functions.geo import hargreaves_et0
 from wellspring.functions.numeric import null_if
+from wellspring.functions.text import ascii_digits
 from wellspring.schemas import ANCHORS, conform
 
 # Feed variable names and what they are called here.
@@ -131,7 +132,7 @@ def weather_from_maps(payloads: DataFrame, payload: str = "payload") -> DataFram
 
 def page_text(html: Column) -> Column:
     """Tags to ``|``, white space collapsed."""
-    return F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", "|"), r"\s+", " ")
+    return F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", "|"), r"(?U)\s+", " ")
 
 
 def percents_from_pages(
@@ -150,7 +151,7 @@ def percents_from_pages(
                 F.lit(i).alias("ord"),
                 F.lit(rid).alias("reservoir_id"),
                 F.regexp_extract(
-                    "text", rf"(?i)\Q{name}\E\b.{{0,400}}?(\d{{1,3}}(?:\.\d+)?)\s*%", 1
+                    "text", rf"(?iU)\Q{name}\E\b.{{0,400}}?(\d{{1,3}}(?:\.\d+)?)\s*%", 1
                 ).alias("pct"),
             )
             for i, (name, rid) in enumerate(aliases.items())
@@ -158,7 +159,14 @@ def percents_from_pages(
     )
     hits = text.select("page_id", F.explode(found).alias("h")).where(F.col("h.pct") != "")
     return hits.groupBy("page_id", "h.reservoir_id").agg(
-        F.min_by(F.col("h.pct"), F.col("h.ord")).cast("double").alias("live_storage_pct")
+        ascii_digits(F.min_by(F.col("h.pct"), F.col("h.ord"))).cast("double").alias("live_storage_pct")
+    )
+
+
+def first_percents(percents: DataFrame, page_order: str = "page_id") -> DataFrame:
+    """One percentage per reservoir over all pages: the first page that names it."""
+    return percents.groupBy("reservoir_id").agg(
+        F.min(page_order).alias(page_order), F.min_by("live_storage_pct", page_order).alias("live_storage_pct")
     )
 
 

@@ -3,30 +3,56 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from wellspring.schemas import RUN_LOG, conform
+from wellspring.operators.lineage import cut_lineage
+from wellspring.schemas import RUN_LOG, conform, unknown_columns
 
 
-def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
+def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """Target after the batch: batch rows win, the last one per key by ``order``.
 
     One row per key is picked with a map-side combined aggregate, so a key
-    repeated many times in the batch never meets in one task.
+    repeated many times in the batch never meets in one task. Columns that the
+    batch does not bring keep the target's value; columns that the target does
+    not have are dropped with a warning.
     """
-    latest = batch if order is None else last_per_key(batch, keys, order)
-    aligned = conform(latest, target.schema)
+    aligned = conform(_known_only(last_per_key(batch, keys, order), target), target.schema)
+    absent = [c for c in target.columns if c not in batch.columns]
+    if absent:
+        stored = target.select(*keys, *absent)
+        aligned = aligned.drop(*absent).join(stored, keys, "left").select(*target.columns)
     return target.join(aligned.select(*keys), keys, "left_anti").select(*target.columns).unionByName(aligned)
 
 
-def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """Target plus only those batch rows whose key is new."""
-    fresh = batch.join(target.select(*keys), keys, "left_anti")
-    return target.unionByName(conform(fresh, target.schema))
+def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """Target plus the batch rows whose key is new, the first one per key by ``order``."""
+    fresh = first_per_key(batch, keys, order).join(target.select(*keys), keys, "left_anti")
+    return target.unionByName(conform(_known_only(fresh, target), target.schema))
+
+
+def upsert_partitions(path: str, batch: DataFrame, keys: list[str], order: Column, partition_by: list[str]) -> None:
+    """Upsert into a partitioned table, reading and rewriting only the partitions that the batch touches.
+
+    ``partition_by`` must be part of ``keys``, so that a key never moves.
+    """
+    if not set(partition_by) <= set(keys):
+        raise ValueError(f"partition columns {partition_by} are not part of the keys {keys}")
+    stored = batch.sparkSession.read.parquet(path)
+    touched = stored.join(batch.select(*partition_by).distinct(), partition_by, "left_semi").select(*stored.columns)
+    replace_partitions(cut_lineage(upsert(touched, batch, keys, order)), path, partition_by)
+
+
+def _known_only(batch: DataFrame, target: DataFrame) -> DataFrame:
+    extra = unknown_columns(batch, target.schema)
+    if extra:
+        warnings.warn(f"columns not in the table are dropped: {', '.join(extra)}", stacklevel=3)
+    return batch.drop(*extra)
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -67,7 +93,8 @@ def all_null_columns(df: DataFrame) -> list[str]:
 
 def export_parquet(df: DataFrame, path: str) -> DataFrame:
     """zstd Parquet without all-NULL columns; returns what was written."""
-    kept = df.drop(*all_null_columns(df))
+    once = cut_lineage(df)  # the counts and the write would each run what stands behind df
+    kept = once.drop(*all_null_columns(once))
     kept.write.mode("overwrite").parquet(path, compression="zstd")
     return kept
 

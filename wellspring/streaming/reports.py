@@ -7,33 +7,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wellspring.config import DEFAULTS, Settings
-from wellspring.operators.reports import lookup_priors, verdict
+from wellspring.operators.reports import validate_reports
+from wellspring.sources.writers import first_per_key
 
 
-def validated_reports(
+def write_reports(
     stream: DataFrame,
-    priors: DataFrame,
+    readings: DataFrame,
     wells: DataFrame,
-    late_by: str = "2 days",
+    path: str,
+    checkpoint: str,
     settings: Settings = DEFAULTS,
-) -> DataFrame:
-    """Deduplicated reports with verdicts, as a stream.
-
-    Arrival (``created_at``) drives the watermark; a report is judged by
-    ``reported_for``, so a late one still meets the history of its own day.
-    ``priors`` comes from ``prior_table`` and is static.
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Each report once with its verdict, however late it comes.
+
+    A micro-batch is judged by the batch operator on its distinct (well, day)
+    asks and written to a partition of its own, which a repeated batch
+    overwrites. A ``report_id`` that an earlier batch holds is not written
+    again. There is no watermark, so no report is ever dropped for its age.
     """
-    once = stream.withWatermark("created_at", late_by).dropDuplicatesWithinWatermark(["report_id"])
-    known = lookup_priors(once, priors, settings).join(
-        wells.select("well_id", "well_depth"), "well_id", "left"
-    )
-    return known.withColumns(verdict(F.col("level_mbgl"), F.col("well_depth"), settings)).drop(
-        "n_prior", "mu", "var", "well_depth"
-    )
-
-
-def write_reports(validated: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Exactly-once append: the file sink and its checkpoint commit together."""
-    writer = validated.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    writer = writer.outputMode("append")
+    spark = stream.sparkSession
+
+    def write_batch(batch: DataFrame, number: int) -> None:
+        before = batch.sparkSession.read.parquet(path).where(F.col("batch") != number)
+        once = first_per_key(batch, ["report_id"], F.col("created_at"))
+        fresh = once.join(before.select("report_id"), "report_id", "left_anti")
+        judged = validate_reports(fresh, readings, wells, settings)
+        judged.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    shape = validate_reports(spark.createDataFrame([], stream.schema), readings, wells, settings).schema
+    spark.createDataFrame([], shape).write.mode("overwrite").parquet(f"{path}/batch=-1")
+    writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
