@@ -4,7 +4,7 @@
 ``revisit`` of the page with the smallest id that has the same payload of at least
 ``SMALL`` bytes. Who revisits whom is decided on digests alone: a partial minimum per
 digest and a join that adaptive execution can split, so a payload shared by a third of
-all pages meets in no single task. Each task writes one archive into the shared
+all pages meets in no single task, and payloads move once at most. Each task writes one archive into the shared
 folder under a hidden name and renames it, so a task run again replaces its own file.
 
 *Reading*: a file is read in blocks of fixed size; an incremental decompressor takes
@@ -35,6 +35,7 @@ from wellspring.llm.tables import shared_dir, stored
 
 SMALL = 100
 BLOCK = 1 << 16
+NO_ID = -(1 << 63)
 DATE = "2026-01-01T00:00:00Z"
 
 READ = (
@@ -205,23 +206,21 @@ def _write(folder: str):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, files: int | None = None) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write all pages as archives into ``folder``; returns the archives and their numbers of records."""
-    spark = pages.sparkSession
     data = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url"), data.alias("payload")).withColumn(
         "digest", F.sha2("payload", 256)
     )
-    large = F.octet_length("payload") >= SMALL
-    answers = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("answer"), F.count("*").alias("n"))
-    answers = answers.where("n > 1").select("digest", "answer")
-    refers = F.when(large & (~F.col("page_id").eqNullSafe(F.col("answer"))), F.col("answer"))
-    told = rows.join(answers, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    large = rows.where(F.octet_length("payload") >= SMALL).select("page_id", "digest")
+    answers = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
+    revisits = large.join(answers.where("n > 1").drop("n"), "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    revisits = stored(revisits.select(F.coalesce("page_id", F.lit(NO_ID)).alias("id"), "digest", "refers_to").distinct())
+    told = rows.withColumn("id", F.coalesce("page_id", F.lit(NO_ID))).join(revisits, ["id", "digest"], "left")
     folder = as_uri(folder)
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
-    dealt = told.repartition(files or int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id")
-    ordered = dealt.sortWithinPartitions("page_id", "url", "digest")
+    ordered = told.select("page_id", "url", "payload", "digest", "refers_to").sortWithinPartitions("page_id", "url", "digest")
     return stored(ordered.mapInArrow(_write(folder), "archive string, n_records long"))
 
 
