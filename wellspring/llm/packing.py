@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -33,7 +34,7 @@ from wellspring.llm.words import slices, text_bytes
 CAPACITY = 4096
 END_ID = 2
 GROUP_BYTES = 2 << 20
-KEPT_WORDS = 200_000
+KEPT_WORDS = 1_000_000
 
 PIECES = (
     "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -82,20 +83,34 @@ def _tokenizer(path: str):
 
 
 @cache
-def _known(path: str) -> dict[str, np.ndarray]:
-    return {}
+def _known(path: str) -> dict[str, bytes]:
+    return {"": b""}
 
 
-def _ids_of(words: list[str], path: str) -> list[np.ndarray]:
-    """Token ids of each word, from those seen lately where possible."""
+def _base(word: str) -> tuple[str, str]:
+    """A word in lower case and its last full stop or comma, which the tokenizer parts anyway.
+
+    Words that could hold a special token's name stay as they are.
+    """
+    if word.isascii() and "<|" not in word:
+        word = word.lower()
+    if len(word) > 1 and word[-1] in ".," and word[-2].isalnum():
+        return word[:-1], word[-1]
+    return word, ""
+
+
+def _ids_of(words: list[str], path: str) -> list[bytes]:
+    """Token ids of each word as little-endian 32-bit numbers, from words seen lately where possible."""
     known = _known(path)
-    new = [w for w in words if w not in known]
+    bases = [_base(w) for w in words]
+    new = list({w for pair in bases for w in pair if w and w not in known})
     if len(known) + len(new) > KEPT_WORDS:
         known.clear()
-        new = words
+        known[""] = b""
+        new = list({w for pair in bases for w in pair if w})
     fresh = _tokenizer(path).encode_batch_fast(new, add_special_tokens=False)
-    known.update(zip(new, (np.array(e.ids, np.uint32) for e in fresh), strict=True))
-    return [known[w] for w in words]
+    known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, fresh, strict=True))
+    return [known[w] + known[tail] if tail else known[w] for w, tail in bases]
 
 
 def tokenise(texts: pa.Array, path: str, end_id: int) -> Iterator[np.ndarray]:
@@ -106,13 +121,13 @@ def tokenise(texts: pa.Array, path: str, end_id: int) -> Iterator[np.ndarray]:
         per_text = split.value_lengths().to_numpy(zero_copy_only=False)
         coded = split.flatten().dictionary_encode()
         ids = _ids_of(coded.dictionary.to_pylist(), path)
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-        begin = np.concatenate([[0], np.cumsum(size)])[:-1] if ids else np.empty(0, np.int64)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        begin = np.cumsum(size) - size
         word = coded.indices.to_numpy()
-        n = size[word] if len(word) else np.empty(0, np.int64)
+        n = size[word]
         to = np.concatenate([[0], np.cumsum(n)])
-        out = flat[np.arange(to[-1]) - np.repeat(to[:-1] - (begin[word] if len(word) else 0), n)]
+        out = flat[np.arange(to[-1]) - np.repeat(to[:-1] - begin[word], n)]
         ends = to[np.concatenate([[0], np.cumsum(per_text)])]
         for i in range(b - a):
             yield np.append(out[ends[i] : ends[i + 1]], np.uint32(end_id)).astype("<u4")
