@@ -95,11 +95,13 @@ def _send_anchors(t: pa.Table, block: int, n_ranges: int) -> pa.Table:
     g, _, texts = _texts(t)
     w = _words(texts)
     at = np.flatnonzero(within(w, block))
+    if not len(at):
+        return pa.schema([("p", pa.int32()), ("g", pa.int64()), ("runs", pa.binary())]).empty_table()
     value = rolling(w.hashes, block)[at] >> np.uint64(64 - ANCHOR_BITS)
     is_block = (at - np.repeat(w.first[:-1], np.diff(w.first))[at]) % block == 0
     value = np.sort((value << np.uint64(1)) | is_block.astype(np.uint64))
     runs = value >> np.uint64(1)
-    new = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]])) if len(runs) else np.empty(0, np.int64)
+    new = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
     last = np.append(new[1:], len(runs)) - 1
     flags = (value[last] & np.uint64(1)) | ((last > new).astype(np.uint64) << np.uint64(1))
     runs = runs[new]
