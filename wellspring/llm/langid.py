@@ -134,6 +134,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         return out
 
     def odds(seen: np.ndarray) -> np.ndarray:
+        if not len(seen):
+            return np.zeros((seen.shape[1], 0), np.float32)
         share = (seen + 0.5) / (seen.sum(1, keepdims=True) + 0.5 * seen.shape[1])
         value = np.log(share / share.mean(0, keepdims=True))
         return np.ascontiguousarray(value.T, np.float32)
