@@ -117,9 +117,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Counts of at most about ``sample`` documents of each language, chosen by hash."""
     known = labelled.where("lang IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("size")).collect()  # a row per language, as the model has
+    size = F.create_map(*[F.lit(x) for row in sizes for x in row]) if sizes else F.lit(None).cast("map<string,long>")
     share = (F.abs(F.xxhash64("doc_id") % 1_000_003) + 0.5) / 1_000_003
-    chosen = known.join(sizes, "lang").where(share * F.col("size") <= sample).select("text", "lang")
+    chosen = known.where(share * F.element_at(size, F.col("lang")) <= sample).select("text", "lang")
     counts = chosen.mapInArrow(_count, "lang string, kind int, bucket int, n long")
     counts = counts.groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts["lang"].to_pylist()))
