@@ -425,8 +425,8 @@ def line_fit(rows: DataFrame, x: str) -> DataFrame:
     fit = rows.where(F.col("split") == "train").agg(
         F.regr_slope("level_mbgl", x).alias("slope"), F.regr_intercept("level_mbgl", x).alias("const")
     )
-    test = rows.where(F.col("split") == "test").select("level_mbgl", F.col(x).alias("_x"), F.lit(1).alias("_k"))
-    pred = test.join(fit.withColumn("_k", F.lit(1)), "_k")
+    test = rows.where(F.col("split") == "test").select("level_mbgl", F.col(x).alias("_x"))
+    pred = test.withColumns({name: fit.select(name).scalar() for name in ("const", "slope")})
     return pred.agg(
         F.lit(x).alias("variant"), F.first("const").alias("const"), F.first("slope").alias("slope"),
         F.count(F.lit(1)).alias("n"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wellspring.config import DEFAULTS, Settings
 from wellspring.functions import calendar as cal
+from wellspring.operators.lineage import cut_lineage
 from wellspring.operators.ordering import add_previous, asof_backward, by_day
 from wellspring.operators.series import densify
 from wellspring.operators.weather import SCRATCH, rain_memory, rolling_sums, weather_features
@@ -137,6 +138,7 @@ def weather_since_reading(df: DataFrame, features: DataFrame) -> DataFrame:
     two equi-joins on (cell, date) instead of a range join. It is NULL when
     either date has no weather.
     """
+    features = cut_lineage(features)  # both lookups read it, with different columns
     at_origin = features.withColumnRenamed("date", "origin_date")
     at_reading = features.select(
         "cell_id",
@@ -247,27 +249,39 @@ def features_as_of(
     return df.select("well_id", "origin_date", "target_date", "last_obs_date", *FEATURE_ORDER)
 
 
+SPLIT_ORDER = {"train": 0, "val": 1, "test": 2}
+
+
 def leakage_audit(features: DataFrame, readings: DataFrame) -> DataFrame:
-    """Named counts that must be zero, one row per check."""
-    labels = readings.select("well_id", F.col("obs_date").alias("target_date")).distinct()
-    unreal = features.join(labels, ["well_id", "target_date"], "left_anti").agg(
-        F.lit("label_not_a_reading").alias("check_name"), F.count(F.lit(1)).alias("n_bad")
-    )
+    """Named counts that must be zero, one row per check; one pass over the features, one row per split."""
+    labels = readings.select("well_id", F.col("obs_date").alias("target_date"), F.lit(True).alias("_real")).distinct()
     shifted = F.date_sub("target_date", F.col("horizon_d"))
-    rows = features.agg(
-        F.count_if(F.col("origin_date") >= F.col("target_date")).alias("origin_not_before_target"),
-        F.count_if(shifted != F.col("origin_date")).alias("horizon_mismatch"),
-    ).unpivot([], ["origin_not_before_target", "horizon_mismatch"], "check_name", "n_bad")
-    overlap = split_ranges(features, "target_date").agg(
-        F.lit("split_overlap").alias("check_name"), F.count_if("overlaps").alias("n_bad")
+    bad = {
+        "origin_not_before_target": F.col("origin_date") >= F.col("target_date"),
+        "horizon_mismatch": shifted != F.col("origin_date"),
+        "label_not_a_reading": F.col("_real").isNull(),
+    }
+    per_split = (
+        features.join(labels, ["well_id", "target_date"], "left")
+        .groupBy("split")
+        .agg(
+            F.min("target_date").alias("_first"), F.max("target_date").alias("_last"),
+            *[F.count_if(c).alias(name) for name, c in bad.items()],
+        )
+    )
+    before = F.lag("_last").over(Window.orderBy(cal.lookup(SPLIT_ORDER, F.col("split"))))
+    overlap = F.coalesce(F.col("_first") <= before, F.lit(False))
+    names = [*bad, "split_overlap"]
+    total = per_split.withColumn("_overlap", overlap).agg(
+        *[F.sum(name).alias(name) for name in bad], F.count_if("_overlap").alias("split_overlap")
     )
-    return rows.unionByName(unreal).unionByName(overlap)
+    return total.unpivot([], names, "check_name", "n_bad")
 
 
 def split_ranges(df: DataFrame, date: str, groups: list[str] | None = None) -> DataFrame:
     """Rows and dates per split, flagged where a split starts before the one ahead ends."""
     groups = groups or []
-    order = cal.lookup({"train": 0, "val": 1, "test": 2}, F.col("split"))
+    order = cal.lookup(SPLIT_ORDER, F.col("split"))
     w = Window.partitionBy(*groups).orderBy(order)
     return (
         df.groupBy(*groups, "split")

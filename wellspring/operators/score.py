@@ -377,7 +377,9 @@ def area_timeline(readings: DataFrame, wells: DataFrame, settings: Settings = DE
         .distinct()
     )
     ends = dates.groupBy("taluka").agg(F.max("date").alias("_end"))
-    spans = states.join(ends, "taluka").withColumn("_to", F.least(F.coalesce("valid_to", "_end"), "_end"))
+    # By well: an area with many readings would be one hot key.
+    last_day = wells.join(ends, "taluka").select("well_id", "_end")
+    spans = states.join(last_day, "well_id").withColumn("_to", F.least(F.coalesce("valid_to", "_end"), "_end"))
     days = spans.withColumn("date", F.explode(F.sequence("obs_date", "_to")))
     at_dates = days.join(dates, ["taluka", "date"], "left_semi")
     scored = _score_states(at_dates, "date", settings)

@@ -505,11 +505,15 @@ def table_profiles(fx):
 
 @query(
     "DQ-2",
-    """SELECT * FROM (SELECT 'wells' AS table_name, 1500 AS expected, (SELECT count(*) FROM fx_wells) AS n_rows, (SELECT count(*) FROM fx_wells) = 1500 AS ok
-       UNION ALL SELECT 'readings', 68994, (SELECT count(*) FROM fx_obs), (SELECT count(*) FROM fx_obs) = 68994
+    """SELECT * FROM (SELECT 'wells' AS table_name, (SELECT count(*) FROM customer) AS expected, (SELECT count(*) FROM fx_wells) AS n_rows, (SELECT count(*) FROM fx_wells) = (SELECT count(*) FROM customer) AS ok
+       UNION ALL SELECT 'readings', (SELECT count(*) + 1 FROM orders), (SELECT count(*) FROM fx_obs), (SELECT count(*) FROM fx_obs) = (SELECT count(*) + 1 FROM orders)
        UNION ALL SELECT 'absent', 1, NULL, false)""",
 )
 def expected_row_counts(fx):
     profile = dq.table_profile({"wells": (fx.base_wells, ["well_id"]), "readings": (fx.readings, ["well_id", "obs_date"])})
-    expected = fx.spark.createDataFrame([("wells", 1500), ("readings", 68994), ("absent", 1)], "table_name string, expected int")
+    # Customers are wells; more readings than orders cannot be, so that one fails.
+    wells = fx.table("customer").agg(F.lit("wells").alias("table_name"), F.count(F.lit(1)).alias("expected"))
+    orders = fx.table("orders").agg(F.lit("readings").alias("table_name"), (F.count(F.lit(1)) + 1).alias("expected"))
+    absent = fx.spark.createDataFrame([("absent", 1)], "table_name string, expected long")
+    expected = wells.unionByName(orders).unionByName(absent)
     return dq.expected_rows(profile, expected)

@@ -254,22 +254,52 @@ def causal_features(fx):
     return f.select(*_CAUSAL["keys"], *_CAUSAL["exact"], *[half_even(F.col(c), 5).alias(c) for c in _CAUSAL["rounded"]])
 
 
-@query(
-    "FT-3",
-    "SELECT * FROM (VALUES ('origin_not_before_target', 0), ('horizon_mismatch', 0), ('label_not_a_reading', 0), ('split_overlap', 0)) t(check_name, n_bad) WHERE (SELECT count(*) FROM fx_causal) > 0",
-)
+# Some rows of the first three days of a month made wrong: origin on the target, origin a day early, label far off.
+_LEAKY = """SELECT well_id, split, horizon_d,
+       CAST(CASE day(target_date) WHEN 1 THEN target_date WHEN 2 THEN origin_date - 1 ELSE origin_date END AS DATE) AS origin_date,
+       CAST(CASE WHEN day(target_date) = 3 THEN target_date + 36525 ELSE target_date END AS DATE) AS target_date FROM fx_causal"""
+
+
+def _ranges_sql(source: str) -> str:
+    return f"""SELECT split, n, first_date, last_date, coalesce(first_date <= lag(last_date) OVER (ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END), false) AS overlaps
+       FROM (SELECT split, count(*) AS n, min(target_date) AS first_date, max(target_date) AS last_date FROM ({source}) GROUP BY 1)"""
+
+
+def _audit_sql(source: str) -> str:
+    return f"""WITH b AS ({source}) SELECT 'origin_not_before_target' AS check_name, count(*) AS n_bad FROM b WHERE origin_date >= target_date
+       UNION ALL SELECT 'horizon_mismatch', count(*) FROM b WHERE CAST(target_date - horizon_d AS DATE) <> origin_date
+       UNION ALL SELECT 'label_not_a_reading', count(*) FROM b WHERE NOT EXISTS (SELECT 1 FROM fx_obs o WHERE o.well_id = b.well_id AND o.obs_date = b.target_date)
+       UNION ALL SELECT 'split_overlap', count(*) FROM ({_ranges_sql(source)}) q WHERE q."overlaps" """
+
+
+def _leaky(fx):
+    day, far = F.dayofmonth("target_date"), F.date_add("target_date", 36525)
+    origin = F.when(day == 1, F.col("target_date")).when(day == 2, F.date_sub("origin_date", 1)).otherwise(F.col("origin_date"))
+    return fx.causal.withColumns({"origin_date": origin, "target_date": F.when(day == 3, far).otherwise(F.col("target_date"))})
+
+
+@query("FT-3", _audit_sql("SELECT * FROM fx_causal"))
 def leakage_audit(fx):
     return ft.leakage_audit(fx.causal, fx.readings)
 
 
-@query(
-    "AG-19",
-    """SELECT split, count(*) AS n, min(target_date) AS first_date, max(target_date) AS last_date, false AS overlaps FROM fx_causal GROUP BY 1""",
-)
+@query("FT-3", _audit_sql(_LEAKY))
+def leakage_found(fx):
+    """The audit over features with planted leaks."""
+    return ft.leakage_audit(_leaky(fx), fx.readings)
+
+
+@query("AG-19", _ranges_sql("SELECT * FROM fx_causal"))
 def split_ranges(fx):
     return ft.split_ranges(fx.causal, "target_date")
 
 
+@query("AG-19", _ranges_sql(_LEAKY))
+def overlapping_splits(fx):
+    """Split ranges over features whose training labels reach past the others."""
+    return ft.split_ranges(_leaky(fx), "target_date")
+
+
 def _served(fx):
     points = fx.causal.select("well_id", "origin_date", "horizon_d")
     kept = ft.qualified_readings(fx.readings, 8, fx.settings)
@@ -299,6 +329,19 @@ def serving_skew(fx):
     return ft.skew_check(_served(fx), trained, ["well_id", "origin_date", "horizon_d"], names)
 
 
+@query(
+    "FT-5",
+    "SELECT f AS feature, (SELECT count(*) FROM fx_causal) AS n_rows, CASE f WHEN 'rain_30d' THEN (SELECT count(rain_30d) FROM fx_causal WHERE day(origin_date) = 1) ELSE 0 END AS n_differs FROM (VALUES "
+    + ",".join(f"('{c}')" for c in ft.FEATURE_ORDER if c != "horizon_d") + ") t(f)",
+)
+def serving_skew_found(fx):
+    """Serving features of which one is off on the first of each month."""
+    trained = fx.causal.withColumn("season", cal.season_code(F.col("season")))
+    names = tuple(c for c in ft.FEATURE_ORDER if c != "horizon_d")
+    off = F.when(F.dayofmonth("origin_date") == 1, F.col("rain_30d") + 1).otherwise(F.col("rain_30d"))
+    return ft.skew_check(_served(fx).withColumn("rain_30d", off), trained, ["well_id", "origin_date", "horizon_d"], names)
+
+
 @query(
     "JN-9",
     f"""SELECT h AS horizon_d, count(*) AS n, {r('sum(d.level_mbgl) + 0.00003',1)} AS total_state FROM (SELECT well_id, obs_date, h FROM fx_obs, (VALUES (7),(15),(30)) v(h)) t
