@@ -51,9 +51,6 @@ def is_recent(date: Column, settings: Settings = DEFAULTS) -> Column:
     return date >= F.lit(settings.last5_start).cast("date")
 
 
-def water_year(date: Column, start_month: int = 6) -> Column:
-    return F.year(date) - F.when(F.month(date) < start_month, 1).otherwise(0)
-
 
 def day_number(date: Column) -> Column:
     """Days since the epoch: an integer every range frame can order by."""

@@ -296,6 +296,12 @@ def only_in(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return a.select(column).subtract(b.select(column))
 
 
+def differences(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """Values that only one of two tables has, with the side that has them."""
+    left = only_in(a, b, column).withColumn("side", F.lit("only_a"))
+    return left.unionByName(only_in(b, a, column).withColumn("side", F.lit("only_b")))
+
+
 def sign_gate(readings: DataFrame) -> DataFrame:
     """Seasonal means and whether pre-monsoon is deeper than monsoon."""
     level = F.col("level_mbgl")

@@ -240,6 +240,21 @@ def zero_count_checks(fx):
     return quality_checks(fx).where(F.col("check_name").isin(*names))
 
 
+@query(
+    "DQ-1",
+    """WITH r AS (SELECT well_id, CASE WHEN day(obs_date) = 1 THEN level_mbgl + 1000 ELSE level_mbgl END AS level_mbgl FROM fx_obs),
+       c AS (SELECT (SELECT count(*) FROM (SELECT 1 FROM r GROUP BY well_id HAVING count(*) < 8)) AS bad
+         UNION ALL SELECT (SELECT count(*) FROM r WHERE well_id NOT IN (SELECT well_id FROM fx_wells))
+         UNION ALL SELECT (SELECT count(*) FROM r WHERE NOT level_mbgl BETWEEN 0 AND 100))
+       SELECT count(*) FILTER (bad = 0) AS passed, 0 AS warnings, count(*) FILTER (bad > 0) AS failed, CASE WHEN count(*) FILTER (bad > 0) > 0 THEN 1 ELSE 0 END AS exit_status FROM c""",
+)
+def gate_status(fx):
+    """The gate over three counting checks of readings with planted impossible levels."""
+    level = F.when(F.dayofmonth("obs_date") == 1, F.col("level_mbgl") + 1000).otherwise(F.col("level_mbgl"))
+    checks = dq.reading_checks(fx.readings.withColumn("level_mbgl", level), fx.base_wells, fx.settings)
+    return dq.exit_status(checks.where(F.col("check_name").isin("eight_readings_per_well", "no_orphan_readings", "levels_plausible")))
+
+
 # -------------------------------------------------------------------- streams
 @query("ST-1", _CR1)
 def streamed_reports(fx):

@@ -88,6 +88,32 @@ def percents_in_pages(fx):
     return readers.percents_from_pages(fx.table("pages", "page_id", "html"), aliases)
 
 
+def _pages_with_dams(fx):
+    """All pages with two storage figures added, in tags and with odd spaces, one of them late."""
+    figure = F.concat(
+        F.lit("<p>Khadak\u00a0\n <b>Dam</b></p> storage of "), (F.col("page_id") % 100).cast("string"),
+        F.lit(".5 % of 90 %"), F.when(F.col("page_id") % 2 == 1, F.lit("<td>UPPER DAM<td>77%")).otherwise(F.lit("<td>Upper Dam<td>none")),
+    )
+    return fx.table("pages", "page_id", "html").withColumn("html", F.concat(F.coalesce("html", F.lit("")), figure))
+
+
+_DAMS = {"Khadak |Dam": "KHADAK", "Upper Dam": "UPPER"}
+_PERCENTS = """SELECT page_id, 'KHADAK' AS reservoir_id, page_id % 100 + 0.5e0 AS live_storage_pct FROM pages
+       UNION ALL SELECT page_id, 'UPPER', 77e0 FROM pages WHERE page_id % 2 = 1"""
+
+
+@query("SRC-6", _PERCENTS)
+def scraped_percents(fx):
+    """Figures behind names that tags and spaces interrupt."""
+    return readers.percents_from_pages(_pages_with_dams(fx), _DAMS)
+
+
+@query("SRC-6", f"SELECT reservoir_id, min(page_id) AS page_id, arg_min(live_storage_pct, page_id) AS live_storage_pct FROM ({_PERCENTS}) GROUP BY 1")
+def first_scraped_percents(fx):
+    """One figure per reservoir over all pages."""
+    return readers.first_percents(readers.percents_from_pages(_pages_with_dams(fx), _DAMS))
+
+
 def _target_and_batch(fx):
     base = fx.readings.select("well_id", "obs_date", "level_mbgl", "season")
     target = base.where(F.col("obs_date") < F.lit("1999-01-01").cast("date"))
@@ -174,6 +200,22 @@ def unpivoted_periods(fx):
     return long.withColumn("level_mbgl", half_even(F.col("level_mbgl"), 6))
 
 
+@query(
+    "SRC-2 PR-4",
+    f"SELECT well_id, obs_date, {r('level_mbgl',6)} AS level_mbgl, season, source, is_last_5y FROM fx_long",
+)
+def wide_file_periods(fx):
+    """The wide table written as a CSV file and read by the station file reader."""
+    path = fx.fresh_dir("wide")
+    kept = [f for f in fx.wide.schema.fields if f.name not in ("well_no", "nation_no")]
+    attributes = {f.name: f.dataType.simpleString() for f in kept if "-" not in f.name}
+    periods = [f.name for f in kept if "-" in f.name]
+    writers.export_csv(fx.wide, path, [*attributes, *periods])
+    wide = readers.read_wide_stations(fx.spark, path, attributes, periods)
+    long = prep.unpivot_periods(wide, ["well_id"], "wide", fx.settings)
+    return long.withColumn("level_mbgl", half_even(F.col("level_mbgl"), 6))
+
+
 @query(
     "PR-7 PR-5",
     f"""SELECT well_id, obs_date, {season('month(obs_date)')} AS season, {split('obs_date')} AS split
@@ -383,6 +425,26 @@ def prepared_registry(fx):
     )
 
 
+@query(
+    "SR-1",
+    f"""SELECT sy_source, count(*) AS wells, {r('quantile_cont(sy_donor_km, 0.5)',6)} AS median_donor_km FROM ({_SR1}) GROUP BY 1""",
+)
+def yield_provenance(fx):
+    registry, _ = prep.prepare_wells(fx.wide, fx.donors, "wide", fx.settings)
+    return prep.yield_provenance(registry).withColumn("median_donor_km", half_even(F.col("median_donor_km"), 6))
+
+
+@query(
+    "AG-1",
+    f"""SELECT count(*) AS wells_in, count(*) FILTER (fail_readings) AS fail_readings, count(*) FILTER (fail_yr_cov) AS fail_yr_cov,
+          count(*) FILTER (fail_repeat) AS fail_repeat, count(*) FILTER (fail_range) AS fail_range, count(*) FILTER (keep) AS wells_kept FROM ({_QC_FLAGS})""",
+)
+def quality_summary(fx):
+    """Wells that each rule drops, and wells kept."""
+    long = prep.unpivot_periods(fx.wide, ["well_id"], "wide", fx.settings)
+    return prep.qc_summary(prep.qc_profile(long, fx.settings))
+
+
 @query(
     "JN-10 SO-3",
     f"""SELECT a AS n_a, b AS n_b, ab AS n_both, {r('ab/greatest(a,1)',4)} AS share_of_a FROM
@@ -398,6 +460,19 @@ def districts_without_donor(fx):
     return prep.only_in(fx.base_wells, fx.donors, "district").withColumn("side", F.lit("no_donor"))
 
 
+@query(
+    "SO-3 JN-10",
+    """WITH d AS (SELECT n_name AS district FROM nation WHERE n_nationkey % 3 <> 0 UNION ALL SELECT 'Elsewhere')
+       SELECT district, 'only_a' AS side FROM (SELECT district FROM fx_wells EXCEPT SELECT district FROM d)
+       UNION ALL SELECT district, 'only_b' FROM (SELECT district FROM d EXCEPT SELECT district FROM fx_wells)""",
+)
+def district_differences(fx):
+    """Districts that only one of two lists has, both ways."""
+    some = fx.table("nation", "n_nationkey", "n_name").where(F.col("n_nationkey") % 3 != 0).select(F.col("n_name").alias("district"))
+    other = some.unionByName(fx.spark.createDataFrame([("Elsewhere",)], "district string"))
+    return prep.differences(fx.base_wells, other, "district")
+
+
 @query(
     "JN-11",
     f"""SELECT round_even(round_even(lat/0.25e0,0)*0.25e0*1e4,0)/1e4 AS grid_lat, round_even(round_even(lon/0.25e0,0)*0.25e0*1e4,0)/1e4 AS grid_lon,

@@ -451,6 +451,21 @@ def longest_record_wells(fx):
     return rp.longest_record_well(fx.wells)
 
 
+@query(
+    "CR-1",
+    """WITH b AS (SELECT taluka, well_id FROM (SELECT *, row_number() OVER (PARTITION BY taluka ORDER BY n_observations DESC, well_id) k FROM fx_registry) WHERE k = 1)
+       SELECT q.request_no, CASE WHEN q.well_id IS NULL THEN b.well_id WHEN w.well_id IS NOT NULL THEN q.well_id END AS resolved_well
+       FROM (SELECT well_no AS request_no, taluka, CASE well_no % 3 WHEN 0 THEN well_id WHEN 1 THEN 'unknown' END AS well_id FROM fx_wells) q
+       LEFT JOIN b USING (taluka) LEFT JOIN fx_wells w ON w.well_id = q.well_id""",
+)
+def resolved_wells(fx):
+    """Requests that name a well, one that is not known, or only their area."""
+    k = F.col("well_no") % 3
+    named = F.when(k == 0, F.col("well_id")).when(k == 1, F.lit("unknown"))
+    asked = fx.base_wells.select(F.col("well_no").alias("request_no"), "taluka", named.alias("well_id"))
+    return rp.resolve_wells(asked, fx.wells).select("request_no", "resolved_well")
+
+
 @query(
     "SC-12",
     """SELECT event_id, message, CASE WHEN regexp_full_match(lower(message), '\\s*(depth\\s*[:=]?\\s*)?\\d+([.,]\\d+)?\\s*(m|mtr|mtrs|meter|meters|metre|metres|मीटर|मी)?\\s*')

@@ -342,6 +342,17 @@ def serving_skew_found(fx):
     return ft.skew_check(_served(fx).withColumn("rain_30d", off), trained, ["well_id", "origin_date", "horizon_d"], names)
 
 
+@query(
+    "FT-5",
+    """SELECT well_id, origin_date, horizon_d, CAST(rain_30d + 1 AS DOUBLE) AS _a, CAST(rain_30d AS DOUBLE) AS _b FROM fx_causal
+       WHERE day(origin_date) = 1 AND rain_30d IS NOT NULL ORDER BY well_id, origin_date, horizon_d LIMIT 3""",
+)
+def skew_examples(fx):
+    off = F.when(F.dayofmonth("origin_date") == 1, F.col("rain_30d") + 1).otherwise(F.col("rain_30d"))
+    served = fx.causal.withColumn("rain_30d", off)
+    return ft.skew_examples(served, fx.causal, ["well_id", "origin_date", "horizon_d"], "rain_30d")
+
+
 @query(
     "JN-9",
     f"""SELECT h AS horizon_d, count(*) AS n, {r('sum(d.level_mbgl) + 0.00003',1)} AS total_state FROM (SELECT well_id, obs_date, h FROM fx_obs, (VALUES (7),(15),(30)) v(h)) t

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from wellspring.functions.geo import hargreaves_et0
 from wellspring.functions.numeric import null_if
 from wellspring.functions.text import ascii_digits
-from wellspring.schemas import ANCHORS, conform
+from wellspring.schemas import ANCHORS
 
 # Feed variable names and what they are called here.
 ARRAY_DAILY = {
@@ -168,7 +168,3 @@ def first_percents(percents: DataFrame, page_order: str = "page_id") -> DataFram
     return percents.groupBy("reservoir_id").agg(
         F.min(page_order).alias(page_order), F.min_by("live_storage_pct", page_order).alias("live_storage_pct")
     )
-
-
-def as_table(df: DataFrame, schema: T.StructType) -> DataFrame:
-    return conform(df, schema)
