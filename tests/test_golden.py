@@ -241,3 +241,20 @@ def test_messages_as_a_stream(spark, tmp_path):
         0: ("book", None, None), 1: ("booked", None, None), 2: ("ask_place", None, None), 3: ("ask_depth", "w2", None), 4: ("report", "w2", 17.4),
         5: ("report", "w1", 9.5), 6: ("ask_depth", "w2", None), 7: ("help", None, None), 8: ("help", None, None),
     }
+
+
+def test_nearest_donor_in_a_dense_town(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    points, donors = 18.52 + rng.random((3000, 2)) * 0.009, 18.52 + rng.random((2000, 2)) * 0.009
+    p = spark.createDataFrame([(f"p{i}", float(a), float(b) + 55) for i, (a, b) in enumerate(points)], "well_id string, lat double, lon double")
+    d = spark.createDataFrame(
+        [(f"d{i}", float(a), float(b) + 55, 0.1) for i, (a, b) in enumerate(donors)], "well_id string, lat double, lon double, sy double"
+    )
+    got = {r.well_id: r.donor_id for r in prepare.nearest_donor(p, d, "sy").collect()}
+    scale = np.cos(np.radians(18.5245))
+    for i in rng.integers(0, 3000, 200):
+        gap = np.hypot(donors[:, 0] - points[i, 0], (donors[:, 1] - points[i, 1]) * scale)
+        near = int(got[f"p{i}"][1:])
+        assert gap[near] <= gap.min() * 1.0001

@@ -13,6 +13,7 @@ from wellspring.functions import calendar as cal
 from wellspring.functions import geo
 from wellspring.functions.numeric import half_even, to_double
 from wellspring.functions.text import clean_name, plain, station_id
+from wellspring.operators.lineage import cut_lineage
 from wellspring.operators.ordering import exact_quantiles, longest_run
 
 # Fixed value: the shape of a period column name.
@@ -107,9 +108,10 @@ def modal_value(df: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
-# Cell sizes double from level to level: 2**level hundredths of a degree.
-_LEVELS = 17
-_BASE_DEGREES = 0.01
+# Cell sizes double from level to level, from about a metre to all of the earth.
+_LEVELS = 27
+_BASE_DEGREES = 0.01 / 1024
+_LEVELS_AT_ONCE = 7
 
 
 def _cell(coord: Column, level: Column) -> Column:
@@ -122,22 +124,26 @@ def nearest_donor(
     """Nearest donor for each point, ties to the lowest donor id.
 
     Hash joins on grid cells of doubling size, no cross join. Distinct donor
-    positions are known per level as a set of occupied cells. A point finds
-    the finest level where its 3x3 block is occupied: with cells of s degrees
+    positions are known per level as a set of occupied cells. Levels are tried
+    a few at a time from the finest on, and only points without a donor so far
+    go on to coarser ones; cells of a metre keep a dense town from becoming
+    one cell of all its points and donors. A point finds the finest level where its 3x3 block is occupied: with cells of s degrees
     some donor is then less than 2*sqrt(2)*s away. The nearest one can differ
     from the point by that much in latitude and by that much over the cosine
     of the latitude in longitude, so the point looks again in the 3x3 block of
     the first level whose cells are at least as wide, which is exact. (Points
     are not matched across the antimeridian.)
     """
-    spots = donors.groupBy(F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon")).agg(
-        F.min(F.struct(F.col("well_id").alias("donor_id"), F.col(value).alias("donor_value"))).alias("d")
+    spots = cut_lineage(
+        donors.groupBy(F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon")).agg(
+            F.min(F.struct(F.col("well_id").alias("donor_id"), F.col(value).alias("donor_value"))).alias("d")
+        )
     )
     leveled = spots.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS)))).withColumns(
         {"_y": _cell(F.col("d_lat"), F.col("_l")), "_x": _cell(F.col("d_lon"), F.col("_l"))}
     )
     occupied = leveled.select("_l", "_y", "_x").distinct()
-    places = points.select("lat", "lon").distinct()
+    places = cut_lineage(points.select("lat", "lon").distinct())
     steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
 
     def block(df: DataFrame) -> DataFrame:
@@ -149,12 +155,18 @@ def nearest_donor(
             "_dy", "_dx"
         )
 
-    probe = block(places.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS)))))
-    finest = (
-        probe.join(occupied, ["_l", "_y", "_x"])
-        .groupBy("lat", "lon")
-        .agg(F.min("_l").alias("_first"))
-    )
+    finest, left = None, places
+    for low in range(0, _LEVELS + 1, _LEVELS_AT_ONCE):
+        high = min(low + _LEVELS_AT_ONCE - 1, _LEVELS)
+        probe = block(left.withColumn("_l", F.explode(F.sequence(F.lit(low), F.lit(high)))))
+        some = occupied.where(F.col("_l").between(low, high))
+        found = cut_lineage(
+            probe.join(some, ["_l", "_y", "_x"]).groupBy("lat", "lon").agg(F.min("_l").alias("_first"))
+        )
+        finest = found if finest is None else finest.unionByName(found)
+        left = cut_lineage(left.join(found, ["lat", "lon"], "left_anti"))
+        if left.isEmpty():
+            break
     reach = F.lit(2 * math.sqrt(2)) * F.lit(_BASE_DEGREES) * F.pow(F.lit(2.0), F.col("_first"))
     latitude = F.least(F.abs("lat") + reach, F.lit(89.9))
     shrink = F.lit(1.0) if planar else F.cos(F.radians(latitude))
