@@ -51,14 +51,14 @@ def may_send(users: DataFrame) -> Column:
 
 
 def audience(users: DataFrame, senders: DataFrame) -> DataFrame:
-    """(sender_id, user) pairs each sender may reach.
+    """(sender_id, user) pairs each sender may reach; senders who may not send reach nobody.
 
     Government reaches everyone with a place, a society manager their own
     entity; never the sender. The two rules are separate equi-joins: managers
     by entity, and government senders as a literal reach flag rather than a
     pair per user (see ``reach``).
     """
-    managers = senders.where(F.col("role") == "society-manager").select(
+    managers = senders.where((F.col("role") == "society-manager") & may_send(senders)).select(
         F.col("user_id").alias("sender_id"), "entity_id"
     )
     people = users.where(F.col("entity_id").isNotNull())

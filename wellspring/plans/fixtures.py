@@ -224,7 +224,7 @@ class Fixtures:
             F.when(k % 11 != 0, F.concat(F.col("taluka"), F.lit(" Taluka"))).alias("entity_label"),
             F.col("district").alias("place_raw"),
             "well_id",
-            (k % 2 == 0).alias("verified"),
+            (k % 3 == 0).alias("verified"),
             (k % 7 != 0).alias("has_password"),
             (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (k % 2000).cast("int"), (k % 60).cast("int"))).alias("created_at"),
         )

@@ -313,7 +313,7 @@ def typeahead(fx):
 # ------------------------------------------------------------------- audience
 @query(
     "AU-1",
-    """SELECT s.user_id AS sender_id, u.user_id FROM fx_users s JOIN fx_users u ON u.entity_id = s.entity_id AND u.user_id <> s.user_id WHERE s.role = 'society-manager'""",
+    """SELECT s.user_id AS sender_id, u.user_id FROM fx_users s JOIN fx_users u ON u.entity_id = s.entity_id AND u.user_id <> s.user_id WHERE s.role = 'society-manager' AND s.verified""",
 )
 def manager_audiences(fx):
     senders = fx.users.where(F.col("role") == "society-manager")

@@ -188,7 +188,7 @@ VIEWS = {
                CASE WHEN well_no % 5 <> 4 THEN '+91'||d END AS phone,
                'taluka' AS entity_type, CASE WHEN well_no % 11 <> 0 THEN taluka END AS entity_id,
                CASE WHEN well_no % 11 <> 0 THEN taluka||' Taluka' END AS entity_label, district AS place_raw, well_id,
-               well_no % 2 = 0 AS verified, well_no % 7 <> 0 AS has_password,
+               well_no % 3 = 0 AS verified, well_no % 7 <> 0 AS has_password,
                TIMESTAMP '2024-01-01' + to_hours(CAST(well_no % 2000 AS INTEGER)) + to_minutes(CAST(well_no % 60 AS INTEGER)) AS created_at
         FROM (SELECT *, '9'||lpad(CAST(well_no AS VARCHAR),9,'0') AS d FROM fx_wells)""",
     "fx_alerts": """

@@ -9,6 +9,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wellspring.operators.lineage import cut_lineage
 from wellspring.schemas import RUN_LOG, conform, unknown_columns
@@ -63,8 +64,20 @@ def first_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return _pick(df, keys, order, F.min_by)
 
 
+_IN_PLACE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.BooleanType, T.DateType, T.TimestampType)
+
+
 def _pick(df: DataFrame, keys: list[str], order: Column, choose: Callable) -> DataFrame:
+    """One row per key by ``order``.
+
+    With fixed-width columns each is picked by an aggregate of its own: these see
+    the same rows in the same sequence and so pick the same row, and they can be
+    updated in place, which lets Spark hash instead of sorting the raw table.
+    """
     rest = [c for c in df.columns if c not in keys]
+    kinds = df.select(*rest, order.alias("_order")).schema.fields
+    if rest and all(isinstance(f.dataType, _IN_PLACE) for f in kinds):
+        return df.groupBy(*keys).agg(*[choose(F.col(c), order).alias(c) for c in rest]).select(*df.columns)
     row = F.struct(*[F.col(c) for c in rest])
     picked = df.groupBy(*keys).agg(choose(row, order).alias("row"))
     return picked.select(*keys, *[F.col(f"row.{c}").alias(c) for c in rest]).select(*df.columns)
