@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from wellspring.llm import decontam
 
@@ -37,6 +39,37 @@ def test_planted_passages_and_paraphrases(spark, docs):
     assert {p for p in got if p[0] >= 1000} <= natural
 
 
+def test_each_of_many_unrelated_items_is_found_where_it_stands_verbatim(spark):
+    texts = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet").orderBy("doc_id")
+    rng, cuts, used = random.Random(4), [], set()
+    for r in texts.select("text").collect():
+        words = (r.text or "").split()
+        for at in range(0, len(words) - 60, 60):
+            cut = " ".join(words[at : at + rng.randrange(15, 60)])
+            if len(cuts) < 2000 and cut[:30] not in used:
+                used.add(cut[:30])
+                cuts.append(cut)
+    assert len(cuts) == 2000
+    rng.shuffle(cuts)
+    held = [(d, " ".join(cuts[d * 4 : d * 4 + 4])) for d in range(500)]
+    benchmark = spark.createDataFrame(list(enumerate(cuts)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(held, "doc_id long, text string"), benchmark).collect()}
+    assert not {(i // 4, i) for i in range(2000)} - got
+
+
+def test_a_basis_that_loses_passages_is_refused():
+    idf = np.ones(1 << decontam.BITS)
+    block = pa.table({"item_id": [1, 2], "text": ["one two three four", "five six seven eight"]})
+    passages = [x for *_, x, _ in decontam._passages(block["text"].combine_chunks(), idf)]
+    used = np.unique(np.concatenate(passages))
+    row_of = np.full(1 << decontam.BITS, -1, np.int32)
+    row_of[used] = np.arange(len(used))
+    basis = np.zeros((len(used), 1))
+    basis[row_of[passages[0]]] = 0.5
+    with pytest.raises(ValueError, match="keeps only 0.00"):
+        decontam.build_index(block, idf, row_of, basis, idf.astype(np.float32))
+
+
 def test_odd_rows(spark, odd, none, docs):
     benchmark = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     strange = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (4, "one two three"), (4, "one two three")], "item_id long, text string")

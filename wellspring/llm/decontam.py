@@ -4,7 +4,9 @@
 2. Benchmark items are cut into passages; their TF-IDF vectors are the rows of a sparse
    matrix. A randomised SVD (random range, one power step) gives the latent space: the
    products with the matrix are sums over passages, made by the tasks that hold them and
-   added up; only matrices of bounded size (words of a block x rank) reach the driver.
+   added up; only matrices of bounded size (words of a part x rank) reach the driver.
+   The rank is that of the part's passages, so unrelated passages do not crowd each
+   other out: each passage keeps at least ``KEPT`` of its norm, or building fails.
 3. Every window of every document (overlapping by five sixths, for each passage length in use) is
    projected and compared with all passages. A candidate is a window whose cosine is at
    least ``COSINE``. What of it lies on other words than the benchmark's is at right
@@ -15,8 +17,9 @@
    item's answer (its last sentence, or the column ``answer``) is found there too to the
    same degree.
 
-Documents are read twice and never shuffled; the benchmark is taken in blocks of
-``ITEMS`` items, each a pass over the documents, so what is broadcast has a fixed bound.
+Documents are never shuffled. Items are dealt by hash into parts of about ``PASSAGES``
+passages, and ``PARTS`` of them make a pass over the documents, so what is broadcast
+does not grow with the number of items; one more pass counts words.
 
 Edges: null and empty texts and items never match; equal documents are each reported;
 equal items each report; an item of under ``LEAST_WORDS`` words must occur whole; an
@@ -36,9 +39,10 @@ from pyspark.sql import functions as F
 from wellspring.llm.words import Words, lowered, separators, slices, text_bytes, words_of
 
 BITS = 18
-RANK = 128
 OVERSAMPLED = 16
-ITEMS = 2000
+PASSAGES = 256
+PARTS = 8
+KEPT = 0.9
 BLOCK = 4
 PASSAGE = 48
 COSINE = 0.55
@@ -92,6 +96,13 @@ def _passages(texts: pa.Array, idf: np.ndarray) -> Iterator[tuple[int, int, np.n
             yield i, start - a, x, value / np.linalg.norm(value)
 
 
+def _n_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = text_bytes(batch["text"])
+        n = np.diff(_words(data, offsets)[0].first)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([int((-(-n // PASSAGE)).sum())], pa.int64())})
+
+
 def _product(idf, row_of, basis):
     """A' (A basis) over the passages of a task, as one dense block."""
 
@@ -109,10 +120,11 @@ def _product(idf, row_of, basis):
     return run
 
 
-def latent_basis(items: DataFrame, idf, row_of, n_rows: int, rank: int = RANK) -> np.ndarray:
+def latent_basis(items: DataFrame, idf, row_of, n_rows: int, rank: int) -> np.ndarray:
     """An orthonormal basis (words x rank) of the passages' main directions: randomised SVD.
 
-    ``row_of`` numbers the hash buckets of the block's words; both are broadcasts.
+    ``row_of`` numbers the hash buckets of the part's words; both are broadcasts.
+    A rank of at least the number of passages gives a basis of all of their span.
     """
     context = items.sparkSession.sparkContext
     basis = np.random.default_rng(20).standard_normal((n_rows, rank + OVERSAMPLED))
@@ -130,7 +142,7 @@ def latent_basis(items: DataFrame, idf, row_of, n_rows: int, rank: int = RANK) -
 
 @dataclass
 class Index:
-    """A block of benchmark passages in latent space, with the items' words."""
+    """A part of the benchmark's passages in latent space, with the items' words."""
 
     idf: np.ndarray
     row_of: np.ndarray
@@ -144,11 +156,14 @@ class Index:
     lengths: list[int]
 
 
-def build_index(block: pa.Table, idf: np.ndarray, row_of: np.ndarray, basis: np.ndarray) -> Index:
-    """Passages of a bounded block of items in the latent space of ``basis``."""
+def build_index(block: pa.Table, idf: np.ndarray, row_of: np.ndarray, basis: np.ndarray, idf32: np.ndarray) -> Index:
+    """Passages of a part's items in the latent space of ``basis``, which must keep ``KEPT`` of each one's norm."""
     found = list(_passages(block["text"].combine_chunks(), idf))
     vectors = np.array([value @ basis[row_of[x]] for _, _, x, value in found]).reshape(len(found), basis.shape[1])
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    kept = np.linalg.norm(vectors, axis=1, keepdims=True)
+    if kept.min(initial=1.0) < KEPT:
+        raise ValueError(f"a passage keeps only {kept.min():.2f} of its norm in {basis.shape[1]} directions")
+    vectors /= kept
     answers = block["answer"] if "answer" in block.column_names else None
     words, of_answer = [], []
     for i, text in enumerate(block["text"].to_pylist()):
@@ -158,7 +173,7 @@ def build_index(block: pa.Table, idf: np.ndarray, row_of: np.ndarray, basis: np.
         words.append(pair[0])
         of_answer.append(pair[1])
     return Index(
-        idf.astype(np.float32), row_of, basis.astype(np.float32), vectors.astype(np.float32).T,
+        idf32, row_of, basis.astype(np.float32), vectors.astype(np.float32).T,
         np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64),
         block["item_id"].to_pylist(), words, of_answer, sorted({min(PASSAGE, len(w)) for w in words if len(w)}),
     )
@@ -241,47 +256,53 @@ def _windows(index: Index, w: Words, bucket: np.ndarray, least: float) -> Iterat
         yield int(word[i]), int(size[i]), int(passage[i]), float(value[i])
 
 
+def _best(index: Index, w: Words, bucket: np.ndarray, least: float, covered: float) -> dict[tuple[int, int], tuple]:
+    """Cosine, covered share, first and last word of the best place, by document and item."""
+    best: dict[tuple[int, int], tuple] = {}
+    for start, size, p, cosine in _windows(index, w, bucket, least):
+        doc = int(np.searchsorted(w.first, start, "right")) - 1
+        item = int(index.item[p])
+        words = index.words[item]
+        begin = start - int(index.start[p])
+        if best.get((doc, item), (0, 0))[1] == 1.0:
+            continue
+        a = max(int(w.first[doc]), begin - size)
+        b = min(int(w.first[doc + 1]), begin + len(words) + size)
+        here = w.hashes[a:b]
+        need = 1.0 if len(words) < LEAST_WORDS else covered
+        there = set(here.tolist())
+        if sum(x in there for x in words.tolist()) < need * len(words) - 1e-9:
+            continue
+        share = common_subsequence(words, here) / len(words)
+        if share < need or best.get((doc, item), (0, -1))[1] >= share:
+            continue
+        answer = index.answers[item]
+        if len(answer) and common_subsequence(answer, here) < need * len(answer) - 1e-9:
+            continue
+        best[doc, item] = (cosine, share, a - int(w.first[doc]), b - int(w.first[doc]))
+    return best
+
+
 def _search(shared, least: float, covered: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
         for batch in batches:
             data, offsets = text_bytes(batch["text"])
             ids = batch["doc_id"].to_pylist()
             for lo, hi in slices(offsets):
                 w, bucket = _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                best: dict[tuple[int, int], tuple] = {}
-                for start, size, p, cosine in _windows(index, w, bucket, least):
-                    doc = int(np.searchsorted(w.first, start, "right")) - 1
-                    item = int(index.item[p])
-                    words = index.words[item]
-                    begin = start - int(index.start[p])
-                    if best.get((doc, item), (0, 0))[1] == 1.0:
-                        continue
-                    a = max(int(w.first[doc]), begin - size)
-                    b = min(int(w.first[doc + 1]), begin + len(words) + size)
-                    here = w.hashes[a:b]
-                    need = 1.0 if len(words) < LEAST_WORDS else covered
-                    there = set(here.tolist())
-                    if sum(x in there for x in words.tolist()) < need * len(words) - 1e-9:
-                        continue
-                    share = common_subsequence(words, here) / len(words)
-                    if share < need or best.get((doc, item), (0, -1))[1] >= share:
-                        continue
-                    answer = index.answers[item]
-                    if len(answer) and common_subsequence(answer, here) < need * len(answer) - 1e-9:
-                        continue
-                    best[doc, item] = (cosine, share, a - int(w.first[doc]), b - int(w.first[doc]))
-                keys = sorted(best)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": pa.array([ids[lo + d] for d, _ in keys], pa.int64()),
-                        "item_id": pa.array([index.ids[i] for _, i in keys], pa.int64()),
-                        "cosine": pa.array([best[k][0] for k in keys], pa.float64()),
-                        "covered": pa.array([best[k][1] for k in keys], pa.float64()),
-                        "first_word": pa.array([best[k][2] for k in keys], pa.int64()),
-                        "last_word": pa.array([best[k][3] for k in keys], pa.int64()),
-                    }
-                )
+                for index in shared.value:
+                    best = _best(index, w, bucket, least, covered)
+                    keys = sorted(best)
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "doc_id": pa.array([ids[lo + d] for d, _ in keys], pa.int64()),
+                            "item_id": pa.array([index.ids[i] for _, i in keys], pa.int64()),
+                            "cosine": pa.array([best[k][0] for k in keys], pa.float64()),
+                            "covered": pa.array([best[k][1] for k in keys], pa.float64()),
+                            "first_word": pa.array([best[k][2] for k in keys], pa.int64()),
+                            "last_word": pa.array([best[k][3] for k in keys], pa.int64()),
+                        }
+                    )
 
     return run
 
@@ -292,21 +313,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = COSINE, c
     columns = [c for c in ("item_id", "text", "answer") if c in benchmark.columns]
     items = benchmark.select(*columns).where("trim(text) <> ''").withColumn("item_id", F.col("item_id").cast("long"))
     source = docs.select(F.col("doc_id").cast("long"), "text")
-    n_blocks = -(-items.count() // ITEMS)
-    if not n_blocks:
+    n_passages = items.select("text").mapInArrow(_n_passages, "n long").agg(F.sum("n").alias("n")).first()["n"]
+    n_parts = -(-(n_passages or 0) // PASSAGES)
+    if not n_parts:
         return spark.createDataFrame([], HITS)
     idf = inverse_frequencies(source)
-    shared_idf, found = spark.sparkContext.broadcast(idf), None
-    for n in range(n_blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == n)
-        block = mine.toArrow()
-        if not len(block):
-            continue
-        used = np.unique(np.concatenate([x for *_, x, _ in _passages(block["text"].combine_chunks(), idf)]))
-        row_of = np.full(1 << BITS, -1, np.int32)
-        row_of[used] = np.arange(len(used))
-        basis = latent_basis(mine, shared_idf, spark.sparkContext.broadcast(row_of), len(used))
-        shared = spark.sparkContext.broadcast(build_index(block, idf, row_of, basis))
-        hits = source.mapInArrow(_search(shared, least, covered), HITS)
+    shared_idf, idf32, found = spark.sparkContext.broadcast(idf), idf.astype(np.float32), None
+    for start in range(0, n_parts, PARTS):
+        parts = []
+        for n in range(start, min(start + PARTS, n_parts)):
+            mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == n)
+            block = mine.toArrow()
+            passages = list(_passages(block["text"].combine_chunks(), idf)) if len(block) else []
+            if not passages:
+                continue
+            used = np.unique(np.concatenate([x for *_, x, _ in passages]))
+            row_of = np.full(1 << BITS, -1, np.int32)
+            row_of[used] = np.arange(len(used))
+            basis = latent_basis(mine, shared_idf, spark.sparkContext.broadcast(row_of), len(used), len(passages))
+            parts.append(build_index(block, idf, row_of, basis, idf32))
+        hits = source.mapInArrow(_search(spark.sparkContext.broadcast(parts), least, covered), HITS)
         found = hits if found is None else found.unionByName(hits)
     return found
