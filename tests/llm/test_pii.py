@@ -41,6 +41,31 @@ def test_every_kind_is_found_replaced_and_still_valid(kind):
     assert pii.pseudonym(kind, value, b"other") != first
 
 
+NEIGHBOURS = {
+    "card {} 12/27": ("card", "4111111111111111"), "{} 123": ("card", "4111 1111 1111 1111"),
+    "order 12 {}": ("card", "4111111111111111"), "{} 0170": ("card", "378282246310005"), "{}-123": ("card", "4111-1111-1111-1111"),
+    "484 516 811 440 7329 {}": ("card", "5500 0000 0000 0004"), "{} 234-56-7890": ("ssn", "123-45-6789"),
+    "123-45-6789 {}": ("ssn", "234-56-7890"), "tel {}": ("phone", "0049 170 1234567"), "{} 555 987 6543": ("phone", "555 123 4567"),
+    "555 123 4567 {}": ("phone", "555 987 6543"), "{} 1234": ("iban", "ES91 2100 0418 4502 0005 1332"),
+    "{} USED": ("iban", "AT611904300234573201"), "{} 4111 1111 1111 1111": ("iban", "DE89 3704 0044 0532 0130 00"),
+    "DE89 3704 0044 0532 0130 00 {}": ("card", "4111 1111 1111 1111"), "{} {}": ("card", "4845 1681 1440 7329"),
+}
+
+
+@pytest.mark.parametrize("around", NEIGHBOURS)
+def test_a_value_is_the_same_beside_any_neighbour(around):
+    kind, value = NEIGHBOURS[around]
+    new, found = pii.replace(around.replace("{}", value), KEY)
+    assert value not in new and pii.pseudonym(kind, value, KEY) in new
+    at = around.index("{}")
+    assert (kind, at, at + len(value)) in {(f["kind"], f["start"], f["end"]) for f in found}
+
+
+def test_a_card_with_a_wrong_check_sum_is_no_phone():
+    for text in ("6914 5924 1817 8721", "6914-5924-1817-8721", "6914592418178721 12"):
+        assert pii.replace(text, KEY) == (text, [])
+
+
 def test_invalid_values_stay():
     text = "6914592418178720 999.1.2.3 2021-13-45 30.02.2001 000-12-3456 DE00370400440532013000 v1.2.3.4.5 12:30 1/2 3.14 @ a@b"
     assert pii.replace(text, KEY) == (text, [])

@@ -11,6 +11,11 @@ A value is a number in a mixed radix; eight Feistel rounds with keyed BLAKE2 per
 the next power of four, and values that leave the domain are permuted again (cycle
 walking) until they are inside.
 
+Numbers that stand side by side are told apart by their forms: a value that fails as
+one span is tried with shorter ends at group borders and as the remaining kinds, and
+the search goes on at the next group. Values of a usual form (a card in one run or in
+fours, 3-2-4 and 3-3-4 digits) are taken in all of the text before other forms.
+
 Edges: a null text stays null and an empty one empty; equal rows change alike; text
 without validated values comes back unchanged; values longer than any format are left.
 """
@@ -32,22 +37,39 @@ KEY = b"replace this key in production"
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 FOUND = "doc_id long, text string, n_found long, found array<struct<kind:string,start:long,end:long>>"
 
-DIGITS = re.compile(
-    r"(?<![\w.@])(?:"
-    r"(?P<ip>\d{1,3}(?:\.\d{1,3}){3})"
-    r"|(?P<ymd>\d{4}([-/.])\d{1,2}\3\d{1,2})"
-    r"|(?P<dmy>\d{1,2}([-/.])\d{1,2}\5\d{4})"
-    r"|(?P<card>\d(?:[ -]?\d){12,18})"
-    r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
-    r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}|\+\d{8,15})"
-    r")(?!\w|[.-]\d)"
-)
-LETTERS = re.compile(
-    r"\b(?:"
-    r"(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
-    r"|(?P<key>AKIA[0-9A-Z]{16}|(?:gh[pousr]_|sk-|pk-|xox[abp]-)[A-Za-z0-9-]{16,255}"
-    r"|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})"
-    r")\b"
+START, END = r"(?<![\w.@])", r"(?!\w|[.-]\d)"
+CARD = r"\d(?:[ -]?\d){12,18}"
+CARD_END = re.compile(r"(?<=\d)(?!\w|\.\d)")
+USUAL = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}")
+FOURS = re.compile(r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?(?!\d)")
+#: Kinds in the order in which they are tried at a place: values of a usual form first, in all of the text, then others.
+USUAL_KINDS = [
+    ("ip", r"\d{1,3}(?:\.\d{1,3}){3}" + END),
+    ("ymd", r"\d{4}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{1,2}" + END),
+    ("dmy", r"\d{1,2}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{4}" + END),
+    ("ssn", r"\d{3}-\d{2}-\d{4}" + END),
+    ("card", CARD),
+    ("phone", r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + END),
+    ("phone", r"(?:\+|00)\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{2,4})[ .-]?(?:\d{5,8}|\d{3,4}[ .-]\d{3,4})" + END),
+    ("phone", r"\+\d{8,15}" + END),
+]
+OTHER_KINDS = [
+    ("card", CARD),
+    ("phone", r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}" + END),
+]
+NUMBERS = [
+    (usual, re.compile(START + "(?:" + "|".join(p for _, p in kinds) + ")"), [(k, re.compile(p)) for k, p in kinds])
+    for usual, kinds in ((True, USUAL_KINDS), (False, OTHER_KINDS))
+]
+IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+IBAN_END = re.compile(r"(?<=[A-Z0-9])\b")
+IBAN_LENGTHS = {
+    "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22,
+    "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24,
+}
+SECRET = re.compile(
+    r"\b(?:AKIA[0-9A-Z]{16}|(?:gh[pousr]_|sk-|pk-|xox[abp]-)[A-Za-z0-9-]{16,255}"
+    r"|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})\b"
 )
 HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{32,128}\b")
 LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_])?$")
@@ -171,7 +193,7 @@ def _phone(text: str, key: bytes) -> str | None:
     plain = _plain(text)
     if not 8 <= len(plain) <= 15 or ("+" not in text and len(plain) < 10):
         return None
-    code = re.match(r"\+\d{1,3}(?=[ .(-])", text)
+    code = re.match(r"(?:\+|00)\d{1,3}(?=[ .(-])", text)
     keep = code.end() if code else 0
     return text[:keep] + permute_text(text[keep:], key, "phone")
 
@@ -213,20 +235,70 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", at + 1)
 
 
+def _ibans(text: str, key: bytes) -> Iterator[tuple[int, int]]:
+    """Spans that hold up as IBAN, ended at any border: the country's length first, then the longest."""
+    m = IBAN.search(text)
+    while m:
+        a = m.start()
+        ends = [e.start() for e in IBAN_END.finditer(text, a + 15, m.end())]
+        ends.sort(key=lambda b: (len(_plain(text[a:b])) != IBAN_LENGTHS.get(text[a : a + 2]), -b))
+        end = next((b for b in ends if pseudonym("iban", text[a:b], key) is not None), None)
+        if end:
+            yield a, end
+        m = IBAN.search(text, end or a + 1)
+
+
+def _card_ends(text: str, a: int, most: int, usual: bool) -> list[int]:
+    """Group borders at which a card from ``a`` may end; usual forms from the shortest, others from the longest."""
+    ends = [e.start() for e in CARD_END.finditer(text, a + 13, most) if len(_plain(text[a : e.start()])) >= 13]
+    ends = [b for b in ends if bool(USUAL.fullmatch(text, a, b)) == usual]
+    return ends if usual else ends[::-1]
+
+
+def _numbers(text: str, lo: int, hi: int, key: bytes, usual: bool, anywhere: re.Pattern, kinds: list) -> Iterator[tuple[int, int, str]]:
+    """Validated spans from left to right; where nothing holds up, the search goes on at the next group."""
+    barred = lo
+    m = anywhere.search(text, lo, hi)
+    while m:
+        a, end = m.start(), None
+        if not usual and (fours := FOURS.match(text, a, hi)):
+            barred = max(barred, fours.end())  # groups of a card that fails its check sum are no phone
+        for kind, pattern in kinds:
+            one = pattern.match(text, a, hi)
+            if not one or (kind == "phone" and a < barred):
+                continue
+            # a card's longest span may end inside a group; the borders lie at or before its end
+            ends = _card_ends(text, a, one.end(), usual) if kind == "card" else [one.end()]
+            end = next((b for b in ends if pseudonym(kind, text[a:b], key) is not None and _closed(text, b, hi)), None)
+            if end:
+                yield a, end, kind
+                break
+        m = anywhere.search(text, end or a + 1, hi)
+
+
+def _closed(text: str, b: int, hi: int) -> bool:
+    """Whether a number that ends here is not cut off inside a longer one."""
+    return b >= hi or not re.match(r"\w|\.\d", text[b : b + 2])
+
+
 def replace(text: str, key: bytes) -> tuple[str, list[dict]]:
     """The text with pseudonyms, and the kinds and places of what was found in it."""
-    spans = [(a, b, "email") for a, b in _emails(text)]
-    for pattern in (DIGITS, LETTERS):
-        spans += [(m.start(), m.end(), m.lastgroup) for m in pattern.finditer(text)]
-    spans += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    out, found, at = [], [], 0
+    spans = [(a, b, "email") for a, b in _emails(text)] + [(a, b, "iban") for a, b in _ibans(text, key)]
+    for kind, pattern in (("key", SECRET), ("hex", HEX)):
+        spans += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
+    chosen, at = [], 0
     for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
-        if a < at:
-            continue
-        new = pseudonym(kind, text[a:b], key)
-        if new is None:
-            continue
-        out += [text[at:a], new]
+        if a >= at and pseudonym(kind, text[a:b], key) is not None:
+            chosen.append((a, b, kind))
+            at = b
+    for usual, anywhere, kinds in NUMBERS:
+        edges = [0, *(x for a, b, _ in chosen for x in (a, b)), len(text)]
+        for lo, hi in zip(edges[::2], edges[1::2], strict=True):
+            chosen += _numbers(text, lo, hi, key, usual, anywhere, kinds)
+        chosen.sort()
+    out, found, at = [], [], 0
+    for a, b, kind in chosen:
+        out += [text[at:a], pseudonym(kind, text[a:b], key)]
         found.append({"kind": "date" if kind in ("ymd", "dmy") else kind, "start": a, "end": b})
         at = b
     return "".join([*out, text[at:]]) if found else text, found
