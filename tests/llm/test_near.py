@@ -90,6 +90,34 @@ def test_classes_match_brute_force(docs):
     assert got == {d: root(d) for d in words}
 
 
+def test_scattered_edits_at_the_given_similarity_are_linked(spark):
+    rng, rows, pairs = random.Random(8), [], 300
+    for d in range(pairs):
+        n = rng.randrange(60, 300)
+        a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        b = list(a)
+        for i in rng.sample(range(n), int(rng.uniform(0.15, 0.2) * n)):
+            b[i] = f"n{rng.randrange(10**6)}"
+        rows += [(2 * d, " ".join(a)), (2 * d + 1, " ".join(b))]
+    got = {r.doc_id: r.class_id for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * d + 1] == 2 * d for d in range(pairs)) >= 0.97 * pairs
+    assert all(c // 2 == d // 2 for d, c in got.items())
+
+
+def test_short_texts_are_linked_over_one_edit_anywhere(spark):
+    rows = []
+    for n in range(4, 10):
+        for i in range(n):
+            words = [f"t{n}x{i}w{k}" for k in range(n)]
+            d = 100 * (10 * n + i)
+            rows += [(d, " ".join(words)), (d + 1, " ".join([*words[:i], "other", *words[i + 1 :]])), (d + 2, " ".join([*words[:i], "more", *words[i:]]))]
+    got = {r.doc_id: r.class_id for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, c in got.items():
+        alone = d // 1000 == 4 and d % 100 == 1  # one of four words is 0.75
+        assert c == (d - d % 100 if not alone else c)
+    assert sum(c == d for d, c in got.items() if d % 100 == 2) == 0
+
+
 def test_odd_rows(odd, none):
     got = [(r.doc_id, r.class_id) for r in near.near_duplicates(odd).collect()]
     assert sorted(got, key=str) == sorted(
