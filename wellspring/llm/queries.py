@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellspring.llm import chat, decontam, exact, langid, near, packing, pii, quality, substring, warc
+from wellspring.llm import chat, covering, decontam, exact, langid, merkle, near, packing, pii, quality, substring, warc, whiten
 from wellspring.llm.tables import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -119,3 +119,101 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op3_pii")
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents")).drop("found")
+
+
+@_register("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@_register("op12_simhash")
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = covering.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_register(
+    "op13_merkle",
+    """
+    WITH RECURSIVE bits AS (
+        SELECT i, 0 AS step, i AS c FROM range(256) t(i)
+        UNION ALL
+        SELECT i, step + 1, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) FROM bits WHERE step < 8
+    ),
+    crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE step = 8),
+    d AS (
+        SELECT row_number() OVER () AS id, doc_id, lang, text, source, n_chars,
+               coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') ||
+               coalesce(octet_length(encode(source)) || ':' || source, '-') ||
+               coalesce(octet_length(encode(lang)) || ':' || lang, '-') ||
+               coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS front,
+               xor(4294967295, list_reduce(
+                   list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                   lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS sum
+        FROM documents, crc
+    ),
+    l AS (
+        SELECT id, doc_id, lang,
+               sha256(front || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+               sha256(front || coalesce(octet_length(encode(text)) || ':' ||
+                   CASE WHEN sum % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END,
+                   '-')) AS given
+        FROM d
+    ),
+    p AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+                 row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                 count(*) OVER (PARTITION BY lang) AS size FROM l),
+    low AS (
+        SELECT g, 0 AS level, pos, size AS n, leaf AS h FROM p
+        UNION ALL
+        SELECT g, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos))
+        FROM low WHERE n > 1 GROUP BY g, level, pos // 8, n
+    ),
+    tops AS (SELECT g, h AS subroot, level AS steps FROM low WHERE n = 1),
+    high AS (
+        SELECT 0 AS level, g AS pos, count(*) OVER () AS n, subroot AS h FROM tops
+        UNION ALL
+        SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY level, pos // 8, n
+    ),
+    root AS (SELECT h AS root FROM high WHERE n = 1),
+    nodes AS (
+        SELECT g, level, pos, h FROM low WHERE n > 1
+        UNION ALL
+        SELECT t.g, t.steps + x.level, x.pos, x.h FROM tops t, high x WHERE x.n > 1
+    ),
+    own AS (
+        SELECT p.id, p.g, k.level,
+               CASE WHEN k.level < t.steps THEN p.pos // (8::BIGINT ** k.level)::BIGINT
+                    ELSE p.g // (8::BIGINT ** (k.level - t.steps))::BIGINT END AS pos
+        FROM p JOIN tops t USING (g) JOIN (SELECT DISTINCT g, level FROM nodes) k USING (g)
+    ),
+    sides AS (
+        SELECT o.id, o.level, coalesce(string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos < o.pos), '') AS lft,
+               coalesce(string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos > o.pos), '') AS rgt
+        FROM own o JOIN nodes x ON x.g = o.g AND x.level = o.level AND x.pos // 8 = o.pos // 8
+        GROUP BY o.id, o.level
+    ),
+    walk AS (
+        SELECT id, 0 AS level, given AS h FROM p
+        UNION ALL
+        SELECT w.id, w.level + 1, sha256(s.lft || w.h || s.rgt) FROM walk w JOIN sides s ON s.id = w.id AND s.level = w.level
+    ),
+    folded AS (SELECT id, arg_max(h, level) AS folded_root FROM walk GROUP BY id),
+    proof AS (SELECT id, sha256(string_agg(lft || rgt, '' ORDER BY level)) AS proof_sha256 FROM sides GROUP BY id)
+    SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+    FROM p JOIN tops USING (g) JOIN folded USING (id) LEFT JOIN proof USING (id) CROSS JOIN root
+    """,
+)
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    columns = docs.columns
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    parts = [F.translate("text", upper, upper.lower()) if c == "text" else F.col(c) for c in columns]
+    load = F.struct("doc_id", F.when(changed, merkle.leaf_hash(*parts)).alias("given"))
+    found = merkle.manifest(docs, columns, "lang", "doc_id", load)
+    folded = merkle.fold(F.coalesce("load.given", "leaf"), F.col("path"))
+    return found.select(
+        "load.doc_id", "leaf", "subroot", "root", merkle.sha(merkle.siblings(F.col("path"))).alias("proof_sha256"),
+        folded.alias("folded_root"), (folded == F.col("root")).alias("verified"),
+    )
