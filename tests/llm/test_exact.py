@@ -1,6 +1,8 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
+
 from wellspring.llm import exact
 
 
@@ -51,3 +53,34 @@ def test_odd_rows(odd, none):
     alone = exact.exact_duplicates(odd).where("doc_id IS NULL").first()
     assert alone.keep_id is None and alone.kept
     assert exact.exact_duplicates(none).count() == 0
+
+
+def _settled(rows, primes=exact.PRIMES):
+    """By text: size, the largest id (null last), and exactly one row kept."""
+    groups = defaultdict(list)
+    for d, t in rows:
+        groups[t or ""].append(d)
+    out = []
+    for ids in groups.values():
+        best = max((d for d in ids if d is not None), default=None)
+        first = True
+        for d in sorted(ids, key=lambda d: d != best):
+            out.append((d, best, len(ids), first))
+            first = False
+    return sorted(out, key=str)
+
+
+ODD = [
+    [(1, "a b c"), (1, "zzz"), (5, "a b c")],
+    [(1, "x"), (1, "x"), (1, "x"), (1, "y"), (2, "y"), (2, "x")],
+    [(None, "x"), (None, "x"), (None, "y"), (3, "y"), (None, None), (4, "")],
+    [(None, "n"), (None, "n"), (None, "m")],
+]
+
+
+@pytest.mark.parametrize("rows", ODD)
+@pytest.mark.parametrize("primes", [exact.PRIMES, (2, 3)])
+def test_repeated_and_null_ids(spark, rows, primes):
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r)[:4] for r in exact.exact_duplicates(frame, primes=primes).collect()]
+    assert sorted(got, key=str) == _settled(rows)

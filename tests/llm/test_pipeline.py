@@ -29,3 +29,13 @@ def test_odd_and_empty(spark, odd, none):
             assert stage(spark, frame, SMALL).count() <= frame.count()
         ids = {r.doc_id for r in corpus_pipeline.pack(spark, frame, SMALL).select("doc_id").collect()}
         assert ids == {r.doc_id for r in frame.select("doc_id").collect()}
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies])
+def test_one_row_of_each_text_stays(spark, odd, stage):
+    kept = [(r.doc_id, r.text) for r in stage(spark, odd, SMALL).collect()]
+    assert sorted(len(t or "") for _, t in kept) == sorted(len(t) for t in {t.strip() if stage is corpus_pipeline.drop_near_copies else t for t in ((r.text or "") for r in odd.collect())})
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (1, "other words here now"), (2, "a b c d e"), (None, "x y z"), (None, "x y z")]
+    given = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.text for r in stage(spark, given, SMALL).collect()))
+    assert kept == ["a b c d e", "other words here now", "x y z"]

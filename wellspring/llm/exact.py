@@ -8,9 +8,12 @@ part by part, as rows of a join, so neither a large group nor a huge text meets
 task. Where a comparison fails (a collision), the texts that differ form the next
 round's groups, until all are settled; the result never rests on the hash alone.
 
+Rows are numbered once, in a stored table. Where texts are read again a row is known by
+its doc_id and the SHA-256 of its text, so one doc_id may have several texts.
+
 Edges: null counts as the empty text. A repeated row is a document like any other; of
-equal texts the largest doc_id stays, a null doc_id only if there is no other, and
-rows that also share that doc_id all carry ``kept``. An empty table gives no rows.
+equal texts the largest doc_id stays, a null doc_id only if there is no other, and of
+rows that also share that doc_id one carries ``kept``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.llm import tables
@@ -102,50 +105,64 @@ def fingerprints(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int =
     return small.select("doc_id", *_SAME, "text_sha256").unionByName(parts.drop("row"))
 
 
+def _node(doc_id: Column, digest: Column) -> Column:
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), digest)
+
+
 def _settle(members: DataFrame, text: DataFrame) -> DataFrame:
-    """Members (doc_id, class key, keep_id) whose text is not that of their keep_id."""
-    asked = members.select("doc_id").unionByName(members.select(F.col("keep_id").alias("doc_id"))).distinct()
+    """Nodes of ``members`` (node, class key, keep_node) whose text is not that of their keep_node."""
+    asked = members.select("node").unionByName(members.select(F.col("keep_node").alias("node"))).distinct()
     begin = F.col("i") * F.lit(COMPARED)
     parts = (
-        text.join(asked, "doc_id", "left_semi")
+        text.join(asked, "node", "left_semi")
         .select(
-            "doc_id", F.encode("text", "UTF-8").alias("data"),
+            "node", F.encode("text", "UTF-8").alias("data"),
             F.explode(F.sequence(F.lit(0), (F.octet_length("text") / COMPARED).cast("int"))).alias("i"),
         )
-        .select("doc_id", "i", F.substring("data", (begin + 1).cast("int"), F.lit(COMPARED)).alias("part"))
+        .groupBy("node", "i")
+        .agg(F.first(F.substring("data", (begin + 1).cast("int"), F.lit(COMPARED))).alias("part"))
     )
     parts = tables.stored(parts)
-    kept = parts.select(F.col("doc_id").alias("keep_id"), "i", F.col("part").alias("kept_part"))
+    kept = parts.select(F.col("node").alias("keep_node"), "i", F.col("part").alias("kept_part"))
     return (
-        members.join(parts, "doc_id")
-        .join(kept, ["keep_id", "i"], "left")
+        members.join(parts, "node")
+        .join(kept, ["keep_node", "i"], "left")
         .where(~F.col("part").eqNullSafe(F.col("kept_part")))
-        .select("doc_id", *_SAME)
+        .select("node")
         .distinct()
     )
 
 
-def stored_groups(known: DataFrame) -> DataFrame:
-    """Size and candidate of each fingerprint, stored, so that a join can split a large group's rows."""
+def _candidates(known: DataFrame, key: list[str]) -> DataFrame:
+    """Size and candidate of each group, stored, so that a join can split a large group's rows."""
+    first = F.max(F.struct("doc_id", (-F.col("row")).alias("back"), "node")).alias("keep")
+    found = known.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"), first)
     return tables.stored(
-        known.groupBy(*_SAME).agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
+        found.select(*key, "group_size", F.col("keep.doc_id").alias("keep_id"), (-F.col("keep.back")).alias("keep_row"), F.col("keep.node").alias("keep_node"))
     )
 
 
+def _differing(settled: DataFrame, text: DataFrame) -> DataFrame:
+    open_ = settled.where("node != keep_node").select("node", "keep_node").distinct()
+    return tables.stored(_settle(open_, text))
+
+
 def exact_duplicates(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int = HUGE) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and the fingerprint, one row per document."""
-    known = tables.stored(fingerprints(docs, primes, huge))
-    text = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    groups = stored_groups(known)
-    settled = known.join(groups, _SAME).withColumn("round", F.lit(0))
-    open_ = settled.where((F.col("group_size") > 1) & (F.col("doc_id") != F.col("keep_id")))
-    differ = tables.stored(_settle(open_.select("doc_id", *_SAME, "keep_id"), text))
+    found = fingerprints(docs, primes, huge)
+    known = tables.stored(
+        found.withColumns({"row": F.monotonically_increasing_id(), "node": _node(F.col("doc_id"), F.col("text_sha256"))})
+    )
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    digest = F.sha2(F.encode(whole, "UTF-8"), 256)
+    text = docs.select(_node(F.col("doc_id").cast("long"), digest).alias("node"), whole.alias("text"))
+    settled = known.join(_candidates(known, _SAME), _SAME)
+    differ = _differing(settled, text)
     if not differ.isEmpty():
         settled = _split(known, text, differ)
     return settled.select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        "text_sha256", *_SAME,
-    )
+        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", *_SAME
+    )
 
 
 def _split(known: DataFrame, text: DataFrame, differ: DataFrame) -> DataFrame:
@@ -153,17 +170,14 @@ def _split(known: DataFrame, text: DataFrame, differ: DataFrame) -> DataFrame:
     classes, round_ = None, 0
     todo = known
     while True:
-        now = todo.join(differ.select("doc_id", F.lit(True).alias("out")), "doc_id", "left")
+        now = todo.join(differ.withColumn("out", F.lit(True)), "node", "left")
         done = now.where(F.col("out").isNull()).drop("out").withColumn("round", F.lit(round_))
         classes = done if classes is None else classes.unionByName(done)
         todo = tables.stored(now.where("out").drop("out"))
         if todo.isEmpty():
             break
         round_ += 1
-        groups = todo.groupBy(*_SAME).agg(F.max("doc_id").alias("keep_id"))
-        members = todo.join(groups, _SAME).where("doc_id != keep_id")
-        differ = tables.stored(_settle(members.select("doc_id", *_SAME, "keep_id"), text))
+        differ = _differing(todo.join(_candidates(todo, _SAME), _SAME), text)
     classes = tables.stored(classes)
     key = [*_SAME, "round"]
-    sizes = classes.groupBy(*key).agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
-    return classes.join(sizes, key)
+    return classes.join(_candidates(classes, key), key)

@@ -3,9 +3,10 @@
 Words are runs of letters and digits in lower case; k-mers are three words, labelled by
 their occurrence in the text. A sketch holds the two k-mers with the smallest hash
 in the order in which they stand, so it agrees only where the texts share k-mers in the
-same order. Documents that agree in one of ``TABLES`` sketches are candidates: at an
-edit similarity of 0.8 by scattered single words a third of the k-mers' union is
-common, and about 0.99 of such pairs agree in some sketch. Texts of ``SHORTEST`` to
+same order. Documents that agree in one of ``TABLES`` sketches are candidates (texts of
+at most ``FEW`` words have ``MORE`` further ones): at an edit similarity of 0.8 a
+quarter (evenly spaced edits, the worst case) to two fifths of the k-mers' union is
+common, and at least 0.95 of such pairs agree in some sketch. Texts of ``SHORTEST`` to
 ``SHORT`` words, where one edit can leave no common k-mer, are candidates as well if
 they are equal after one word at most is left out of each. A link
 is a pair with edit similarity of words (1 - distance / longer length) of at least
@@ -13,18 +14,23 @@ is a pair with edit similarity of words (1 - distance / longer length) of at lea
 all that is joined by links. A shared passage links two texts only where it makes up
 ``SIMILARITY`` of the longer one; shorter ones are left to the substring operator.
 
-Documents with the same words are first taken together; only one per such group
-takes part in what follows. Inside a bucket no list of all pairs is made: all members
-are compared with one centre, the member with the most company over all its buckets
-(the original of a family of copies, as a rule), then the members left over with a
-second centre. Buckets that still hold several classes are compared block against
-block inside tasks: word counts in hash bins rule out nearly all pairs for certain,
-and only the others are aligned, so that no link between candidates is lost and no
-list of the pairs of a large bucket is written.
+Rows with the same words are first taken together; only one per such group takes part
+in what follows. No list of the pairs of a bucket is made: all members are compared
+with one centre, the member with the most company over all its buckets (the original of
+a family of copies, as a rule), then the members left over with a second centre.
+Buckets that still hold several classes are searched inside tasks, which give only
+links that join two classes, fewer than there are members: word counts in hash bins
+rule out nearly all pairs for certain, a pair is tried only in the first group that it
+shares, and only until its classes are one. The members of buckets beyond ``BLOCK`` are
+first split by a prefix filter: two texts at the similarity share one of the rarest
+fifth of their words (and one), so they meet in that word's group, while texts that
+share only a common passage do not. Groups that are still larger are searched block
+against block. No link between candidates is lost.
 
 Edges: null and empty texts are the same text without words; under four words only
-equal word sequences match; rows with one doc_id are one document; a null doc_id is
-in a class of its own; an empty table gives no rows.
+equal word sequences match; rows are numbered, so that one doc_id (or null) may have
+several texts, each in its own class; a class takes the smallest doc_id in it (null if
+all are null), and exactly one row of it is ``kept``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,11 +48,14 @@ from wellspring.llm.words import MASK, ROLL, inverse, lowered, mix, powers, roll
 
 KMER = 3
 SAMPLED = 2
-TABLES = 40
+TABLES = 52
+FEW, MORE = 40, 40
 SIMILARITY = 0.8
 SHORTEST, SHORT = 4, 10
 BINS = 512
-BLOCK = 256
+BLOCK = 1024
+BLOCK_WORDS = 1 << 21
+RARITY_BITS = 16
 
 _KEY = ["key1", "key2", "n_words"]
 
@@ -76,12 +85,12 @@ def labelled(kmers: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def order_sketches(kmers: np.ndarray, first: np.ndarray, tables: int, sampled: int) -> np.ndarray:
+def order_sketches(kmers: np.ndarray, first: np.ndarray, tables: range, sampled: int) -> np.ndarray:
     """(texts, tables) hashes of the ``sampled`` least k-mers in text order; needs texts with k-mers."""
     count = np.diff(first)
     last = np.uint64(MASK)
-    out = np.empty((len(count), tables), np.uint64)
-    for t in range(tables):
+    out = np.empty((len(count), len(tables)), np.uint64)
+    for column, t in enumerate(tables):
         value = kmers ^ np.uint64(((2 * t + 1) * 0x9FB21C651E98DF25) & MASK)
         value *= np.uint64(((2 * t + 1) * 0xD1342543DE82EF95) & MASK | 1)
         value ^= value >> np.uint64(32)
@@ -98,7 +107,7 @@ def order_sketches(kmers: np.ndarray, first: np.ndarray, tables: int, sampled: i
         mixed = np.full(len(count), t + 1, np.uint64)
         for row in at:
             mixed = mix(mixed * np.uint64(ROLL) + kmers[row])
-        out[:, t] = mixed
+        out[:, column] = mixed
     return out
 
 
@@ -120,8 +129,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(at):
                 kmers = labelled(rolling(w.hashes, KMER)[at], doc)
                 full, begin = np.unique(doc, return_index=True)
-                for i, row in zip(full, order_sketches(kmers, np.append(begin, len(at)), TABLES, SAMPLED), strict=True):
+                for i, row in zip(full, order_sketches(kmers, np.append(begin, len(at)), range(TABLES), SAMPLED), strict=True):
                     cells[i] = row
+                some = n[doc] <= FEW
+                if some.any():
+                    full, begin = np.unique(doc[some], return_index=True)
+                    more = order_sketches(kmers[some], np.append(begin, some.sum()), range(TABLES, TABLES + MORE), SAMPLED)
+                    for i, row in zip(full, more, strict=True):
+                        cells[i] = np.concatenate([cells[i], row])
             for i in np.flatnonzero((n >= SHORTEST) & (n <= SHORT)):
                 cells[i] = np.concatenate([cells[i], _shortened(w.hashes[w.first[i] : w.first[i + 1]])])
             ends = np.cumsum([0, *(len(x) for x in cells)]).astype(np.int32)
@@ -129,6 +144,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch["doc_id"].slice(a, b - a),
+                    "text_hash": batch["text_hash"].slice(a, b - a),
                     "key1": keys[0],
                     "key2": keys[1],
                     "n_words": n,
@@ -141,14 +157,12 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, w in _word_runs(batch["text"]):
             part = (w.hashes >> np.uint64(32)).astype("<u4")
-            parts = [part[w.first[i] : w.first[i + 1]] for i in range(b - a)]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch["doc_id"].slice(a, b - a),
-                    "tokens": pa.array([x.tobytes() for x in parts], pa.binary()),
-                    "bins": pa.array([histogram(x).tobytes() for x in parts], pa.binary()),
-                }
-            )
+            parts = [part[w.first[i] : w.first[i + 1]].tobytes() for i in range(b - a)]
+            yield pa.RecordBatch.from_pydict({"node": batch["node"].slice(a, b - a), "tokens": pa.array(parts, pa.binary())})
+
+
+def _words(tokens: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u4") for x in tokens]
 
 
 def histogram(tokens: np.ndarray) -> np.ndarray:
@@ -156,31 +170,73 @@ def histogram(tokens: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(tokens % BINS, minlength=BINS), 32767).astype("<i2")
 
 
-def _possible(least: float):
-    """Pairs of two blocks of a bucket that their bins and classes do not rule out.
+def _spread(tokens: np.ndarray) -> np.ndarray:
+    """Which of the rarity counts each word belongs to."""
+    return (mix(tokens.astype(np.uint64)) >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << RARITY_BITS, np.int64)
+    for batch in batches:
+        for words in _words(batch["tokens"]):
+            total += np.bincount(_spread(np.unique(words)), minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"at": at, "n": total[at]})
+
+
+def prefix(tokens: np.ndarray, rarity: np.ndarray, least: float) -> np.ndarray:
+    """The rarest words (labelled by occurrence) of which two texts at the similarity share one."""
+    if not len(tokens):
+        return np.empty(0, np.int64)
+    named = labelled(tokens.astype(np.uint64), np.zeros(len(tokens), np.int64))
+    order = np.lexsort((named, rarity[_spread(tokens)]))
+    return named[order[: len(tokens) - int(np.ceil(least * len(tokens) - 1e-9)) + 1]].view(np.int64)
+
+
+def _prefixes(rarity: np.ndarray, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [prefix(x, rarity, least) for x in _words(batch["tokens"])]
+            ends = np.cumsum([0, *(len(x) for x in found)]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *found]))
+            yield pa.RecordBatch.from_pydict({"node": batch["node"], "groups": keys})
+
+    return run
+
+
+def _joining(least: float):
+    """Links that join classes, between the members of one block or of two blocks of a group.
 
     Each word that one text has more often in a bin than the other costs an edit, so
-    the pairs left out are certainly below the similarity.
+    the pairs left out by the bins are certainly below the similarity.
     """
 
     def run(t: pa.Table) -> pa.Table:
-        lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
-        ids, n, label, block = (t[c].to_numpy() for c in ("doc_id", "n_words", "label", "block"))
-        bins = np.frombuffer(b"".join(t["bins"].to_pylist()), "<i2").reshape(len(t), BINS)
+        t = t.combine_chunks()
+        lo, hi, group = (t[c][0].as_py() for c in ("lo", "hi", "grp"))
+        ids, n, label, block = (t[c].to_numpy() for c in ("node", "n_words", "label", "block"))
+        words = _words(t["tokens"])
+        bins = np.stack([histogram(x) for x in words])
+        keys = [x.values.to_numpy() for x in t["groups"]]
+        class_ = np.unique(label, return_inverse=True)[1]
         a, b = [], []
         right = np.flatnonzero(block == hi)
         for i in np.flatnonzero(block == lo):
-            some = right[(label[right] != label[i]) & ((lo != hi) | (ids[right] > ids[i]))]
-            longer = np.maximum(n[some], n[i])
+            some = right[(class_[right] != class_[i]) & ((lo != hi) | (ids[right] > ids[i]))]
+            longer, shorter = np.maximum(n[some], n[i]), np.minimum(n[some], n[i])
             most = ((1 - least) * longer + 1e-9).astype(np.int64)
-            some, most = some[longer - np.minimum(n[some], n[i]) <= most], most[longer - np.minimum(n[some], n[i]) <= most]
+            fits = longer - shorter <= most
+            some, most = some[fits], most[fits]
             gap = bins[some].astype(np.int32) - bins[i]
             cost = np.maximum(np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1))
-            found = ids[some[cost <= most]]
-            a.append(np.minimum(found, ids[i]))
-            b.append(np.maximum(found, ids[i]))
-        none = np.empty(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+            for j in some[cost <= most]:
+                if class_[i] == class_[j] or np.intersect1d(keys[i], keys[j], assume_unique=True)[0] != group:
+                    continue
+                if similar(words[i], words[j], least):
+                    class_[class_ == class_[j]] = class_[i]
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+        return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return run
 
@@ -285,47 +341,48 @@ def _align(least: float):
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id it is linked with), n_links and kept, a row per document.
+    """doc_id, class_id (the smallest doc_id it is linked with), kept and text_hash, a row per document.
 
-    ``n_links`` counts the verified links of the document's word sequence to other
-    sequences; ``kept`` marks the one document of each class whose id is the class.
+    ``kept`` marks one row of each class, with the class id as its doc_id; ``text_hash``
+    is the XXH64 of its text, which tells the texts of a repeated doc_id apart.
     """
-    source = docs.select(F.col("doc_id").cast("long"), "text")
-    known = stored(
-        source.mapInArrow(_sketch, "doc_id long, key1 long, key2 long, n_words long, sketches array<long>")
+    source = docs.select(
+        F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
     )
-    same = stored(known.groupBy(*_KEY).agg(F.min("doc_id").alias("rep")))
-    reps = (
-        known.join(same, _KEY).where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n_words", "sketches")
+    schema = "doc_id long, text_hash long, key1 long, key2 long, n_words long, sketches array<long>"
+    known = stored(source.mapInArrow(_sketch, schema).withColumn("row", F.monotonically_increasing_id()))
+    own = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "row")
+    same = stored(known.groupBy(*_KEY).agg(F.min("row").alias("rep"), F.min(own).alias("first")))
+    reps = known.join(same.select("rep"), known["row"] == F.col("rep")).select(
+        F.col("row").alias("node"), "doc_id", "text_hash", "n_words", "sketches"
     )
     members = _buckets(reps)
-    links, labels = _links(members, _member_tokens(source, members), least)
-    count = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    count = count.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
-    classes = same.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(count, "rep", "left")
-    return known.join(classes, _KEY).select(
-        "doc_id",
-        F.coalesce("label", "rep").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.col("doc_id").eqNullSafe(F.coalesce("label", "rep")).alias("kept"),
+    tokens = _member_tokens(source, members, reps)
+    labels = _classes(members, tokens, least)
+    classes = same.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    first = classes.groupBy("label").agg(F.min("first").alias("best"))
+    classes = stored(
+        classes.join(first, "label").select(*_KEY, F.col("best.doc_id").alias("class_id"), F.col("best.row").alias("best"))
     )
+    return known.join(classes, _KEY).select("doc_id", "class_id", (F.col("row") == F.col("best")).alias("kept"), "text_hash")
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
-    """bucket, doc_id, n_words, support for buckets of two members or more."""
-    cells = reps.select(
-        F.explode("sketches").alias("bucket"), "doc_id", "n_words"
-    )
-    sizes = cells.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    """bucket, node, n_words, support for buckets of two members or more."""
+    cells = reps.select(F.explode("sketches").alias("bucket"), "node", "n_words")
+    sizes = stored(cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     shared = stored(cells.join(sizes, "bucket"))
-    support = shared.groupBy("doc_id").agg(F.sum("size").alias("support"))
-    return stored(shared.join(support, "doc_id").drop("size"))
+    support = shared.groupBy("node").agg(F.sum("size").alias("support"))
+    return stored(shared.join(support, "node").drop("size"))
 
 
-def _member_tokens(source: DataFrame, members: DataFrame) -> DataFrame:
-    wanted = members.select("doc_id").distinct()
-    texts = source.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stored(texts.mapInArrow(_tokens, "doc_id long, tokens binary, bins binary"))
+def _member_tokens(source: DataFrame, members: DataFrame, reps: DataFrame) -> DataFrame:
+    wanted = reps.join(members.select("node").distinct(), "node").select(
+        "node", F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash")
+    )
+    met = (source["text_hash"] == F.col("wanted_hash")) & source["doc_id"].eqNullSafe(F.col("wanted_id"))
+    texts = source.join(wanted.hint("merge"), met).select("node", "text").dropDuplicates(["node"])
+    return stored(texts.mapInArrow(_tokens, "node long, tokens binary"))
 
 
 def _fits(least: float):
@@ -334,61 +391,80 @@ def _fits(least: float):
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
-    with_a = pairs.hint("merge").join(tokens.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
-    with_b = with_a.hint("merge").join(tokens.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
+    with_a = pairs.hint("merge").join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
+    with_b = with_a.hint("merge").join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
     return stored(with_b.mapInArrow(_align(least), "a long, b long"))
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-
-
 def _star(members: DataFrame, centres: DataFrame, least: float) -> DataFrame:
     """Pairs of each bucket's centre and its members of another class."""
-    rank = F.max(F.struct("support", (-F.col("doc_id")).alias("back"), "n_words", "label"))
+    rank = F.max(F.struct("support", (-F.col("node")).alias("back"), "n_words", "label"))
     centre = centres.groupBy("bucket").agg(rank.alias("c")).select(
         "bucket", (-F.col("c.back")).alias("other"), F.col("c.n_words").alias("other_words"),
         F.col("c.label").alias("other_label"),
     )
-    return _ordered(members.join(centre, "bucket").where((F.col("label") != F.col("other_label")) & _fits(least)))
-
-
-def _blockwise(left: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
-    """Possible pairs of different classes in each bucket, block against block of about ``BLOCK`` members."""
-    sizes = left.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    pairs = members.join(stored(centre), "bucket").where((F.col("label") != F.col("other_label")) & _fits(least))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with their labels, of buckets that hold several classes."""
+    now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    now = stored(now)
+    open_ = stored(now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi"))
+    return stored(now.join(open_.select("bucket"), "bucket"))
+
+
+def _groups(left: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
+    """grp, node, n_words, label: open buckets, and the rare words that share out the members of large ones."""
+    sizes = stored(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("n_words").alias("words")))
+    large = (F.col("size") > BLOCK) | (F.col("words") > BLOCK_WORDS)
+    dealt = left.join(sizes, "bucket").select(F.col("bucket").alias("grp"), "node", "n_words", "label", large.alias("large"))
+    few = dealt.where(~F.col("large")).drop("large")
+    many = stored(dealt.where("large").select("node", "n_words", "label").distinct())
+    if many.isEmpty():
+        return few
+    asked = stored(tokens.join(many.select("node"), "node", "left_semi"))
+    rarity = np.zeros(1 << RARITY_BITS, np.int64)
+    for r in asked.mapInArrow(_count_words, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        rarity[r["at"]] = r["n"]  # a table of fixed size
+    rare = asked.mapInArrow(_prefixes(rarity, least), "node long, groups array<long>")
+    cells = stored(rare.select("node", F.explode("groups").alias("grp")).join(many, "node"))
+    open_ = stored(cells.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi"))
+    return few.unionByName(cells.join(open_.select("grp"), "grp").select(*few.columns))
+
+
+def _searched(groups: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
+    """Links between the classes of each group, block against block where a group is large."""
+    groups = stored(groups)
+    need = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_words") / BLOCK_WORDS))
+    sizes = stored(groups.groupBy("grp").agg(need.alias("blocks")))
+    own = groups.groupBy("node").agg(F.sort_array(F.collect_list("grp")).alias("groups"))
+    carried = stored(own.join(tokens, "node"))
     dealt = (
-        left.select("bucket", "doc_id", "n_words", "label")
-        .join(sizes, "bucket")
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
-        .join(tokens.select("doc_id", "bins"), "doc_id")
+        groups.join(sizes, "grp")
+        .withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+        .join(carried, "node")
     )
-    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(_possible(least), "a long, b long").distinct()
+    return stored(dealt.groupBy("grp", "lo", "hi").applyInArrow(_joining(least), "a long, b long"))
 
 
-def _links(members: DataFrame, tokens: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """All verified links between candidates that a class could gain from, and the classes they make."""
-    alone = members.withColumn("label", F.col("doc_id"))
+def _classes(members: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
+    """(node, label) of all nodes that verified links join."""
+    alone = members.withColumn("label", F.col("node"))
     tested = stored(_star(alone, alone, least))
-    links = _verified(tested, tokens, least)
-    labels = stored(components(links))
-    for last in (False, True):
-        now = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        open_ = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-        left = stored(now.join(open_.select("bucket"), "bucket"))
-        if left.isEmpty():
-            break
-        if last:
-            pairs = _blockwise(left, tokens, least)
-        else:
-            rank = F.max(F.struct("support", (-F.col("doc_id")).alias("back"), "label")).alias("c")
-            first = left.groupBy("bucket").agg(rank).select("bucket", F.col("c.label").alias("first_label"))
-            rest = left.join(first, "bucket").where("label != first_label").drop("first_label")
-            pairs = _star(left, rest, least)
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = stored(tested.unionByName(pairs))
-        new = _verified(pairs, tokens, least)
-        labels = joined(labels, new)
-        links = links.unionByName(new)
-    return links, labels
+    labels = stored(components(_verified(tested, tokens, least)))
+    left = _open(members, labels)
+    if left.isEmpty():
+        return labels
+    rank = F.max(F.struct("support", (-F.col("node")).alias("back"), "label")).alias("c")
+    first = stored(left.groupBy("bucket").agg(rank).select("bucket", F.col("c.label").alias("first_label")))
+    rest = left.join(first, "bucket").where("label != first_label").drop("first_label")
+    pairs = stored(_star(left, rest, least).join(tested, ["a", "b"], "left_anti"))
+    labels = joined(labels, _verified(pairs, tokens, least))
+    left = _open(left.drop("label"), labels)
+    if left.isEmpty():
+        return labels
+    return joined(labels, _searched(_groups(left, tokens, least), tokens, least))

@@ -38,7 +38,7 @@ def _register(name: str, sql: str | None = None):
     """
     WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-           doc_id = max(doc_id) OVER same AS kept, sha256(text) AS text_sha256
+           row_number() OVER (same ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(text) AS text_sha256
     FROM t WINDOW same AS (PARTITION BY text)
     """,
 )
@@ -93,7 +93,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("op9_order_minhash")
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_duplicates(table(spark, sf_dir, "documents"))
+    return near.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
 @_register("op4_quality")
