@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellspring.llm import decontam, exact, langid, near, packing
@@ -12,9 +12,17 @@ from wellspring.llm.tables import stored, table
 LEAST_SCORE = 0.5
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    ids = kept.select(F.col("doc_id").alias("kept_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+def _kept(docs: DataFrame, found: DataFrame, digest: Column, key: str) -> DataFrame:
+    """The rows of ``docs`` that ``found`` keeps, known by doc_id and a digest of the text; of repeated rows one."""
+    rows = found.groupBy("doc_id", key).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))
+    rows = stored(rows.where("kept").select(F.col("doc_id").alias("kept_id"), F.col(key).alias("kept_key"), "copies"))
+    marked = docs.withColumn("_key", digest)
+    met = marked["doc_id"].eqNullSafe(F.col("kept_id")) & (marked["_key"] == F.col("kept_key"))
+    once = marked.join(rows.where("copies = 1"), met, "left_semi").drop("_key")
+    again = rows.where("copies > 1")
+    if again.isEmpty():
+        return once
+    return once.unionByName(marked.join(again, met, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key"))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +33,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id."""
-    return _only(docs, exact.exact_duplicates(docs).where("kept"))
+    """Of equal texts the document with the largest doc_id; of repeated rows one."""
+    digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+    return _kept(docs, exact.exact_duplicates(docs), digest, "text_sha256")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest doc_id."""
-    return _only(docs, near.near_duplicates(docs).where("kept"))
+    """Of each class of near-duplicates the document with the smallest doc_id; of repeated rows one."""
+    return _kept(docs, near.near_duplicates(docs), F.xxhash64(F.coalesce("text", F.lit(""))), "text_hash")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
