@@ -203,7 +203,7 @@ def test_place_resolution_order(spark):
         [("1", "Baglan tal.", "farmer"), ("2", "near vani", "farmer"), ("3", "Pune Baglan", "society-manager"), ("4", "Mumbai", "farmer"), ("5", "nale", "farmer"), ("6", "a", "farmer"), ("7", "zzz", "farmer"), ("8", "!!", "farmer")],
         "request_id string, place string, role string",
     )
-    got = {r.request_id: (r.status, r.entity_id) for r in places.resolve_places(asked, places.gazetteer(wells), places.city_table(spark)).collect()}
+    got = {r.request_id: (r.status, r.entity_id) for r in places.resolve_places(asked, places.gazetteer(wells)).collect()}
     assert got == {"1": ("ok", "Baglan"), "2": ("ok", "w2"), "3": ("ok", "PUN_KHW"), "4": ("ok", "MUM_ALL"), "5": ("ok", "w3"), "6": ("ambiguous", None), "7": ("unresolved", None), "8": ("unresolved", None)}
 
 

@@ -1,22 +1,38 @@
-"""Gazetteer, free-text place resolution and typeahead, as hash joins.
+"""Gazetteer, free-text place resolution and typeahead over a bounded index.
 
-Substring matching never compares every request with every place. Short
-gazetteer keys are expanded once into their substrings (``request in key``),
-and a request into its substrings (``key in request``); both are then equality
-joins. Only the first few candidates per key travel, with the exact count
-beside them.
+Substring matching never compares every request with every place, and never lists the
+entries of a common substring. The index has one row per text (a key or a substring of
+keys): the exact number of entries that hold it and the first few of them. Requests
+then meet one row per text they ask for.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspring.functions.text import CITY_KEYWORDS, place_key
+from wellspring.operators.lineage import cut_lineage
 
-CANDIDATES_SHOWN = 8
+CANDIDATES_SHOWN = SHOWN = 8
+LISTED = 10
 URBAN_ROLES = ("society-manager", "society-resident")
 
+WHOLE, STARTS, INSIDE = 0, 1, 2
+HELD = 100_000
+SALTS = 16
+HIT = "struct<kind_order:int,list_order:string,entity_id:string,entity_type:string,label:string,n_wells:bigint>"
+
+_HIT = pa.struct(
+    [("kind_order", pa.int32()), ("list_order", pa.string()), ("entity_id", pa.string()),
+     ("entity_type", pa.string()), ("label", pa.string()), ("n_wells", pa.int64())]
+)
+_ANSWER = "struct<entity_type:string,entity_id:string,label:string,n_wells:bigint>"
+_LISTED = ("list_order", "entity_id", "entity_type", "label", "n_wells")
+
 
 def gazetteer(wells: DataFrame) -> DataFrame:
     """Areas and villages with wells behind them, with key and listing order."""
@@ -47,155 +63,200 @@ def gazetteer(wells: DataFrame) -> DataFrame:
     return both.withColumn("key", place_key(F.col("_name"))).drop("_name").where(F.col("key") != "")
 
 
-def city_table(spark: SparkSession) -> DataFrame:
-    rows = [(k, eid, label) for k, (eid, label) in CITY_KEYWORDS.items()]
-    return spark.createDataFrame(rows, "token string, entity_id string, label string")
+def _piece_cells(lengths: frozenset[int]):
+    """Texts of an entry's key and how the key holds each: whole, from its start, or further in."""
 
+    def pieces(key: str) -> dict[str, int]:
+        found = {key[i : i + n]: INSIDE for n in lengths if n < len(key) for i in range(1, len(key) - n + 1)}
+        found |= {key[:n]: STARTS for n in lengths if n < len(key)}
+        return found | {key: WHOLE}
 
-def _hit() -> Column:
-    return F.struct("kind_order", "list_order", "entity_type", "entity_id", "label", "n_wells")
+    return pieces
 
 
-def _first_per_key(gaz: DataFrame, kind: int) -> DataFrame:
-    return gaz.where(F.col("kind_order") == kind).groupBy("key").agg(F.min(_hit()).alias("hit"))
+def _combined(lengths: frozenset[int]):
+    """Partial index of a task: count and first hits per cell, given out whenever ``HELD`` cells are full."""
+    pieces = _piece_cells(lengths)
 
+    def rows(cells: dict) -> pa.RecordBatch:
+        keys = list(cells)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([k[0] for k in keys], pa.string()),
+                pa.array([k[1] for k in keys], pa.int32()),
+                pa.array([k[2] for k in keys], pa.int32()),
+                pa.array([c[0] for c in cells.values()], pa.int64()),
+                pa.array([[h[1] for h in sorted(c[1])[:SHOWN]] for c in cells.values()], pa.list_(_HIT)),
+                pa.array([[h[1] for h in sorted(c[2])[:LISTED]] for c in cells.values()], pa.list_(_HIT)),
+            ],
+            names=["text", "kind_order", "how", "n", "hits", "leads"],
+        )
 
-def lengths_of(df: DataFrame, text: str) -> Column:
-    """The distinct lengths of a text column, as one small array value."""
-    return df.agg(F.collect_set(F.length(text))).scalar()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: dict[tuple[str, int, int], list] = {}
+        for batch in batches:
+            for key, lead, hit in zip(batch["key"].to_pylist(), batch["lead"].to_pylist(), batch["hit"].to_pylist(), strict=True):
+                ordered = ((hit["list_order"], hit["entity_id"], hit["label"]), hit)
+                for text, how in pieces(key).items():
+                    cell = cells.setdefault((text, hit["kind_order"], how), [0, [], []])
+                    cell[0] += 1
+                    for kept, most, counts in ((cell[1], SHOWN, True), (cell[2], LISTED, lead)):
+                        if counts:
+                            kept.append(ordered)
+                            if len(kept) >= 8 * most:
+                                kept.sort()
+                                del kept[most:]
+                if len(cells) >= HELD:
+                    yield rows(cells)
+                    cells = {}
+        if cells:
+            yield rows(cells)
+
+    return run
+
+
+def first_of(lists: str, n: int) -> Column:
+    """The first ``n`` hits of the lists that are aggregated."""
+    return F.slice(F.sort_array(F.flatten(F.collect_list(lists))), 1, n).alias(lists)
+
+
+def place_index(gaz: DataFrame, lengths: Iterable[int]) -> DataFrame:
+    """text, kind_order, how, n, hits, leads: what the gazetteer holds of each text.
+
+    A text is a key or a substring of one with one of ``lengths``. Each entry counts
+    once per text, as ``WHOLE`` key, ``STARTS`` or ``INSIDE``. ``n`` is the exact number
+    of entries, ``hits`` their first ``SHOWN``, ``leads`` the first ``LISTED`` different
+    entities. Tasks combine their entries into bounded cells before the shuffle, and
+    those of a common text meet in ``SALTS`` parts first, so that no cell ever gathers
+    more than a few hits per task.
+    """
+    first = Window.partitionBy("entity_type", "entity_id")
+    lead = F.when(F.col("kind_order") == 0, F.col("list_order") == F.min("list_order").over(first)).otherwise(True)
+    entries = gaz.withColumn("lead", lead).select("key", "lead", _hit().alias("hit"))
+    cell = ["text", "kind_order", "how"]
+    part = f"text string, kind_order int, how int, n long, hits array<{HIT}>, leads array<{HIT}>"
+    partial = entries.mapInArrow(_combined(frozenset(lengths)), part)
+    merged = [F.sum("n").alias("n"), first_of("hits", SHOWN), first_of("leads", LISTED)]
+    salted = partial.withColumn("_salt", F.spark_partition_id() % SALTS).groupBy(*cell, "_salt").agg(*merged)
+    return salted.groupBy(*cell).agg(*merged)
 
 
-def substrings(df: DataFrame, text: str, out: str, lengths: Column) -> DataFrame:
-    """Every distinct substring of ``text`` whose length is one of ``lengths``.
+def _hit() -> Column:
+    return F.struct("kind_order", "list_order", "entity_id", "entity_type", "label", "n_wells")
 
-    Only lengths that exist on the other side can match, so the rows made per
-    text are its length times the number of those lengths.
-    """
-    fits = F.filter("_lengths", lambda n: n <= F.length(text))
-    sized = df.withColumn("_lengths", lengths).withColumn("_len", F.explode(fits))
-    starts = sized.withColumn("_i", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("_len") + 1)))
-    return starts.withColumn(out, F.col(text).substr(F.col("_i"), F.col("_len"))).drop("_i", "_len", "_lengths").distinct()
+
+def lengths_of(df: DataFrame, text: str) -> list[int]:
+    """The distinct lengths of a text column: as many numbers as its longest text has letters, at most."""
+    return [r[0] for r in df.select(F.length(text)).distinct().collect() if r[0]]
+
+
+def _city(token: Column, cities: dict[str, tuple[str, str]]) -> Column:
+    """The city a word names, or null; ``cities`` is a fixed table."""
+    if not cities:
+        return F.lit(None).cast(_ANSWER)
+    named = F.create_map(*(x for k, (eid, label) in cities.items() for x in (F.lit(k), F.struct(F.lit("reservoir").alias("entity_type"), F.lit(eid).alias("entity_id"), F.lit(label).alias("label"), F.lit(None).cast("long").alias("n_wells")))))
+    return F.try_element_at(named, token)
+
+
+def _answer(hit: Column) -> Column:
+    return F.struct(*(hit[c].alias(c) for c in ("entity_type", "entity_id", "label", "n_wells")))
 
 
-def top_hits(df: DataFrame, key: str, n: int = CANDIDATES_SHOWN) -> DataFrame:
-    """First ``n`` candidates per key and the exact number of them.
+def resolve_keys(keys: DataFrame, index: DataFrame, cities: dict[str, tuple[str, str]] = CITY_KEYWORDS) -> DataFrame:
+    """key, area, village, city, n_hits, hits for each distinct (key); null where nothing is found.
 
-    ``row_number() <= n`` is cut down before the shuffle by Spark's window
-    group limit, and the count is an ordinary combined aggregate.
+    Words of a key meet whole gazetteer keys; only keys without such a word and without a
+    city are looked up further: as a text that gazetteer keys hold, and by their own
+    substrings that are gazetteer keys. Both are equality joins with one index row, and
+    the two sets of entries have none in common, so counts add up and first hits merge.
     """
-    w = Window.partitionBy(key).orderBy("kind_order", "list_order", "entity_id")
-    first = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
-    listed = first.groupBy(key).agg(F.sort_array(F.collect_list(_hit())).alias("hits"))
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_hits"))
-    return listed.join(counts, key)
-
-
-def fuzzy_candidates(keys: DataFrame, gaz: DataFrame) -> DataFrame:
-    """(key) rows with every gazetteer entry whose key contains it or lies in it."""
-    entry = gaz.withColumnRenamed("key", "_entry")
-    contained = keys.join(substrings(entry, "_entry", "key", lengths_of(keys, "key")), "key")
-    pieces = substrings(
-        keys.select(F.col("key").alias("_text")), "_text", "_piece", lengths_of(gaz, "key")
-    ).where(F.length("_piece") < F.length("_text"))
-    containing = pieces.join(gaz.withColumnRenamed("key", "_piece"), "_piece").withColumnRenamed("_text", "key")
-    cols = ["key", "kind_order", "list_order", "entity_type", "entity_id", "label", "n_wells"]
-    return contained.select(*cols).unionByName(containing.select(*cols)).distinct()
-
-
-def resolve_places(requests: DataFrame, gaz: DataFrame, cities: DataFrame) -> DataFrame:
+    whole = index.where(F.col("how") == WHOLE)
+    words = keys.select("key", F.posexplode(F.split("key", " ")).alias("_pos", "text")).where(F.col("text") != "")
+    spoken = words.join(whole, "text", "left").groupBy("key").agg(
+        *(F.min(F.when(F.col("kind_order") == kind, F.col("hits")[0])).alias(name) for kind, name in ((0, "area"), (1, "village"))),
+        F.min_by(_city(F.col("text"), cities), F.when(_city(F.col("text"), cities).isNotNull(), F.col("_pos"))).alias("city"),
+    )
+    spoken = cut_lineage(spoken)
+    open_ = spoken.where("area IS NULL AND village IS NULL AND city IS NULL").select("key")
+    own = open_.select("key", F.col("key").alias("text"), F.lit(True).alias("_itself"))
+    sizes = F.array(*(F.lit(n) for n in lengths_of(whole, "text"))).cast("array<int>")
+    fits = F.filter(sizes, lambda n: n < F.length("key"))
+    each = F.flatten(F.transform(fits, lambda n: F.transform(F.sequence(F.lit(1), F.length("key") - n + 1), lambda i: F.substring(F.col("key"), i, n))))
+    pieces = open_.select("key", F.explode(F.array_distinct(each)).alias("text"), F.lit(False).alias("_itself"))
+    met = own.unionByName(pieces).join(index, "text").where(F.col("_itself") | (F.col("how") == WHOLE))
+    fuzzy = met.groupBy("key").agg(F.sum("n").alias("n_hits"), first_of("hits", CANDIDATES_SHOWN))
+    return spoken.join(fuzzy, "key", "left")
+
+
+def place_keys(requests: DataFrame) -> DataFrame:
+    """The different (key) values of a table's ``place`` column."""
+    return requests.select(place_key(F.col("place")).alias("key")).where(F.col("key") != "").distinct()
+
+
+def resolve_places(
+    requests: DataFrame, gaz: DataFrame, cities: dict[str, tuple[str, str]] = CITY_KEYWORDS, index: DataFrame | None = None
+) -> DataFrame:
     """Resolve a table of (request_id, place, role).
 
     City keyword first for society roles; then an area whose key is one of the
     words, a village likewise, any city keyword, and substring candidates: one
     is an answer, several are ambiguous (eight shown), none is unresolved.
-    Repeated texts are resolved once per (key, urban) pair.
+    Repeated texts are resolved once. ``index`` may be a stored ``place_index`` of the
+    gazetteer that holds all substrings.
     """
     asked = requests.withColumns(
-        {"key": place_key(F.col("place")), "_urban": F.col("role").isin(*URBAN_ROLES)}
+        {"key": place_key(F.col("place")), "_urban": F.coalesce(F.col("role").isin(*URBAN_ROLES), F.lit(False))}
     )
-    distinct = asked.select("key", "_urban").distinct()
-    words = distinct.select(
-        "key", "_urban", F.posexplode(F.split("key", " ")).alias("_pos", "token")
-    ).where(F.col("token") != "")
-
-    city = words.join(cities, "token").groupBy("key", "_urban").agg(
-        F.min(
-            F.struct(
-                "_pos", F.lit("reservoir").alias("entity_type"), "entity_id", "label",
-                F.lit(None).cast("long").alias("n_wells"),
-            )
-        ).alias("_c")
+    keys = cut_lineage(place_keys(requests))
+    if index is None:
+        index = cut_lineage(place_index(gaz, lengths_of(keys, "key")))
+    found = resolve_keys(keys, index, cities)
+    out = asked.join(found, "key", "left")
+    answer = (
+        F.when(F.col("_urban") & F.col("city").isNotNull(), F.col("city"))
+        .when(F.col("area").isNotNull(), _answer(F.col("area")))
+        .when(F.col("village").isNotNull(), _answer(F.col("village")))
+        .when(F.col("city").isNotNull(), F.col("city"))
+        .when(F.col("n_hits") == 1, _answer(F.col("hits")[0]))
     )
-
-    def token_hit(kind: int, name: str) -> DataFrame:
-        return (
-            words.join(_first_per_key(gaz, kind).withColumnRenamed("key", "token"), "token")
-            .groupBy("key", "_urban")
-            .agg(F.min("hit").alias(name))
-        )
-
-    found = (
-        distinct.join(city, ["key", "_urban"], "left")
-        .join(token_hit(0, "_area"), ["key", "_urban"], "left")
-        .join(token_hit(1, "_village"), ["key", "_urban"], "left")
-    )
-
-    def fields(prefix: str) -> Column:
-        return F.struct(
-            *[F.col(f"{prefix}.{c}").alias(c) for c in ("entity_type", "entity_id", "label", "n_wells")]
-        )
-
-    exact = (
-        F.when(F.col("_urban") & F.col("_c").isNotNull(), fields("_c"))
-        .when(F.col("_area").isNotNull(), fields("_area"))
-        .when(F.col("_village").isNotNull(), fields("_village"))
-        .when(F.col("_c").isNotNull(), fields("_c"))
-    )
-    found = found.select("key", "_urban", exact.alias("_exact"))
-    open_keys = found.where(F.col("_exact").isNull() & (F.col("key") != "")).select("key").distinct()
-    fuzzy = top_hits(fuzzy_candidates(open_keys, gaz), "key")
-    found = found.join(fuzzy, "key", "left")
-    only = F.when(F.col("n_hits") == 1, F.element_at("hits", 1))
-    answer = F.coalesce(
-        F.col("_exact"),
-        F.when(only.isNotNull(), F.struct(*[only[c].alias(c) for c in ("entity_type", "entity_id", "label", "n_wells")])),
-    )
-    resolved = found.select(
-        "key", "_urban", answer.alias("_a"),
-        F.when(F.col("_exact").isNull() & (F.col("n_hits") > 1), F.transform("hits", lambda h: h["entity_id"])).alias("candidates"),
-    )
-    out = asked.join(resolved, ["key", "_urban"], "left")
-    status = F.when(F.col("_a").isNotNull(), "ok").when(F.col("candidates").isNotNull(), "ambiguous").otherwise("unresolved")
+    out = out.withColumn("_a", answer)
+    several = F.col("_a").isNull() & (F.col("n_hits") > 1)
+    status = F.when(F.col("_a").isNotNull(), "ok").when(several, "ambiguous").otherwise("unresolved")
     return out.select(
         *requests.columns, status.alias("status"), F.col("_a.entity_type").alias("entity_type"),
         F.col("_a.entity_id").alias("entity_id"), F.col("_a.label").alias("label"),
-        F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"),
+        F.when(several, F.col("hits.entity_id")).otherwise(F.array().cast("array<string>")).alias("candidates"),
     )
 
 
-def typeahead(queries: DataFrame, gaz: DataFrame, cities: DataFrame, limit: int = 10) -> DataFrame:
-    """Ranked entries for each (query): area prefix, area substring, village prefix, city prefix."""
+def typeahead(
+    queries: DataFrame, gaz: DataFrame, cities: dict[str, tuple[str, str]] = CITY_KEYWORDS, limit: int = LISTED, index: DataFrame | None = None
+) -> DataFrame:
+    """Ranked entries for each (query): area prefix, area substring, village prefix, city prefix; at most ``LISTED``."""
     asked = queries.select("query", place_key(F.col("query")).alias("key")).where(F.length("key") >= 2)
-    entries = gaz.withColumnRenamed("key", "_entry")
-    areas = substrings(
-        entries.where(F.col("kind_order") == 0), "_entry", "key", lengths_of(asked, "key")
-    ).withColumn(
-        "rank", F.when(F.col("_entry").startswith(F.col("key")), 0).otherwise(1)
-    )
-    prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.length("_entry")), lambda i: F.col("_entry").substr(F.lit(1), i)))
-    villages = entries.where(F.col("kind_order") == 1).withColumn("key", prefixes).withColumn("rank", F.lit(2))
-    city_rows = cities.select(
-        F.lit("reservoir").alias("entity_type"), "entity_id", "label", F.lit(None).cast("long").alias("n_wells"),
-        F.col("token").alias("_entry"), F.col("token").alias("list_order"), F.lit(3).alias("rank"),
-    ).withColumn("key", prefixes)
-    cols = ["key", "rank", "list_order", "entity_type", "entity_id", "label", "n_wells"]
-    index = areas.select(*cols).unionByName(villages.select(*cols)).unionByName(city_rows.select(*cols))
-    keys = asked.select("key").distinct()
-    hits = keys.join(index, "key").groupBy("key", "entity_type", "entity_id").agg(
-        F.min(F.struct("rank", "list_order", "label", "n_wells")).alias("b")
+    keys = cut_lineage(asked.select("key").distinct())
+    if index is None:
+        index = place_index(gaz, lengths_of(keys, "key"))
+    area = F.col("kind_order") == 0
+    rank = F.when(area & (F.col("how") != INSIDE), 0).when(area, 1).when(F.col("how") != INSIDE, 2)
+    ranked = lambda h: F.struct(rank.alias("rank"), *(h[c].alias(c) for c in _LISTED))
+    listed = keys.join(index.where(rank.isNotNull()), F.col("text") == F.col("key")).select(
+        "key", F.transform("leads", ranked).alias("hits")
     )
-    w = Window.partitionBy("key").orderBy("b.rank", "b.list_order", "entity_id")
-    ranked = hits.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
-    return asked.join(ranked, "key").select(
-        "query", "position", "entity_type", "entity_id", F.col("b.label").alias("label"), F.col("b.n_wells").alias("n_wells")
+    rows = [
+        F.struct(
+            F.lit(3).alias("rank"), F.lit(f"{i:06d}").alias("list_order"), F.lit(eid).alias("entity_id"),
+            F.lit("reservoir").alias("entity_type"), F.lit(label).alias("label"), F.lit(None).cast("long").alias("n_wells"),
+        )
+        for i, (eid, label) in enumerate(cities.values())
+    ]
+    starting = [F.when(F.lit(name).startswith(F.col("key")), row) for name, row in zip(cities, rows, strict=True)]
+    towns = F.array_compact(F.array(*starting)) if starting else F.array()
+    ids = F.transform(towns, lambda h: h["entity_id"])
+    once = F.filter(towns, lambda h, i: F.array_position(ids, h["entity_id"]) == i + 1)
+    kinds = "array<struct<rank:int,list_order:string,entity_id:string,entity_type:string,label:string,n_wells:bigint>>"
+    both = listed.select("key", F.col("hits").cast(kinds)).unionByName(keys.select("key", once.cast(kinds).alias("hits")))
+    first = both.groupBy("key").agg(first_of("hits", limit)).select("key", F.posexplode("hits").alias("_at", "h"))
+    return asked.join(first, "key").select(
+        "query", (F.col("_at") + 1).alias("position"), "h.entity_type", "h.entity_id", "h.label", "h.n_wells"
     )

@@ -289,7 +289,7 @@ FROM q LEFT JOIN city c USING (key) LEFT JOIN hit h USING (key) LEFT JOIN fz USI
 @query("PL-2 JN-17 SC-15", _PLACE_SQL)
 def resolved_places(fx):
     gaz = pl.gazetteer(_place_registry(fx))
-    out = pl.resolve_places(_place_requests(fx), gaz, pl.city_table(fx.spark))
+    out = pl.resolve_places(_place_requests(fx), gaz)
     return out.select("request_id", "status", "entity_type", "entity_id", F.array_join("candidates", ",").alias("candidates"))
 
 
@@ -306,7 +306,7 @@ def resolved_places(fx):
 def typeahead(fx):
     n = fx.table("nation", "n_name").select(F.lower(F.substring("n_name", 3, 7)).alias("query")).distinct()
     fixed = fx.spark.createDataFrame([("custo",), ("pu",)], "query string")
-    hits = pl.typeahead(n.unionByName(fixed), pl.gazetteer(fx.base_wells), pl.city_table(fx.spark))
+    hits = pl.typeahead(n.unionByName(fixed), pl.gazetteer(fx.base_wells))
     return hits.select("query", "position", "entity_type", "entity_id")
 
 
