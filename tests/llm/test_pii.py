@@ -80,3 +80,54 @@ def test_odd_rows(odd, none):
     got = {(r.doc_id, r.text): r.n_found for r in pii.pseudonymise(odd).collect()}
     assert got == {(r.doc_id, r.text): 0 for r in odd.select("doc_id", "text").collect()}
     assert pii.pseudonymise(none).count() == 0
+
+
+OTHER_DIGITS = ["१२३-४५-६७८९", "٤١١١ ١١١١ ١١١١ ١١١١", "１２３-４５-６７８９", "٩٧.٥١.١٧.١٧٣", "१९८७-०३-०९", "+１ (０１７) ５５５-７７１３", "4111१ 1111"]
+
+
+@pytest.mark.parametrize("text", OTHER_DIGITS)
+def test_digits_of_other_scripts_are_left(text):
+    assert pii.replace(f"a {text} b", KEY) == (f"a {text} b", [])
+
+
+@pytest.mark.parametrize("n", [17, 255, 256, 400, 5000])
+def test_long_values_are_replaced_whole(n):
+    body = "".join("abcXYZ0189"[i * i % 10] for i in range(n))
+    for value in (f"sk-{body}", f"ghp_{body}", f"{body}x@mail.example.com", f"a.{body}@{body}.org", "e7" * max(16, n)):
+        new, found = pii.replace(f"see {value}, and {value}.", KEY)
+        first, second = re.fullmatch(r"see (.*), and (.*)\.", new).groups()
+        assert first == second and len(first) == len(value) and len(found) == 2
+        same = sum(a == b for a, b in zip(first[4:-4], value[4:-4], strict=True)) / len(value)
+        assert first != value and (n < 255 or same < 0.25)
+        other = value[:5] + ("q" if value[5] != "q" else "r") + value[6:]
+        if "@" not in value and n >= 255 and not value.startswith("e7"):
+            late = pii.pseudonym("key", other, KEY)
+            assert sum(a != b for a, b in zip(late[-60:], first[-60:], strict=True)) > 30
+
+
+def test_long_values_can_be_undone():
+    text = "Ab-12/zZ 09" * 100
+    assert pii.permute_text(pii.permute_text(text, KEY, "x"), KEY, "x", back=True) == text
+
+
+def test_random_text_loses_its_values_and_nothing_else():
+    import random
+
+    draw = random.Random(6)
+    parts = [*CASES.values(), "plain", "१२३", "12", "007", "x@", "@y.com", "--", "é", "(", ")", "+", "0049 170", "sk-short", "日本", "\n", "3.14"]
+    for _ in range(400):
+        text = "".join(draw.choice(parts) + draw.choice([" ", "  ", ", ", "\t", " - "]) for _ in range(draw.randrange(1, 14)))
+        new, found = pii.replace(text, KEY)
+        assert len(new) == len(text) or any(f["kind"] == "ip" for f in found)
+        old, at, back = 0, 0, []
+        for f in found:
+            gap = text[old : f["start"]]
+            assert new[at : at + len(gap)] == gap
+            kind, value = f["kind"], text[f["start"] : f["end"]]
+            kinds = ("ymd", "dmy") if kind == "date" else (kind,)
+            out = next(x for k in kinds if (x := pii.pseudonym(k, value, KEY)))
+            at += len(gap)
+            assert new[at : at + len(out)] == out
+            at, old = at + len(out), f["end"]
+            back.append(value)
+        assert new[at:] == text[old:]

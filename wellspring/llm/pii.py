@@ -17,7 +17,9 @@ the search goes on at the next group. Values of a usual form (a card in one run
 fours, 3-2-4 and 3-3-4 digits) are taken in all of the text before other forms.
 
 Edges: a null text stays null and an empty one empty; equal rows change alike; text
-without validated values comes back unchanged; values longer than any format are left.
+without validated values comes back unchanged. Only ASCII digits make a value: numbers in
+other scripts are left as they are. E-mail names, keys and hex strings may be of any
+length; long ones are permuted piece by piece, each piece keyed by those before it.
 """
 
 from __future__ import annotations
@@ -35,47 +37,56 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 KEY = b"replace this key in production"
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
+#: Longer values are permuted piece by piece, each keyed by the pieces before it.
+PIECE = 128
 FOUND = "doc_id long, text string, n_found long, found array<struct<kind:string,start:long,end:long>>"
 
-START, END = r"(?<![\w.@])", r"(?!\w|[.-]\d)"
-CARD = r"\d(?:[ -]?\d){12,18}"
-CARD_END = re.compile(r"(?<=\d)(?!\w|\.\d)")
-USUAL = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}")
-FOURS = re.compile(r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?(?!\d)")
+START, END = r"(?<![\w.@])", r"(?!\w|[.-][0-9])"
+CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
+CARD_END = re.compile(r"(?<=[0-9])(?!\w|\.[0-9])")
+USUAL = re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}")
+FOURS = re.compile(r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?(?![0-9])")
 #: Kinds in the order in which they are tried at a place: values of a usual form first, in all of the text, then others.
 USUAL_KINDS = [
-    ("ip", r"\d{1,3}(?:\.\d{1,3}){3}" + END),
-    ("ymd", r"\d{4}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{1,2}" + END),
-    ("dmy", r"\d{1,2}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{4}" + END),
-    ("ssn", r"\d{3}-\d{2}-\d{4}" + END),
+    ("ip", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}" + END),
+    ("ymd", r"[0-9]{4}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{1,2}" + END),
+    ("dmy", r"[0-9]{1,2}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{4}" + END),
+    ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + END),
     ("card", CARD),
-    ("phone", r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + END),
-    ("phone", r"(?:\+|00)\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{2,4})[ .-]?(?:\d{5,8}|\d{3,4}[ .-]\d{3,4})" + END),
-    ("phone", r"\+\d{8,15}" + END),
+    ("phone", r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + END),
+    ("phone", r"(?:\+|00)[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})[ .-]?(?:[0-9]{5,8}|[0-9]{3,4}[ .-][0-9]{3,4})" + END),
+    ("phone", r"\+[0-9]{8,15}" + END),
 ]
 OTHER_KINDS = [
     ("card", CARD),
-    ("phone", r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}" + END),
+    ("phone", r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}" + END),
 ]
 NUMBERS = [
     (usual, re.compile(START + "(?:" + "|".join(p for _, p in kinds) + ")"), [(k, re.compile(p)) for k, p in kinds])
     for usual, kinds in ((True, USUAL_KINDS), (False, OTHER_KINDS))
 ]
-IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 IBAN_END = re.compile(r"(?<=[A-Z0-9])\b")
 IBAN_LENGTHS = {
     "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22,
     "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24,
 }
 SECRET = re.compile(
-    r"\b(?:AKIA[0-9A-Z]{16}|(?:gh[pousr]_|sk-|pk-|xox[abp]-)[A-Za-z0-9-]{16,255}"
-    r"|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})\b"
+    r"\b(?:AKIA[0-9A-Z]{16}|(?:gh[pousr]_|sk-|pk-|xox[abp]-)[A-Za-z0-9-]{16,}"
+    r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})\b"
 )
-HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{32,128}\b")
-LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_])?$")
+HEX = re.compile(r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{32,}\b")
+NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 
 
+def _stream(data: bytes, key: bytes, width: int) -> bytes:
+    """``width`` bytes that depend on the key and all of the data."""
+    if width <= 64:
+        return hashlib.blake2b(data, key=key, digest_size=width).digest()
+    return hashlib.shake_256(hashlib.blake2b(data, key=key).digest()).digest(width)
+
+
 def permute(value: int, size: int, key: bytes, kind: str, back: bool = False) -> int:
     """A keyed permutation of 0 .. size - 1, or its inverse."""
     half = max(1, ((size - 1).bit_length() + 1) // 2)
@@ -86,7 +97,7 @@ def permute(value: int, size: int, key: bytes, kind: str, back: bool = False) ->
         for n in range(ROUNDS - 1, -1, -1) if back else range(ROUNDS):
             source = left if back else right
             data = b"%d|%d|" % (n, size) + kind.encode() + source.to_bytes(width, "little")
-            f = int.from_bytes(hashlib.blake2b(data, key=key, digest_size=min(64, max(8, width))).digest(), "little") & mask
+            f = int.from_bytes(_stream(data, key, max(8, width)), "little") & mask
             left, right = (right ^ f, left) if back else (right, left ^ f)
         value = left << half | right
         if value < size:
@@ -100,6 +111,9 @@ def _symbols(text: str) -> list[tuple[str, int]]:
 
 def permute_text(text: str, key: bytes, kind: str, back: bool = False) -> str:
     """All ASCII letters and digits permuted within their kinds and places."""
+    plain = _plain(text)
+    if len(plain) > PIECE:
+        return _put(text, _pieces(plain, key, kind, back, permute_text))
     symbols = _symbols(text)
     value, size = 0, 1
     for c, (base, n) in zip((c for c in text if c.isascii() and c.isalnum()), symbols, strict=True):
@@ -112,6 +126,17 @@ def permute_text(text: str, key: bytes, kind: str, back: bool = False) -> str:
     return _put(text, "".join(reversed(out)))
 
 
+def _pieces(plain: str, key: bytes, kind: str, back: bool, run: Callable[..., str]) -> str:
+    """A long value piece by piece; the secret form of the pieces before tells equal pieces apart."""
+    before, out = b"", []
+    for at in range(0, len(plain), PIECE):
+        piece = plain[at : at + PIECE]
+        new = run(piece, key, kind + before.hex(), back)
+        out.append(new)
+        before = hashlib.blake2b(before + (piece if back else new).encode(), key=key, digest_size=16).digest()
+    return "".join(out)
+
+
 def _put(text: str, plain: str) -> str:
     """``plain`` with the separators of ``text``."""
     given = iter(plain)
@@ -209,8 +234,12 @@ def _key(text: str, key: bytes) -> str | None:
     return text[:keep] + permute_text(text[keep:], key, "key")
 
 
+def _permute_hex(text: str, key: bytes, kind: str, back: bool = False) -> str:
+    return f"{permute(int(text, 16), 1 << (4 * len(text)), key, kind, back):0{len(text)}x}"
+
+
 def _hex(text: str, key: bytes) -> str | None:
-    return f"{permute(int(text, 16), 1 << (4 * len(text)), key, 'hex'):0{len(text)}x}"
+    return _permute_hex(text, key, "hex") if len(text) <= PIECE else _pieces(text, key, "hex", False, _permute_hex)
 
 
 KINDS: dict[str, Callable[[str, bytes], str | None]] = {
@@ -220,18 +249,27 @@ KINDS: dict[str, Callable[[str, bytes], str | None]] = {
 
 
 @lru_cache(100_000)
+def _remembered(kind: str, text: str, key: bytes) -> str | None:
+    return KINDS[kind](text, key)
+
+
 def pseudonym(kind: str, text: str, key: bytes) -> str | None:
     """The pseudonym of a value, or None if it does not hold up as one of its kind."""
-    return KINDS[kind](text, key)
+    return _remembered(kind, text, key) if len(text) <= PIECE else KINDS[kind](text, key)
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     at = text.find("@")
     while at >= 0:
-        local = LOCAL.search(text[max(0, at - 64) : at])
-        domain = DOMAIN.match(text, at + 1, at + 255)
-        if local and domain:
-            yield at - len(local[0]), domain.end()
+        begin = at
+        if at and text[at - 1] in NAME and text[at - 1] not in ".%+-":
+            while begin and text[begin - 1] in NAME:
+                begin -= 1
+            while begin < at and not text[begin].isalnum():
+                begin += 1
+        domain = DOMAIN.match(text, at + 1) if begin < at else None
+        if domain:
+            yield begin, domain.end()
         at = text.find("@", at + 1)
 
 
