@@ -185,6 +185,8 @@ def test_pages_and_weather_payloads(spark):
     pages = spark.createDataFrame([(1, "<td>Upper Vaitarna</td> <td>88.5 %</td> vehar 7%"), (2, "nothing 50%")], "page_id long, html string")
     got = {(r.page_id, r.reservoir_id): r.live_storage_pct for r in readers.percents_from_pages(pages).collect()}
     assert got == {(1, "UPPER_VAITARNA"): 88.5, (1, "VIHAR"): 7.0}
+    pages = spark.createDataFrame([(1, "Tansa full ٤٠ %"), (2, "Tansa ८.५%"), (3, "Tansa 12२ %")], "page_id long, html string")
+    assert {r.page_id: r.live_storage_pct for r in readers.percents_from_pages(pages).collect()} == {1: 40.0, 2: 8.5, 3: 122.0}
     doc = '{"daily":{"time":["2020-01-01","2020-01-02"],"precipitation_sum":[1.0,null]},"hourly":{"time":["2020-01-01T00:00","2020-01-01T01:00"],"soil_moisture_0_to_7cm":[0.2,0.4]}}'
     rows = readers.weather_from_arrays(spark.createDataFrame([("c", doc)], "cell_id string, payload string")).orderBy("date").collect()
     assert rows[0].precip_mm == 1.0 and rows[0].soil_moist_0_7 == pytest.approx(0.3) and rows[0].temp_max is None

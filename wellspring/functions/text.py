@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -42,9 +44,16 @@ def station_id(lat: Column, lon: Column, name: Column, prefix: str) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.md5(key), 1, 10))
 
 
+@cache
+def _decimal_digits() -> tuple[str, str]:
+    """All decimal digits beyond ASCII, and the ASCII digits they stand for."""
+    given = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+    return "".join(given), "".join(str(unicodedata.decimal(c)) for c in given)
+
+
 def ascii_digits(col: Column) -> Column:
-    """Devanagari digits as ASCII ones, which number casts understand."""
-    return F.translate(col, "०१२३४५६७८९", "0123456789")
+    """Decimal digits of all scripts as ASCII ones, which number casts understand."""
+    return F.translate(col, *_decimal_digits())
 
 
 def plain(col: Column) -> Column:

@@ -159,7 +159,7 @@ def percents_from_pages(
     )
     hits = text.select("page_id", F.explode(found).alias("h")).where(F.col("h.pct") != "")
     return hits.groupBy("page_id", "h.reservoir_id").agg(
-        ascii_digits(F.min_by(F.col("h.pct"), F.col("h.ord"))).cast("double").alias("live_storage_pct")
+        ascii_digits(F.min_by(F.col("h.pct"), F.col("h.ord"))).try_cast("double").alias("live_storage_pct")
     )
 
 
