@@ -119,9 +119,10 @@ def _crowd(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("block", [8, 40, 1024])
-def test_large_buckets_are_shared_out_without_loss(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, large", [(8, 1), (16, 3), (1024, 16)])
+def test_large_buckets_are_shared_out_without_loss(spark, monkeypatch, block, large):
     monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "LARGE", large)
     _check(_crowd(spark))
 
 

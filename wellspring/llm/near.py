@@ -17,15 +17,14 @@ all that is joined by links. A shared passage links two texts only where it make
 Rows with the same words are first taken together; only one per such group takes part
 in what follows. No list of the pairs of a bucket is made: all members are compared
 with one centre, the member with the most company over all its buckets (the original of
-a family of copies, as a rule), then the members left over with a second centre.
-Buckets that still hold several classes are searched inside tasks, which give only
-links that join two classes, fewer than there are members: word counts in hash bins
-rule out nearly all pairs for certain, a pair is tried only in the first group that it
-shares, and only until its classes are one. The members of buckets beyond ``BLOCK`` are
+a family of copies, as a rule). Buckets that still hold several classes are searched
+inside tasks, block against block, which give only links that join two classes, fewer
+than there are members: a pair is tried only in the first group that it shares, only
+while its classes differ, and only if word counts in hash bins do not rule it out. The
+members of buckets beyond ``LARGE`` blocks are
 first split by a prefix filter: two texts at the similarity share one of the rarest
 fifth of their words (and one), so they meet in that word's group, while texts that
-share only a common passage do not. Groups that are still larger are searched block
-against block. No link between candidates is lost.
+share only a common passage do not. No link between candidates is lost.
 
 Edges: null and empty texts are the same text without words; under four words only
 equal word sequences match; rows are numbered, so that one doc_id (or null) may have
@@ -55,6 +54,7 @@ SHORTEST, SHORT = 4, 10
 BINS = 512
 BLOCK = 1024
 BLOCK_WORDS = 1 << 21
+LARGE = 16
 RARITY_BITS = 16
 
 _KEY = ["key1", "key2", "n_words"]
@@ -204,6 +204,20 @@ def _prefixes(rarity: np.ndarray, least: float):
     return run
 
 
+def _earlier(groups: pa.ChunkedArray, group: int) -> np.ndarray:
+    """Rows of bits, one for each group that comes before this one and holds several of the members."""
+    lists = groups.combine_chunks()
+    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    flat = lists.flatten().to_numpy()
+    owner, flat = owner[flat < group], flat[flat < group]
+    _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count[number] > 1
+    owner, number = owner[shared], (np.cumsum(count > 1) - 1)[number[shared]]
+    bits = np.zeros((len(lists), int((count > 1).sum() + 63) // 64), np.uint64)
+    np.bitwise_or.at(bits, (owner, number // 64), np.uint64(1) << (number % 64).astype(np.uint64))
+    return bits
+
+
 def _joining(least: float):
     """Links that join classes, between the members of one block or of two blocks of a group.
 
@@ -217,7 +231,7 @@ def _joining(least: float):
         ids, n, label, block = (t[c].to_numpy() for c in ("node", "n_words", "label", "block"))
         words = _words(t["tokens"])
         bins = np.stack([histogram(x) for x in words])
-        keys = [x.values.to_numpy() for x in t["groups"]]
+        before = _earlier(t["groups"], group)
         class_ = np.unique(label, return_inverse=True)[1]
         a, b = [], []
         right = np.flatnonzero(block == hi)
@@ -225,14 +239,12 @@ def _joining(least: float):
             some = right[(class_[right] != class_[i]) & ((lo != hi) | (ids[right] > ids[i]))]
             longer, shorter = np.maximum(n[some], n[i]), np.minimum(n[some], n[i])
             most = ((1 - least) * longer + 1e-9).astype(np.int64)
-            fits = longer - shorter <= most
+            fits = (longer - shorter <= most) & ~(before[some] & before[i]).any(1)
             some, most = some[fits], most[fits]
             gap = bins[some].astype(np.int32) - bins[i]
             cost = np.maximum(np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1))
             for j in some[cost <= most]:
-                if class_[i] == class_[j] or np.intersect1d(keys[i], keys[j], assume_unique=True)[0] != group:
-                    continue
-                if similar(words[i], words[j], least):
+                if class_[i] != class_[j] and similar(words[i], words[j], least):
                     class_[class_ == class_[j]] = class_[i]
                     a.append(min(ids[i], ids[j]))
                     b.append(max(ids[i], ids[j]))
@@ -396,14 +408,13 @@ def _verified(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
     return stored(with_b.mapInArrow(_align(least), "a long, b long"))
 
 
-def _star(members: DataFrame, centres: DataFrame, least: float) -> DataFrame:
-    """Pairs of each bucket's centre and its members of another class."""
-    rank = F.max(F.struct("support", (-F.col("node")).alias("back"), "n_words", "label"))
-    centre = centres.groupBy("bucket").agg(rank.alias("c")).select(
-        "bucket", (-F.col("c.back")).alias("other"), F.col("c.n_words").alias("other_words"),
-        F.col("c.label").alias("other_label"),
-    )
-    pairs = members.join(stored(centre), "bucket").where((F.col("label") != F.col("other_label")) & _fits(least))
+def _star(members: DataFrame, least: float) -> DataFrame:
+    """Pairs of each bucket's centre and its other members."""
+    rank = F.max(F.struct("support", (-F.col("node")).alias("back"), "n_words"))
+    centre = members.groupBy("bucket").agg(rank.alias("c")).select(
+        "bucket", (-F.col("c.back")).alias("other"), F.col("c.n_words").alias("other_words")
+    )
+    pairs = members.join(stored(centre), "bucket").where((F.col("node") != F.col("other")) & _fits(least))
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
@@ -418,7 +429,7 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
 def _groups(left: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
     """grp, node, n_words, label: open buckets, and the rare words that share out the members of large ones."""
     sizes = stored(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("n_words").alias("words")))
-    large = (F.col("size") > BLOCK) | (F.col("words") > BLOCK_WORDS)
+    large = (F.col("size") > LARGE * BLOCK) | (F.col("words") > LARGE * BLOCK_WORDS)
     dealt = left.join(sizes, "bucket").select(F.col("bucket").alias("grp"), "node", "n_words", "label", large.alias("large"))
     few = dealt.where(~F.col("large")).drop("large")
     many = stored(dealt.where("large").select("node", "n_words", "label").distinct())
@@ -453,18 +464,8 @@ def _searched(groups: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
 
 def _classes(members: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
     """(node, label) of all nodes that verified links join."""
-    alone = members.withColumn("label", F.col("node"))
-    tested = stored(_star(alone, alone, least))
-    labels = stored(components(_verified(tested, tokens, least)))
+    labels = stored(components(_verified(stored(_star(members, least)), tokens, least)))
     left = _open(members, labels)
-    if left.isEmpty():
-        return labels
-    rank = F.max(F.struct("support", (-F.col("node")).alias("back"), "label")).alias("c")
-    first = stored(left.groupBy("bucket").agg(rank).select("bucket", F.col("c.label").alias("first_label")))
-    rest = left.join(first, "bucket").where("label != first_label").drop("first_label")
-    pairs = stored(_star(left, rest, least).join(tested, ["a", "b"], "left_anti"))
-    labels = joined(labels, _verified(pairs, tokens, least))
-    left = _open(left.drop("label"), labels)
     if left.isEmpty():
         return labels
     return joined(labels, _searched(_groups(left, tokens, least), tokens, least))
