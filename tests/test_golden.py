@@ -221,30 +221,6 @@ def test_gated_publish_and_run_log(spark, tmp_path):
     assert sorted((r.status, r.rows_out) for r in spark.read.parquet(log).collect()) == [("failed", None), ("ok", 3)]
 
 
-def test_messages_as_a_stream(spark, tmp_path):
-    from wellspring.streaming import messages as ms
-
-    wells = spark.createDataFrame(
-        [("w1", "Baglan", "Nashik", "Vani", 5), ("w2", "Baglan", "Nashik", "Mulher", 9)],
-        "well_id string, taluka string, district string, village string, n_observations int",
-    )
-    users = spark.createDataFrame([("+91reg", "w1", "Baglan")], "phone string, well_id string, entity_id string")
-    start = datetime(2024, 1, 1)
-    script = [("p1", "BOOK"), ("p1", "1"), ("p2", "12"), ("p2", "Baglan"), ("p2", "17,4 m"), ("+91reg", "9.5"), ("p3", "Ward 12 Baglan"), ("p3", "xyz"), ("p3", "help")]
-    rows = [(i, p, b, start + timedelta(minutes=i)) for i, (p, b) in enumerate(script)]
-    schema = "message_id long, phone string, body string, sent_at timestamp"
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    out = ms.message_intents(stream, users, ms.place_tokens(wells, places.gazetteer(wells)))
-    q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
-    q.trigger(availableNow=True).outputMode("append").start().awaitTermination()
-    got = {r.message_id: (r.action, r.well_id, r.level_mbgl) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {
-        0: ("book", None, None), 1: ("booked", None, None), 2: ("ask_place", None, None), 3: ("ask_depth", "w2", None), 4: ("report", "w2", 17.4),
-        5: ("report", "w1", 9.5), 6: ("ask_depth", "w2", None), 7: ("help", None, None), 8: ("help", None, None),
-    }
-
-
 def test_nearest_donor_in_a_dense_town(spark):
     import numpy as np
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wellspring.functions.numeric import half_even
 from wellspring.operators import evaluate as ev
 from wellspring.operators import features as ft
+from wellspring.operators import places as pl
 from wellspring.operators import quality as dq
 from wellspring.operators import reports as rp
 from wellspring.plans import timeseries as ts
@@ -267,38 +268,74 @@ def streamed_reports(fx):
     )
     out = fx.fresh_dir("reports")
     sr.write_reports(
-        reports, fx.readings, fx.base_wells, f"{out}/table", f"{out}/checkpoint", fx.settings
+        reports, fx.readings, fx.base_wells, f"{out}/table", f"{out}/checkpoint", fx.settings, buckets=16
     ).awaitTermination()
     return fx.spark.read.parquet(f"{out}/table").select("report_id", *rp.VERDICT_COLUMNS).withColumns(
         {c: half_even(F.col(c), 5) for c in ("prior_mean", "prior_sd", "z_score", "post_mean", "post_sd")}
     )
 
 
-@query("ST-2", None)
+_INTENTS_SQL = """
+WITH RECURSIVE raw AS (
+  SELECT conv_id * 1000 + turn AS message_id, '+91' || conv_id AS phone, turn, CASE (conv_id + turn) % 10
+    WHEN 0 THEN 'BOOK' WHEN 1 THEN CAST((conv_id + turn) % 3 + 1 AS VARCHAR) WHEN 2 THEN 'depth: 17,4 m' WHEN 3 THEN 'help'
+    WHEN 4 THEN 'near Customer#' || lpad(CAST(conv_id % 40 + 1 AS VARCHAR), 9, '0') WHEN 5 THEN 'Score'
+    WHEN 6 THEN 'note ' || coalesce(length(text), 0) WHEN 7 THEN (turn + 2) || '.5' WHEN 8 THEN 'France Building' ELSE 'xyz ' || role END AS body
+  FROM conversations),
+g AS (SELECT DISTINCT 'taluka' AS et, taluka AS ei, trim(regexp_replace(lower(taluka), '[^a-z0-9]+', ' ', 'g')) AS key, district FROM fx_wells
+      UNION ALL SELECT 'well', well_id, trim(regexp_replace(lower(village), '[^a-z0-9]+', ' ', 'g')), district FROM fx_wells),
+b AS (SELECT DISTINCT body, trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g')) AS key FROM raw),
+hit AS (SELECT body, any_value(et) AS et, any_value(ei) AS ei FROM b JOIN g ON contains(b.key, g.key) OR contains(g.key, b.key) GROUP BY body HAVING count(*) = 1),
+best AS (SELECT taluka, arg_min(well_id, (-n, well_id)) AS well FROM (SELECT taluka, w.well_id, count(o.obs_date) AS n FROM fx_wells w LEFT JOIN fx_obs o USING (well_id) GROUP BY 1, 2) GROUP BY 1),
+c AS (
+  SELECT message_id, phone, row_number() OVER (PARTITION BY phone ORDER BY turn, message_id) AS rn, upper(body) AS up, length(body) AS len,
+         CASE WHEN et = 'well' THEN ei ELSE best.well END AS place, u.well_id AS user_well, u.entity_id AS user_entity,
+         CAST(replace(nullif(regexp_extract(body, '^(?:depth: )?([0-9]+(?:[.,][0-9]+)?)(?: m)?$', 1), ''), ',', '.') AS DOUBLE) AS depth
+  FROM raw LEFT JOIN hit USING (body) LEFT JOIN best ON hit.et = 'taluka' AND best.taluka = hit.ei
+  LEFT JOIN (SELECT '+91' || user_no AS phone, well_id, entity_id FROM fx_users WHERE user_no % 3 = 0 AND entity_id IS NOT NULL) u USING (phone)),
+walk AS (
+  SELECT phone, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS message_id, 'idle' AS step, CAST(NULL AS VARCHAR) AS well, CAST(NULL AS VARCHAR) AS action,
+         CAST(NULL AS DOUBLE) AS depth, CAST(NULL AS VARCHAR) AS up FROM (SELECT DISTINCT phone FROM c)
+  UNION ALL
+  SELECT phone, rn, message_id,
+         CASE WHEN action = 'book' THEN 'choosing' WHEN action IN ('booked', 'report') THEN 'idle' WHEN action = 'ask_depth' THEN 'measuring'
+              WHEN action = 'retry_place' OR (action = 'ask_place' AND up <> 'SCORE') THEN 'placing'
+              WHEN step = 'choosing' AND action = 'help' AND up NOT IN ('HELP', 'MENU', '?') THEN 'idle' ELSE step END,
+         CASE WHEN action = 'report' THEN known WHEN action = 'ask_depth' THEN place ELSE well END, action, depth, up
+  FROM (SELECT w.step, w.well, c.*, coalesce(w.well, c.user_well) AS known,
+          CASE WHEN up IN ('HELP', 'MENU', '?') THEN 'help' WHEN up = 'STOP' THEN 'stop' WHEN up = 'BOOK' THEN 'book'
+               WHEN up = 'SCORE' THEN CASE WHEN user_entity IS NOT NULL OR well IS NOT NULL THEN 'score' ELSE 'ask_place' END
+               WHEN step = 'choosing' AND up IN ('1', '2', '3') THEN 'booked'
+               WHEN step = 'placing' AND depth IS NULL THEN CASE WHEN place IS NULL THEN 'retry_place' ELSE 'ask_depth' END
+               WHEN depth IS NOT NULL THEN CASE WHEN coalesce(well, user_well) IS NULL THEN 'ask_place' ELSE 'report' END
+               WHEN coalesce(well, user_well) IS NOT NULL THEN 'help'
+               WHEN place IS NOT NULL AND len >= 3 THEN 'ask_depth' ELSE 'ask_place' END AS action
+        FROM (SELECT phone, rn AS last, step, well FROM walk) w JOIN c USING (phone) WHERE c.rn = w.last + 1))
+SELECT message_id, phone, action, CASE WHEN action IN ('report', 'ask_depth', 'score') THEN well END AS well_id,
+       CASE WHEN action = 'report' THEN depth END AS level_mbgl, CASE WHEN action = 'booked' THEN up END AS workshop FROM walk WHERE rn > 0"""
+
+
+@query("ST-2", _INTENTS_SQL)
 def streamed_intents(fx):
-    """Conversation turns as messages; each conversation is one phone."""
+    """Conversation turns as messages of a phone; place, depth and menu texts by their number."""
     source = fx.spark.readStream.schema(fx.table("conversations").schema).parquet(f"{fx.dir}/conversations*.parquet")
     k = F.col("conv_id") + F.col("turn")
-    command = (
-        F.when(k % 7 == 0, "BOOK").when(k % 7 == 1, ((k % 3) + 1).cast("string")).when(k % 7 == 2, F.lit("depth: 17,4 m"))
-        .when(k % 7 == 3, F.lit("HELP"))
+    texts = [
+        F.lit("BOOK"), (k % 3 + 1).cast("string"), F.lit("depth: 17,4 m"), F.lit("help"),
+        F.concat(F.lit("near Customer#"), F.lpad((F.col("conv_id") % 40 + 1).cast("string"), 9, "0")), F.lit("Score"),
+        F.concat(F.lit("note "), F.coalesce(F.length("text"), F.lit(0))), F.concat(F.col("turn") + 2, F.lit(".5")),
+        F.lit("France Building"), F.concat(F.lit("xyz "), F.col("role")),
+    ]
+    messages = source.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.concat(F.lit("+91"), F.col("conv_id")).alias("phone"),
+        F.element_at(F.array(*texts), (k % 10 + 1).cast("int")).alias("body"), F.timestamp_seconds(F.col("turn")).alias("sent_at"),
     )
-    # Every text is a message; after some of them a command follows as one of its own.
-    both = F.filter(F.array(F.struct(F.lit(0).alias("i"), F.col("text").alias("body")), F.struct(F.lit(1).alias("i"), command.alias("body"))), lambda m: (m["i"] == 0) | m["body"].isNotNull())
-    messages = source.select("conv_id", "turn", F.explode(both).alias("m")).select(
-        (F.col("conv_id") * 1_000_000 + F.col("turn") * 2 + F.col("m.i")).alias("message_id"),
-        F.concat(F.lit("+91"), F.col("conv_id")).alias("phone"),
-        F.col("m.body").alias("body"), F.timestamp_seconds(F.col("turn") * 2 + F.col("m.i")).alias("sent_at"),
-    )
-    users = fx.users.select(
-        F.concat(F.lit("+91"), F.col("user_no")).alias("phone"), "well_id", "entity_id"
-    )
-    from wellspring.operators.places import gazetteer
-
-    tokens = ms.place_tokens(fx.wells, gazetteer(fx.base_wells))
+    registered = fx.users.where((F.col("user_no") % 3 == 0) & F.col("entity_id").isNotNull())
+    users = registered.select(F.concat(F.lit("+91"), F.col("user_no")).alias("phone"), "well_id", "entity_id")
     out = fx.fresh_dir("intents")
-    stream = ms.message_intents(messages, users, tokens)
-    stream.writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/checkpoint").trigger(
-        availableNow=True
-    ).outputMode("append").start().awaitTermination()
-    return fx.spark.read.parquet(f"{out}/table")
+    ms.write_packets(
+        messages, users, fx.wells, pl.gazetteer(fx.base_wells), f"{out}/packets", f"{out}/checkpoint-in"
+    ).awaitTermination()
+    intents = ms.converse(ms.read_packets(fx.spark, f"{out}/packets"))
+    ms.write_intents(intents, f"{out}/table", f"{out}/checkpoint-out").awaitTermination()
+    return fx.spark.read.schema(ms.INTENTS).parquet(f"{out}/table").drop("sent_at")

@@ -291,6 +291,7 @@ def compose(sql: str) -> str:
         return sql.strip()
     head = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in ordered)
     body = sql.strip()
-    if body.upper().startswith("WITH "):
-        return f"WITH {head},\n{body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{head},\n{body[len(start):]}"
     return f"WITH {head}\n{body}"
