@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wellspring.functions import text
 from wellspring.functions.calendar import strict_date
-from wellspring.operators import ordering, places, prepare, reports, score, series
+from wellspring.operators import evaluate, ordering, places, prepare, reports, score, series
 from wellspring.sources import readers, writers
 
 ANCHORS = str(Path(__file__).parent / "data" / "anchors.csv")
@@ -88,7 +88,7 @@ def test_exact_quantiles_equal_the_plain_ones_under_skew(spark):
         F.when(F.col("id") % 3 == 0, "small").otherwise("hot").alias("g"),
         F.when(F.col("id") % 2 == 0, F.lit(7.0)).otherwise((F.col("id") * 7919 % 4001) / 13.0).alias("v"),
     )
-    got = ordering.exact_quantiles(df, ["g"], "v", {"p10": 0.1, "p50": 0.5, "p90": 0.9, "top": 1.0}, buckets=16).toPandas().set_index("g")
+    got = ordering.exact_quantiles(df, ["g"], "v", {"p10": 0.1, "p50": 0.5, "p90": 0.9, "top": 1.0}, small=10).toPandas().set_index("g")
     want = df.toPandas().groupby("g").v
     for name, share in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9), ("top", 1.0)):
         for g in ("small", "hot"):
@@ -236,3 +236,35 @@ def test_nearest_donor_in_a_dense_town(spark):
         gap = np.hypot(donors[:, 0] - points[i, 0], (donors[:, 1] - points[i, 1]) * scale)
         near = int(got[f"p{i}"][1:])
         assert gap[near] <= gap.min() * 1.0001
+
+
+def test_quantiles_of_ten_million_distinct_values(spark):
+    """Two rounds of cutting leave a few thousand values of the one large group."""
+    n = 10_000_000
+    rows = spark.range(n).select(F.lit("g").alias("g"), ((F.col("id") * 7919) % n).cast("double").alias("v"), F.lit(1).cast("long").alias("w"))
+    few = spark.createDataFrame([("h", 1.0, 2), ("h", 4.0, 1)], "g string, v double, w long")
+    got = {r.g: r for r in ordering.exact_quantiles(rows.unionByName(few), ["g"], "v", {"p10": 0.1, "p50": 0.5, "top": 1.0}, weight="w", small=4096).collect()}
+    assert (got["g"].p10, got["g"].p50, got["g"].top) == (pytest.approx((n - 1) * 0.1), (n - 1) / 2, n - 1.0)
+    assert (got["h"].p50, got["h"].top) == (1.0, 4.0)
+
+
+def test_one_matrix_of_sums_serves_all_variants(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(20, 4, (400, 3))
+    y = 2.5 + x @ [0.5, -0.2, 0.1] + rng.normal(0, 0.1, 400)
+    rows = [(*map(float, a), float(b), "train" if i < 300 else "test") for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    frame = spark.createDataFrame(rows, "a double, b double, c double, level_mbgl double, split string")
+    variants = {"one": ["a"], "all": ["a", "b", "c"], "twice": ["b", "c", "a"]}
+    fits, table = evaluate.autoregressions(frame, variants)
+    for name, xs in variants.items():
+        design = np.column_stack([np.ones(300), *(x[:300, "abc".index(c)] for c in xs)])
+        want = np.linalg.lstsq(design, y[:300], rcond=None)[0]
+        assert np.allclose(list(fits[name].values()), want, rtol=1e-6)
+        test = np.column_stack([np.ones(100), *(x[300:, "abc".index(c)] for c in xs)])
+        [mae] = {r.mae for r in table.where(F.col("variant") == name).collect()}
+        assert mae == pytest.approx(np.abs(test @ want - y[300:]).mean(), rel=1e-6)
+    same = frame.withColumn("b", F.col("a"))
+    fits, _ = evaluate.autoregressions(same, {"v": ["a", "b"]})
+    assert fits["v"]["a"] + fits["v"]["b"] == pytest.approx(evaluate.autoregressions(same, {"v": ["a"]})[0]["v"]["a"], rel=1e-6)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -434,17 +437,48 @@ def line_fit(rows: DataFrame, x: str) -> DataFrame:
     )
 
 
-def autoregression(rows: DataFrame, inputs: list[str], label: str) -> DataFrame:
-    """Pooled least squares over several inputs, fitted on train, scored on test."""
-    assembler = VectorAssembler(inputCols=inputs, outputCol="inputs")
-    model = LinearRegression(featuresCol="inputs", labelCol="level_mbgl", solver="normal").fit(
-        assembler.transform(rows.where(F.col("split") == "train"))
-    )
-    test = model.transform(assembler.transform(rows.where(F.col("split") == "test")))
-    names = ["const", *inputs]
-    values = [model.intercept, *model.coefficients.toArray()]
-    coefs = F.create_map(*[c for n, v in zip(names, values) for c in (F.lit(n), F.lit(round(float(v), 3)))])
-    return test.agg(
-        F.lit(label).alias("variant"), F.count(F.lit(1)).alias("n"),
-        half_even(F.avg(F.abs(F.col("prediction") - F.col("level_mbgl"))), 3).alias("mae"),
-    ).withColumn("coefficients", coefs)
+def gram_sums(rows: DataFrame, inputs: list[str], label: str) -> tuple[np.ndarray, np.ndarray]:
+    """X'X and X'y of all rows, with a constant first: one aggregate that merges like any sum."""
+    names = ["1", *inputs, label]
+    value = lambda n: F.lit(1.0) if n == "1" else F.col(n).cast("double")
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    one = rows.agg(*(F.sum(value(names[i]) * value(names[j])).alias(f"s{i}_{j}") for i, j in pairs)).first()
+    whole = np.zeros((len(names), len(names)))
+    for i, j in pairs:
+        whole[i, j] = whole[j, i] = one[f"s{i}_{j}"] or 0.0
+    return whole[:-1, :-1], whole[:-1, -1]
+
+
+def autoregressions(
+    rows: DataFrame, variants: dict[str, list[str]], label: str = "level_mbgl"
+) -> tuple[dict[str, dict[str, float]], DataFrame]:
+    """Pooled least squares of several variants: coefficients, and a table of them with n and MAE on test.
+
+    The train rows are read once for all variants: each solves its part of the same
+    matrix of sums (k x k numbers, whatever the rows). One more aggregate scores all of
+    them. A variant that the rows do not determine takes the least coefficients.
+    """
+    inputs = list(dict.fromkeys(x for xs in variants.values() for x in xs))
+    train = rows.where(F.col("split") == "train")
+    xx, xy = gram_sums(train, inputs, label)
+    fitted: dict[str, dict[str, float]] = {}
+    for name, xs in variants.items():
+        at = [0, *(1 + inputs.index(x) for x in xs)]
+        scale = 1 / np.sqrt(np.maximum(np.diag(xx)[at], np.finfo(float).tiny))
+        part = xx[np.ix_(at, at)] * np.outer(scale, scale)
+        solved = np.linalg.lstsq(part, xy[at] * scale, rcond=1e-12)[0] * scale
+        fitted[name] = dict(zip(["const", *xs], solved.tolist(), strict=True))
+    test = rows.where(F.col("split") == "test")
+    errors = [F.avg(F.abs(linear(fit) - F.col(label))).alias(f"m{k}") for k, fit in enumerate(fitted.values())]
+    one = test.agg(F.count(F.lit(1)).alias("n"), *errors)
+    lines = [
+        F.struct(F.lit(name).alias("variant"), F.lit(term).alias("term"), F.lit(float(c)).alias("coefficient"), F.col("n"), F.col(f"m{k}").alias("mae"))
+        for k, (name, fit) in enumerate(fitted.items())
+        for term, c in fit.items()
+    ]
+    return fitted, one.select(F.inline(F.array(*lines)))
+
+
+def linear(fit: dict[str, float]) -> Column:
+    """The prediction of a fit as an expression, for rows that have its inputs."""
+    return reduce(lambda a, b: a + b, (F.lit(c) if term == "const" else F.lit(c) * F.col(term) for term, c in fit.items()))

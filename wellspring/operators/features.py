@@ -278,11 +278,15 @@ def leakage_audit(features: DataFrame, readings: DataFrame) -> DataFrame:
     return total.unpivot([], names, "check_name", "n_bad")
 
 
+def split_rank(split: Column) -> Column:
+    """Place of a split in time."""
+    return cal.lookup(SPLIT_ORDER, split)
+
+
 def split_ranges(df: DataFrame, date: str, groups: list[str] | None = None) -> DataFrame:
     """Rows and dates per split, flagged where a split starts before the one ahead ends."""
     groups = groups or []
-    order = cal.lookup(SPLIT_ORDER, F.col("split"))
-    w = Window.partitionBy(*groups).orderBy(order)
+    w = Window.partitionBy(*groups).orderBy(split_rank(F.col("split")))
     return (
         df.groupBy(*groups, "split")
         .agg(F.count(F.lit(1)).alias("n"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))

@@ -18,6 +18,8 @@ from wellspring.functions.calendar import day_number
 from wellspring.operators.lineage import cut_lineage
 from wellspring.sources.writers import first_per_key
 
+SMALL = 1 << 16
+FENCES = 255
 
 def one_per_day(df: DataFrame, key: str, date: str, order: Column) -> DataFrame:
     """One row per (key, date): the first by an explicit order."""
@@ -126,66 +128,82 @@ def value_counts(df: DataFrame, groups: list[str], value: str, name: str) -> Dat
     return cut_lineage(present.groupBy(*groups, value).agg(F.count(F.lit(1)).alias(name)))
 
 
+def _below(cuts: Column, value: Column) -> Column:
+    """How many of ``FENCES`` sorted cuts lie below a value, by halving."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(FENCES.bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.element_at(cuts, at + step) < value, at + step).otherwise(at))
+
+
+def _refined(counted: DataFrame, spans: DataFrame, ranks: DataFrame, groups: list[str]) -> DataFrame:
+    """Parts of the spans that hold a wanted rank: about 1 / 256 of their values each."""
+    key = [*groups, "_lo"]
+    inside = _inside(counted, spans, groups)
+    cuts = [i / (FENCES + 1) for i in range(1, FENCES + 1)]
+    fences = inside.groupBy(*key).agg(F.percentile_approx("_v", cuts, F.lit(20 * FENCES)).alias("_cuts"))
+    placed = _join_groups(inside, fences, key).withColumn("_part", _below(F.col("_cuts"), F.col("_v")))
+    parts = placed.groupBy(*key, "_part").agg(
+        F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_distinct"), F.min("_v").alias("_first"),
+        F.max("_v").alias("_hi"), F.max("_before").alias("_start"),
+    )
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    return _holding(parts.withColumn("_lo", F.col("_first")), ranks, groups)
+
+
+def _holding(spans: DataFrame, ranks: DataFrame, groups: list[str]) -> DataFrame:
+    held = (ranks["_rank"] >= spans["_before"]) & (ranks["_rank"] < spans["_before"] + spans["_rows"])
+    same = [spans[g].eqNullSafe(ranks[g]) for g in groups]
+    return spans.join(ranks, [*same, held], "left_semi").select(*groups, "_lo", "_hi", "_before", "_rows", "_distinct")
+
+
+def _inside(counted: DataFrame, spans: DataFrame, groups: list[str]) -> DataFrame:
+    """Values with the span (first and last value, rows before it) that they lie in."""
+    return _join_groups(counted, spans, groups).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+
+
 def exact_quantiles(
     df: DataFrame,
     groups: list[str],
     value: str,
     shares: dict[str, float],
-    buckets: int = 256,
     weight: str | None = None,
+    small: int = SMALL,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles of groups too large for one task.
 
     ``percentile`` keeps every distinct value of a group in one buffer. Here
-    values are first counted (map-side combined), cut into about ``buckets``
-    ranges by a mergeable sketch, and only the one or two ranges that hold a
-    wanted rank are sorted. The sketch decides how work is spread, never the
-    result. With ``weight`` the frame already holds one row per distinct value
+    values are first counted (map-side combined). A group with at most ``small``
+    distinct values is sorted as it is. Of a larger one only the parts that hold
+    a wanted rank are kept, cut by a mergeable sketch, and cut again until they
+    are small: each round leaves about a 256th, so ten billion distinct values
+    take three. The sketch decides how work is spread, never the result. With
+    ``weight`` the frame already holds one row per distinct value
     (``value_counts``).
     """
     if weight is None:
-        counted = value_counts(df, groups, value, "_n")
+        counted = value_counts(df, groups, value, "_n").withColumnRenamed(value, "_v")
     else:
-        counted = df.select(*groups, value, F.col(weight).alias("_n"))
-    cuts = [i / buckets for i in range(1, buckets)]
-    fences = counted.groupBy(*groups).agg(
-        F.percentile_approx(value, cuts, F.lit(buckets * 20)).alias("_cuts"),
-        F.sum("_n").alias("_total"),
-    )
-    placed = _join_groups(counted, fences, groups).withColumn(
-        "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    )
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bucket_sizes = (
-        placed.groupBy(*groups, "_bucket")
-        .agg(F.sum("_n").alias("_in_bucket"), F.first("_total").alias("_total"))
-        .withColumn("_before", F.coalesce(F.sum("_in_bucket").over(before), F.lit(0)))
-    )
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                ((F.col("_total") - 1) * F.lit(float(share))).alias("pos"),
-            )
-            for name, share in shares.items()
-        ]
-    )
-    ranks = bucket_sizes.withColumn("_want", F.explode(wanted)).select(
-        *groups, "_bucket", "_before", "_in_bucket", "_want.name", "_want.pos"
-    )
-    ranks = ranks.withColumn(
-        "_rank", F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos"))))
-    ).where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_in_bucket")))
-    upto = (
-        Window.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    hot = placed.join(
-        ranks.select(*groups, "_bucket", "_before").distinct(), [*groups, "_bucket"]
-    ).withColumn("_upto", F.col("_before") + F.sum("_n").over(upto))
-    picked = hot.select(
-        *groups, "_bucket", F.col(value).alias("_v"), "_upto", (F.col("_upto") - F.col("_n")).alias("_from")
-    ).join(ranks.select(*groups, "_bucket", "name", "pos", "_rank"), [*groups, "_bucket"])
-    picked = picked.where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_upto")))
+        counted = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"), F.col(weight).alias("_n"))
+    spans = cut_lineage(
+        counted.groupBy(*groups).agg(
+            F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.lit(0).cast("long").alias("_before"),
+            F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_distinct"),
+        )
+    )
+    wanted = F.array(*(F.struct(F.lit(n).alias("name"), ((F.col("_rows") - 1) * F.lit(float(s))).alias("pos")) for n, s in shares.items()))
+    asked = spans.select(*groups, F.inline(wanted))
+    ranks = asked.select("*", F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos")))).alias("_rank"))
+    while True:
+        large = spans.where((F.col("_distinct") > small) & (F.col("_lo") < F.col("_hi")))
+        if large.isEmpty():
+            break
+        rest = spans.where(~((F.col("_distinct") > small) & (F.col("_lo") < F.col("_hi"))))
+        spans = cut_lineage(rest.unionByName(_refined(counted, large, ranks, groups)))
+    upto = Window.partitionBy(*groups, "_lo").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    per_group = ranks.groupBy(*groups).agg(F.collect_list(F.struct("name", "pos", "_rank")).alias("_asked"))
+    sorted_ = _inside(counted, spans.join(per_group, groups), groups).withColumn("_upto", F.col("_before") + F.sum("_n").over(upto))
+    placed = F.filter("_asked", lambda r: (r["_rank"] >= F.col("_upto") - F.col("_n")) & (r["_rank"] < F.col("_upto")))
+    picked = sorted_.select(*groups, "_v", F.inline(placed))
     share_up = F.max("pos") - F.floor(F.max("pos"))
     low, high = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
     one_each = picked.groupBy(*groups, "name").agg((low + (high - low) * share_up).alias("_q"))

@@ -2,38 +2,25 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Collection
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspring.config import DEFAULTS, Settings
-from wellspring.operators.features import split_ranges
-from wellspring.operators.ordering import exact_quantiles, largest_gap
+from wellspring.operators.features import split_rank
+from wellspring.operators.ordering import by_day, exact_quantiles
 from wellspring.operators.prepare import box_condition
-from wellspring.operators.weather import annual_rain, peak_month
+from wellspring.operators.weather import peak_month
 
 
 def stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _checks(df: DataFrame, table: str, checks: dict[str, tuple[Column, Column]], warn: tuple[str, ...] = ()) -> DataFrame:
-    """One-row aggregate ``df`` to one row per check: (passes, measured value)."""
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(table).alias("table_name"),
-                F.lit(name).alias("check_name"),
-                F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("WARN" if name in warn else "FAIL").alias("status"),
-                value.cast("double").alias("measured"),
-            )
-            for name, (ok, value) in checks.items()
-        ]
-    )
-    return df.select(F.inline(rows))
-
-
 def key_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
@@ -63,180 +50,202 @@ def expected_rows(profile: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
-def well_checks(wells: DataFrame, focus: str, settings: Settings = DEFAULTS) -> DataFrame:
-    sy = F.col("specific_yield")
-    one = wells.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(~box_condition(settings)).alias("outside"),
-        F.count_if(F.lower("taluka") == focus.lower()).alias("focus"),
-        F.count_if(sy.isNotNull() & ~sy.between(0.001, 0.35)).alias("bad_sy"),
-        F.count(sy).alias("n_sy"),
-    )
-    return _checks(
-        one, "wells",
-        {
-            "populated": (F.col("n") > 0, F.col("n")),
-            "inside_box": (F.col("outside") == 0, F.col("outside")),
-            "focus_area_has_wells": (F.col("focus") > 0, F.col("focus")),
-            "specific_yield_present": (F.col("n_sy") > 0, F.col("n_sy")),
-            "specific_yield_plausible": (F.col("bad_sy") == 0, F.col("bad_sy")),
-        },
-        warn=("specific_yield_present",),
-    )
+@dataclass(frozen=True)
+class Check:
+    """What is measured of a source, when it is right, and whether a failure only warns."""
 
+    table: str
+    name: str
+    measured: str
+    right: str
+    warn: bool = False
+    source: str | None = None
 
-def reading_checks(readings: DataFrame, wells: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    level = F.col("level_mbgl")
-    one = readings.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max("obs_date").alias("last"),
-        F.count_if(~level.between(0, 100)).alias("bad_level"),
-        F.avg(F.when(F.col("is_last_5y"), 1.0).otherwise(0.0)).alias("recent"),
-        F.count_if(F.col("source") == "synthetic").alias("synthetic"),
-    )
-    ends = F.abs(F.date_diff(F.col("last"), F.lit(settings.gw_end).cast("date")))
-    stale = F.date_diff(F.lit(settings.scenario_date).cast("date"), F.col("last"))
-    rows = _checks(
-        one, "readings",
-        {
-            "populated": (F.col("n") > 0, F.col("n")),
-            "no_synthetic_rows": (F.col("synthetic") == 0, F.col("synthetic")),
-            "end_matches_config": (ends <= 31, ends),
-            "scenario_not_far_past_data": (stale <= 400, stale),
-            "recency_flag_not_constant": ((F.col("recent") > 0) & (F.col("recent") < 1), F.col("recent")),
-            "levels_plausible": (F.col("bad_level") == 0, F.col("bad_level")),
-        },
-        warn=("scenario_not_far_past_data",),
-    )
-    per_well = readings.groupBy("well_id").agg(F.count(F.lit(1)).alias("_n")).agg(F.count_if(F.col("_n") < 8).alias("few"))
-    orphans = readings.join(wells.select("well_id"), "well_id", "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
-    return stack(
-        [
-            rows,
-            _checks(per_well, "readings", {"eight_readings_per_well": (F.col("few") == 0, F.col("few"))}),
-            _checks(orphans, "readings", {"no_orphan_readings": (F.col("orphans") == 0, F.col("orphans"))}),
-        ]
-    )
 
+REQUIRED_FEATURES = ("level", "precip_mm", "rain_30d", "level_lag_30", "target_level_t30", "split")
 
-def daily_checks(daily: DataFrame) -> DataFrame:
-    real = F.col("is_observed")
-    one = daily.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(real).alias("n_real"),
-        F.count_if(~F.col("confidence").between(0, 1)).alias("bad_conf"),
-        F.avg(F.when(real, F.col("confidence"))).alias("conf_real"),
-        F.avg(F.when(~real, F.col("confidence"))).alias("conf_fill"),
-    )
-    share = F.lit(100.0) * F.col("n_real") / F.nullif(F.col("n"), F.lit(0))
-    margin = F.coalesce(F.col("conf_real") - F.col("conf_fill"), F.lit(0.0))
-    gap = largest_gap(daily, "well_id", "date").agg(F.max("max_gap_days").alias("gap"))
-    return stack(
-        [
-            _checks(
-                one, "daily",
-                {
-                    "populated": (F.col("n") > 0, F.col("n")),
-                    "some_rows_observed": (F.col("n_real") > 0, F.col("n_real")),
-                    "not_all_observed": (share < 50, share),
-                    "confidence_in_unit_range": (F.col("bad_conf") == 0, F.col("bad_conf")),
-                    "observed_rows_more_confident": (margin >= 0, margin),
-                },
-            ),
-            _checks(gap, "daily", {"no_calendar_gaps": (F.coalesce(F.col("gap"), F.lit(1)) <= 1, F.col("gap"))}),
-        ]
+#: Expressions over the measures of a source (``_SOURCES``); a null verdict is a failure.
+CHECKS = [
+    Check("wells", "populated", "n", "n > 0"),
+    Check("wells", "inside_box", "outside", "outside = 0"),
+    Check("wells", "focus_area_has_wells", "focus", "focus > 0"),
+    Check("wells", "specific_yield_present", "n_sy", "n_sy > 0", warn=True),
+    Check("wells", "specific_yield_plausible", "bad_sy", "bad_sy = 0"),
+    Check("readings", "populated", "n", "n > 0"),
+    Check("readings", "no_synthetic_rows", "synthetic", "synthetic = 0"),
+    Check("readings", "end_matches_config", "off_end", "off_end <= 31"),
+    Check("readings", "scenario_not_far_past_data", "stale", "stale <= 400", warn=True),
+    Check("readings", "recency_flag_not_constant", "recent / n", "recent > 0 AND recent < n"),
+    Check("readings", "levels_plausible", "bad_level", "bad_level = 0"),
+    Check("readings", "eight_readings_per_well", "few", "few = 0"),
+    Check("readings", "no_orphan_readings", "orphans", "orphans = 0"),
+    Check("daily", "populated", "n", "n > 0"),
+    Check("daily", "some_rows_observed", "n_real", "n_real > 0"),
+    Check("daily", "not_all_observed", "100D * n_real / nullif(n, 0)", "100D * n_real / nullif(n, 0) < 50"),
+    Check("daily", "confidence_in_unit_range", "bad_conf", "bad_conf = 0"),
+    Check("daily", "observed_rows_more_confident", "coalesce(conf_real - conf_fill, 0D)", "coalesce(conf_real - conf_fill, 0D) >= 0"),
+    Check("daily", "no_calendar_gaps", "gap", "coalesce(gap, 1) <= 1"),
+    Check("weather", "populated", "n", "n > 0"),
+    Check("weather", "no_null_rain", "nulls", "nulls = 0"),
+    Check("weather", "peak_in_monsoon", "peak_month", "peak_month BETWEEN 6 AND 9", source="seasons"),
+    Check("weather", "annual_rain_plausible", "median", "median BETWEEN 400 AND 3000", source="years"),
+    Check("weather", "every_well_day_has_weather", "bare", "bare = 0", source="coverage"),
+    Check("reservoir_daily", "populated", "n", "n > 0", warn=True),
+    Check("reservoir_daily", "provenance_on_every_row", "no_source", "no_source = 0"),
+    Check("reservoir_daily", "scenario_day_present", "on_day", "on_day > 0"),
+    Check("features", "populated", "n", "n > 0"),
+    *(Check("features", f"no_nulls_{c}", f"null_{c}", f"null_{c} = 0") for c in REQUIRED_FEATURES),
+    Check("features", "test_has_real_pre_monsoon", "season_match", "season_match > 0"),
+    Check("features", "val_and_test_not_empty", "least(n_val, n_test)", "n_val > 0 AND n_test > 0"),
+    Check("features", "test_not_large", "n_test / nullif(n_train, 0)", "n_test / nullif(n_train, 0) <= 0.6", warn=True),
+    Check("features", "no_duplicate_keys", "dupes", "dupes = 0"),
+    Check("features", "splits_chronological", "overlap", "overlap = 0"),
+]
+
+
+def _wells(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple[DataFrame, dict[str, Column]]:
+    sy = F.col("specific_yield")
+    return t["wells"], {
+        "n": F.count(F.lit(1)),
+        "outside": F.count_if(~box_condition(settings)),
+        "focus": F.count_if(F.lower("taluka") == focus.lower()),
+        "bad_sy": F.count_if(sy.isNotNull() & ~sy.between(0.001, 0.35)),
+        "n_sy": F.count(sy),
+    }
+
+
+def _readings(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple[DataFrame, dict[str, Column]]:
+    """Readings are counted per well first; wells without a registry row are the orphans."""
+    per_well = t["readings"].groupBy("well_id").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.max("obs_date").alias("_last"),
+        F.count_if(~F.col("level_mbgl").between(0, 100)).alias("_bad"),
+        F.count_if("is_last_5y").alias("_recent"),
+        F.count_if(F.col("source") == "synthetic").alias("_synthetic"),
     )
+    known = t["wells"].select("well_id", F.lit(True).alias("_known"))
+    last = F.max("_last")
+    return per_well.join(known, "well_id", "left"), {
+        "n": F.coalesce(F.sum("_n"), F.lit(0)),
+        "off_end": F.abs(F.date_diff(last, F.lit(settings.gw_end).cast("date"))),
+        "stale": F.date_diff(F.lit(settings.scenario_date).cast("date"), last),
+        "bad_level": F.coalesce(F.sum("_bad"), F.lit(0)),
+        "recent": F.sum("_recent"),
+        "synthetic": F.coalesce(F.sum("_synthetic"), F.lit(0)),
+        "few": F.count_if(F.col("_n") < 8),
+        "orphans": F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("_n"))), F.lit(0)),
+    }
+
+
+def _daily(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple[DataFrame, dict[str, Column]]:
+    step = F.date_diff(F.col("date"), F.lag("date").over(by_day("well_id", "date")))
+    real = F.col("is_observed")
+    return t["daily"].withColumn("_step", step), {
+        "n": F.count(F.lit(1)),
+        "n_real": F.count_if(real),
+        "bad_conf": F.count_if(~F.col("confidence").between(0, 1)),
+        "conf_real": F.avg(F.when(real, F.col("confidence"))),
+        "conf_fill": F.avg(F.when(~real, F.col("confidence"))),
+        "gap": F.max("_step"),
+    }
 
 
-def weather_checks(weather: DataFrame, daily: DataFrame, cells: DataFrame, key: str = "cell_id") -> DataFrame:
-    one = weather.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("precip_mm").isNull()).alias("nulls"))
-    # The first and the last year of a series are cut off by its ends.
-    span = weather.groupBy(key).agg(F.min("date").alias("_from"), F.max("date").alias("_to"))
-    whole = (F.make_date("year", F.lit(1), F.lit(1)) >= F.col("_from")) & (F.make_date("year", F.lit(12), F.lit(31)) <= F.col("_to"))
-    annual = annual_rain(weather, key).where(F.col("annual_mm").isNotNull()).join(span, key).where(whole)
-    annual = annual.withColumn("_all", F.lit("all"))
-    median = exact_quantiles(annual, ["_all"], "annual_mm", {"median": 0.5})
-    mapped = daily.join(cells.select("well_id", "cell_id"), "well_id", "left")
-    bare = mapped.join(weather.select("cell_id", "date"), ["cell_id", "date"], "left_anti").agg(
-        F.count(F.lit(1)).alias("bare")
-    )
-    return stack(
-        [
-            _checks(one, "weather", {"populated": (F.col("n") > 0, F.col("n")), "no_null_rain": (F.col("nulls") == 0, F.col("nulls"))}),
-            _checks(peak_month(weather), "weather", {"peak_in_monsoon": (F.col("peak_month").between(6, 9), F.col("peak_month"))}),
-            _checks(median, "weather", {"annual_rain_plausible": (F.col("median").between(400, 3000), F.col("median"))}),
-            _checks(bare, "weather", {"every_well_day_has_weather": (F.col("bare") == 0, F.col("bare"))}),
-        ]
-    )
+def _weather(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple[DataFrame, dict[str, Column]]:
+    return t["weather"], {"n": F.count(F.lit(1)), "nulls": F.count_if(F.col("precip_mm").isNull())}
 
 
-def reservoir_checks(reservoir_daily: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    on = F.col("date") == F.lit(settings.scenario_date).cast("date")
-    one = reservoir_daily.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("source").isNull()).alias("no_source"),
-        F.count_if(on).alias("on_day"),
-    )
-    return _checks(
-        one, "reservoir_daily",
-        {
-            "populated": (F.col("n") > 0, F.col("n")),
-            "provenance_on_every_row": (F.col("no_source") == 0, F.col("no_source")),
-            "scenario_day_present": (F.col("on_day") > 0, F.col("on_day")),
-        },
-        warn=("populated",),
+def _seasons(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple[DataFrame, dict[str, Column]]:
+    return peak_month(t["weather"]), {"peak_month": F.first("peak_month")}
+
+
+def _years(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple[DataFrame, dict[str, Column]]:
+    """Median rain of whole years: the first and the last year of a series are cut off by its ends."""
+    yearly = t["weather"].groupBy("cell_id", F.year("date").alias("year")).agg(
+        F.sum("precip_mm").alias("annual_mm"), F.min("date").alias("_from"), F.max("date").alias("_to")
     )
+    whole = Window.partitionBy("cell_id")
+    first, last = F.make_date("year", F.lit(1), F.lit(1)), F.make_date("year", F.lit(12), F.lit(31))
+    full = (first >= F.min("_from").over(whole)) & (last <= F.max("_to").over(whole))
+    annual = yearly.withColumn("_full", full).where(F.col("_full") & F.col("annual_mm").isNotNull()).select(F.lit("all").alias("_all"), "annual_mm")
+    return exact_quantiles(annual, ["_all"], "annual_mm", {"median": 0.5}), {"median": F.first("median")}
 
 
-REQUIRED_FEATURES = ("level", "precip_mm", "rain_30d", "level_lag_30", "target_level_t30", "split")
+def _coverage(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple[DataFrame, dict[str, Column]]:
+    """Well-days per cell and date, and those without weather; combined before any join with weather."""
+    days = t["daily"].join(t["cells"].select("well_id", "cell_id"), "well_id", "left")
+    days = days.groupBy("cell_id", "date").agg(F.count(F.lit(1)).alias("_n"))
+    bare = days.join(t["weather"].select("cell_id", "date"), ["cell_id", "date"], "left_anti")
+    return bare, {"bare": F.coalesce(F.sum("_n"), F.lit(0))}
 
 
-def feature_checks(features: DataFrame) -> DataFrame:
-    one = features.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in REQUIRED_FEATURES],
-        F.count_if((F.col("split") == "test") & (F.col("season") == "pre_monsoon") & F.col("is_observed")).alias("season_match"),
-        F.count_if(F.col("split") == "train").alias("n_train"),
-        F.count_if(F.col("split") == "val").alias("n_val"),
-        F.count_if(F.col("split") == "test").alias("n_test"),
-    )
-    ratio = F.col("n_test") / F.nullif(F.col("n_train"), F.lit(0))
-    dupes = key_duplicates(features, ["entity_id", "date"]).agg(F.count(F.lit(1)).alias("dupes"))
-    overlap = split_ranges(features, "date", ["entity_type"]).agg(F.count_if("overlaps").alias("overlap"))
-    return stack(
-        [
-            _checks(
-                one, "features",
-                {
-                    "populated": (F.col("n") > 0, F.col("n")),
-                    **{f"no_nulls_{c}": (F.col(f"null_{c}") == 0, F.col(f"null_{c}")) for c in REQUIRED_FEATURES},
-                    "test_has_real_pre_monsoon": (F.col("season_match") > 0, F.col("season_match")),
-                    "val_and_test_not_empty": ((F.col("n_val") > 0) & (F.col("n_test") > 0), F.least("n_val", "n_test")),
-                    "test_not_large": (ratio <= 0.6, ratio),
-                },
-                warn=("test_not_large",),
-            ),
-            _checks(dupes, "features", {"no_duplicate_keys": (F.col("dupes") == 0, F.col("dupes"))}),
-            _checks(overlap, "features", {"splits_chronological": (F.col("overlap") == 0, F.col("overlap"))}),
-        ]
-    )
+def _reservoir(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple[DataFrame, dict[str, Column]]:
+    on = F.col("date") == F.lit(settings.scenario_date).cast("date")
+    return t["reservoir_daily"], {
+        "n": F.count(F.lit(1)), "no_source": F.count_if(F.col("source").isNull()), "on_day": F.count_if(on)
+    }
+
+
+def _features(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple[DataFrame, dict[str, Column]]:
+    """Counts per split first. A key is double where a row repeats the date before it; such
+    rows are seen in the order that the features have been built in, without a shuffle."""
+    order = by_day("entity_id", "date")
+    one, two = F.lag("date", 1).over(order), F.lag("date", 2).over(order)
+    again = (F.col("date") == one) & ~F.coalesce(one == two, F.lit(False))
+    real = (F.col("split") == "test") & (F.col("season") == "pre_monsoon") & F.col("is_observed")
+    rows = t["features"].select("entity_type", "entity_id", "date", "season", "is_observed", *REQUIRED_FEATURES)
+    per_split = rows.withColumn("_again", again).groupBy("entity_type", "split").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("date").alias("_first"), F.max("date").alias("_last"),
+        *[F.count_if(F.col(c).isNull()).alias(f"_{c}") for c in REQUIRED_FEATURES if c != "split"],
+        F.count_if(real).alias("_real"), F.count_if("_again").alias("_again"),
+    )
+    ahead = Window.partitionBy("entity_type").orderBy(split_rank(F.col("split")))
+    per_split = per_split.withColumn("_overlaps", F.coalesce(F.col("_first") <= F.lag("_last").over(ahead), F.lit(False)))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    of = lambda name: total(F.when(F.col("split") == name, F.col("_n")))
+    return per_split, {
+        "n": total("_n"),
+        **{f"null_{c}": total(f"_{c}") for c in REQUIRED_FEATURES if c != "split"},
+        "null_split": total(F.when(F.col("split").isNull(), F.col("_n"))),
+        "season_match": total("_real"), "n_train": of("train"), "n_val": of("val"), "n_test": of("test"),
+        "dupes": total("_again"), "overlap": F.count_if("_overlaps"),
+    }
+
+
+_SOURCES = {
+    "wells": _wells, "readings": _readings, "daily": _daily, "weather": _weather, "seasons": _seasons, "years": _years,
+    "coverage": _coverage, "reservoir_daily": _reservoir, "features": _features,
+}
 
 
 def run_checks(
-    wells: DataFrame, readings: DataFrame, daily: DataFrame, weather: DataFrame, cells: DataFrame,
-    reservoir_daily: DataFrame, features: DataFrame, focus: str, settings: Settings = DEFAULTS,
+    tables: dict[str, DataFrame], focus: str, settings: Settings = DEFAULTS, names: Collection[str] | None = None
 ) -> DataFrame:
-    """Every named check over all tables: PASS, WARN or FAIL with the measured value."""
-    return stack(
-        [
-            well_checks(wells, focus, settings),
-            reading_checks(readings, wells, settings),
-            daily_checks(daily),
-            weather_checks(weather, daily, cells),
-            reservoir_checks(reservoir_daily, settings),
-            feature_checks(features),
-        ]
-    )
+    """Every named check: PASS, WARN or FAIL with the measured value.
+
+    ``tables`` holds wells, readings, daily, weather, cells, reservoir_daily and features.
+    The checks of a source become one aggregate over it, of the measures that they name
+    and no others; ``names`` builds only those checks and their sources. Tables that
+    several sources read (daily, weather) should be stored.
+    """
+    chosen = [c for c in CHECKS if names is None or c.name in names]
+    by_source: dict[str, list[Check]] = {}
+    for c in chosen:
+        by_source.setdefault(c.source or c.table, []).append(c)
+    frames = []
+    for source, checks in by_source.items():
+        rows, measures = _SOURCES[source](tables, focus, settings)
+        used = {w for c in checks for w in re.findall(r"\w+", f"{c.measured} {c.right}")}
+        one = rows.agg(*(m.alias(n) for n, m in measures.items() if n in used))
+        verdicts = [
+            F.struct(
+                F.lit(c.table).alias("table_name"), F.lit(c.name).alias("check_name"),
+                F.when(F.coalesce(F.expr(c.right), F.lit(False)), "PASS").otherwise("WARN" if c.warn else "FAIL").alias("status"),
+                F.expr(c.measured).cast("double").alias("measured"),
+            )
+            for c in checks
+        ]
+        frames.append(one.select(F.inline(F.array(*verdicts))))
+    return stack(frames)
 
 
 def exit_status(checks: DataFrame) -> DataFrame:

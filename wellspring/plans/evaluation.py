@@ -10,8 +10,9 @@ from wellspring.operators import features as ft
 from wellspring.operators import places as pl
 from wellspring.operators import quality as dq
 from wellspring.operators import reports as rp
+from wellspring.operators.lineage import cut_lineage
 from wellspring.plans import timeseries as ts
-from wellspring.plans.fixtures import HORIZONS
+from wellspring.plans.fixtures import HORIZONS, SETTINGS
 from wellspring.plans.registry import query
 from wellspring.plans.scoring import _CR1
 from wellspring.plans.sql_views import r
@@ -195,11 +196,37 @@ def line_fits(fx):
     return both.withColumns({c: half_even(F.col(c), 5) for c in ("const", "slope", "mae")})
 
 
-@query("ML-3")
+_VARIANTS = {
+    "climatology": ["clim"],
+    "last reading": ["lag_1"],
+    "lags": ["lag_1", "lag_2", "lag_3", "lag_4"],
+    "lags + climatology": ["lag_1", "lag_2", "lag_3", "lag_4", "clim"],
+}
+
+
+def _normal_equations(variant: str, inputs: list[str]) -> str:
+    """Sums of products, Gauss-Jordan elimination over them, and the error on test."""
+    terms = ["1e0", *inputs]
+    rows = ", ".join("[" + ", ".join(f"sum({a}*{b})" for b in [*terms, "level_mbgl"]) + "]" for a in terms)
+    size, pred = len(terms), " + ".join(f"c[{i + 1}]*{t}" for i, t in enumerate(terms))
+    names = ", ".join(f"'{t}'" for t in ["const", *inputs])
+    return f"""
+      SELECT '{variant}' AS variant, t.term, {r('c[t.i]', 3)} AS coefficient, n, {r('mae', 3)} AS mae FROM (
+        WITH RECURSIVE e AS (
+          SELECT 0 AS k, [{rows}] AS m FROM s WHERE split = 'train'
+          UNION ALL
+          SELECT k + 1, list_transform(m, lambda row, i: CASE WHEN i = k + 1 THEN list_transform(row, lambda x: x / row[k + 1])
+                 ELSE list_transform(row, lambda x, j: x - row[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM e WHERE k < {size})
+        SELECT any_value(c) AS c, count(*) AS n, avg(abs({pred} - level_mbgl)) AS mae
+        FROM s, (SELECT list_transform(m, lambda row: row[{size + 1}]) AS c FROM e WHERE k = {size}) WHERE split = 'test') x,
+        (SELECT unnest([{names}]) AS term, unnest(range(1, {size + 1})) AS i) t"""
+
+
+@query("ML-3", f"WITH s AS ({_SEQ})" + " UNION ALL ".join(_normal_equations(v, xs) for v, xs in _VARIANTS.items()))
 def autoregressions(fx):
     rows = ev.sequence_rows(fx.readings, 4, fx.settings)
-    lags = [f"lag_{i}" for i in range(1, 5)]
-    return ev.autoregression(rows, lags, "lags").unionByName(ev.autoregression(rows, [*lags, "clim"], "lags + climatology"))
+    _, table = ev.autoregressions(rows, _VARIANTS)
+    return table.withColumns({c: half_even(F.col(c), 3) for c in ("coefficient", "mae")})
 
 
 @query("ML-2 PR-13")
@@ -212,12 +239,66 @@ def residual_model_metrics(fx):
 
 
 # -------------------------------------------------------------------- quality
-@query("DQ-1")
+_CHECK_SQL = {
+    "w": (
+        "SELECT count(*) AS n, count(*) FILTER (NOT (lat BETWEEN 15.6 AND 22.1 AND lon BETWEEN 72.6 AND 80.9)) AS outside, count(*) FILTER (lower(taluka) = 'nation_1-machinery') AS focus, count(specific_yield) AS n_sy, count(*) FILTER (NOT specific_yield BETWEEN 0.001 AND 0.35) AS bad_sy FROM fx_registry",
+        "wells",
+        [("populated", "n", "n > 0"), ("inside_box", "outside", "outside = 0"), ("focus_area_has_wells", "focus", "focus > 0"), ("specific_yield_present", "n_sy", "n_sy > 0"), ("specific_yield_plausible", "bad_sy", "bad_sy = 0")],
+    ),
+    "o": (
+        "SELECT count(*) AS n, count(*) FILTER (source = 'synthetic') AS synthetic, abs(max(obs_date) - DATE '{gw_end}') AS off_end, DATE '{scenario_date}' - max(obs_date) AS stale, count(*) FILTER (is_last_5y) AS recent, count(*) FILTER (NOT level_mbgl BETWEEN 0 AND 100) AS bad_level, (SELECT count(*) FROM (SELECT 1 FROM fx_obs GROUP BY well_id HAVING count(*) < 8)) AS few, (SELECT count(*) FROM fx_obs WHERE well_id NOT IN (SELECT well_id FROM fx_wells)) AS orphans FROM fx_obs",
+        "readings",
+        [("populated", "n", "n > 0"), ("no_synthetic_rows", "synthetic", "synthetic = 0"), ("end_matches_config", "off_end", "off_end <= 31"), ("scenario_not_far_past_data", "stale", "stale <= 400"), ("recency_flag_not_constant", "recent * 1e0 / n", "recent > 0 AND recent < n"), ("levels_plausible", "bad_level", "bad_level = 0"), ("eight_readings_per_well", "few", "few = 0"), ("no_orphan_readings", "orphans", "orphans = 0")],
+    ),
+    "d": (
+        "SELECT count(*) AS n, count(*) FILTER (is_observed) AS n_real, count(*) FILTER (NOT confidence BETWEEN 0 AND 1) AS bad_conf, coalesce(avg(confidence) FILTER (is_observed) - avg(confidence) FILTER (NOT is_observed), 0) AS margin, max(step) AS gap FROM (SELECT *, date - lag(date) OVER (PARTITION BY well_id ORDER BY date) AS step FROM fx_daily)",
+        "daily",
+        [("populated", "n", "n > 0"), ("some_rows_observed", "n_real", "n_real > 0"), ("not_all_observed", "100e0 * n_real / n", "100e0 * n_real / n < 50"), ("confidence_in_unit_range", "bad_conf", "bad_conf = 0"), ("observed_rows_more_confident", "margin", "margin >= 0"), ("no_calendar_gaps", "gap", "coalesce(gap, 1) <= 1")],
+    ),
+    "m": (
+        "SELECT count(*) AS n, count(*) FILTER (precip_mm IS NULL) AS nulls, (SELECT arg_max(mo, (p, -mo)) FROM (SELECT month(date) AS mo, avg(precip_mm) AS p FROM fx_weather GROUP BY 1)) AS peak, (SELECT quantile_cont(mm, 0.5) FROM (SELECT cell_id, year(date) AS y, sum(precip_mm) AS mm, max(lo) AS lo, max(hi) AS hi FROM (SELECT *, min(date) OVER (PARTITION BY cell_id) AS lo, max(date) OVER (PARTITION BY cell_id) AS hi FROM fx_weather) GROUP BY 1, 2) WHERE make_date(y, 1, 1) >= lo AND make_date(y, 12, 31) <= hi) AS median, (SELECT count(*) FROM fx_daily d LEFT JOIN fx_cells c USING (well_id) WHERE NOT EXISTS (SELECT 1 FROM fx_weather x WHERE x.cell_id = c.cell_id AND x.date = d.date)) AS bare FROM fx_weather",
+        "weather",
+        [("populated", "n", "n > 0"), ("no_null_rain", "nulls", "nulls = 0"), ("peak_in_monsoon", "peak", "peak BETWEEN 6 AND 9"), ("annual_rain_plausible", "median", "median BETWEEN 400 AND 3000"), ("every_well_day_has_weather", "bare", "bare = 0")],
+    ),
+    "v": (
+        "SELECT count(*) AS n, count(*) FILTER (source IS NULL) AS no_source, count(*) FILTER (date = DATE '{scenario_date}') AS on_day FROM fx_reservoir",
+        "reservoir_daily",
+        [("populated", "n", "n > 0"), ("provenance_on_every_row", "no_source", "no_source = 0"), ("scenario_day_present", "on_day", "on_day > 0")],
+    ),
+    "f": (
+        "SELECT count(*) AS n, "
+        + ", ".join(f"count(*) FILTER ({c} IS NULL) AS null_{c}" for c in dq.REQUIRED_FEATURES)
+        + f", count(*) FILTER (split = 'test' AND month(date) IN (3, 4, 5) AND is_observed) AS season_match, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val, count(*) FILTER (split = 'test') AS n_test, (SELECT count(*) FROM (SELECT 1 FROM ff GROUP BY entity_id, date HAVING count(*) > 1)) AS dupes, (SELECT count(*) FROM (SELECT lo <= lag(hi) OVER (ORDER BY array_position(['train', 'val', 'test'], split)) AS bad FROM (SELECT split, min(date) AS lo, max(date) AS hi FROM ff GROUP BY 1)) WHERE bad) AS overlap FROM ff",
+        "features",
+        [("populated", "n", "n > 0"), *((f"no_nulls_{c}", f"null_{c}", f"null_{c} = 0") for c in dq.REQUIRED_FEATURES), ("test_has_real_pre_monsoon", "season_match", "season_match > 0"), ("val_and_test_not_empty", "least(n_val, n_test)", "n_val > 0 AND n_test > 0"), ("test_not_large", "n_test * 1e0 / n_train", "n_test * 1e0 / n_train <= 0.6"), ("no_duplicate_keys", "dupes", "dupes = 0"), ("splits_chronological", "overlap", "overlap = 0")],
+    ),
+}
+_WARNS = {"specific_yield_present", "scenario_not_far_past_data", "test_not_large"}
+
+
+def _all_checks_sql() -> str:
+    sources = ", ".join(f"{k} AS ({text.format(gw_end=SETTINGS.gw_end, scenario_date=SETTINGS.scenario_date)})" for k, (text, _, _) in _CHECK_SQL.items())
+    rows = [
+        f"SELECT '{table}' AS table_name, '{name}' AS check_name, CASE WHEN {ok} THEN 'PASS' ELSE '{'WARN' if name in _WARNS or (table, name) == ('reservoir_daily', 'populated') else 'FAIL'}' END AS status, {r(f'CAST({value} AS DOUBLE)', 6)} AS measured FROM {k}"
+        for k, (_, table, checks) in _CHECK_SQL.items()
+        for name, value, ok in checks
+    ]
+    return f"WITH ff AS ({ts.RURAL_FEATURES}), {sources} " + " UNION ALL ".join(rows)
+
+
+def _tables(fx) -> dict:
+    """The tables under check; those that several checks read are stored."""
+    fx.daily, fx.weather = cut_lineage(fx.daily), cut_lineage(fx.weather)
+    return {
+        "wells": fx.wells, "readings": fx.readings, "daily": fx.daily, "weather": fx.weather, "cells": fx.cells,
+        "reservoir_daily": fx.reservoir_daily, "features": ts.rural_features(fx),
+    }
+
+
+@query("DQ-1", _all_checks_sql())
 def quality_checks(fx):
-    return dq.run_checks(
-        fx.wells, fx.readings, fx.daily, fx.weather, fx.cells, fx.reservoir_daily, ts.rural_features(fx),
-        "NATION_1-MACHINERY", fx.settings,
-    )
+    checks = dq.run_checks(_tables(fx), "NATION_1-MACHINERY", fx.settings)
+    return checks.withColumn("measured", half_even(F.col("measured"), 6))
 
 
 @query(
@@ -233,12 +314,12 @@ def quality_checks(fx):
     SELECT table_name, check_name, CASE WHEN bad = 0 THEN 'PASS' ELSE 'FAIL' END AS status, CAST(bad AS DOUBLE) AS measured FROM c""",
 )
 def zero_count_checks(fx):
-    """The checks that count offending rows, next to the same counts in SQL."""
+    """The checks that count offending rows, built alone, next to the same counts in SQL."""
     names = (
         "eight_readings_per_well", "no_orphan_readings", "levels_plausible", "confidence_in_unit_range", "no_null_rain",
         "no_nulls_precip_mm", "no_duplicate_keys",
     )
-    return quality_checks(fx).where(F.col("check_name").isin(*names))
+    return dq.run_checks(_tables(fx), "NATION_1-MACHINERY", fx.settings, names)
 
 
 @query(
@@ -252,8 +333,8 @@ def zero_count_checks(fx):
 def gate_status(fx):
     """The gate over three counting checks of readings with planted impossible levels."""
     level = F.when(F.dayofmonth("obs_date") == 1, F.col("level_mbgl") + 1000).otherwise(F.col("level_mbgl"))
-    checks = dq.reading_checks(fx.readings.withColumn("level_mbgl", level), fx.base_wells, fx.settings)
-    return dq.exit_status(checks.where(F.col("check_name").isin("eight_readings_per_well", "no_orphan_readings", "levels_plausible")))
+    tables = {"readings": fx.readings.withColumn("level_mbgl", level), "wells": fx.base_wells}
+    return dq.exit_status(dq.run_checks(tables, "", fx.settings, ("eight_readings_per_well", "no_orphan_readings", "levels_plausible")))
 
 
 # -------------------------------------------------------------------- streams

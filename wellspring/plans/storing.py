@@ -52,8 +52,7 @@ def published_readings(fx):
     """A snapshot published behind checks that pass, after one that is refused."""
     root = fx.fresh_dir("published")
     rows = fx.readings.select("well_id", "obs_date", "level_mbgl")
-    checks = dq.reading_checks(fx.readings, fx.base_wells, fx.settings)
-    plausible = checks.where(F.col("check_name") == "levels_plausible")
+    plausible = dq.run_checks({"readings": fx.readings, "wells": fx.base_wells}, "", fx.settings, ("levels_plausible",))
     refused = plausible.withColumn("status", F.lit("FAIL"))
     if writers.publish(rows, refused, root, "1") or not writers.publish(rows, plausible, root, "2"):
         raise RuntimeError("the gate did not hold")
