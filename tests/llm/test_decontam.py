@@ -77,3 +77,19 @@ def test_odd_rows(spark, odd, none, docs):
     assert decontam.contaminated(none, benchmark).count() == 0
     assert decontam.contaminated(docs, benchmark.limit(0)).count() == 0
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(odd, strange).collect()} == {(4, 4), (5, 4)}
+
+
+def test_a_rewritten_last_sentence_does_not_hide_a_copy(spark):
+    import random
+
+    draw = random.Random(12)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    body, last = " ".join(word() for _ in range(40)), " ".join(word() for _ in range(5))
+    other = " ".join(word() for _ in range(5))
+    noise = [" ".join(word() for _ in range(80)) for _ in range(20)]
+    rows = [(i, t) for i, t in enumerate(noise)] + [(100, f"{noise[0]} {body}. {other}. {noise[1]}"), (101, f"{noise[2]} {body[: len(body) // 2]} {noise[3]}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, f"{body}. {last}.")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()] == [(100, 1)]
+    answered = items.selectExpr("item_id", "text", f"'{last}' AS answer")
+    assert decontam.contaminated(docs, answered).collect() == []

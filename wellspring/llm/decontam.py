@@ -14,8 +14,9 @@
    weight on benchmark words are left out before the projection.
 4. A candidate counts if the longest common subsequence of its words with the item,
    searched in the window and its surroundings, covers ``COVERED`` of the item, and if the
-   item's answer (its last sentence, or the column ``answer``) is found there too to the
-   same degree.
+   item's answer is found there too to the same degree. The answer is the column
+   ``answer``; where that is absent or null it is the item's last sentence, and then a
+   place that covers ``SURE`` of the item counts without it.
 
 Documents are never shuffled. Items are dealt by hash into parts of about ``PASSAGES``
 passages, and ``PARTS`` of them make a pass over the documents, so what is broadcast
@@ -47,6 +48,7 @@ BLOCK = 4
 PASSAGE = 48
 COSINE = 0.55
 COVERED = 0.6
+SURE = 0.8
 LEAST_WORDS = 8
 HITS = "doc_id long, item_id long, cosine double, covered double, first_word long, last_word long"
 
@@ -153,6 +155,7 @@ class Index:
     ids: list[int]
     words: list[np.ndarray]
     answers: list[np.ndarray]
+    given: list[bool]
     lengths: list[int]
 
 
@@ -165,17 +168,19 @@ def build_index(block: pa.Table, idf: np.ndarray, row_of: np.ndarray, basis: np.
         raise ValueError(f"a passage keeps only {kept.min():.2f} of its norm in {basis.shape[1]} directions")
     vectors /= kept
     answers = block["answer"] if "answer" in block.column_names else None
-    words, of_answer = [], []
+    words, of_answer, given = [], [], []
     for i, text in enumerate(block["text"].to_pylist()):
         text = text or ""
-        last = (answers[i].as_py() if answers else None) or text.strip().rstrip(".!?").replace("\n", " ").split(". ")[-1]
+        answer = answers[i].as_py() if answers else None
+        given.append(bool(answer))
+        last = answer or text.strip().rstrip(".!?").replace("\n", " ").split(". ")[-1]
         pair = [words_of(lowered(d), np.array([0, len(d)]), separators()).hashes for d in (np.frombuffer(x.encode(), np.uint8) for x in (text, last))]
         words.append(pair[0])
         of_answer.append(pair[1])
     return Index(
         idf32, row_of, basis.astype(np.float32), vectors.astype(np.float32).T,
         np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64),
-        block["item_id"].to_pylist(), words, of_answer, sorted({min(PASSAGE, len(w)) for w in words if len(w)}),
+        block["item_id"].to_pylist(), words, of_answer, given, sorted({min(PASSAGE, len(w)) for w in words if len(w)}),
     )
 
 
@@ -277,7 +282,8 @@ def _best(index: Index, w: Words, bucket: np.ndarray, least: float, covered: flo
         if share < need or best.get((doc, item), (0, -1))[1] >= share:
             continue
         answer = index.answers[item]
-        if len(answer) and common_subsequence(answer, here) < need * len(answer) - 1e-9:
+        sure = not index.given[item] and share >= SURE
+        if len(answer) and not sure and common_subsequence(answer, here) < need * len(answer) - 1e-9:
             continue
         best[doc, item] = (cosine, share, a - int(w.first[doc]), b - int(w.first[doc]))
     return best
