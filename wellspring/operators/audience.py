@@ -50,17 +50,38 @@ def may_send(users: DataFrame) -> Column:
     return (role == "government") | ((role == "society-manager") & verified)
 
 
+EVERYONE = "all"
+
+
+def audience_pointers(senders: DataFrame) -> DataFrame:
+    """(sender_id, segment, entity_id): the one segment each sender may reach.
+
+    A segment is everyone with a place (``all``) or the people of one entity
+    (``entity``); its members are rows of the user table and are stored nowhere else.
+    A sender who may not send has no segment.
+    """
+    segment = F.when(F.col("role") == "government", EVERYONE).when(F.col("entity_id").isNotNull(), "entity")
+    return senders.where(F.coalesce(may_send(senders), F.lit(False))).select(
+        F.col("user_id").alias("sender_id"), segment.alias("segment"), F.when(segment == "entity", F.col("entity_id")).alias("entity_id")
+    ).where(F.col("segment").isNotNull())
+
+
+def segment_sizes(users: DataFrame) -> DataFrame:
+    """(segment, entity_id, members): everyone with a place, and the people of each entity."""
+    people = users.where(F.col("entity_id").isNotNull())
+    sizes = people.groupingSets([["entity_id"], []], "entity_id").agg(F.grouping("entity_id").alias("_all"), F.count(F.lit(1)).alias("members"))
+    return sizes.select(F.when(F.col("_all") == 1, EVERYONE).otherwise("entity").alias("segment"), "entity_id", "members")
+
+
 def audience(users: DataFrame, senders: DataFrame) -> DataFrame:
-    """(sender_id, user) pairs each sender may reach; senders who may not send reach nobody.
+    """(sender_id, user) pairs of the entity senders given; senders who may not send reach nobody.
 
-    Government reaches everyone with a place, a society manager their own
-    entity; never the sender. The two rules are separate equi-joins: managers
-    by entity, and government senders as a literal reach flag rather than a
-    pair per user (see ``reach``).
+    This expands pointers on demand, for the senders that are about to send. Their
+    number times their segment is the result; sizes of all senders come from ``reach``
+    without pairs, and a government sender's audience is a filter
+    (``government_audience``).
     """
-    managers = senders.where((F.col("role") == "society-manager") & may_send(senders)).select(
-        F.col("user_id").alias("sender_id"), "entity_id"
-    )
+    managers = audience_pointers(senders).where(F.col("segment") == "entity").select("sender_id", "entity_id")
     people = users.where(F.col("entity_id").isNotNull())
     return people.join(managers, "entity_id").where(F.col("user_id") != F.col("sender_id"))
 
@@ -73,16 +94,16 @@ def government_audience(users: DataFrame, sender_id: str) -> DataFrame:
 
 
 def reach(users: DataFrame, senders: DataFrame) -> DataFrame:
-    """Audience size of every sender from per-entity counts; no pairs are made."""
-    people = users.where(F.col("entity_id").isNotNull())
-    per_entity = people.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_in_entity"))
-    total = people.agg(F.count(F.lit(1)).alias("_n")).scalar()
-    out = senders.join(per_entity, "entity_id", "left")
-    placed = F.when(F.col("entity_id").isNotNull(), 1).otherwise(0)
-    size = F.when(F.col("role") == "government", total - placed).otherwise(
-        F.coalesce(F.col("_in_entity") - 1, F.lit(0))
-    )
-    return out.select(F.col("user_id").alias("sender_id"), "role", size.cast("long").alias("audience"))
+    """Audience size of every sender from its segment's size; no pairs are made.
+
+    Senders who may not send (unverified managers) reach nobody.
+    """
+    pointers = audience_pointers(senders).withColumnsRenamed({"segment": "_segment", "entity_id": "_entity"})
+    met = (F.col("segment") == F.col("_segment")) & F.col("entity_id").eqNullSafe(F.col("_entity"))
+    sizes = pointers.join(segment_sizes(users), met).select("sender_id", "members")
+    out = senders.select(F.col("user_id").alias("sender_id"), "role", F.col("entity_id").isNotNull().cast("int").alias("_own"))
+    size = F.coalesce(F.col("members") - F.col("_own"), F.lit(0))
+    return out.join(sizes, "sender_id", "left").select("sender_id", "role", size.cast("long").alias("audience"))
 
 
 def subscriber_counts(people: DataFrame) -> DataFrame:
@@ -103,6 +124,10 @@ def role_group(role: Column) -> Column:
     return F.coalesce(cal.lookup(ROLE_GROUP, role), F.lit("farmer"))
 
 
+def _text_of(people: DataFrame, column: str) -> Column:
+    return F.coalesce(F.col(column), F.lit("")) if column in people.columns else F.lit("")
+
+
 def plan_alerts(
     people: DataFrame, cards: DataFrame, templates: DataFrame, bucket: str = "all", force: bool = False
 ) -> DataFrame:
@@ -110,8 +135,9 @@ def plan_alerts(
 
     ``cards``: entity_id, status, reason, score, band, days_to_crisis,
     headline. A bucket decides who is in scope; the wording follows each
-    person's own band, role group and language. A plan is made, nothing is
-    sent.
+    person's own band, role group and language. ``{place}`` is the person's entity
+    label, or the place as they typed it; a ``{name}`` that is not known stays empty.
+    A plan is made, nothing is sent.
     """
     own = cards.select(
         "entity_id", F.col("status").alias("_status"), F.col("reason").alias("_reason"),
@@ -125,7 +151,10 @@ def plan_alerts(
     wanted = F.lit(True) if force else F.col("band").isin(*BUCKET_BANDS[bucket])
     body = fill_template(
         F.col("template"),
-        {"place": F.col("entity_label"), "score": F.col("score"), "days": F.col("days_to_crisis"), "level": F.col("headline")},
+        {
+            "name": _text_of(people, "name"), "place": F.coalesce(F.nullif("entity_label", F.lit("")), _text_of(people, "place_raw")),
+            "score": F.col("score"), "days": F.col("days_to_crisis"), "level": F.col("headline"),
+        },
     )
     worded = F.col("template").isNotNull()
     sends = scored & wanted & worded

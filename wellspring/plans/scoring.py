@@ -322,7 +322,7 @@ def manager_audiences(fx):
 
 @query(
     "AU-1",
-    """SELECT user_id AS sender_id, role, CASE WHEN role = 'government' THEN (SELECT count(*) FROM fx_users WHERE entity_id IS NOT NULL) - CASE WHEN entity_id IS NOT NULL THEN 1 ELSE 0 END
+    """SELECT user_id AS sender_id, role, CASE WHEN role = 'society-manager' AND NOT verified THEN 0 WHEN role = 'government' THEN (SELECT count(*) FROM fx_users WHERE entity_id IS NOT NULL) - CASE WHEN entity_id IS NOT NULL THEN 1 ELSE 0 END
               ELSE coalesce(n - 1, 0) END AS audience
        FROM fx_users LEFT JOIN (SELECT entity_id, count(*) AS n FROM fx_users WHERE entity_id IS NOT NULL GROUP BY 1) USING (entity_id) WHERE role IN ('government', 'society-manager')""",
 )
@@ -330,6 +330,20 @@ def audience_sizes(fx):
     return au.reach(fx.users, fx.users.where(F.col("role").isin("government", "society-manager")))
 
 
+@query(
+    "AU-1",
+    """SELECT user_id AS sender_id, CASE WHEN role = 'government' THEN 'all' ELSE 'entity' END AS segment, CASE WHEN role <> 'government' THEN entity_id END AS entity_id,
+              CASE WHEN role = 'government' THEN (SELECT count(*) FROM fx_users WHERE entity_id IS NOT NULL) ELSE (SELECT count(*) FROM fx_users x WHERE x.entity_id = s.entity_id) END AS members
+       FROM fx_users s WHERE role = 'government' OR (role = 'society-manager' AND verified AND entity_id IS NOT NULL)""",
+)
+def audience_segments(fx):
+    """The segment that each sender points at, and how many people it holds."""
+    pointers = au.audience_pointers(fx.users)
+    sizes = au.segment_sizes(fx.users).withColumnsRenamed({"segment": "_segment", "entity_id": "_entity"})
+    met = (F.col("segment") == F.col("_segment")) & F.col("entity_id").eqNullSafe(F.col("_entity"))
+    return pointers.join(sizes, met).drop("_segment", "_entity")
+
+
 def _cards(fx):
     c = sc.rural_score(fx.readings, fx.base_wells, settings=fx.settings)
     return c.withColumn("headline", F.concat(F.col("forecast_level").cast("string"), F.lit(" m")))
@@ -353,6 +367,20 @@ def alert_plan(fx):
     return au.plan_alerts(_people(fx), _cards(fx), au.template_table(fx.spark), "all")
 
 
+@query(
+    "SC-18",
+    """SELECT user_id, coalesce(name, '') || ' @ ' || coalesce(CASE WHEN user_no % 2 = 0 THEN entity_label END, place_raw, '') || ' # ' || coalesce(CAST(score AS VARCHAR), '—') AS body
+       FROM (SELECT user_no, u.user_id, CASE WHEN user_no % 5 <> 0 THEN u.name END AS name, u.entity_label, u.place_raw, c.score, c.status FROM fx_users u JOIN fx_area_cards c ON c.entity_id = u.entity_id) WHERE status = 'ok'""",
+)
+def named_messages(fx):
+    """A template of one's own with a name, and the typed place where there is no label."""
+    k = F.col("user_no")
+    people = fx.users.withColumns({"name": F.when(k % 5 != 0, F.col("name")), "entity_label": F.when(k % 2 == 0, F.col("entity_label"))})
+    own = [(g, b, lang, "{name} @ {place} # {score}") for g in ("farmer", "society") for b in ("SAFE", "MONITOR", "ACT NOW") for lang in ("mr", "hi", "en")]
+    templates = fx.spark.createDataFrame(own, "grp string, band string, lang string, template string")
+    return au.plan_alerts(people, _cards(fx), templates, "all", force=True).where(F.col("action") == "planned").select("user_id", "body")
+
+
 @query(
     "AU-2",
     f"SELECT count(*) AS audience, count(*) FILTER (action='planned') AS planned, count(*) FILTER (alert_type='caution') AS caution, count(*) FILTER (alert_type='notice') AS notice, count(*) FILTER (action='skipped') AS skipped FROM ({_PLAN})",
