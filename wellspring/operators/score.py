@@ -13,6 +13,7 @@ from wellspring.config import DEFAULTS, Settings
 from wellspring.functions import calendar as cal
 from wellspring.functions import stress
 from wellspring.functions.numeric import half_even
+from wellspring.operators.lineage import cut_lineage
 from wellspring.operators.ordering import by_day, by_day_number, running
 
 URBAN_METHOD = "urban-stress-1.0"
@@ -200,6 +201,9 @@ def _score_terms(df: DataFrame) -> DataFrame:
     )
 
 
+WELL_CARD = ("well_id", "score", "s_depth", "s_trend", "s_headroom", "forecast_level", "days_to_crisis", "last_obs_level", "last_obs_date")
+
+
 def rural_score(
     readings: DataFrame,
     wells: DataFrame,
@@ -207,12 +211,16 @@ def rural_score(
     origins: DataFrame | None = None,
     model: DataFrame | None = None,
     settings: Settings = DEFAULTS,
+    listed: int = 0,
 ) -> DataFrame:
     """One card per area (or per well), worst well first; unscorable areas keep a reason.
 
     ``origins`` (area, origin_date) asks for a date; without it every area is
     scored at its own last reading. Areas asked for after their last reading
     get no score. ``model`` (well_id, model_level) overrides the seasonal mean.
+    With ``listed`` a card also holds its worst wells in order, so many at most
+    (``wells_scored`` counts them all): ``row_number`` is cut down before the shuffle,
+    and no more than that is ever collected for an area.
     """
     registry = wells.select("well_id", F.col(area).alias("entity_id"), "well_depth").where(
         F.col("entity_id").isNotNull()
@@ -243,6 +251,14 @@ def rural_score(
         (-F.col("score")).alias("_neg"), "well_id", "score", "s_depth", "s_trend", "s_headroom",
         "forecast_level", "last_obs_level", "last_obs_date",
     )
+    listing = []
+    if listed:
+        order = Window.partitionBy("entity_id").orderBy(F.desc("score"), "well_id")
+        cards = cut_lineage(cards)
+        top = cards.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= listed)
+        entry = F.struct("_place", *WELL_CARD)
+        top = top.groupBy("entity_id").agg(F.sort_array(F.collect_list(entry)).alias("_wells"))
+        listing = [F.transform(F.coalesce("_wells", F.array()), lambda w: F.struct(*(w[c].alias(c) for c in WELL_CARD))).alias("wells")]
     best = cards.groupBy("entity_id").agg(
         F.min(worst).alias("w"),
         F.min("days_to_crisis").alias("days_to_crisis"),
@@ -251,6 +267,8 @@ def rural_score(
         F.max("used_model").alias("used_model"),
     )
     out = areas.join(best, "entity_id", "left")
+    if listed:
+        out = out.join(top, "entity_id", "left")
     reason = (
         F.when(F.col("n_wells").isNull(), "no wells found")
         .when(F.col("data_through").isNull(), "no readings for this entity")
@@ -281,9 +299,35 @@ def rural_score(
         "wells_scored",
         F.when(F.col("w").isNotNull(), F.when(F.col("used_model"), RURAL_MODEL_METHOD).otherwise(RURAL_METHOD)).alias("method"),
         F.coalesce("scored_through", "data_through").alias("data_through"),
+        *listing,
     )
 
 
+def nested_cards(cards: DataFrame, intervals: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Cards as they are served: components, detail, headline, interval and bands as structs.
+
+    ``cards`` are those of ``rural_score(..., listed=n)``; ``intervals`` (method,
+    horizon_d, p50, p80, p95, n) gives the measured error of the method that made the
+    forecast, and the interval is null where none was measured. Cards without a score
+    keep their reason, and their structs are null.
+    """
+    horizon = F.lit(settings.horizon_days)
+    known = intervals.select(
+        F.col("method").alias("_method"), F.struct(F.col("p80").alias("plus_minus_m"), "p50", "p95", "n").alias("interval")
+    ).where(F.col("horizon_d") == horizon)
+    met = cards.join(known, F.col("method") == F.col("_method"), "left")
+    scored = F.col("status") == "ok"
+    return met.select(
+        "entity_id", F.lit("rural").alias("track"), "status", "reason", "date", "target_date", horizon.alias("horizon_d"),
+        "score", "band", "colour", "days_to_crisis", "method", "data_through", "n_wells", "wells",
+        F.when(scored, F.struct(F.col("s_depth").alias("depth"), F.col("s_trend").alias("trend"), F.col("s_headroom").alias("headroom"))).alias("components"),
+        F.when(scored, F.struct("driving_well", "last_obs_level", "last_obs_date", "days_since_last_reading", "wells_scored")).alias("detail"),
+        F.when(scored, F.struct(F.lit("forecast level").alias("label"), F.col("forecast_level").alias("value"), F.lit("m below ground").alias("unit"))).alias("headline"),
+        F.when(scored, F.col("interval")).alias("interval"),
+        F.struct(F.lit(settings.monitor_above).alias("monitor_above"), F.lit(settings.act_now_above).alias("act_now_above")).alias("bands"),
+    )
+
+
 def _running_nearest_rank(share: float):
     """Per array of levels in date order: the nearest-rank percentile so far."""
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspring.functions.numeric import half_even
 from wellspring.functions.text import age_words
+from wellspring.operators.lineage import cut_lineage
+from wellspring.operators.ordering import exact_quantiles
 
 TABLE_ROWS_SHOWN = 120
 
@@ -100,14 +102,102 @@ def public_profile(users: DataFrame) -> DataFrame:
     )
 
 
-def figures(anchors: DataFrame) -> DataFrame:
+def figures(anchors: DataFrame, keys: dict[str, str] = HEADLINE_KEYS) -> DataFrame:
     """Anchors with their headline name, if any, and whether they are verified."""
     from wellspring.functions.calendar import lookup
 
     key = F.concat_ws("|", "entity_id", F.date_format("date", "yyyy-MM-dd"))
     return anchors.select(
         "entity_id", "date", F.col("live_storage_pct").alias("value"), "confidence",
-        F.col("confidence").isin(*VERIFIED).alias("verified"), lookup(HEADLINE_KEYS, key).alias("figure"),
+        F.coalesce(F.col("confidence").isin(*VERIFIED), F.lit(False)).alias("verified"), lookup(keys, key).alias("figure"),
+    )
+
+
+def anchor_ledger(versions: DataFrame, retractions: DataFrame) -> DataFrame:
+    """Every version of an anchor with the days on which it held: from ``valid_from`` up to ``valid_to``.
+
+    ``versions``: entity_id, date, live_storage_pct, confidence, recorded_on; a later
+    version of an (entity, date) takes the place of an earlier one, the last row of a
+    day counts. ``retractions``: entity_id, date, retracted_on, reason; one closes what
+    holds on that day, and versions recorded afterwards open the anchor anew. Rows of an
+    anchor meet in one window; they are its versions, and there are few.
+    """
+    key = ["entity_id", "date"]
+    kept = versions.groupBy(*key, "recorded_on").agg(
+        F.max(F.struct("live_storage_pct", "confidence")).alias("_v")
+    ).select(*key, "_v.live_storage_pct", "_v.confidence", F.col("recorded_on").alias("valid_from"))
+    order = Window.partitionBy(*key).orderBy("valid_from")
+    kept = kept.withColumn("_next", F.lead("valid_from").over(order))
+    closed = retractions.groupBy(*key, "retracted_on").agg(F.min("reason").alias("reason"))
+    met = kept.join(closed, key, "left")
+    within = (F.col("retracted_on") >= F.col("valid_from")) & (F.col("_next").isNull() | (F.col("retracted_on") < F.col("_next")))
+    first = F.min(F.when(within, F.struct("retracted_on", "reason"))).alias("_r")
+    whole = met.groupBy(*key, "valid_from", "live_storage_pct", "confidence", "_next").agg(first)
+    return whole.select(
+        *key, "live_storage_pct", "confidence", "valid_from", F.coalesce("_r.retracted_on", "_next").alias("valid_to"),
+        F.col("_r.reason").alias("reason"),
+    )
+
+
+def anchors_as_of(ledger: DataFrame, day: str) -> DataFrame:
+    """The anchors that held on a day."""
+    on = F.lit(day).cast("date")
+    return ledger.where((F.col("valid_from") <= on) & (F.col("valid_to").isNull() | (F.col("valid_to") > on))).drop("valid_from", "valid_to", "reason")
+
+
+def figure_summary(shown: DataFrame) -> DataFrame:
+    """Anchors by confidence, and all of them (confidence NULL), with how many are verified."""
+    out = shown.rollup("confidence").agg(
+        F.grouping("confidence").alias("_all"), F.count(F.lit(1)).alias("n"), F.count_if("verified").alias("n_verified")
+    )
+    name = F.when(F.col("_all") == 1, "total").otherwise(F.coalesce("confidence", F.lit("none")))
+    return out.select(name.alias("confidence"), "n", "n_verified")
+
+
+def retracted(ledger: DataFrame, day: str) -> DataFrame:
+    """Values that had been taken back by a day, with the reason."""
+    out = ledger.where(F.col("reason").isNotNull() & (F.col("valid_to") <= F.lit(day).cast("date")))
+    return out.select("entity_id", "date", F.col("live_storage_pct").alias("value"), F.col("valid_to").alias("retracted_on"), "reason")
+
+
+def reading_spread(wells: DataFrame, readings: DataFrame) -> DataFrame:
+    """Least, median and most readings per well, by district and over all (district NULL).
+
+    Readings are counted per well, wells per (district, count); both steps combine
+    map-side, and the exact median is taken from those counts.
+    """
+    per_well = readings.groupBy("well_id").agg(F.count(F.lit(1)).alias("n"))
+    placed = per_well.join(wells.select("well_id", "district"), "well_id", "left")
+    counts = placed.groupingSets([["district", "n"], ["n"]], "district", "n").agg(
+        F.grouping("district").alias("_all"), F.count(F.lit(1)).alias("_wells")
+    )
+    counts = cut_lineage(counts.withColumn("scope", F.when(F.col("_all") == 1, "all").otherwise(F.concat(F.lit("district "), F.coalesce("district", F.lit("?"))))))
+    spread = counts.groupBy("scope").agg(F.sum("_wells").alias("n_wells"), F.min("n").alias("least"), F.max("n").alias("most"))
+    middle = exact_quantiles(counts, ["scope"], "n", {"median": 0.5}, weight="_wells")
+    return spread.join(middle, "scope").select("scope", "n_wells", "least", F.col("median").cast("double").alias("median"), "most")
+
+
+def split_coverage(features: DataFrame) -> DataFrame:
+    """Rows, dates and entities of each split of each track, and of each track (split NULL).
+
+    Rows are counted per entity first, so entities need no distinct count.
+    """
+    per_entity = features.groupBy("entity_type", "split", "entity_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("date").alias("_first"), F.max("date").alias("_last")
+    )
+    both = [F.sum("_n").alias("n"), F.min("_first").alias("first_date"), F.max("_last").alias("last_date")]
+    by_split = per_entity.groupBy("entity_type", "split").agg(*both, F.count(F.lit(1)).alias("n_entities"))
+    whole = per_entity.groupBy("entity_type", "entity_id").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    by_track = whole.groupBy("entity_type").agg(*both, F.count(F.lit(1)).alias("n_entities"))
+    named = by_split.where(F.col("split").isNotNull())
+    return named.unionByName(by_track.withColumn("split", F.lit("all")))
+
+
+def weather_span(weather: DataFrame, key: str = "cell_id") -> DataFrame:
+    """First and last day, and the number of entities with weather."""
+    per_entity = weather.groupBy(key).agg(F.min("date").alias("_first"), F.max("date").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    return per_entity.agg(
+        F.min("_first").alias("first_date"), F.max("_last").alias("last_date"), F.count(F.lit(1)).alias("n_entities"), F.sum("_n").alias("n")
     )
 
 

@@ -10,6 +10,7 @@ from wellspring.operators import features as ft
 from wellspring.operators import places as pl
 from wellspring.operators import quality as dq
 from wellspring.operators import reports as rp
+from wellspring.operators import score as sc
 from wellspring.operators.lineage import cut_lineage
 from wellspring.plans import timeseries as ts
 from wellspring.plans.fixtures import HORIZONS, SETTINGS
@@ -62,6 +63,27 @@ def interval_lookup(fx):
     return ev.interval_for(asked, error_quantiles(fx).withColumnRenamed("forecaster", "method"))
 
 
+@query(
+    "PR-14 SC-20",
+    f"""SELECT c.entity_id, c.status, c.reason, c.score, c.band, c.forecast_level AS headline, c.s_depth AS depth, c.s_trend AS trend, c.s_headroom AS headroom,
+               c.driving_well, c.wells_scored, c.date - c.last_obs_date AS days_since, CASE WHEN c.status = 'ok' THEN q.p80 END AS plus_minus_m, coalesce(w.wells, '') AS wells
+        FROM fx_area_cards c LEFT JOIN ({_Q}) q ON q.forecaster = 'climatology' AND q.horizon_d = 30
+        LEFT JOIN (SELECT taluka, string_agg(well_id || ':' || score, ' ' ORDER BY score DESC, well_id) AS wells
+                   FROM (SELECT *, row_number() OVER (PARTITION BY taluka ORDER BY score DESC, well_id) AS k FROM fx_well_scores) WHERE k <= 3 GROUP BY 1) w ON w.taluka = c.entity_id""",
+)
+def score_cards(fx):
+    """Nested cards of all areas, spread out to columns."""
+    cards = sc.rural_score(fx.readings, fx.base_wells, settings=fx.settings, listed=3)
+    measured = error_quantiles(fx).where(F.col("forecaster") == "climatology").withColumn("method", F.lit(sc.RURAL_METHOD))
+    out = sc.nested_cards(cards, measured, fx.settings)
+    wells = F.array_join(F.transform("wells", lambda w: F.concat(w["well_id"], F.lit(":"), w["score"])), " ")
+    return out.select(
+        "entity_id", "status", "reason", "score", "band", F.col("headline.value").alias("headline"), "components.depth", "components.trend",
+        "components.headroom", "detail.driving_well", "detail.wells_scored", F.col("detail.days_since_last_reading").alias("days_since"),
+        "interval.plus_minus_m", wells.alias("wells"),
+    )
+
+
 @query("AG-8", f"SELECT well_id, shallow, {r('crisis',6)} AS crisis, n_train_obs FROM fx_reference")
 def reference_levels(fx):
     return ev.reference_levels(fx.readings, fx.settings).withColumn("crisis", half_even(F.col("crisis"), 6))
@@ -132,6 +154,7 @@ _BASE = ts._RING + """, o3 AS (SELECT o.well_id, o.obs_date AS target_date, o.le
 
 
 def _baselines(fx):
+    fx.daily = cut_lineage(fx.daily)  # read for the state of a day, the ring and the means
     return ev.error_metrics(ev.baseline_predictions(fx.daily, fx.readings, HORIZONS, settings=fx.settings), ["split", "forecaster"])
 
 

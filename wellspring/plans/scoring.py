@@ -12,6 +12,7 @@ from wellspring.operators import quality as dq
 from wellspring.operators import reports as rp
 from wellspring.operators import score as sc
 from wellspring.operators import views as vw
+from wellspring.plans import timeseries as ts
 from wellspring.plans.registry import query
 from wellspring.plans.sql_views import VIEWS, band, r, season
 
@@ -222,14 +223,98 @@ def provenance_counts(fx):
     return vw.provenance_counts(fx.reservoir_daily)
 
 
+#: Two anchors of the given tables that have a name of their own.
+_NAMED = {"1-URGENT|1995-01-05": "urgent_first_week", "5-LOW|1998-03-05": "low_spring"}
+_KIND = "CASE WHEN day(date) % 3 = 0 THEN 'primary' WHEN day(date) % 3 = 1 THEN 'reported' ELSE 'secondhand' END"
+_NAME = "CASE " + " ".join(f"WHEN entity_id || '|' || strftime(date, '%Y-%m-%d') = '{k}' THEN '{v}'" for k, v in _NAMED.items()) + " END"
+
+
+def _confidence():
+    return F.element_at(F.array(F.lit("primary"), F.lit("reported"), F.lit("secondhand")), F.dayofmonth("date") % 3 + 1)
+
+
 @query(
     "AG-17 VW-3",
-    """SELECT entity_id, date, value, confidence, confidence IN ('primary','reported') AS verified, CAST(NULL AS VARCHAR) AS figure
-       FROM (SELECT reservoir_id AS entity_id, date, live_storage_pct AS value, CASE WHEN day(date) % 3 = 0 THEN 'primary' WHEN day(date) % 3 = 1 THEN 'reported' ELSE 'secondhand' END AS confidence FROM fx_anchors)""",
+    f"""SELECT entity_id, date, value, confidence, confidence IN ('primary','reported') AS verified, {_NAME} AS figure
+       FROM (SELECT reservoir_id AS entity_id, date, live_storage_pct AS value, {_KIND} AS confidence FROM fx_anchors)""",
 )
 def anchor_figures(fx):
-    kind = F.element_at(F.array(F.lit("primary"), F.lit("reported"), F.lit("secondhand")), F.dayofmonth("date") % 3 + 1)
-    return vw.figures(fx.anchors.withColumnRenamed("reservoir_id", "entity_id").withColumn("confidence", kind))
+    return vw.figures(fx.anchors.withColumnRenamed("reservoir_id", "entity_id").withColumn("confidence", _confidence()), _NAMED)
+
+
+_ON = "1998-01-01"
+#: A first version the day after; a corrected one on every fourth day of a month; some are taken back.
+_LEDGER = f"""
+WITH b AS (SELECT reservoir_id AS entity_id, date, live_storage_pct AS v, {_KIND} AS confidence FROM fx_anchors),
+ x AS (SELECT entity_id, date, v, confidence, date + 1 AS on_ FROM b UNION ALL SELECT entity_id, date, v + 1, 'primary', date + 10 FROM b WHERE day(date) % 4 = 0),
+ t AS (SELECT entity_id, date, date + CASE WHEN day(date) % 2 = 0 THEN 20 ELSE 5 END AS off_, 'wrong ' || CASE WHEN day(date) % 2 = 0 THEN 'value' ELSE 'date' END AS reason FROM b WHERE day(date) % 7 = 0),
+ n AS (SELECT *, lead(on_) OVER (PARTITION BY entity_id, date ORDER BY on_) AS next_ FROM x),
+ l AS (SELECT n.entity_id, n.date, v AS live_storage_pct, confidence, on_ AS valid_from, coalesce(off_, next_) AS valid_to, reason
+       FROM n LEFT JOIN t ON t.entity_id = n.entity_id AND t.date = n.date AND off_ >= on_ AND (next_ IS NULL OR off_ < next_)),
+ s AS (SELECT * FROM l WHERE valid_from <= DATE '{_ON}' AND (valid_to IS NULL OR valid_to > DATE '{_ON}'))
+"""
+
+
+def _ledger(fx):
+    base = fx.anchors.select(F.col("reservoir_id").alias("entity_id"), "date", "live_storage_pct", _confidence().alias("confidence"))
+    day = F.dayofmonth("date")
+    first = base.withColumn("recorded_on", F.date_add("date", 1))
+    better = base.where(day % 4 == 0).withColumns(
+        {"live_storage_pct": F.col("live_storage_pct") + 1, "confidence": F.lit("primary"), "recorded_on": F.date_add("date", 10)}
+    )
+    even = day % 2 == 0
+    back = base.where(day % 7 == 0).select(
+        "entity_id", "date", F.date_add("date", F.when(even, 20).otherwise(5)).alias("retracted_on"),
+        F.concat(F.lit("wrong "), F.when(even, "value").otherwise("date")).alias("reason"),
+    )
+    return vw.anchor_ledger(first.unionByName(better), back)
+
+
+@query("VW-3 AG-17", f"{_LEDGER} SELECT entity_id, date, live_storage_pct AS value, confidence, confidence IN ('primary','reported') AS verified, {_NAME} AS figure FROM s")
+def figures_as_of(fx):
+    """The figures as they stood on a day: corrected values, and none that had been taken back."""
+    return vw.figures(vw.anchors_as_of(_ledger(fx), _ON), _NAMED)
+
+
+@query("AG-17 VW-3", f"{_LEDGER} SELECT coalesce(confidence, 'total') AS confidence, count(*) AS n, count(*) FILTER (confidence IN ('primary','reported')) AS n_verified FROM s GROUP BY ROLLUP (confidence)".replace("coalesce(confidence, 'total')", "CASE WHEN grouping(confidence) = 1 THEN 'total' ELSE confidence END"))
+def figure_summary(fx):
+    return vw.figure_summary(vw.figures(vw.anchors_as_of(_ledger(fx), _ON), _NAMED))
+
+
+@query("AG-17 VW-3", f"{_LEDGER} SELECT entity_id, date, live_storage_pct AS value FROM s WHERE confidence = 'secondhand'")
+def unverified_figures(fx):
+    return vw.figures(vw.anchors_as_of(_ledger(fx), _ON), _NAMED).where(~F.col("verified")).select("entity_id", "date", "value")
+
+
+@query("VW-3", f"{_LEDGER} SELECT entity_id, date, live_storage_pct AS value, valid_to AS retracted_on, reason FROM l WHERE reason IS NOT NULL AND valid_to <= DATE '{_ON}'")
+def retracted_figures(fx):
+    return vw.retracted(_ledger(fx), _ON)
+
+
+@query(
+    "VW-4",
+    """WITH c AS (SELECT 'district ' || district AS scope, n FROM (SELECT well_id, count(*) AS n FROM fx_obs GROUP BY 1) JOIN fx_wells USING (well_id)),
+            b AS (SELECT * FROM c UNION ALL SELECT 'all', n FROM c)
+       SELECT scope, count(*) AS n_wells, min(n) AS least, quantile_cont(n, 0.5) AS median, max(n) AS most FROM b GROUP BY 1""",
+)
+def reading_spread(fx):
+    return vw.reading_spread(fx.base_wells, fx.readings)
+
+
+@query(
+    "VW-4",
+    f"""WITH u AS (SELECT 'well' AS entity_type, split, entity_id, date FROM ({ts.RURAL_FEATURES}) UNION ALL SELECT 'reservoir', split, entity_id, date FROM ({ts.URBAN_FEATURES})),
+            b AS (SELECT * FROM u WHERE split IS NOT NULL UNION ALL SELECT entity_type, 'all', entity_id, date FROM u)
+       SELECT entity_type, split, count(*) AS n, min(date) AS first_date, max(date) AS last_date, count(DISTINCT entity_id) AS n_entities FROM b GROUP BY 1, 2""",
+)
+def split_coverage(fx):
+    columns = ["entity_type", "split", "entity_id", "date"]
+    return vw.split_coverage(ts.rural_features(fx).select(*columns).unionByName(ts.urban_features(fx).select(*columns)))
+
+
+@query("VW-4", "SELECT min(date) AS first_date, max(date) AS last_date, count(DISTINCT cell_id) AS n_entities, count(*) AS n FROM fx_weather")
+def weather_span(fx):
+    return vw.weather_span(fx.weather)
 
 
 # --------------------------------------------------------------------- places
