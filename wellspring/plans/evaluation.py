@@ -16,7 +16,7 @@ from wellspring.plans import timeseries as ts
 from wellspring.plans.fixtures import HORIZONS, SETTINGS
 from wellspring.plans.registry import query
 from wellspring.plans.scoring import _CR1
-from wellspring.plans.sql_views import r
+from wellspring.plans.sql_views import level_score, r
 from wellspring.streaming import messages as ms
 from wellspring.streaming import reports as sr
 
@@ -252,6 +252,62 @@ def autoregressions(fx):
     return table.withColumns({c: half_even(F.col(c), 3) for c in ("coefficient", "mae")})
 
 
+_MODEL_INPUTS = ["last_obs_level", "clim"]
+
+
+def _model_fit_sql() -> str:
+    """Rows scored by a pooled regression of the target on the last reading and the climatology."""
+    terms = ["1e0", *_MODEL_INPUTS]
+    rows = ", ".join("[" + ", ".join(f"sum({a}*{b})" for b in [*terms, "target_level"]) + "]" for a in terms)
+    size, pred = len(terms), " + ".join(f"c[{i + 1}]*{t}" for i, t in enumerate(terms))
+    return f"""WITH s AS (SELECT * FROM (SELECT *, coalesce(clim_season, clim_well) AS clim FROM fx_causal)
+                          WHERE target_level IS NOT NULL AND last_obs_level IS NOT NULL AND clim IS NOT NULL AND split IS NOT NULL),
+      k AS (WITH RECURSIVE e AS (
+              SELECT 0 AS k, [{rows}] AS m FROM s WHERE split = 'train'
+              UNION ALL
+              SELECT k + 1, list_transform(m, lambda row, i: CASE WHEN i = k + 1 THEN list_transform(row, lambda x: x / row[k + 1])
+                     ELSE list_transform(row, lambda x, j: x - row[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM e WHERE k < {size})
+            SELECT list_transform(m, lambda row: row[{size + 1}]) AS c FROM e WHERE k = {size}),
+      p AS (SELECT s.*, shallow, crisis, {r(pred, 4)} AS y_pred FROM s JOIN fx_reference USING (well_id), k),
+      sm AS (SELECT split, horizon_d, 'model' AS forecaster, target_level AS y_true, y_pred, {level_score('target_level')} AS true_score, {level_score('y_pred')} AS pred_score FROM p)"""
+
+
+def _model_scored(fx):
+    """Scores of the pooled regression as a forecaster of its own."""
+    keys = ["well_id", "origin_date", "horizon_d"]
+    rows = fx.causal.withColumn("clim", F.coalesce("clim_season", "clim_well")).dropna(subset=["target_level", "split", *_MODEL_INPUTS])
+    fits, _ = ev.autoregressions(rows, {"model": _MODEL_INPUTS}, "target_level")
+    model = rows.select(*keys, half_even(ev.linear(fits["model"]), 4).alias("model_level"))
+    scored = ev.forecaster_scores(fx.causal, ev.reference_levels(fx.readings, fx.settings), model)
+    return scored.where((F.col("forecaster") == "model") & F.col("y_pred").isNotNull() & F.col("split").isNotNull())
+
+
+@query("ML-4 ML-3", f"{_model_fit_sql()}, bm AS (" + _errors_sql("SELECT * FROM sm", "split, forecaster") + ") SELECT * FROM bm")
+def model_metrics(fx):
+    return ev.error_metrics(_model_scored(fx), ["split", "forecaster"])
+
+
+@query(
+    "ML-4 AG-10",
+    f"""{_model_fit_sql()} SELECT forecaster, horizon_d, count(*) AS n, {r('avg(e)', 3)} AS mae, {r('quantile_cont(e,0.5)', 3)} AS p50, {r('quantile_cont(e,0.8)', 3)} AS p80, {r('quantile_cont(e,0.95)', 3)} AS p95
+        FROM (SELECT forecaster, horizon_d, abs(y_pred - y_true) AS e FROM sm WHERE split = 'test') GROUP BY 1, 2""",
+)
+def model_intervals(fx):
+    return ev.absolute_error_quantiles(_model_scored(fx).where(F.col("split") == "test"), ["forecaster", "horizon_d"])
+
+
+@query(
+    "ML-4 AG-12",
+    f"""{_model_fit_sql()}, bb AS (SELECT *, CASE WHEN true_score > 70 THEN 2 WHEN true_score > 40 THEN 1 ELSE 0 END AS a, CASE WHEN pred_score > 70 THEN 2 WHEN pred_score > 40 THEN 1 ELSE 0 END AS p
+          FROM sm WHERE split = 'test' AND pred_score IS NOT NULL AND true_score IS NOT NULL)
+        SELECT forecaster, count(*) AS n, {r('count(*) FILTER (a = p)/count(*)', 4)} AS exact_band, {r('count(*) FILTER (abs(a-p) <= 1)/count(*)', 4)} AS within_one_band,
+          {r('count(*) FILTER (a = 2 AND p = 2)/nullif(count(*) FILTER (a = 2),0)', 4)} AS act_now_recall, {r('count(*) FILTER (a = 2 AND p = 2)/nullif(count(*) FILTER (p = 2),0)', 4)} AS act_now_precision,
+          count(*) FILTER (a = 2 AND p < 2) AS misses, count(*) FILTER (a < 2 AND p = 2) AS false_alarms FROM bb GROUP BY 1""",
+)
+def model_bands(fx):
+    return ev.band_accuracy(_model_scored(fx).where(F.col("split") == "test"), ["forecaster"], fx.settings)
+
+
 @query("ML-2 PR-13")
 def residual_model_metrics(fx):
     """Boosted trees on the residual to climatology, scored on val and test."""
