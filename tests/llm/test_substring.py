@@ -56,3 +56,13 @@ def test_word_hashes_depend_on_the_word_alone():
 def test_planes_round_trip():
     values = np.sort(np.random.default_rng(1).integers(0, 1 << 47, 1000).astype(np.uint64))
     assert (from_planes(planes(values, 6), 6) == values).all()
+
+
+def test_ranges_follow_the_values_and_not_their_number():
+    values = np.sort(np.random.default_rng(2).integers(0, 1 << 46, 500).astype(np.uint64))
+    for bits in (1, 4, 20, 31):
+        ranges, cuts = substring._ranges(values, 46, bits)
+        assert len(ranges) <= len(values) and cuts[0] == 0 and cuts[-1] == len(values)
+        for r, a, b in zip(ranges, cuts[:-1], cuts[1:], strict=True):
+            assert set((values[a:b] >> np.uint64(46 - bits)).tolist()) == {int(r)}
+    assert [len(x) for x in substring._ranges(values[:0], 64, 5)] == [0, 1]

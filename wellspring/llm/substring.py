@@ -52,14 +52,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     width = tables.shuffle_width(spark)
     size = tables.total_bytes(docs, "text")
     n_groups = max(2 * width, size // GROUP_BYTES)
-    n_ranges = max(width, size // 5 // RANGE_ENTRIES)
+    range_bits = (max(2, width, size // 5 // RANGE_ENTRIES) - 1).bit_length()
     grouped = docs.select(
         F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)).alias("g"), F.col("doc_id").cast("long"), F.col("text")
     ).groupBy("g")
-    sent = grouped.applyInArrow(lambda t: _send_anchors(t, window // 2, n_ranges), "p int, g long, runs binary")
+    sent = grouped.applyInArrow(lambda t: _send_anchors(t, window // 2, range_bits), "p int, g long, runs binary")
     anchors = sent.groupBy("p").applyInArrow(_find_anchors, "g long, runs binary")
     windows = grouped.cogroup(anchors.groupBy("g")).applyInArrow(
-        lambda t, a: _send_windows(t, a, window, n_ranges), "p int, g long, hashes binary, checks binary, ids binary"
+        lambda t, a: _send_windows(t, a, window, range_bits), "p int, g long, hashes binary, checks binary, ids binary"
     )
     later = windows.groupBy("p").applyInArrow(_find_later, "g long, hashes binary")
     return grouped.cogroup(later.groupBy("g")).applyInArrow(lambda t, a: _remove(t, a, window), REMOVED)
@@ -85,13 +85,18 @@ def _words(texts: pa.ChunkedArray) -> Words:
     return Words(none, none, np.concatenate(parts) if parts else np.empty(0, np.uint64), np.concatenate(first))
 
 
-def _ranges(sorted_values: np.ndarray, bits: int, n_ranges: int) -> np.ndarray:
-    """Where each hash range begins and ends among sorted values of ``bits`` bits."""
-    cuts = np.array([(r << bits) // n_ranges for r in range(1, n_ranges)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(sorted_values, cuts), [len(sorted_values)]])
+def _ranges(sorted_values: np.ndarray, bits: int, range_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash ranges that hold some of the sorted values of ``bits`` bits, and where each begins (and the last ends).
+
+    A range is the leading ``range_bits`` of a value, so the work follows the values and
+    not the number of ranges.
+    """
+    part = sorted_values >> np.uint64(bits - range_bits)
+    begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
+    return part[begin].astype(np.int32), np.append(begin, len(part))
 
 
-def _send_anchors(t: pa.Table, block: int, n_ranges: int) -> pa.Table:
+def _send_anchors(t: pa.Table, block: int, range_bits: int) -> pa.Table:
     g, _, texts = _texts(t)
     w = _words(texts)
     at = np.flatnonzero(within(w, block))
@@ -106,13 +111,12 @@ def _send_anchors(t: pa.Table, block: int, n_ranges: int) -> pa.Table:
     flags = (value[last] & np.uint64(1)) | ((last > new).astype(np.uint64) << np.uint64(1))
     runs = runs[new]
     packed = (runs << np.uint64(2)) | flags
-    cuts = _ranges(runs, ANCHOR_BITS, n_ranges)
-    full = np.flatnonzero(np.diff(cuts))
+    ranges, cuts = _ranges(runs, ANCHOR_BITS, range_bits)
     return pa.table(
         {
-            "p": pa.array(full.astype(np.int32)),
-            "g": pa.array(np.full(len(full), g)),
-            "runs": pa.array([planes(packed[cuts[r] : cuts[r + 1]], 6) for r in full], pa.binary()),
+            "p": pa.array(ranges),
+            "g": pa.array(np.full(len(ranges), g)),
+            "runs": pa.array([planes(packed[a:b], 6) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
         }
     )
 
@@ -152,7 +156,7 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _send_windows(t: pa.Table, answers: pa.Table, window: int, n_ranges: int) -> pa.Table:
+def _send_windows(t: pa.Table, answers: pa.Table, window: int, range_bits: int) -> pa.Table:
     empty = {"p": pa.int32(), "g": pa.int64(), "hashes": pa.binary(), "checks": pa.binary(), "ids": pa.binary()}
     known = _answers(answers, "runs", 6)
     if not len(known) or not len(t):
@@ -168,13 +172,12 @@ def _send_windows(t: pa.Table, answers: pa.Table, window: int, n_ranges: int) ->
     hashes, where = np.unique(hashes, return_index=True)
     checks = rolling(w.hashes, window, seed=1)[at][where] >> np.uint64(32)
     docs = ids[w.doc()[at][where]].astype(np.int64).view(np.uint64)
-    cuts = _ranges(hashes, 64, n_ranges)
-    full = np.flatnonzero(np.diff(cuts))
-    blob = lambda values, width: pa.array([planes(values[cuts[r] : cuts[r + 1]], width) for r in full], pa.binary())
+    ranges, cuts = _ranges(hashes, 64, range_bits)
+    blob = lambda values, width: pa.array([planes(values[a:b], width) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
     return pa.table(
         {
-            "p": pa.array(full.astype(np.int32)),
-            "g": pa.array(np.full(len(full), g)),
+            "p": pa.array(ranges),
+            "g": pa.array(np.full(len(ranges), g)),
             "hashes": blob(hashes, 8),
             "checks": blob(checks, 4),
             "ids": blob(docs, 8),
