@@ -268,3 +268,38 @@ def test_one_matrix_of_sums_serves_all_variants(spark):
     same = frame.withColumn("b", F.col("a"))
     fits, _ = evaluate.autoregressions(same, {"v": ["a", "b"]})
     assert fits["v"]["a"] + fits["v"]["b"] == pytest.approx(evaluate.autoregressions(same, {"v": ["a"]})[0]["v"]["a"], rel=1e-6)
+
+
+def test_ledger_of_corrected_and_retracted_values(spark):
+    from wellspring.operators import views
+
+    day = lambda d: date(2026, 6, d)
+    versions = spark.createDataFrame(
+        [("A", day(1), 10.0, "secondhand", day(2)), ("A", day(1), 11.0, "primary", day(5)), ("B", day(1), 20.0, "primary", day(2)),
+         ("C", day(1), 30.0, None, day(2)), ("C", day(1), 31.0, "reported", day(9))],
+        "entity_id string, date date, live_storage_pct double, confidence string, recorded_on date",
+    )
+    back = spark.createDataFrame([("B", day(1), day(6), "wrong date"), ("C", day(1), day(4), "wrong value"), ("D", day(1), day(4), "never was")], "entity_id string, date date, retracted_on date, reason string")
+    ledger = views.anchor_ledger(versions, back)
+
+    def held(d):
+        return {r.entity_id: r.live_storage_pct for r in views.anchors_as_of(ledger, f"2026-06-{d:02d}").collect()}
+
+    assert held(1) == {} and held(2) == {"A": 10.0, "B": 20.0, "C": 30.0} and held(4) == {"A": 10.0, "B": 20.0}
+    assert held(5) == {"A": 11.0, "B": 20.0} and held(6) == {"A": 11.0} and held(9) == {"A": 11.0, "C": 31.0}
+    assert {(r.entity_id, r.reason) for r in views.retracted(ledger, "2026-06-05").collect()} == {("C", "wrong value")}
+    shown = views.figures(views.anchors_as_of(ledger, "2026-06-02"), {"A|2026-06-01": "a_first"})
+    assert {r.entity_id: (r.verified, r.figure) for r in shown.collect()} == {"A": (False, "a_first"), "B": (True, None), "C": (False, None)}
+    assert {r.confidence: (r.n, r.n_verified) for r in views.figure_summary(shown).collect()} == {"secondhand": (1, 0), "primary": (1, 1), "none": (1, 0), "total": (3, 1)}
+
+
+def test_nobody_is_reached_by_who_may_not_send(spark):
+    from wellspring.operators import audience
+
+    people = [("g", "government", None, False), ("h", "government", "X", False), ("m", "society-manager", "X", True), ("n", "society-manager", "X", False), ("o", "society-manager", None, True), ("f", "farmer", "X", True), ("z", "farmer", "Y", None)]
+    users = spark.createDataFrame(people, "user_id string, role string, entity_id string, verified boolean")
+    got = {r.sender_id: r.audience for r in audience.reach(users, users).collect()}
+    assert got == {"g": 5, "h": 4, "m": 3, "n": 0, "o": 0, "f": 0, "z": 0}
+    assert {(r.sender_id, r.segment, r.entity_id) for r in audience.audience_pointers(users).collect()} == {("g", "all", None), ("h", "all", None), ("m", "entity", "X")}
+    pairs = {(r.sender_id, r.user_id) for r in audience.audience(users, users).collect()}
+    assert pairs == {("m", "h"), ("m", "n"), ("m", "f")}

@@ -15,7 +15,9 @@ NAMES = [
     "reconstructed_daily", "reconstruction_holdout", "weather_features", "daily_features_rural", "asof_last_reading",
     "causal_features", "serving_skew", "leakage_audit", "urban_stress", "rural_area_scores", "well_timeline", "area_timeline",
     "statewide_overview", "error_quantiles", "threshold_curve", "band_accuracy", "validated_reports", "resolved_places",
-    "typeahead", "alert_plan", "stride_sample",
+    "typeahead", "alert_plan", "stride_sample", "quality_checks", "zero_count_checks", "autoregressions", "model_bands", "score_cards",
+    "named_messages", "audience_segments", "audience_sizes", "anchor_figures", "figures_as_of", "figure_summary", "retracted_figures",
+    "reading_spread", "split_coverage", "seasonal_skill", "streamed_reports", "streamed_intents",
 ]
 
 

@@ -17,8 +17,10 @@ A number is a reading only when the session is not waiting for a menu choice.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -209,6 +211,8 @@ def converse(packets: DataFrame, idle_s: float | None = None, timers: bool = Fal
     """
     if timers and idle_s is None:
         raise ValueError("timers need idle_s")
+    # The session travels whole: Spark also reads it in a process that may not find this package.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     found = packets.groupBy("phone").transformWithState(
         statefulProcessor=Conversation(idle_s, timers), outputStructType=_GIVEN, outputMode="Append",
