@@ -338,6 +338,21 @@ def residual_target(kind: str) -> tuple[Column, Column]:
     return F.col("target_level") - base, base
 
 
+def residual_summary(features: DataFrame, groups: list[str]) -> DataFrame:
+    """Per kind of target and group: rows, rows that can be fitted, mean and mean absolute residual.
+
+    All kinds come from one pass over the features and one aggregate.
+    """
+    each = F.array(*(F.struct(F.lit(kind).alias("target"), residual_target(kind)[0].alias("residual")) for kind in TARGETS))
+    rows = features.select(*groups, F.inline(each))
+    return rows.groupBy("target", *groups).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count("residual").alias("n_fit"),
+        F.avg("residual").alias("mean_residual"),
+        F.avg(F.abs("residual")).alias("mean_abs_residual"),
+    )
+
+
 def train_residual_model(
     matrix: DataFrame,
     names: list[str],
@@ -381,16 +396,16 @@ def predict_residual(model, ready: DataFrame) -> DataFrame:
 
 
 def train_per_horizon(matrix: DataFrame, names: list[str], horizons: tuple[int, ...], **options) -> DataFrame:
-    """One model per horizon; their predictions in one table."""
+    """One model per horizon; their predictions in one table. ``matrix`` is read once per horizon.
+
+    Each horizon needs rows to fit; Spark ML raises where there are none.
+    """
     inputs = [c for c in names if c != "horizon_d"]
     parts = []
     for h in horizons:
         model, ready = train_residual_model(matrix.where(F.col("horizon_d") == h), inputs, **options)
         parts.append(predict_residual(model, ready))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def gain_importance(spark, model, names: list[str]) -> DataFrame:

@@ -100,19 +100,21 @@ def asof_backward(
     )
 
 
-def longest_run(df: DataFrame, key: str, date: str, value: str) -> DataFrame:
-    """Longest run of equal consecutive values per key (gaps and islands)."""
+def with_run(df: DataFrame, key: str, date: str, value: str) -> DataFrame:
+    """Rows with ``run``: how many rows up to this one hold the same value without a break.
+
+    The distance from the row where the value last changed, so one sort per key does.
+    """
     w = by_day(key, date)
-    changed = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)), 0).otherwise(1)
-    island = F.sum("_new").over(running(key, date))
-    return (
-        df.withColumn("_new", changed)
-        .withColumn("_island", island)
-        .groupBy(key, "_island")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy(key)
-        .agg(F.max("_n").alias("max_run"))
-    )
+    at = F.row_number().over(w)
+    same = F.lag(value).over(w).eqNullSafe(F.col(value)) & (at > 1)
+    marked = df.withColumn("_at", at).withColumn("_new", F.when(~same, F.col("_at")))
+    return marked.withColumn("run", F.col("_at") - F.max("_new").over(running(key, date)) + 1).drop("_at", "_new")
+
+
+def longest_run(df: DataFrame, key: str, date: str, value: str) -> DataFrame:
+    """Longest run of equal consecutive values per key."""
+    return with_run(df, key, date, value).groupBy(key).agg(F.max("run").cast("long").alias("max_run"))
 
 
 def largest_gap(df: DataFrame, key: str, date: str) -> DataFrame:

@@ -14,7 +14,7 @@ from wellspring.functions import geo
 from wellspring.functions.numeric import half_even, to_double
 from wellspring.functions.text import clean_name, plain, station_id
 from wellspring.operators.lineage import cut_lineage
-from wellspring.operators.ordering import exact_quantiles, longest_run
+from wellspring.operators.ordering import exact_quantiles, with_run
 
 # Fixed value: the shape of a period column name.
 PERIOD_COLUMN = re.compile(r"^(Jan|May|Aug|Nov)-(\d{2})$")
@@ -56,11 +56,18 @@ def unpivot_periods(
 
 
 def qc_profile(readings: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Counts, year coverage, repeat run and range per well, with four fail flags."""
-    per_year = readings.groupBy("well_id", F.year("obs_date").alias("_y")).agg(
+    """Counts, year coverage, repeat run, range and first and last day per well, with four fail flags.
+
+    Rows are shuffled once, by well; years and runs are counted where they land.
+    """
+    rows = with_run(readings, "well_id", "obs_date", "level_mbgl")
+    per_year = rows.groupBy("well_id", F.year("obs_date").alias("_y")).agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("level_mbgl").alias("_lo"),
         F.max("level_mbgl").alias("_hi"),
+        F.max("run").alias("_run"),
+        F.min("obs_date").alias("_first"),
+        F.max("obs_date").alias("_last"),
     )
     profile = per_year.groupBy("well_id").agg(
         F.sum("_n").alias("n_obs"),
@@ -68,11 +75,11 @@ def qc_profile(readings: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         F.count_if(F.col("_n") >= 2).alias("_full_years"),
         F.min("_lo").alias("min_lvl"),
         F.max("_hi").alias("max_lvl"),
+        F.max("_run").cast("long").alias("max_run"),
+        F.min("_first").alias("first_obs"),
+        F.max("_last").alias("last_obs"),
     )
-    runs = longest_run(readings, "well_id", "obs_date", "level_mbgl")
-    out = profile.join(runs, "well_id").withColumn(
-        "yr_cov", F.col("_full_years") / F.col("yrs_span")
-    )
+    out = profile.withColumn("yr_cov", F.col("_full_years") / F.col("yrs_span"))
     out = out.withColumns(
         {
             "fail_readings": F.col("n_obs") < settings.min_readings,
@@ -164,7 +171,7 @@ def nearest_donor(
             probe.join(some, ["_l", "_y", "_x"]).groupBy("lat", "lon").agg(F.min("_l").alias("_first"))
         )
         finest = found if finest is None else finest.unionByName(found)
-        left = cut_lineage(left.join(found, ["lat", "lon"], "left_anti"))
+        left = left.join(found, ["lat", "lon"], "left_anti")
         if left.isEmpty():
             break
     reach = F.lit(2 * math.sqrt(2)) * F.lit(_BASE_DEGREES) * F.pow(F.lit(2.0), F.col("_first"))
@@ -238,12 +245,14 @@ def prepare_wells(
 ) -> tuple[DataFrame, DataFrame]:
     """Registry and readings of the wells that pass quality control."""
     long = unpivot_periods(wide, ["well_id"], source, settings)
-    kept = qc_profile(long, settings).where("keep").select("well_id")
-    readings = long.join(kept, "well_id", "left_semi")
-    registry = clean_registry(wide).join(kept, "well_id", "left_semi")
+    kept = qc_profile(long, settings).where("keep").select(
+        "well_id", F.col("n_obs").cast("int").alias("n_observations"), "first_obs", "last_obs"
+    )
+    # One row per well, read for the donors of some wells and for the result.
+    registry = cut_lineage(clean_registry(wide).join(kept, "well_id"))
+    readings = long.join(registry.select("well_id"), "well_id", "left_semi")
     named = donors.withColumn("district", clean_name(F.col("district")))
-    registry = attach_specific_yield(registry, named).join(registry_stats(readings), "well_id", "left")
-    return registry, readings
+    return attach_specific_yield(registry, named), readings
 
 
 def yield_provenance(registry: DataFrame) -> DataFrame:

@@ -50,53 +50,6 @@ def prior_moments(readings: DataFrame, asks: DataFrame, settings: Settings = DEF
     )
 
 
-def prior_table(readings: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row per well: its running moments after each reading, in date order.
-
-    Built once and joined to a stream on ``well_id``; a well has at most one
-    reading per day, which bounds the array.
-    """
-    upto = Window.partitionBy("well_id").orderBy("obs_date").rowsBetween(Window.unboundedPreceding, 0)
-    seasonal = (
-        Window.partitionBy("well_id", "_season").orderBy("obs_date").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    level = F.col("level_mbgl")
-    rows = readings.withColumn("_season", cal.season_of(F.col("obs_date"), settings)).select(
-        "well_id",
-        F.struct(
-            F.col("obs_date").alias("at"),
-            F.col("_season").alias("season"),
-            F.count(level).over(seasonal).alias("n_s"),
-            F.avg(level).over(seasonal).alias("mu_s"),
-            F.var_samp(level).over(seasonal).alias("var_s"),
-            F.count(level).over(upto).alias("n_a"),
-            F.avg(level).over(upto).alias("mu_a"),
-            F.var_samp(level).over(upto).alias("var_a"),
-        ).alias("m"),
-    )
-    return rows.groupBy("well_id").agg(F.sort_array(F.collect_list("m")).alias("moments"))
-
-
-def lookup_priors(reports: DataFrame, table: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Reports with the moments known at ``reported_for``; one equi-join."""
-    season = cal.season_of(F.col("reported_for"), settings)
-    out = reports.join(table, "well_id", "left").withColumn("_season", season)
-    known = F.filter("moments", lambda m: m["at"] <= F.col("reported_for"))
-    out = out.withColumn("_known", known)
-    same = F.filter("_known", lambda m: m["season"] == F.col("_season"))
-    out = out.withColumns(
-        {"_s": F.try_element_at(same, F.lit(-1)), "_a": F.try_element_at(F.col("_known"), F.lit(-1))}
-    )
-    enough = F.coalesce(F.col("_s.n_s") >= 3, F.lit(False))
-    return out.withColumns(
-        {
-            "n_prior": F.when(enough, F.col("_s.n_s")).otherwise(F.col("_a.n_a")),
-            "mu": F.when(enough, F.col("_s.mu_s")).otherwise(F.col("_a.mu_a")),
-            "var": F.when(enough, F.col("_s.var_s")).otherwise(F.col("_a.var_a")),
-        }
-    ).drop("moments", "_season", "_known", "_s", "_a")
-
-
 def verdict(level: Column, well_depth: Column, settings: Settings = DEFAULTS) -> dict[str, Column]:
     """Verdict columns from ``n_prior``, ``mu`` and ``var``.
 

@@ -270,9 +270,12 @@ def ring_climatology(daily: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     per_day = train.groupBy("well_id", F.dayofyear("date").alias("doy")).agg(
         F.avg("level_mbgl").alias("_v"), F.sum("level_mbgl").alias("_s"), F.count(F.lit(1)).alias("_n")
     )
-    means = per_day.groupBy("well_id").agg((F.sum("_s") / F.sum("_n")).alias("well_mean"))
-    slots = means.select("well_id", "well_mean", F.explode(F.sequence(F.lit(1), F.lit(366))).alias("doy"))
-    grid = slots.join(per_day.select("well_id", "doy", "_v"), ["well_id", "doy"], "left")
+    known = per_day.groupBy("well_id").agg(
+        (F.sum("_s") / F.sum("_n")).alias("well_mean"),
+        F.map_from_entries(F.collect_list(F.struct("doy", "_v"))).alias("_days"),
+    )
+    slots = known.withColumn("doy", F.explode(F.sequence(F.lit(1), F.lit(366))))
+    grid = slots.select("well_id", "well_mean", "doy", F.try_element_at("_days", F.col("doy")).alias("_v"))
     half = settings.ring_halfwidth_days
     ring = grid.withColumn("_lap", F.explode(F.array(F.lit(-366), F.lit(0), F.lit(366)))).withColumn(
         "_pos", F.col("doy") + F.col("_lap")

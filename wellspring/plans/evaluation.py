@@ -308,15 +308,53 @@ def model_bands(fx):
     return ev.band_accuracy(_model_scored(fx).where(F.col("split") == "test"), ["forecaster"], fx.settings)
 
 
+def _matrix(fx):
+    """Model inputs from stored features: they are counted first and then prepared."""
+    return ft.model_matrix(cut_lineage(fx.causal))
+
+
 @query("ML-2 PR-13")
 def residual_model_metrics(fx):
     """Boosted trees on the residual to climatology, scored on val and test."""
-    matrix, names = ft.model_matrix(fx.causal)
-    model, ready = ev.train_residual_model(matrix, names)
+    model, ready = ev.train_residual_model(*_matrix(fx))
     pred = ev.predict_residual(model, ready).where(F.col("split").isin("val", "test"))
     return ev.error_metrics(pred, ["split"])
 
 
+@query("ML-2")
+def horizon_model_metrics(fx):
+    """A model of its own per horizon, scored on val and test."""
+    pred = ev.train_per_horizon(*_matrix(fx), HORIZONS).where(F.col("split").isin("val", "test"))
+    return ev.error_metrics(pred, ["split"])
+
+
+@query("ML-2")
+def feature_gains(fx):
+    """Share of the trees' gain per input."""
+    matrix, names = _matrix(fx)
+    model, _ = ev.train_residual_model(matrix, names)
+    gains = ev.gain_importance(fx.spark, model, names)
+    return gains.withColumn("gain_share", half_even(F.col("gain_share"), 6))
+
+
+_BASES = {"level": "0e0", "delta_obs": "last_obs_level", "delta_clim": "coalesce(clim_season, clim_well)"}
+
+
+@query(
+    "ML-2",
+    " UNION ALL ".join(
+        f"""SELECT '{kind}' AS target, split, horizon_d, count(*) AS n_rows, count(target_level - {base}) AS n_fit,
+              {r(f'avg(target_level - {base})', 6)} AS mean_residual, {r(f'avg(abs(target_level - {base}))', 6)} AS mean_abs_residual
+            FROM fx_causal GROUP BY split, horizon_d"""
+        for kind, base in _BASES.items()
+    ),
+)
+def residual_targets(fx):
+    """What each kind of target leaves to be learnt, and from how many rows."""
+    out = ev.residual_summary(fx.causal, ["split", "horizon_d"])
+    return out.withColumns({c: half_even(F.col(c), 6) for c in ("mean_residual", "mean_abs_residual")})
+
+
 # -------------------------------------------------------------------- quality
 _CHECK_SQL = {
     "w": (

@@ -81,11 +81,22 @@ def weather_from_map_payloads(fx):
     return rows.select("cell_id", "date", "precip_mm", "temp_max", half_even(F.col("et0_mm"), 6).alias("et0_mm"))
 
 
-@query("SRC-6")
+_WORDS = ("the", "and", "les", "des", "que", "tion", "eau", "ent")
+# A name ends in a letter, so its word ends where another kind of character follows.
+_WORD_PERCENTS = " UNION ALL ".join(
+    rf"SELECT page_id, '{w.upper()}' AS reservoir_id, regexp_extract(t, '(?i){w}[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}].{{0,399}}?(\p{{Nd}}{{1,3}}(?:\.\p{{Nd}}+)?) *%', 1) AS pct FROM flat"
+    for w in _WORDS
+)
+
+
+@query(
+    "SRC-6",
+    rf"""WITH flat AS (SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]+>', '|', 'g'), '[\t-\r\x{{85}}\p{{Z}}]+', ' ', 'g') AS t FROM pages)
+        SELECT page_id, reservoir_id, CAST(pct AS DOUBLE) AS live_storage_pct FROM ({_WORD_PERCENTS}) WHERE pct <> ''""",
+)
 def percents_in_pages(fx):
     """Aliases are the commonest words of the pages, so that some occur."""
-    aliases = {w: w.upper() for w in ("the", "and", "les", "des", "que", "tion", "eau", "ent")}
-    return readers.percents_from_pages(fx.table("pages", "page_id", "html"), aliases)
+    return readers.percents_from_pages(fx.table("pages", "page_id", "html"), {w: w.upper() for w in _WORDS})
 
 
 def _pages_with_dams(fx):
@@ -345,7 +356,8 @@ _QC_FLAGS = f"""SELECT *, n_obs < 8 AS fail_readings, yr_cov < 0.3 AS fail_yr_co
     f"SELECT well_id, n_obs, yrs_span, {r('yr_cov',6)} AS yr_cov, max_run, {r('min_lvl',6)} AS min_lvl, {r('max_lvl',6)} AS max_lvl, fail_readings, fail_yr_cov, fail_repeat, fail_range, keep FROM ({_QC_FLAGS})",
 )
 def quality_profile(fx):
-    p = prep.qc_profile(prep.unpivot_periods(fx.wide, ["well_id"], "wide", fx.settings), fx.settings)
+    long = prep.unpivot_periods(fx.wide, ["well_id"], "wide", fx.settings)
+    p = prep.qc_profile(long, fx.settings).drop("first_obs", "last_obs")
     return p.withColumns({c: half_even(F.col(c), 6) for c in ("yr_cov", "min_lvl", "max_lvl")})
 
 
