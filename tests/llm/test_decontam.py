@@ -93,3 +93,64 @@ def test_a_rewritten_last_sentence_does_not_hide_a_copy(spark):
     assert [(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()] == [(100, 1)]
     answered = items.selectExpr("item_id", "text", f"'{last}' AS answer")
     assert decontam.contaminated(docs, answered).collect() == []
+
+
+def test_items_of_any_length_and_equal_items(spark):
+    draw = random.Random(13)
+    prose = lambda n: " ".join(f"w{draw.randrange(20000)}" for _ in range(n))
+    long, short = prose(20_000), prose(45)
+    words = long.split()
+    edited = [f"new{k}" if k % 9 == 0 else w for k, w in enumerate(words)]
+    docs = spark.createDataFrame(
+        [(1, f"{prose(50)} {long} {prose(50)}"), (2, " ".join(edited)), (3, " ".join(words[:9000])), (4, f"{prose(30_000)} {short} {prose(90)}"), (4, short), (5, prose(500)), (None, short)],
+        "doc_id long, text string",
+    )
+    items = spark.createDataFrame([(1, long), (2, short), (3, short), (3, short)], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id) for r in decontam.contaminated(docs, items).collect())
+    assert got == [(0, 2), (0, 3), (1, 1), (2, 1), (4, 2), (4, 3)]
+
+
+def test_strips_and_slabs_do_not_change_results(monkeypatch):
+    rng = random.Random(5)
+    a, b = ([rng.randrange(9) for _ in range(n)] for n in (300, 400))
+    whole = decontam.common_subsequence(np.array(a), np.array(b))
+    monkeypatch.setattr(decontam, "STRIP", 7)
+    assert decontam.common_subsequence(np.array(a), np.array(b)) == whole
+    idf = np.ones(1 << decontam.BITS)
+    text = " ".join(f"v{rng.randrange(300)}" for _ in range(4000))
+    block = pa.table({"item_id": [1], "text": [" ".join(text.split()[2000:2040])]})
+    found = list(decontam._passages(block["text"].combine_chunks(), idf))
+    row_of = np.full(1 << decontam.BITS, -1, np.int32)
+    row_of[found[0][2]] = np.arange(len(found[0][2]))
+    index = decontam.build_index(block, idf, row_of, np.linalg.qr(found[0][3][:, None])[0], idf.astype(np.float32))
+    w, bucket = decontam._words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    places = list(decontam._windows(index, w, bucket, 0.5))
+    monkeypatch.setattr(decontam, "SLAB", 16)
+    assert places and [p[:3] for p in decontam._windows(index, w, bucket, 0.5)] == [p[:3] for p in places]
+
+
+def test_every_pair_that_covers_an_item_word_by_word_is_found(docs, spark):
+    """All documents against all items by the plain table, without any search."""
+    benchmark = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark).collect()}
+    texts = [(r.doc_id, (r.text or "").lower().split()) for r in docs.select("doc_id", "text").collect()]
+    wanted = set()
+    for item in benchmark.collect():
+        words = (item.text or "").lower().split()
+        mine = set(words)
+        for doc, have in texts:
+            near = [k for k, x in enumerate(have) if x in mine]
+            if len(near) < 0.9 * len(words):
+                continue
+            for at in range(0, max(1, len(have) - len(words) + 1)):
+                here = have[at : at + len(words)]
+                if sum(x == y for x, y in zip(here, words, strict=False)) >= 0.9 * len(words):
+                    wanted.add((doc, item.item_id))
+                    break
+    assert wanted and wanted <= found
+
+
+def test_the_rank_is_the_least_that_keeps_each_passage():
+    vectors = np.array([[0.95, 0.3, 0.08], [0.2, 0.92, 0.34]])
+    assert decontam.least_rank(vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) == 2
+    assert decontam.least_rank(np.eye(3)) == 3

@@ -5,38 +5,46 @@
    matrix. A randomised SVD (random range, one power step) gives the latent space: the
    products with the matrix are sums over passages, made by the tasks that hold them and
    added up; only matrices of bounded size (words of a part x rank) reach the driver.
-   The rank is that of the part's passages, so unrelated passages do not crowd each
-   other out: each passage keeps at least ``KEPT`` of its norm, or building fails.
+   The rank is the least that keeps ``KEPT`` of the norm of each passage, so unrelated
+   passages do not crowd each other out and related ones share directions.
 3. Every window of every document (overlapping by five sixths, for each passage length in use) is
-   projected and compared with all passages. A candidate is a window whose cosine is at
-   least ``COSINE``. What of it lies on other words than the benchmark's is at right
-   angles to all passages, so windows with less than ``COSINE**2`` of their squared
-   weight on benchmark words are left out before the projection.
+   projected and compared with all passages. A candidate is a window whose latent cosine is at
+   least ``COSINE``, or whose TF-IDF cosine may be: that is at most the product of the
+   projections plus the product of what the projections leave over of window and passage.
+   What of a window lies on other words than the benchmark's is at right angles to all
+   passages, so windows with less than ``COSINE**2`` of their squared weight on benchmark
+   words are left out before the projection.
 4. A candidate counts if the longest common subsequence of its words with the item,
    searched in the window and its surroundings, covers ``COVERED`` of the item, and if the
    item's answer is found there too to the same degree. The answer is the column
    ``answer``; where that is absent or null it is the item's last sentence, and then a
    place that covers ``SURE`` of the item counts without it.
 
-Documents are never shuffled. Items are dealt by hash into parts of about ``PASSAGES``
-passages, and ``PARTS`` of them make a pass over the documents, so what is broadcast
-does not grow with the number of items; one more pass counts words.
-
-Edges: null and empty texts and items never match; equal documents are each reported;
-equal items each report; an item of under ``LEAST_WORDS`` words must occur whole; an
-empty benchmark or table gives no rows.
+Documents are never shuffled. Equal items are searched once. Items are dealt by hash into
+bins of about ``PASSAGES`` passages, and the passages of a bin are cut into parts of at
+most that many: a long item spreads over parts. ``PARTS`` of them make a pass over the
+documents, so what is broadcast does not grow with the number of items, only with the
+longest one; one more pass counts words. Running sums are held for ``SLAB`` blocks of
+words at a time, whatever a text's length, and subsequences for ``STRIP`` words of an item.
+
+Edges: null and empty texts and items never match; each pair of a doc_id and an item_id is
+reported once, with its best place, however many rows share them (null ids too); equal
+items each report; an item of under ``LEAST_WORDS`` words must occur whole; an empty
+benchmark or table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wellspring.llm import tables
 from wellspring.llm.words import Words, lowered, separators, slices, text_bytes, words_of
 
 BITS = 18
@@ -45,12 +53,20 @@ PASSAGES = 256
 PARTS = 8
 KEPT = 0.9
 BLOCK = 4
+SLAB = 1 << 14
+STRIP = 8192
 PASSAGE = 48
 COSINE = 0.55
 COVERED = 0.6
 SURE = 0.8
 LEAST_WORDS = 8
-HITS = "doc_id long, item_id long, cosine double, covered double, first_word long, last_word long"
+FOUND = "doc_id long, key string, cosine double, covered double, first_word long, last_word long"
+HITS = FOUND.replace("key string", "item_id long")
+SCHEMA = pa.schema(
+    {"doc_id": pa.int64(), "key": pa.string(), "cosine": pa.float64(), "covered": pa.float64(), "first_word": pa.int64(), "last_word": pa.int64()}
+)
+NAMES = SCHEMA.names
+Span = tuple[tuple[str, int], tuple[str, int]]
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
@@ -105,13 +121,16 @@ def _n_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"n": pa.array([int((-(-n // PASSAGE)).sum())], pa.int64())})
 
 
-def _product(idf, row_of, basis):
-    """A' (A basis) over the passages of a task, as one dense block."""
+def _product(idf, row_of, basis, span: Span):
+    """A' (A basis) over a task's passages from one (key, first word) to another, as one dense block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(basis.value.shape)
         for batch in batches:
-            for _, _, x, value in _passages(batch["text"], idf.value):
+            keys = batch["key"].to_pylist()
+            for i, start, x, value in _passages(batch["text"], idf.value):
+                if not span[0] <= (keys[i], start) <= span[1]:
+                    continue
                 rows = row_of.value[x]
                 out[rows] += value[:, None] * (value @ basis.value[rows])
         used = np.flatnonzero(out.any(1))
@@ -122,7 +141,7 @@ def _product(idf, row_of, basis):
     return run
 
 
-def latent_basis(items: DataFrame, idf, row_of, n_rows: int, rank: int) -> np.ndarray:
+def latent_basis(items: DataFrame, idf, row_of, n_rows: int, rank: int, span: Span) -> np.ndarray:
     """An orthonormal basis (words x rank) of the passages' main directions: randomised SVD.
 
     ``row_of`` numbers the hash buckets of the part's words; both are broadcasts.
@@ -132,7 +151,7 @@ def latent_basis(items: DataFrame, idf, row_of, n_rows: int, rank: int) -> np.nd
     basis = np.random.default_rng(20).standard_normal((n_rows, rank + OVERSAMPLED))
     for _ in range(2):
         given = context.broadcast(basis)
-        parts = items.select("text").mapInArrow(_product(idf, row_of, given), "word int, row array<double>")
+        parts = items.select("key", "text").mapInArrow(_product(idf, row_of, given, span), "word int, row array<double>")
         cells = parts.select("word", F.posexplode("row").alias("c", "x")).groupBy("word", "c").agg(F.sum("x").alias("x"))
         cells = cells.toArrow()
         got = np.zeros_like(basis)
@@ -150,46 +169,86 @@ class Index:
     row_of: np.ndarray
     basis: np.ndarray
     vectors: np.ndarray
+    kept: np.ndarray
     item: np.ndarray
     start: np.ndarray
-    ids: list[int]
+    told: Items
+    lengths: list[int]
+
+
+@dataclass
+class Items:
+    """Keys, words, answers' words, and whether an answer was given, by item."""
+
+    keys: list
     words: list[np.ndarray]
     answers: list[np.ndarray]
     given: list[bool]
-    lengths: list[int]
 
 
-def build_index(block: pa.Table, idf: np.ndarray, row_of: np.ndarray, basis: np.ndarray, idf32: np.ndarray) -> Index:
-    """Passages of a part's items in the latent space of ``basis``, which must keep ``KEPT`` of each one's norm."""
-    found = list(_passages(block["text"].combine_chunks(), idf))
-    vectors = np.array([value @ basis[row_of[x]] for _, _, x, value in found]).reshape(len(found), basis.shape[1])
+def _told(block: pa.Table) -> Items:
+    answers = block["answer"].to_pylist() if "answer" in block.column_names else [None] * len(block)
+    keys = block["key" if "key" in block.column_names else "item_id"].to_pylist()
+    out = Items(keys, [], [], [bool(x) for x in answers])
+    for text, answer in zip(block["text"].to_pylist(), answers, strict=True):
+        text = text or ""
+        last = answer or text.strip().rstrip(".!?").replace("\n", " ").split(". ")[-1]
+        for x, to in ((text, out.words), (last, out.answers)):
+            data = np.frombuffer(x.encode(), np.uint8)
+            to.append(words_of(lowered(data), np.array([0, len(data)]), separators()).hashes)
+    return out
+
+
+def _projected(found: list, row_of: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    return np.array([value @ basis[row_of[x]] for _, _, x, value in found]).reshape(len(found), basis.shape[1])
+
+
+def least_rank(vectors: np.ndarray, share: float = KEPT) -> int:
+    """How many leading directions keep ``share`` of the norm of each unit row; all of them if none do."""
+    enough = (np.sqrt(np.cumsum(vectors**2, axis=1)) >= share).all(axis=0)
+    return int(np.argmax(enough)) + 1 if enough.any() else vectors.shape[1]
+
+
+def build_index(
+    block: pa.Table, idf: np.ndarray, row_of: np.ndarray, basis: np.ndarray, idf32: np.ndarray,
+    found: list | None = None, told: Items | None = None,
+) -> Index:
+    """Passages (of all items, or those given) in the latent space of ``basis``, which must keep ``KEPT`` of each one's norm."""
+    found = list(_passages(block["text"].combine_chunks(), idf)) if found is None else found
+    told = told or _told(block)
+    vectors = _projected(found, row_of, basis)
     kept = np.linalg.norm(vectors, axis=1, keepdims=True)
     if kept.min(initial=1.0) < KEPT:
         raise ValueError(f"a passage keeps only {kept.min():.2f} of its norm in {basis.shape[1]} directions")
-    vectors /= kept
-    answers = block["answer"] if "answer" in block.column_names else None
-    words, of_answer, given = [], [], []
-    for i, text in enumerate(block["text"].to_pylist()):
-        text = text or ""
-        answer = answers[i].as_py() if answers else None
-        given.append(bool(answer))
-        last = answer or text.strip().rstrip(".!?").replace("\n", " ").split(". ")[-1]
-        pair = [words_of(lowered(d), np.array([0, len(d)]), separators()).hashes for d in (np.frombuffer(x.encode(), np.uint8) for x in (text, last))]
-        words.append(pair[0])
-        of_answer.append(pair[1])
     return Index(
-        idf32, row_of, basis.astype(np.float32), vectors.astype(np.float32).T,
+        idf32, row_of, basis.astype(np.float32), (vectors / kept).astype(np.float32).T, np.minimum(kept[:, 0], 1).astype(np.float32),
         np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64),
-        block["item_id"].to_pylist(), words, of_answer, given, sorted({min(PASSAGE, len(w)) for w in words if len(w)}),
+        told, sorted({min(PASSAGE, len(told.words[f[0]])) for f in found}),
     )
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, a row at a time."""
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
-    return int(row[-1])
+    """Length of the longest common subsequence.
+
+    A row of the usual table is kept as bits, one where it does not grow, so a step along
+    ``b`` is an addition; ``a`` is taken in strips that hand on the addition's carries.
+    """
+    there, carry, length = b.tolist(), bytearray(len(b)), 0
+    for low in range(0, len(a), STRIP):
+        part = a[low : low + STRIP].tolist()
+        flat = (1 << len(part)) - 1
+        places: dict[int, int] = {}
+        for i, x in enumerate(part):
+            places[x] = places.get(x, 0) | 1 << i
+        row = flat
+        for j, y in enumerate(there):
+            hit = row & places.get(y, 0)
+            if hit or carry[j]:
+                grown = row + hit + carry[j]
+                carry[j] = grown >> len(part)
+                row = (grown | (row - hit)) & flat
+        length += len(part) - row.bit_count()
+    return length
 
 
 def _sizes(lengths: list[int]) -> list[int]:
@@ -201,6 +260,16 @@ def _sizes(lengths: list[int]) -> list[int]:
     return out
 
 
+def _running(index: Index, weight: np.ndarray, row: np.ndarray, head: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Running sums of the projected words of blocks that begin at ``head``, none beyond the end of its text."""
+    sums = np.zeros((len(head) + 1, index.basis.shape[1]), np.float32)
+    for j in range(BLOCK):
+        word = np.minimum(head + j, len(row) - 1)
+        ok = np.flatnonzero((head + j < stop) & (row[word] >= 0))
+        sums[ok + 1] += weight[word[ok], None] * index.basis[row[word[ok]]]
+    return np.cumsum(sums, axis=0, out=sums)
+
+
 def _windows(index: Index, w: Words, bucket: np.ndarray, least: float) -> Iterator[tuple[int, int, int, float]]:
     """(first word, words, passage, cosine) of candidates, the best ones first; one of each item and place.
 
@@ -233,29 +302,27 @@ def _windows(index: Index, w: Words, bucket: np.ndarray, least: float) -> Iterat
     start, end = np.concatenate(starts), np.concatenate(ends)
     if not len(start):
         return
-    edge = np.zeros(len(head) + 1, np.int64)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, end, -1)
-    needed = np.cumsum(edge[:-1]) > 0
-    place = np.concatenate([[0], np.cumsum(needed)])
-    block = np.flatnonzero(needed)
-    stop = w.first[doc[block] + 1]
-    sums = np.zeros((len(block) + 1, index.basis.shape[1]), np.float32)
-    for j in range(BLOCK):
-        word = np.minimum(head[block] + j, len(row) - 1)
-        ok = np.flatnonzero((head[block] + j < stop) & (row[word] >= 0))
-        sums[ok + 1] += weight[word[ok], None] * index.basis[row[word[ok]]]
-    np.cumsum(sums, axis=0, out=sums)
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], end[order]
     found = []
-    for at in range(0, len(start), 4096):
-        a, b = start[at : at + 4096], end[at : at + 4096]
-        cosine = (sums[place[b]] - sums[place[a]]) @ index.vectors
-        cosine /= np.sqrt(np.maximum(total[b] - total[a], 1e-12))[:, None].astype(np.float32)
-        k, passage = np.nonzero(cosine >= least)
-        found.append((cosine[k, passage], head[a[k]], (b - a)[k] * BLOCK, passage, doc[a[k]]))
+    for at in np.split(np.arange(len(start)), np.flatnonzero(np.diff(start // SLAB)) + 1):
+        low, high = int(start[at[0]]), int(end[at].max())
+        sums = _running(index, weight, row, head[low:high], w.first[doc[low:high] + 1])
+        for k in range(at[0], at[-1] + 1, 4096):
+            a, b = start[k : min(k + 4096, at[-1] + 1)], end[k : min(k + 4096, at[-1] + 1)]
+            size = np.sqrt(np.maximum(total[b] - total[a], 1e-12)).astype(np.float32)
+            here = (sums[b - low] - sums[a - low]) / size[:, None]
+            cosine = here @ index.vectors
+            share = np.minimum((known[b] - known[a]) / size.astype(np.float64) ** 2, 1)
+            over = np.sqrt(np.maximum(share - np.einsum("ij,ij->i", here, here), 0)).astype(np.float32)
+            most = cosine * index.kept + over[:, None] * np.sqrt(1 - index.kept**2)
+            i, passage = np.nonzero(np.maximum(cosine, most) >= least)
+            found.append((cosine[i, passage], head[a[i]], (b - a)[i] * BLOCK, passage, doc[a[i]]))
     value, word, size, passage, of = (np.concatenate(x) for x in zip(*found, strict=True))
     best = np.argsort(-value, kind="stable")
-    near = (word - w.first[of] - index.start[passage]) // 16 + (1 << 10)
+    # Places closer than a sixteenth of the item see the same surroundings: the best one stands for them.
+    unit = np.maximum(16, np.array([len(x) for x in index.told.words])[index.item[passage]] // 16)
+    near = (word - w.first[of] - index.start[passage]) // unit + (1 << 24)
     _, one = np.unique((of << 42 | near << 12 | index.item[passage])[best], return_index=True)
     for i in best[np.sort(one)]:
         yield int(word[i]), int(size[i]), int(passage[i]), float(value[i])
@@ -267,12 +334,13 @@ def _best(index: Index, w: Words, bucket: np.ndarray, least: float, covered: flo
     for start, size, p, cosine in _windows(index, w, bucket, least):
         doc = int(np.searchsorted(w.first, start, "right")) - 1
         item = int(index.item[p])
-        words = index.words[item]
+        words = index.told.words[item]
+        room = max(size, len(words) // 4)
         begin = start - int(index.start[p])
         if best.get((doc, item), (0, 0))[1] == 1.0:
             continue
-        a = max(int(w.first[doc]), begin - size)
-        b = min(int(w.first[doc + 1]), begin + len(words) + size)
+        a = max(int(w.first[doc]), begin - room)
+        b = min(int(w.first[doc + 1]), begin + len(words) + room)
         here = w.hashes[a:b]
         need = 1.0 if len(words) < LEAST_WORDS else covered
         there = set(here.tolist())
@@ -281,8 +349,8 @@ def _best(index: Index, w: Words, bucket: np.ndarray, least: float, covered: flo
         share = common_subsequence(words, here) / len(words)
         if share < need or best.get((doc, item), (0, -1))[1] >= share:
             continue
-        answer = index.answers[item]
-        sure = not index.given[item] and share >= SURE
+        answer = index.told.answers[item]
+        sure = not index.told.given[item] and share >= SURE
         if len(answer) and not sure and common_subsequence(answer, here) < need * len(answer) - 1e-9:
             continue
         best[doc, item] = (cosine, share, a - int(w.first[doc]), b - int(w.first[doc]))
@@ -296,48 +364,56 @@ def _search(shared, least: float, covered: float):
             ids = batch["doc_id"].to_pylist()
             for lo, hi in slices(offsets):
                 w, bucket = _words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                best: dict[tuple, tuple] = {}
                 for index in shared.value:
-                    best = _best(index, w, bucket, least, covered)
-                    keys = sorted(best)
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "doc_id": pa.array([ids[lo + d] for d, _ in keys], pa.int64()),
-                            "item_id": pa.array([index.ids[i] for _, i in keys], pa.int64()),
-                            "cosine": pa.array([best[k][0] for k in keys], pa.float64()),
-                            "covered": pa.array([best[k][1] for k in keys], pa.float64()),
-                            "first_word": pa.array([best[k][2] for k in keys], pa.int64()),
-                            "last_word": pa.array([best[k][3] for k in keys], pa.int64()),
-                        }
-                    )
+                    for (d, i), place in _best(index, w, bucket, least, covered).items():
+                        at = (ids[lo + d], index.told.keys[i])
+                        best[at] = max(best.get(at, place), place, key=lambda x: x[1::-1])
+                yield pa.RecordBatch.from_pylist(
+                    [dict(zip(NAMES, (*at, *place), strict=True)) for at, place in best.items()], schema=SCHEMA
+                )
 
     return run
 
 
+def _parts(items: DataFrame, n_bins: int, shared_idf, idf32: np.ndarray) -> Iterator[Index]:
+    """Indexes of at most ``PASSAGES`` passages each, bin by bin."""
+    context, idf = items.sparkSession.sparkContext, shared_idf.value
+    for n in range(n_bins):
+        mine = items.where(F.pmod(F.xxhash64("key"), F.lit(n_bins)) == n)
+        block = mine.toArrow().sort_by("key")
+        found = list(_passages(block["text"].combine_chunks(), idf)) if len(block) else []
+        told = _told(block)
+        for at in range(0, len(found), PASSAGES):
+            part = found[at : at + PASSAGES]
+            span = tuple((told.keys[p[0]], p[1]) for p in (part[0], part[-1]))
+            here = mine.where(F.col("key").between(span[0][0], span[1][0]))
+            used = np.unique(np.concatenate([x for *_, x, _ in part]))
+            row_of = np.full(1 << BITS, -1, np.int32)
+            row_of[used] = np.arange(len(used))
+            basis = latent_basis(here, shared_idf, context.broadcast(row_of), len(used), len(part), span)
+            basis = basis[:, : least_rank(_projected(part, row_of, basis))]
+            yield build_index(block, idf, row_of, basis, idf32, part, told)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = COSINE, covered: float = COVERED) -> DataFrame:
     """Pairs of a document and a benchmark item it holds, with cosine, covered share and place."""
     spark = docs.sparkSession
-    columns = [c for c in ("item_id", "text", "answer") if c in benchmark.columns]
-    items = benchmark.select(*columns).where("trim(text) <> ''").withColumn("item_id", F.col("item_id").cast("long"))
+    answer = [c for c in ("answer",) if c in benchmark.columns]
+    key = F.concat(*(F.sha2(F.coalesce(F.col(c).cast("string"), F.lit("")), 256) for c in ("text", *answer)))
+    given = benchmark.where("trim(text) <> ''").select(F.col("item_id").cast("long"), "text", *answer, key.alias("key"))
+    items = tables.stored(given.select("key", "text", *answer).dropDuplicates(["key"]))
     source = docs.select(F.col("doc_id").cast("long"), "text")
     n_passages = items.select("text").mapInArrow(_n_passages, "n long").agg(F.sum("n").alias("n")).first()["n"]
-    n_parts = -(-(n_passages or 0) // PASSAGES)
-    if not n_parts:
+    n_bins = -(-(n_passages or 0) // PASSAGES)
+    if not n_bins:
         return spark.createDataFrame([], HITS)
     idf = inverse_frequencies(source)
-    shared_idf, idf32, found = spark.sparkContext.broadcast(idf), idf.astype(np.float32), None
-    for start in range(0, n_parts, PARTS):
-        parts = []
-        for n in range(start, min(start + PARTS, n_parts)):
-            mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == n)
-            block = mine.toArrow()
-            passages = list(_passages(block["text"].combine_chunks(), idf)) if len(block) else []
-            if not passages:
-                continue
-            used = np.unique(np.concatenate([x for *_, x, _ in passages]))
-            row_of = np.full(1 << BITS, -1, np.int32)
-            row_of[used] = np.arange(len(used))
-            basis = latent_basis(mine, shared_idf, spark.sparkContext.broadcast(row_of), len(used), len(passages))
-            parts.append(build_index(block, idf, row_of, basis, idf32))
-        hits = source.mapInArrow(_search(spark.sparkContext.broadcast(parts), least, covered), HITS)
+    parts, found = _parts(items, n_bins, spark.sparkContext.broadcast(idf), idf.astype(np.float32)), None
+    while some := list(islice(parts, PARTS)):
+        hits = source.mapInArrow(_search(spark.sparkContext.broadcast(some), least, covered), FOUND)
         found = hits if found is None else found.unionByName(hits)
-    return found
+    pairs = found.join(given.select("key", "item_id").distinct(), "key")
+    rest = ("covered", "cosine", "first_word", "last_word")
+    best = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct(*rest)).alias("b"))
+    return best.select("doc_id", "item_id", "b.cosine", "b.covered", "b.first_word", "b.last_word")
