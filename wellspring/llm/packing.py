@@ -11,7 +11,7 @@ once and its ids are copied. This is exact, as the tokenizer's pieces never cros
 white space that parts words.
 
 Edges: a null or empty text is the end token alone; equal rows are packed one by one;
-rows of one doc_id land in the same group; an empty table gives no rows.
+rows of one doc_id are dealt by their texts too; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -180,7 +180,7 @@ def pack_documents(
     n_groups = 1 + tables.total_bytes(docs, "text") // GROUP_BYTES
     return (
         docs.select(
-            F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)).alias("g"),
+            F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).alias("g"),
             F.lit(n_groups).cast("long").alias("n_groups"), F.col("doc_id").cast("long"), "text",
         )
         .groupBy("g")
