@@ -303,3 +303,11 @@ def test_nobody_is_reached_by_who_may_not_send(spark):
     assert {(r.sender_id, r.segment, r.entity_id) for r in audience.audience_pointers(users).collect()} == {("g", "all", None), ("h", "all", None), ("m", "entity", "X")}
     pairs = {(r.sender_id, r.user_id) for r in audience.audience(users, users).collect()}
     assert pairs == {("m", "h"), ("m", "n"), ("m", "f")}
+
+
+def test_a_run_ends_at_nulls_and_begins_at_the_first_row(spark):
+    rows = [("a", 1, None), ("a", 2, None), ("a", 3, 5.0), ("a", 4, 5.0), ("a", 5, 5.0), ("a", 6, 4.0), ("b", 1, 5.0)]
+    got = ordering.with_run(spark.createDataFrame(rows, "k string, t int, v double"), "k", "t", "v")
+    assert [r.run for r in got.orderBy("k", "t").collect()] == [1, 2, 1, 2, 3, 1, 1]
+    longest = {r.k: r.max_run for r in ordering.longest_run(got.drop("run"), "k", "t", "v").collect()}
+    assert longest == {"a": 3, "b": 1}

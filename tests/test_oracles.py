@@ -18,6 +18,7 @@ NAMES = [
     "typeahead", "alert_plan", "stride_sample", "quality_checks", "zero_count_checks", "autoregressions", "model_bands", "score_cards",
     "named_messages", "audience_segments", "audience_sizes", "anchor_figures", "figures_as_of", "figure_summary", "retracted_figures",
     "reading_spread", "split_coverage", "seasonal_skill", "streamed_reports", "streamed_intents",
+    "residual_targets", "percents_in_pages", "yield_provenance", "ring_climatology", "readings_of_kept_wells",
 ]
 
 
