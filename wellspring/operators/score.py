@@ -14,11 +14,12 @@ from wellspring.functions import calendar as cal
 from wellspring.functions import stress
 from wellspring.functions.numeric import half_even
 from wellspring.operators.lineage import cut_lineage
-from wellspring.operators.ordering import by_day, by_day_number, running
+from wellspring.operators.ordering import by_day, by_day_number, number_rows, running
 
 URBAN_METHOD = "urban-stress-1.0"
 RURAL_METHOD = "rural-stress-1.0/climatology"
 RURAL_MODEL_METHOD = "rural-stress-1.0/model"
+MOST = 100
 
 # Municipal draw in million litres per day.
 DAILY_DRAW_MLD = {"MUM_ALL": 4100.0, "PUN_KHW": 1395.0, "PUN_ALL": 1900.0}
@@ -183,14 +184,26 @@ def well_scores(history: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return _score_terms(scored).drop("_model", "_season_mean", "_mean", "_last")
 
 
+def _points(forecast: Column) -> tuple[Column, Column, Column]:
+    """Points for depth, trend and headroom, ``MOST`` together at most."""
+    return (
+        stress.depth_score(forecast, F.col("shallow"), F.col("crisis")),
+        stress.deepening_score(F.col("trend")),
+        stress.headroom_score(forecast, F.col("well_depth")),
+    )
+
+
+def _score(forecast: Column) -> Column:
+    depth, trend, room = _points(forecast)
+    return half_even(depth + trend + room).cast("int")
+
+
 def _score_terms(df: DataFrame) -> DataFrame:
     """Score columns from forecast, shallow, crisis, trend, well_depth, last_obs_level."""
-    depth = stress.depth_score(F.col("forecast"), F.col("shallow"), F.col("crisis"))
-    trend = stress.deepening_score(F.col("trend"))
-    room = stress.headroom_score(F.col("forecast"), F.col("well_depth"))
+    depth, trend, room = _points(F.col("forecast"))
     return df.withColumns(
         {
-            "score": half_even(depth + trend + room).cast("int"),
+            "score": _score(F.col("forecast")),
             "s_depth": half_even(depth, 2),
             "s_trend": half_even(trend, 2),
             "s_headroom": half_even(room, 2),
@@ -388,13 +401,23 @@ def well_states(readings: DataFrame, wells: DataFrame, settings: Settings = DEFA
     )
 
 
+def _target_code(origin: str, settings: Settings) -> Column:
+    """Code of the season that a forecast made on a day is for."""
+    return cal.season_code(cal.season_of(F.date_add(origin, settings.horizon_days), settings))
+
+
+def _state_forecast(code: Column) -> Column:
+    """Running mean of a season, or of all readings where that season has none."""
+    return settled(F.coalesce(F.element_at("_by_season", code + 1), "_mean"))
+
+
+def _state_score(code: Column) -> Column:
+    return _score(_state_forecast(code))
+
+
 def _score_states(states: DataFrame, origin: str, settings: Settings) -> DataFrame:
-    target = F.date_add(origin, settings.horizon_days)
-    code = cal.season_code(cal.season_of(target, settings))
-    seasonal = F.element_at("_by_season", code + 1)
-    return _score_terms(
-        states.withColumns({"forecast": settled(F.coalesce(seasonal, "_mean")), "last_obs_level": F.col("level_mbgl")})
-    )
+    forecast = _state_forecast(_target_code(origin, settings))
+    return _score_terms(states.withColumns({"forecast": forecast, "last_obs_level": F.col("level_mbgl")}))
 
 
 def well_timeline(readings: DataFrame, wells: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -410,9 +433,11 @@ def well_timeline(readings: DataFrame, wells: DataFrame, settings: Settings = DE
 def area_timeline(readings: DataFrame, wells: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Worst-well score per area at each of the area's reading dates.
 
-    A well's state holds from its reading to the day before its next one. The
-    states are laid out on their own days (the size of the daily table) and
-    hash-joined to the area's distinct dates, so no pair of readings meets.
+    A well's state holds from its reading to the day before its next one. Its
+    score changes only with the season, so a state is scored once per season
+    and laid out on its own days (the size of the daily table) only to enter a
+    hash aggregate: score and place in the order of wells make one number, the
+    least of which is the worst well. Days are never shuffled or sorted.
     """
     states = well_states(readings, wells, settings).where(F.col("taluka").isNotNull())
     dates = (
@@ -422,19 +447,33 @@ def area_timeline(readings: DataFrame, wells: DataFrame, settings: Settings = DE
     )
     ends = dates.groupBy("taluka").agg(F.max("date").alias("_end"))
     # By well: an area with many readings would be one hot key.
-    last_day = wells.join(ends, "taluka").select("well_id", "_end")
-    spans = states.join(last_day, "well_id").withColumn("_to", F.least(F.coalesce("valid_to", "_end"), "_end"))
-    days = spans.withColumn("date", F.explode(F.sequence("obs_date", "_to")))
-    at_dates = days.join(dates, ["taluka", "date"], "left_semi")
-    scored = _score_states(at_dates, "date", settings)
-    worst = F.struct((-F.col("score")).alias("_neg"), "well_id", "score", "forecast_level")
-    rows = scored.groupBy("taluka", "date").agg(
-        F.min(worst).alias("w"), F.min("days_to_crisis").alias("days_to_crisis")
+    last_day = wells.join(ends, "taluka").select("well_id", "_end").distinct()
+    order = number_rows(wells.select("well_id").where(F.col("well_id").isNotNull()).distinct(), ["well_id"])
+    per_season = F.array(*[_state_score(F.lit(code)) for code in cal.SEASON_CODES.values()])
+    spans = states.join(last_day, "well_id").join(order, "well_id").select(
+        "taluka", "row_no", "obs_date", F.least(F.coalesce("valid_to", "_end"), "_end").alias("_to"), per_season.alias("_scores"),
+        "_by_season", "_mean", stress.days_to_crisis(F.col("crisis"), F.col("level_mbgl"), F.col("trend")).alias("days_to_crisis"),
+    )
+    spans = cut_lineage(spans.where(F.col("obs_date") <= F.col("_to")))  # laid out on days, then asked for the worst wells
+    days = spans.select("taluka", "row_no", "_scores", "days_to_crisis", F.explode(F.sequence("obs_date", "_to")).alias("date"))
+    # A state without a score counts as the worst.
+    code = F.coalesce(F.lit(MOST + 1) - F.element_at("_scores", _target_code("date", settings) + 1), F.lit(0)).cast("long")
+    worst = F.min(F.shiftleft(code, 40) + F.col("row_no"))
+    rows = days.groupBy("taluka", "date").agg(worst.alias("_worst"), F.min("days_to_crisis").alias("days_to_crisis"))
+    rows = rows.join(dates, ["taluka", "date"], "left_semi").withColumns(
+        {"row_no": F.col("_worst") % F.lit(1 << 40), "_code": F.shiftright("_worst", 40)}
     )
-    return rows.select(
-        F.col("taluka").alias("entity_id"), "date", F.col("w.score").alias("score"),
-        stress.band(F.col("w.score"), settings).alias("band"),
-        F.col("w.forecast_level").alias("forecast_level"), "days_to_crisis",
+    asked = rows.withColumn("score", F.when(F.col("_code") > 0, MOST + 1 - F.col("_code")).cast("int"))
+    held = spans.select("taluka", "row_no", "obs_date", "_to", "_scores", "_by_season", "_mean")
+    met = asked.join(held, ["taluka", "row_no"]).where(
+        F.col("date").between(F.col("obs_date"), F.col("_to"))
+        & F.element_at("_scores", _target_code("date", settings) + 1).eqNullSafe(F.col("score"))
+    )
+    level = half_even(_state_forecast(_target_code("date", settings)), 2)
+    picked = met.groupBy("taluka", "date", "score").agg(F.min(level).alias("forecast_level"), F.min("days_to_crisis").alias("days_to_crisis"))
+    return picked.select(
+        F.col("taluka").alias("entity_id"), "date", "score", stress.band(F.col("score"), settings).alias("band"),
+        "forecast_level", "days_to_crisis",
     )
 
 
