@@ -171,8 +171,9 @@ def _years(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple[Dat
 
 
 def _coverage(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple[DataFrame, dict[str, Column]]:
-    """Well-days per cell and date, and those without weather; combined before any join with weather."""
-    days = t["daily"].join(t["cells"].select("well_id", "cell_id"), "well_id", "left")
+    """Well-days per cell and date, and those without weather; combined before any join with weather,
+    where days lie by cell (``daily_by_cell``) without a shuffle of days."""
+    days = t["daily_by_cell"] if "daily_by_cell" in t else t["daily"].join(t["cells"].select("well_id", "cell_id"), "well_id", "left")
     days = days.groupBy("cell_id", "date").agg(F.count(F.lit(1)).alias("_n"))
     bare = days.join(t["weather"].select("cell_id", "date"), ["cell_id", "date"], "left_anti")
     return bare, {"bare": F.coalesce(F.sum("_n"), F.lit(0))}
@@ -188,11 +189,12 @@ def _reservoir(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple
 def _features(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple[DataFrame, dict[str, Column]]:
     """Counts per split first. A key is double where a row repeats the date before it; such
     rows are seen in the order that the features have been built in, without a shuffle."""
-    order = by_day("entity_id", "date")
+    placed = [c for c in t["features"].columns if c == "cell_id"]
+    order = by_day([*placed, "entity_id"], "date")
     one, two = F.lag("date", 1).over(order), F.lag("date", 2).over(order)
     again = (F.col("date") == one) & ~F.coalesce(one == two, F.lit(False))
     real = (F.col("split") == "test") & (F.col("season") == "pre_monsoon") & F.col("is_observed")
-    rows = t["features"].select("entity_type", "entity_id", "date", "season", "is_observed", *REQUIRED_FEATURES)
+    rows = t["features"].select(*placed, "entity_type", "entity_id", "date", "season", "is_observed", *REQUIRED_FEATURES)
     per_split = rows.withColumn("_again", again).groupBy("entity_type", "split").agg(
         F.count(F.lit(1)).alias("_n"), F.min("date").alias("_first"), F.max("date").alias("_last"),
         *[F.count_if(F.col(c).isNull()).alias(f"_{c}") for c in REQUIRED_FEATURES if c != "split"],
@@ -222,10 +224,11 @@ def run_checks(
 ) -> DataFrame:
     """Every named check: PASS, WARN or FAIL with the measured value.
 
-    ``tables`` holds wells, readings, daily, weather, cells, reservoir_daily and features.
+    ``tables`` holds wells, readings, daily, weather, cells, reservoir_daily and features;
+    ``daily_by_cell`` may hold the days beside their cells.
     The checks of a source become one aggregate over it, of the measures that they name
-    and no others; ``names`` builds only those checks and their sources. Tables that
-    several sources read (daily, weather) should be stored.
+    and no others; ``names`` builds only those checks and their sources. Weather, which
+    several sources read, should be stored.
     """
     chosen = [c for c in CHECKS if names is None or c.name in names]
     by_source: dict[str, list[Check]] = {}
