@@ -17,7 +17,7 @@ from wellspring.functions import stress
 from wellspring.functions.numeric import half_even
 from wellspring.operators.lineage import cut_lineage
 from wellspring.operators.ordering import add_previous, asof_backward, exact_quantiles, value_counts
-from wellspring.operators.series import ring_climatology
+from wellspring.operators.series import daily_at, ring_at
 
 
 # ------------------------------------------------------------------- errors
@@ -255,8 +255,13 @@ def baseline_predictions(
     horizons: tuple[int, ...] = (7, 15, 30),
     observed_only: bool = True,
     settings: Settings = DEFAULTS,
+    wells: DataFrame | None = None,
 ) -> DataFrame:
-    """Four baselines for every target whose origin day has a daily state."""
+    """Four baselines for every target whose origin day has a daily state.
+
+    Given ``wells``, the state is computed for the asked days alone and not met
+    in ``daily``, which must be the daily table of these readings and wells.
+    """
     source = (
         readings.select("well_id", F.col("obs_date").alias("target_date"), F.col("level_mbgl").alias("y_true"))
         if observed_only
@@ -268,12 +273,15 @@ def baseline_predictions(
         {"date": F.date_sub("target_date", F.col("horizon_d")), "split": cal.split_of(F.col("target_date"), settings),
          "doy": F.dayofyear("target_date")}
     )
-    pairs = targets.where(F.col("split").isin("val", "test")).join(
-        daily.select("well_id", "date", F.col("level_mbgl").alias("persistence_daily")), ["well_id", "date"]
-    )
+    pairs = targets.where(F.col("split").isin("val", "test"))
+    if wells is None:
+        pairs = pairs.join(daily.select("well_id", "date", "level_mbgl"), ["well_id", "date"])
+    else:
+        pairs = daily_at(pairs, readings, wells, settings)
+    pairs = pairs.withColumnRenamed("level_mbgl", "persistence_daily")
     known = readings.select("well_id", F.col("obs_date").alias("last_date"), F.col("level_mbgl").alias("persistence_obs"))
     pairs = asof_backward(pairs, known, "well_id", "date", "last_date", ["persistence_obs"])
-    pairs = pairs.join(ring_climatology(daily, settings), ["well_id", "doy"], "left")
+    pairs = ring_at(pairs, daily, settings)
     names = ["persistence_daily", "persistence_obs", "climatology", "well_mean"]
     wide = pairs.withColumnRenamed("clim", "climatology")
     return wide.unpivot(["well_id", "target_date", "horizon_d", "split", "y_true"], names, "forecaster", "y_pred")

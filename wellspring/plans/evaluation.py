@@ -154,8 +154,8 @@ _BASE = ts._RING + """, o3 AS (SELECT o.well_id, o.obs_date AS target_date, o.le
 
 
 def _baselines(fx):
-    fx.daily = cut_lineage(fx.daily)  # read for the state of a day, the ring and the means
-    return ev.error_metrics(ev.baseline_predictions(fx.daily, fx.readings, HORIZONS, settings=fx.settings), ["split", "forecaster"])
+    pred = ev.baseline_predictions(fx.daily, fx.readings, HORIZONS, settings=fx.settings, wells=fx.wells)
+    return ev.error_metrics(pred, ["split", "forecaster"])
 
 
 @query("ML-1", f"{_BASE} SELECT * FROM bm")
@@ -404,11 +404,12 @@ def _all_checks_sql() -> str:
 
 
 def _tables(fx) -> dict:
-    """The tables under check; those that several checks read are stored."""
-    fx.daily, fx.weather = cut_lineage(fx.daily), cut_lineage(fx.weather)
+    """The tables under check. Weather is read by several checks and stored; daily rows
+    are made for each of theirs, from readings, and lie by cell."""
+    fx.weather = cut_lineage(fx.weather)
     return {
-        "wells": fx.wells, "readings": fx.readings, "daily": fx.daily, "weather": fx.weather, "cells": fx.cells,
-        "reservoir_daily": fx.reservoir_daily, "features": ts.rural_features(fx),
+        "wells": fx.wells, "readings": fx.readings, "daily": fx.daily, "daily_by_cell": fx.daily_by_cell, "weather": fx.weather,
+        "cells": fx.cells, "reservoir_daily": fx.reservoir_daily, "features": ts.rural_features(fx, placed=True),
     }
 
 
