@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 from test_daily_at_scale import SETTINGS, plan, sorted_rows, tables
 from wellspring.functions import calendar as cal
+from wellspring.operators import evaluate as ev
 from wellspring.operators import features as ft
 
 HORIZONS = (7, 40, 75)
@@ -52,3 +53,17 @@ def test_rows_made_do_not_move(spark):
     # Neither shuffled nor sorted after a reading became a row per horizon.
     above = text.split("Generate explode(array(struct(horizon_d")[0]
     assert "horizon_d" in above and "Exchange" not in above and "SortMergeJoin" not in above
+
+
+def test_scores_of_a_model_column_equal_those_of_a_joined_table(spark):
+    readings, wells, cells, weather = odd_tables(spark)
+    causal = ft.causal_features(readings, weather, cells, wells, HORIZONS, 4, settings=SETTINGS)
+    model = F.when(F.col("last_obs_level") > 3, F.col("last_obs_level") + 1)
+    table = causal.where("last_obs_level > 3").select("well_id", "origin_date", "horizon_d", model.alias("model_level"))
+    reference = ev.reference_levels(readings, SETTINGS)
+    one = ev.forecaster_scores(causal, reference, model)
+    found = sorted_rows(one)
+    assert found == sorted_rows(ev.forecaster_scores(causal, reference, table)) and len(found) > 200
+    # The features are read once and met with the reference alone.
+    text = plan(one.where("forecaster = 'model'"))
+    assert text.count("Generate inline(_wells") == 1

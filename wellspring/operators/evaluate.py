@@ -102,16 +102,22 @@ def reference_levels(readings: DataFrame, settings: Settings = DEFAULTS) -> Data
 
 
 def forecaster_scores(
-    features: DataFrame, reference: DataFrame, model: DataFrame | None = None
+    features: DataFrame, reference: DataFrame, model: DataFrame | Column | None = None
 ) -> DataFrame:
     """True and forecast score per row for each forecaster, one row each.
 
     Forecasters: ``climatology`` (well mean where the season is missing),
-    ``last_reading`` and, given ``model`` (keys + model_level), ``model``.
+    ``last_reading`` and, given ``model`` (keys + model_level), ``model``. A model that
+    is a column of the features is met where the rows lie by well, as if its non-null
+    rows were joined: rows that share a key meet each other's.
     """
+    keys = ["well_id", "origin_date", "horizon_d"]
     df = features.join(reference, "well_id")
-    if model is not None:
-        df = df.join(model, ["well_id", "origin_date", "horizon_d"], "left")
+    if isinstance(model, Column):
+        alike = F.collect_list(model).over(Window.partitionBy(*keys))
+        df = df.withColumn("_model", alike).withColumn("model_level", F.explode_outer("_model"))
+    elif model is not None:
+        df = df.join(model, keys, "left")
     levels = {
         "climatology": F.coalesce("clim_season", "clim_well"),
         "last_reading": F.col("last_obs_level"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from wellspring.functions.numeric import half_even
@@ -272,13 +274,15 @@ def _model_fit_sql() -> str:
       sm AS (SELECT split, horizon_d, 'model' AS forecaster, target_level AS y_true, y_pred, {level_score('target_level')} AS true_score, {level_score('y_pred')} AS pred_score FROM p)"""
 
 
-def _model_scored(fx):
-    """Scores of the pooled regression as a forecaster of its own."""
-    keys = ["well_id", "origin_date", "horizon_d"]
-    rows = fx.causal.withColumn("clim", F.coalesce("clim_season", "clim_well")).dropna(subset=["target_level", "split", *_MODEL_INPUTS])
-    fits, _ = ev.autoregressions(rows, {"model": _MODEL_INPUTS}, "target_level")
-    model = rows.select(*keys, half_even(ev.linear(fits["model"]), 4).alias("model_level"))
-    scored = ev.forecaster_scores(fx.causal, ev.reference_levels(fx.readings, fx.settings), model)
+def _model_scored(fx, split=None):
+    """Scores of the pooled regression as a forecaster of its own, of all splits or one."""
+    rows = fx.causal.withColumn("clim", F.coalesce("clim_season", "clim_well"))
+    numbers = ["target_level", *_MODEL_INPUTS]
+    whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(c) for c in numbers), F.col("split").isNotNull())
+    fits, _ = ev.autoregressions(rows.where(whole), {"model": _MODEL_INPUTS}, "target_level")
+    model = F.when(whole, half_even(ev.linear(fits["model"]), 4))
+    asked = rows if split is None else rows.where(F.col("split") == split)
+    scored = ev.forecaster_scores(asked, ev.reference_levels(fx.readings, fx.settings), model)
     return scored.where((F.col("forecaster") == "model") & F.col("y_pred").isNotNull() & F.col("split").isNotNull())
 
 
@@ -293,7 +297,7 @@ def model_metrics(fx):
         FROM (SELECT forecaster, horizon_d, abs(y_pred - y_true) AS e FROM sm WHERE split = 'test') GROUP BY 1, 2""",
 )
 def model_intervals(fx):
-    return ev.absolute_error_quantiles(_model_scored(fx).where(F.col("split") == "test"), ["forecaster", "horizon_d"])
+    return ev.absolute_error_quantiles(_model_scored(fx, "test"), ["forecaster", "horizon_d"])
 
 
 @query(
@@ -305,7 +309,7 @@ def model_intervals(fx):
           count(*) FILTER (a = 2 AND p < 2) AS misses, count(*) FILTER (a < 2 AND p = 2) AS false_alarms FROM bb GROUP BY 1""",
 )
 def model_bands(fx):
-    return ev.band_accuracy(_model_scored(fx).where(F.col("split") == "test"), ["forecaster"], fx.settings)
+    return ev.band_accuracy(_model_scored(fx, "test"), ["forecaster"], fx.settings)
 
 
 def _matrix(fx):
