@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wellspring.functions import calendar as cal
 from wellspring.functions.text import mask_phone, pretty_phone, to_ist
+from wellspring.operators.lineage import cut_lineage
 
 # Audience group of each role, bands of each bucket, languages.
 ROLE_GROUP = {
@@ -51,6 +52,9 @@ def may_send(users: DataFrame) -> Column:
 
 
 EVERYONE = "all"
+#: Rows of a group, and pairs made by a task: one of two groups is about ``GROUP`` squared.
+GROUP = 1 << 10
+PAIRS_PER_TASK = 1 << 22
 
 
 def audience_pointers(senders: DataFrame) -> DataFrame:
@@ -79,11 +83,31 @@ def audience(users: DataFrame, senders: DataFrame) -> DataFrame:
     This expands pointers on demand, for the senders that are about to send. Their
     number times their segment is the result; sizes of all senders come from ``reach``
     without pairs, and a government sender's audience is a filter
-    (``government_audience``).
+    (``government_audience``). Senders and people of an entity are dealt into groups of
+    about ``GROUP`` each, and two groups meet in one place, so no task makes more than
+    a few times ``PAIRS_PER_TASK`` pairs however large an entity is.
     """
     managers = audience_pointers(senders).where(F.col("segment") == "entity").select("sender_id", "entity_id")
     people = users.where(F.col("entity_id").isNotNull())
-    return people.join(managers, "entity_id").where(F.col("user_id") != F.col("sender_id"))
+    theirs = managers.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_senders"))
+    sizes = people.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_people")).join(theirs, "entity_id")
+    groups = lambda n: F.ceil(F.col(n) / GROUP).cast("int")
+    sizes = sizes.select("entity_id", "_people", "_senders", groups("_people").alias("_across"), groups("_senders").alias("_down"))
+    sizes = cut_lineage(sizes)
+    pairs = sizes.agg(F.sum(F.col("_people").cast("double") * F.col("_senders"))).first()[0] or 0.0
+    tasks = max(int(users.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs // PAIRS_PER_TASK) + 1)
+
+    def dealt(rows: DataFrame, who: str, own: str, other: str, at: str, beside: str) -> DataFrame:
+        """Rows with the group each falls into, once for each group of the other side."""
+        known = rows.join(sizes.select("entity_id", own, other), "entity_id")
+        placed = known.withColumn(at, F.pmod(F.xxhash64(who), F.col(own)).cast("int"))
+        spread = placed.withColumn(beside, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return spread.drop(own, other).repartition(tasks, "entity_id", "_i", "_j")
+
+    left = dealt(people, "user_id", "_across", "_down", "_i", "_j")
+    right = dealt(managers, "sender_id", "_down", "_across", "_j", "_i")
+    met = left.join(right.hint("merge"), ["entity_id", "_i", "_j"]).where(F.col("user_id") != F.col("sender_id"))
+    return met.select("entity_id", *[c for c in users.columns if c != "entity_id"], "sender_id")
 
 
 def government_audience(users: DataFrame, sender_id: str) -> DataFrame:
