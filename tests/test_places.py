@@ -102,3 +102,19 @@ def test_empty_tables(spark, gazetteer):
     assert got == {"1": "ok", "2": "unresolved"}
     assert places.resolve_places(asked.limit(0), gaz).count() == 0
     assert places.typeahead(asked.selectExpr("place AS query").limit(0), gaz).count() == 0
+
+
+def test_index_of_asked_texts_leaves_the_others_out(spark):
+    wells = spark.createDataFrame(
+        [(f"W{i}", "T", "D", f"Village number {i:05d}") for i in range(400)] + [("Wé", "T", "D", "पाणी गाव")],
+        "well_id string, taluka string, district string, village string",
+    )
+    gaz = places.gazetteer(wells)
+    keys = spark.createDataFrame([("number 0001",), ("village num",), ("0039",), ("पाणी",), ("00123",), ("nowhere",)], "key string")
+    whole = places.place_index(gaz, places.lengths_of(keys, "key"))
+    short = places.place_index(gaz, places.lengths_of(keys, "key"), keys)
+    kept = lambda index: sorted(map(repr, index.join(keys.withColumnRenamed("key", "text"), "text").collect()))
+    assert kept(short) == kept(whole) and len(kept(short)) >= 3
+    names = lambda index: {r.text for r in index.where(f"how = {places.WHOLE}").select("text").collect()}
+    assert names(short) == names(whole)
+    assert short.count() < 450 < 2_000 < whole.count()

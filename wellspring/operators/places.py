@@ -8,6 +8,7 @@ then meet one row per text they ask for.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -23,6 +24,7 @@ URBAN_ROLES = ("society-manager", "society-resident")
 
 WHOLE, STARTS, INSIDE = 0, 1, 2
 HELD = 100_000
+MARKS = 1 << 22
 SALTS = 16
 HIT = "struct<kind_order:int,list_order:string,entity_id:string,entity_type:string,label:string,n_wells:bigint>"
 
@@ -63,20 +65,38 @@ def gazetteer(wells: DataFrame) -> DataFrame:
     return both.withColumn("key", place_key(F.col("_name"))).drop("_name").where(F.col("key") != "")
 
 
-def _piece_cells(lengths: frozenset[int]):
-    """Texts of an entry's key and how the key holds each: whole, from its start, or further in."""
+def _piece_cells(lengths: frozenset[int], marks: bytes | None = None):
+    """Texts of an entry's key and how the key holds each: whole, from its start, or further in.
+
+    Given ``marks`` (``asked_marks``), parts of the key that nobody asks for are left out.
+    """
+
+    def wanted(text: str) -> bool:
+        at = zlib.crc32(text.encode()) % MARKS
+        return marks is None or bool(marks[at >> 3] >> (at & 7) & 1)
 
     def pieces(key: str) -> dict[str, int]:
-        found = {key[i : i + n]: INSIDE for n in lengths if n < len(key) for i in range(1, len(key) - n + 1)}
-        found |= {key[:n]: STARTS for n in lengths if n < len(key)}
+        found = {t: INSIDE for n in lengths if n < len(key) for i in range(1, len(key) - n + 1) if wanted(t := key[i : i + n])}
+        found |= {t: STARTS for n in lengths if n < len(key) and wanted(t := key[:n])}
         return found | {key: WHOLE}
 
     return pieces
 
 
-def _combined(lengths: frozenset[int]):
+def asked_marks(keys: DataFrame) -> bytes:
+    """One bit for each hash of a (key), ``MARKS`` in all: a filter of fixed size that passes every key."""
+    at = F.crc32(F.encode("key", "UTF-8")) % MARKS
+    words = keys.select(F.floor(at / 32).alias("_word"), (at % 32).cast("int").alias("_bit")).groupBy("_word")
+    set_ = words.agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits")).collect()
+    marks = bytearray(MARKS // 8)
+    for word, bits in set_:
+        marks[4 * word : 4 * word + 4] = bits.to_bytes(4, "little")
+    return bytes(marks)
+
+
+def _combined(lengths: frozenset[int], marks: bytes | None = None):
     """Partial index of a task: count and first hits per cell, given out whenever ``HELD`` cells are full."""
-    pieces = _piece_cells(lengths)
+    pieces = _piece_cells(lengths, marks)
 
     def rows(cells: dict) -> pa.RecordBatch:
         keys = list(cells)
@@ -120,7 +140,7 @@ def first_of(lists: str, n: int) -> Column:
     return F.slice(F.sort_array(F.flatten(F.collect_list(lists))), 1, n).alias(lists)
 
 
-def place_index(gaz: DataFrame, lengths: Iterable[int]) -> DataFrame:
+def place_index(gaz: DataFrame, lengths: Iterable[int], asked: DataFrame | None = None) -> DataFrame:
     """text, kind_order, how, n, hits, leads: what the gazetteer holds of each text.
 
     A text is a key or a substring of one with one of ``lengths``. Each entry counts
@@ -128,14 +148,16 @@ def place_index(gaz: DataFrame, lengths: Iterable[int]) -> DataFrame:
     of entries, ``hits`` their first ``SHOWN``, ``leads`` the first ``LISTED`` different
     entities. Tasks combine their entries into bounded cells before the shuffle, and
     those of a common text meet in ``SALTS`` parts first, so that no cell ever gathers
-    more than a few hits per task.
+    more than a few hits per task. Given the (key) values ``asked``, texts that are
+    neither whole keys nor among these are left out, but for few that hash alike.
     """
     first = Window.partitionBy("entity_type", "entity_id")
     lead = F.when(F.col("kind_order") == 0, F.col("list_order") == F.min("list_order").over(first)).otherwise(True)
     entries = gaz.withColumn("lead", lead).select("key", "lead", _hit().alias("hit"))
+    marks = None if asked is None else asked_marks(asked)
     cell = ["text", "kind_order", "how"]
     part = f"text string, kind_order int, how int, n long, hits array<{HIT}>, leads array<{HIT}>"
-    partial = entries.mapInArrow(_combined(frozenset(lengths)), part)
+    partial = entries.mapInArrow(_combined(frozenset(lengths), marks), part)
     merged = [F.sum("n").alias("n"), first_of("hits", SHOWN), first_of("leads", LISTED)]
     salted = partial.withColumn("_salt", F.spark_partition_id() % SALTS).groupBy(*cell, "_salt").agg(*merged)
     return salted.groupBy(*cell).agg(*merged)
@@ -209,7 +231,7 @@ def resolve_places(
     )
     keys = cut_lineage(place_keys(requests))
     if index is None:
-        index = cut_lineage(place_index(gaz, lengths_of(keys, "key")))
+        index = cut_lineage(place_index(gaz, lengths_of(keys, "key"), keys))
     found = resolve_keys(keys, index, cities)
     out = asked.join(found, "key", "left")
     answer = (
@@ -236,7 +258,7 @@ def typeahead(
     asked = queries.select("query", place_key(F.col("query")).alias("key")).where(F.length("key") >= 2)
     keys = cut_lineage(asked.select("key").distinct())
     if index is None:
-        index = place_index(gaz, lengths_of(keys, "key"))
+        index = place_index(gaz, lengths_of(keys, "key"), keys)
     area = F.col("kind_order") == 0
     rank = F.when(area & (F.col("how") != INSIDE), 0).when(area, 1).when(F.col("how") != INSIDE, 2)
     ranked = lambda h: F.struct(rank.alias("rank"), *(h[c].alias(c) for c in _LISTED))
