@@ -15,7 +15,6 @@ from wellspring.config import DEFAULTS, Settings
 from wellspring.functions import calendar as cal
 from wellspring.functions import stress
 from wellspring.functions.numeric import half_even
-from wellspring.operators.lineage import cut_lineage
 from wellspring.operators.ordering import add_previous, asof_backward, exact_quantiles, value_counts
 from wellspring.operators.series import daily_at, ring_at
 
@@ -380,14 +379,13 @@ def train_residual_model(
 
     Missing inputs are imputed beside a 0/1 missing flag, because Spark ML
     trees have no missing branch. Returns (fitted pipeline, prepared frame).
+    Training reads ``matrix`` several times: give a stored one. The flags are
+    made where it is read and not stored beside it.
     """
     y, base = residual_target(target)
     missing = {c: F.col(c).isNull() | F.isnan(c) for c in names}
     flags = {f"{c}_missing": m.cast("double") for c, m in missing.items()}
-    # Training reads its rows many times; the features behind them are computed once.
-    ready = cut_lineage(
-        matrix.withColumns({**flags, "_y": y, "_base": base, "_is_val": F.col("split") == "val"})
-    )
+    ready = matrix.withColumns({**flags, "_y": y, "_base": base, "_is_val": F.col("split") == "val"})
     filled = [f"{c}_filled" for c in names]
     stages = [
         Imputer(inputCols=names, outputCols=filled, strategy="mean"),
@@ -410,7 +408,7 @@ def predict_residual(model, ready: DataFrame) -> DataFrame:
 
 
 def train_per_horizon(matrix: DataFrame, names: list[str], horizons: tuple[int, ...], **options) -> DataFrame:
-    """One model per horizon; their predictions in one table. ``matrix`` is read once per horizon.
+    """One model per horizon; their predictions in one table. Each reads the same stored ``matrix``.
 
     Each horizon needs rows to fit; Spark ML raises where there are none.
     """

@@ -313,7 +313,7 @@ def model_bands(fx):
 
 
 def _matrix(fx):
-    """Model inputs from stored features: they are counted first and then prepared."""
+    """Model inputs from stored features: the one copy of them that is counted, trained on and scored."""
     return ft.model_matrix(cut_lineage(fx.causal))
 
 
