@@ -40,3 +40,17 @@ def test_trees_of_gains_and_residuals_store_their_rows_once(fx, stored):
     one, two = (ev.predict_residual(m, rows).orderBy(*keys, "y_pred").collect() for m, rows in ((model, ready), (again, copy)))
     assert one == two and len(one) == fx.causal.count() > 200
     assert sum(r.gain_share for r in ev.gain_importance(fx.spark, model, names).collect()) == pytest.approx(1)
+
+
+def test_models_of_horizons_share_the_stored_rows(fx, stored):
+    matrix, names = evaluation._matrix(fx)
+    pred = ev.train_per_horizon(matrix, names, HORIZONS, rounds=2, depth=2)
+    assert stored == [fx.causal.columns]
+    counts = {r.horizon_d: r["count"] for r in pred.groupBy("horizon_d").count().collect()}
+    assert counts == {r.horizon_d: r["count"] for r in fx.causal.groupBy("horizon_d").count().collect()}
+    # The model of a horizon is that of its rows alone, stored beside the others.
+    part = matrix.where(F.col("horizon_d") == 40).checkpoint()
+    model, ready = ev.train_residual_model(part, [n for n in names if n != "horizon_d"], rounds=2, depth=2)
+    keys = ["well_id", "target_date", "y_pred"]
+    alone = ev.predict_residual(model, ready).orderBy(*keys).collect()
+    assert alone == pred.where("horizon_d = 40").orderBy(*keys).collect()
