@@ -15,6 +15,7 @@ from wellspring.config import DEFAULTS, Settings
 from wellspring.functions import calendar as cal
 from wellspring.functions import stress
 from wellspring.functions.numeric import half_even
+from wellspring.operators import days as dy
 from wellspring.operators.ordering import add_previous, asof_backward, exact_quantiles, value_counts
 from wellspring.operators.series import daily_at, ring_at
 
@@ -74,11 +75,53 @@ def reconstruction_error(errors: DataFrame) -> DataFrame:
     return base.join(q, "scope")
 
 
-def target_correlation(features: DataFrame) -> DataFrame:
-    return features.groupBy("entity_type").agg(
-        F.corr("level", "target_level_t30").alias("corr_level"),
-        F.corr("level_lag_30", "target_level_t30").alias("corr_lag_30"),
-    )
+_CORRELATED = {"corr_level": ("level", "target_level_t30"), "corr_lag_30": ("level_lag_30", "target_level_t30")}
+_MOMENTS = ("n", "x", "y", "xy", "xx", "yy")
+
+
+def _moments_of(b: dy.Block) -> dy.Answer:
+    """Count, means and centred products of each pair of columns over a block."""
+    out = {"entity_type": np.array([b.entity_type])}
+    for name, pair in _CORRELATED.items():
+        both = b.kept & (b[pair[0]] == b[pair[0]]) & (b[pair[1]] == b[pair[1]])
+        x, y = (b[c][both] for c in pair)
+        mx, my = (x.mean(), y.mean()) if len(x) else (0.0, 0.0)
+        x, y = x - mx, y - my
+        for m, v in zip(_MOMENTS, (len(x), mx, my, x @ y, x @ x, y @ y)):
+            out[f"{name}_{m}"] = np.array([v])
+    return out
+
+
+def _moments(features: DataFrame | dy.Days) -> DataFrame:
+    if isinstance(features, dy.Days):
+        schema = ", ".join(f"{name}_{m} {'long' if m == 'n' else 'double'}" for name in _CORRELATED for m in _MOMENTS)
+        return features.partial(_moments_of, f"entity_type string, {schema}")
+    aggs = []
+    for name, (a, b) in _CORRELATED.items():
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        x, y, n = F.when(both, F.col(a)), F.when(both, F.col(b)), F.count_if(both)
+        found = (n, F.avg(x), F.avg(y), F.covar_pop(x, y) * n, F.var_pop(x) * n, F.var_pop(y) * n)
+        aggs += [F.coalesce(v, F.lit(0)).alias(f"{name}_{m}") for m, v in zip(_MOMENTS, found)]
+    return features.groupBy("entity_type").agg(*aggs)
+
+
+def target_correlation(*features: DataFrame | dy.Days) -> DataFrame:
+    """Correlation of the level now and of 30 days ago with the level in 30 days, per track.
+
+    Moments are merged about their common mean, so that large levels lose no digits.
+    """
+    parts = reduce(DataFrame.unionByName, [_moments(f) for f in features])
+    track = Window.partitionBy("entity_type")
+    centred, corr = parts, {}
+    for name in _CORRELATED:
+        n, x, y, xy, xx, yy = (F.col(f"{name}_{m}") for m in _MOMENTS)
+        total = F.nullif(F.sum(n).over(track), F.lit(0))
+        dx, dy_ = x - F.sum(n * x).over(track) / total, y - F.sum(n * y).over(track) / total
+        whole = {"xy": xy + n * dx * dy_, "xx": xx + n * dx * dx, "yy": yy + n * dy_ * dy_}
+        centred = centred.withColumns({f"_{name}_{m}": v for m, v in whole.items()})
+        xy, xx, yy = (F.sum(f"_{name}_{m}") for m in whole)
+        corr[name] = F.when(F.sum(n) > 1, xy / F.sqrt(xx * yy))
+    return centred.groupBy("entity_type").agg(*[v.alias(name) for name, v in corr.items()])
 
 
 # -------------------------------------------------------------------- bands

@@ -7,11 +7,13 @@ from collections.abc import Collection
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspring.config import DEFAULTS, Settings
-from wellspring.operators.features import split_rank
+from wellspring.operators import days as dy
+from wellspring.operators.features import SPLIT_ORDER, WEATHER_COLUMNS, split_name, split_rank
 from wellspring.operators.ordering import by_day, exact_quantiles
 from wellspring.operators.prepare import box_condition
 from wellspring.operators.weather import peak_month
@@ -137,7 +139,26 @@ def _readings(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple[
     }
 
 
+def _daily_of(b: dy.Block) -> dy.Answer:
+    """What the checks count of the days of a block."""
+    real, confidence = b["is_observed"], b["confidence"]
+    step = np.diff(b["date"])[b["_place"][1:] > 0]
+    counted = {
+        "_n": b.size, "_real": real.sum(), "_bad": (~((confidence >= 0) & (confidence <= 1))).sum(),
+        "_conf_real": confidence[real].sum(), "_conf_fill": confidence[~real].sum(), "_gap": float(step.max()) if len(step) else np.nan,
+    }
+    return {c: np.array([v]) for c, v in counted.items()}
+
+
 def _daily(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple[DataFrame, dict[str, Column]]:
+    if isinstance(t["daily"], dy.Days):
+        rows = t["daily"].partial(_daily_of, "_gap double, _n long, _real long, _bad long, _conf_real double, _conf_fill double")
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+        return rows, {
+            "n": total("_n"), "n_real": total("_real"), "bad_conf": total("_bad"), "gap": F.max("_gap").cast("int"),
+            "conf_real": F.sum("_conf_real") / F.nullif(F.sum("_real"), F.lit(0)),
+            "conf_fill": F.sum("_conf_fill") / F.nullif(F.sum("_n") - F.sum("_real"), F.lit(0)),
+        }
     step = F.date_diff(F.col("date"), F.lag("date").over(by_day("well_id", "date")))
     real = F.col("is_observed")
     return t["daily"].withColumn("_step", step), {
@@ -173,6 +194,11 @@ def _years(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple[Dat
 def _coverage(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple[DataFrame, dict[str, Column]]:
     """Well-days per cell and date, and those without weather; combined before any join with weather,
     where days lie by cell (``daily_by_cell``) without a shuffle of days."""
+    if isinstance(t.get("daily_by_cell"), dy.Days):
+        # Beside the same weather as features, so that both read one shuffle.
+        placed = t["daily_by_cell"].beside(t["weather"], WEATHER_COLUMNS)
+        bare = placed.partial(lambda b: {"_n": np.array([(~b.weather(None)).sum()])}, "_n long")
+        return bare, {"bare": F.coalesce(F.sum("_n"), F.lit(0))}
     days = t["daily_by_cell"] if "daily_by_cell" in t else t["daily"].join(t["cells"].select("well_id", "cell_id"), "well_id", "left")
     days = days.groupBy("cell_id", "date").agg(F.count(F.lit(1)).alias("_n"))
     bare = days.join(t["weather"].select("cell_id", "date"), ["cell_id", "date"], "left_anti")
@@ -186,20 +212,36 @@ def _reservoir(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple
     }
 
 
+def _split_counts_of(b: dy.Block, pre_monsoon: tuple[int, ...]) -> dy.Answer:
+    """Counts of the rows of each split of a block; a series that lies twice in its cell repeats each key."""
+    split, kept = b["split"], b.kept
+    real = kept & (split == SPLIT_ORDER["test"]) & np.isin(b["month"], pre_monsoon) & b["is_observed"]
+    counted = {"_n": kept, "_real": real, "_again": kept & b.per_day(np.array([s.again for s in b.series]))}
+    counted |= {f"_{c}": kept & (b[c] != b[c]) for c in REQUIRED_FEATURES if c != "split"}
+    out = {c: np.bincount(split[x], minlength=len(SPLIT_ORDER)) for c, x in counted.items()}
+    some = np.flatnonzero(out["_n"])
+    dates = [b["date"][kept & (split == i)] for i in some]
+    return {
+        "entity_type": np.full(len(some), b.entity_type), "split": some, "_first": np.array([d.min() for d in dates], np.int64),
+        "_last": np.array([d.max() for d in dates], np.int64), **{c: n[some] for c, n in out.items()},
+    }
+
+
+def _split_counts(features: dy.Days, settings: Settings) -> DataFrame:
+    months = settings.seasons["pre_monsoon"]
+    sums = ["_n", *(f"_{c}" for c in REQUIRED_FEATURES if c != "split"), "_real", "_again"]
+    schema = "entity_type string, split int, _first int, _last int, " + ", ".join(f"{c} long" for c in sums)
+    parts = features.partial(lambda b: _split_counts_of(b, months), schema)
+    return parts.groupBy("entity_type", split_name(F.col("split")).alias("split")).agg(
+        F.date_from_unix_date(F.min("_first")).alias("_first"), F.date_from_unix_date(F.max("_last")).alias("_last"),
+        *[F.sum(c).alias(c) for c in sums],
+    )
+
+
 def _features(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple[DataFrame, dict[str, Column]]:
     """Counts per split first. A key is double where a row repeats the date before it; such
     rows are seen in the order that the features have been built in, without a shuffle."""
-    placed = [c for c in t["features"].columns if c == "cell_id"]
-    order = by_day([*placed, "entity_id"], "date")
-    one, two = F.lag("date", 1).over(order), F.lag("date", 2).over(order)
-    again = (F.col("date") == one) & ~F.coalesce(one == two, F.lit(False))
-    real = (F.col("split") == "test") & (F.col("season") == "pre_monsoon") & F.col("is_observed")
-    rows = t["features"].select(*placed, "entity_type", "entity_id", "date", "season", "is_observed", *REQUIRED_FEATURES)
-    per_split = rows.withColumn("_again", again).groupBy("entity_type", "split").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("date").alias("_first"), F.max("date").alias("_last"),
-        *[F.count_if(F.col(c).isNull()).alias(f"_{c}") for c in REQUIRED_FEATURES if c != "split"],
-        F.count_if(real).alias("_real"), F.count_if("_again").alias("_again"),
-    )
+    per_split = _split_counts(t["features"], settings) if isinstance(t["features"], dy.Days) else _split_counts_of_rows(t["features"])
     ahead = Window.partitionBy("entity_type").orderBy(split_rank(F.col("split")))
     per_split = per_split.withColumn("_overlaps", F.coalesce(F.col("_first") <= F.lag("_last").over(ahead), F.lit(False)))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
@@ -213,6 +255,20 @@ def _features(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple[
     }
 
 
+def _split_counts_of_rows(features: DataFrame) -> DataFrame:
+    placed = [c for c in features.columns if c == "cell_id"]
+    order = by_day([*placed, "entity_id"], "date")
+    one, two = F.lag("date", 1).over(order), F.lag("date", 2).over(order)
+    again = (F.col("date") == one) & ~F.coalesce(one == two, F.lit(False))
+    real = (F.col("split") == "test") & (F.col("season") == "pre_monsoon") & F.col("is_observed")
+    rows = features.select(*placed, "entity_type", "entity_id", "date", "season", "is_observed", *REQUIRED_FEATURES)
+    return rows.withColumn("_again", again).groupBy("entity_type", "split").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("date").alias("_first"), F.max("date").alias("_last"),
+        *[F.count_if(F.col(c).isNull()).alias(f"_{c}") for c in REQUIRED_FEATURES if c != "split"],
+        F.count_if(real).alias("_real"), F.count_if("_again").alias("_again"),
+    )
+
+
 _SOURCES = {
     "wells": _wells, "readings": _readings, "daily": _daily, "weather": _weather, "seasons": _seasons, "years": _years,
     "coverage": _coverage, "reservoir_daily": _reservoir, "features": _features,
@@ -225,7 +281,7 @@ def run_checks(
     """Every named check: PASS, WARN or FAIL with the measured value.
 
     ``tables`` holds wells, readings, daily, weather, cells, reservoir_daily and features;
-    ``daily_by_cell`` may hold the days beside their cells.
+    ``daily_by_cell`` may hold the days beside their cells. The last two and ``daily`` may be ``Days``.
     The checks of a source become one aggregate over it, of the measures that they name
     and no others; ``names`` builds only those checks and their sources. Weather, which
     several sources read, should be stored.

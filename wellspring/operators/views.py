@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspring.functions.numeric import half_even
 from wellspring.functions.text import age_words
+from wellspring.operators import days as dy
+from wellspring.operators.features import split_name
 from wellspring.operators.lineage import cut_lineage
 from wellspring.operators.ordering import exact_quantiles
 
@@ -177,20 +182,49 @@ def reading_spread(wells: DataFrame, readings: DataFrame) -> DataFrame:
     return spread.join(middle, "scope").select("scope", "n_wells", "least", F.col("median").cast("double").alias("median"), "most")
 
 
-def split_coverage(features: DataFrame) -> DataFrame:
+def _split_spans(b: dy.Block) -> dy.Answer:
+    """Rows and dates of each split of each series of a block."""
+    begins, of = b.runs(b["split"])
+    n = np.add.reduceat(b.kept, begins, dtype=np.int64)
+    first = np.minimum.reduceat(np.where(b.kept, b["date"], np.iinfo(np.int32).max), begins)
+    last = np.maximum.reduceat(np.where(b.kept, b["date"], np.iinfo(np.int32).min), begins)
+    some = n > 0
+    return {
+        "key": of[some], "entity_type": np.full(int(some.sum()), b.entity_type), "split": b["split"][begins[some]], "_n": n[some],
+        "_first": first[some], "_last": last[some],
+    }
+
+
+def _spans(features: DataFrame | dy.Days) -> DataFrame:
+    if isinstance(features, dy.Days):
+        spans = features.partial(_split_spans, "key string, entity_type string, split int, _n long, _first int, _last int")
+        return spans.select(
+            "entity_type", split_name(F.col("split")).alias("split"), F.col("key").alias("entity_id"), "_n",
+            F.date_from_unix_date("_first").alias("_first"), F.date_from_unix_date("_last").alias("_last"),
+        )
+    one = F.lit(1).cast("long").alias("_n")
+    return features.select("entity_type", "split", "entity_id", one, F.col("date").alias("_first"), F.col("date").alias("_last"))
+
+
+def split_coverage(*features: DataFrame | dy.Days) -> DataFrame:
     """Rows, dates and entities of each split of each track, and of each track (split NULL).
 
-    Rows are counted per entity first, so entities need no distinct count.
+    Rows are counted per entity first, so entities need no distinct count; splits and whole
+    tracks are summed from that one count.
     """
-    per_entity = features.groupBy("entity_type", "split", "entity_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("date").alias("_first"), F.max("date").alias("_last")
-    )
-    both = [F.sum("_n").alias("n"), F.min("_first").alias("first_date"), F.max("_last").alias("last_date")]
-    by_split = per_entity.groupBy("entity_type", "split").agg(*both, F.count(F.lit(1)).alias("n_entities"))
-    whole = per_entity.groupBy("entity_type", "entity_id").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"), F.max("_last").alias("_last"))
-    by_track = whole.groupBy("entity_type").agg(*both, F.count(F.lit(1)).alias("n_entities"))
-    named = by_split.where(F.col("split").isNotNull())
-    return named.unionByName(by_track.withColumn("split", F.lit("all")))
+    spans = reduce(DataFrame.unionByName, [_spans(f) for f in features])
+    per_entity = spans.groupBy("entity_type", "split", "entity_id").agg(
+        F.sum("_n").alias("_n"), F.min("_first").alias("_first"), F.max("_last").alias("_last")
+    )
+    tracks = per_entity.groupingSets(
+        [["entity_type", "entity_id", "split"], ["entity_type", "entity_id"]], "entity_type", "entity_id", "split"
+    ).agg(
+        F.grouping("split").alias("_all"), F.sum("_n").alias("_n"), F.min("_first").alias("_first"), F.max("_last").alias("_last")
+    )
+    named = tracks.withColumn("split", F.when(F.col("_all") == 1, "all").otherwise(F.col("split"))).where(F.col("split").isNotNull())
+    return named.groupBy("entity_type", "split").agg(
+        F.sum("_n").alias("n"), F.min("_first").alias("first_date"), F.max("_last").alias("last_date"), F.count(F.lit(1)).alias("n_entities")
+    )
 
 
 def weather_span(weather: DataFrame, key: str = "cell_id") -> DataFrame:

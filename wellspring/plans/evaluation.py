@@ -409,11 +409,11 @@ def _all_checks_sql() -> str:
 
 def _tables(fx) -> dict:
     """The tables under check. Weather is read by several checks and stored; daily rows
-    are made for each of theirs, from readings, and lie by cell."""
+    are made for each of theirs, from readings, as arrays of their series."""
     fx.weather = cut_lineage(fx.weather)
     return {
-        "wells": fx.wells, "readings": fx.readings, "daily": fx.daily, "daily_by_cell": fx.daily_by_cell, "weather": fx.weather,
-        "cells": fx.cells, "reservoir_daily": fx.reservoir_daily, "features": ts.rural_features(fx, placed=True),
+        "wells": fx.wells, "readings": fx.readings, "daily": fx.daily_series, "daily_by_cell": fx.daily_series_by_cell, "weather": fx.weather,
+        "cells": fx.cells, "reservoir_daily": fx.reservoir_daily, "features": ts.rural_features(fx),
     }
 
 

@@ -308,8 +308,7 @@ def reading_spread(fx):
        SELECT entity_type, split, count(*) AS n, min(date) AS first_date, max(date) AS last_date, count(DISTINCT entity_id) AS n_entities FROM b GROUP BY 1, 2""",
 )
 def split_coverage(fx):
-    columns = ["entity_type", "split", "entity_id", "date"]
-    return vw.split_coverage(ts.rural_features(fx).select(*columns).unionByName(ts.urban_features(fx).select(*columns)))
+    return vw.split_coverage(ts.rural_features(fx), ts.urban_features(fx))
 
 
 @query("VW-4", "SELECT min(date) AS first_date, max(date) AS last_date, count(DISTINCT cell_id) AS n_entities, count(*) AS n FROM fx_weather")
