@@ -114,3 +114,11 @@ def test_split_coverage_of_days(tables):
     assert {(r[0], r[1]) for r in one} == {(t, s) for t in ("well", "reservoir") for s in ("all", "train", "val", "test")}
     # Spans of a series' splits leave the arrays, days do not.
     assert vw._spans(featured(tables, False)).count() <= 3 * len(WELLS)
+
+
+def test_ring_climatology_of_days(tables):
+    readings, wells, *_ = tables
+    names = ["well_id", "doy", "clim", "well_mean"]
+    one, two = (found(ser.ring_climatology(ser.reconstruct_daily(readings, wells, SETTINGS, rows=r), SETTINGS), names) for r in (True, False))
+    same(one, two)
+    assert len(one) == 7 * 366 and {r[0] for r in one} == set("ABCDFHI")
