@@ -122,3 +122,20 @@ def test_ring_climatology_of_days(tables):
     one, two = (found(ser.ring_climatology(ser.reconstruct_daily(readings, wells, SETTINGS, rows=r), SETTINGS), names) for r in (True, False))
     same(one, two)
     assert len(one) == 7 * 366 and {r[0] for r in one} == set("ABCDFHI")
+
+
+def test_quality_of_days(tables):
+    readings, wells, cells, weather = tables
+    names = ["table_name", "check_name", "status", "measured"]
+    parts = ("daily", "features")
+    chosen = [c.name for c in dq.CHECKS if c.table in parts and c.name != "populated"] + ["every_well_day_has_weather"]
+
+    def checks(rows):
+        daily = ser.reconstruct_daily(readings, wells, SETTINGS, rows=rows)
+        given = {"daily": daily, "daily_by_cell": rebuilt(tables, rows), "weather": weather, "cells": cells, "features": featured(tables, rows)}
+        return found(dq.run_checks(given, "", SETTINGS, chosen), names)
+
+    one, two = checks(True), checks(False)
+    same(one, two)
+    measured = {r[1]: r[3] for r in two}
+    assert measured["every_well_day_has_weather"] > 0 and measured["no_nulls_precip_mm"] > 0 and measured["no_nulls_level"] > 0
