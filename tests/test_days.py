@@ -139,3 +139,19 @@ def test_quality_of_days(tables):
     same(one, two)
     measured = {r[1]: r[3] for r in two}
     assert measured["every_well_day_has_weather"] > 0 and measured["no_nulls_precip_mm"] > 0 and measured["no_nulls_level"] > 0
+
+
+def test_years_of_days(tables):
+    columns = ts._FT1
+    names = ["entity_id", "year", "n_rows", *[f"{kind}_{c}" for c in columns for kind in ("n", "sum")]]
+    one, two = (found(ts.yearly(featured(tables, rows), "entity_id", "date", columns), names) for rows in (True, False))
+    same(one, two)
+    assert len(one) > 10
+
+
+def test_wells_listed_twice_count_once(tables):
+    readings, wells, cells, weather = tables
+    twice = readings, wells.unionByName(wells.where("well_id = 'A'")), cells, weather
+    names = ["entity_id", "year", "n_rows", "sum_level"]
+    one, two = (found(ts.yearly(featured(t, False), "entity_id", "date", ["level"]), names) for t in (tables, twice))
+    same(one, two)
