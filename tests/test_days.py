@@ -141,6 +141,21 @@ def test_quality_of_days(tables):
     assert measured["every_well_day_has_weather"] > 0 and measured["no_nulls_precip_mm"] > 0 and measured["no_nulls_level"] > 0
 
 
+def test_counting_checks_see_wells_that_lie_twice_in_a_cell(tables):
+    readings, wells, cells, weather = tables
+    chosen = ("no_duplicate_keys", "no_nulls_precip_mm")
+
+    def measured(cells):
+        days = ser.reconstruct_daily(readings, wells, SETTINGS, cells=cells, rows=False)
+        given = {"features": ft.daily_features(ft.rural_levels(days), weather, cells, "rural", SETTINGS)}
+        return {r.check_name: r.measured for r in dq.run_checks(given, "", SETTINGS, chosen).collect()}
+
+    once, twice = measured(cells), measured(cells.unionByName(cells.where("well_id = 'A'")))
+    keys = featured(tables, True).where("entity_id = 'A'").count()
+    assert once["no_duplicate_keys"] == 0 and twice["no_duplicate_keys"] == keys
+    assert twice["no_nulls_precip_mm"] > once["no_nulls_precip_mm"]
+
+
 def test_years_of_days(tables):
     columns = ts._FT1
     names = ["entity_id", "year", "n_rows", *[f"{kind}_{c}" for c in columns for kind in ("n", "sum")]]
