@@ -170,3 +170,16 @@ def test_wells_listed_twice_count_once(tables):
     names = ["entity_id", "year", "n_rows", "sum_level"]
     one, two = (found(ts.yearly(featured(t, False), "entity_id", "date", ["level"]), names) for t in (tables, twice))
     same(one, two)
+
+
+def test_target_correlation_of_days(tables):
+    names = ["entity_type", "entity_type", "corr_level", "corr_lag_30"]
+    rows = featured(tables, True)
+    urban = rows.where("entity_id = 'A'").withColumn("entity_type", F.lit("reservoir"))
+    want = rows.groupBy("entity_type").agg(F.corr("level", "target_level_t30").alias("corr_level"), F.corr("level_lag_30", "target_level_t30").alias("corr_lag_30"))
+    same(found(want, names), found(ev.target_correlation(featured(tables, False)), names))
+    # A track in two parts, of rows and of days, is merged.
+    parts = [featured(tables, False), rows.where("entity_id = 'A'"), urban]
+    both = rows.unionByName(rows.where("entity_id = 'A'")).unionByName(urban)
+    want = both.groupBy("entity_type").agg(F.corr("level", "target_level_t30").alias("corr_level"), F.corr("level_lag_30", "target_level_t30").alias("corr_lag_30"))
+    same(found(want, names), found(ev.target_correlation(*parts), names))
