@@ -239,8 +239,7 @@ def _split_counts(features: dy.Days, settings: Settings) -> DataFrame:
 
 
 def _features(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple[DataFrame, dict[str, Column]]:
-    """Counts per split first. A key is double where a row repeats the date before it; such
-    rows are seen in the order that the features have been built in, without a shuffle."""
+    """Counts per split first."""
     per_split = _split_counts(t["features"], settings) if isinstance(t["features"], dy.Days) else _split_counts_of_rows(t["features"])
     ahead = Window.partitionBy("entity_type").orderBy(split_rank(F.col("split")))
     per_split = per_split.withColumn("_overlaps", F.coalesce(F.col("_first") <= F.lag("_last").over(ahead), F.lit(False)))
@@ -256,6 +255,8 @@ def _features(t: dict[str, DataFrame], focus: str, settings: Settings) -> tuple[
 
 
 def _split_counts_of_rows(features: DataFrame) -> DataFrame:
+    """The same of rows. A key is double where a row repeats the date before it; such rows
+    are seen in the order that the features have been built in, without a shuffle."""
     placed = [c for c in features.columns if c == "cell_id"]
     order = by_day([*placed, "entity_id"], "date")
     one, two = F.lag("date", 1).over(order), F.lag("date", 2).over(order)
@@ -281,7 +282,8 @@ def run_checks(
     """Every named check: PASS, WARN or FAIL with the measured value.
 
     ``tables`` holds wells, readings, daily, weather, cells, reservoir_daily and features;
-    ``daily_by_cell`` may hold the days beside their cells. The last two and ``daily`` may be ``Days``.
+    ``daily_by_cell`` may hold the days beside their cells. ``daily``, ``daily_by_cell`` and
+    ``features`` may be ``Days``.
     The checks of a source become one aggregate over it, of the measures that they name
     and no others; ``names`` builds only those checks and their sources. Weather, which
     several sources read, should be stored.
